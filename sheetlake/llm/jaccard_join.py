@@ -5,9 +5,12 @@ with it among its first ``n - ceil(t * n) + 1`` under *every* global order of
 tokens. The orders here put rare tokens before frequent ones (levels of the
 corpus frequency) and differ in how they break ties. The first order makes the
 candidates; a candidate pair must pass the filters of the other orders as well
-before it is verified. Documents with equal sets are one class throughout, and
-pairs that are connected already need no verification, so a group of near
-copies costs a star and not a square.
+before it is verified, and before its sets are even fetched a bound on the
+overlap from histograms of token hashes. Documents with equal sets are one
+class throughout, and pairs that are connected already need no verification:
+stars around the best-connected class of each bucket come first, a few rounds
+of them, and only then all pairs that are still apart. A group of near copies
+so costs a few stars and not a square.
 """
 
 from __future__ import annotations
@@ -51,16 +54,40 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def histogram(values: np.ndarray) -> bytes:
+    """Numbers of tokens by the leading bits of a scattered token, in about as many groups as tokens.
+
+    Empty (no bound) if a number does not fit a byte.
+    """
+    bits = max(4, len(values).bit_length() - 1)
+    counts = np.bincount((mix(values, 303) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_reach(ha: bytes, hb: bytes, percent: int) -> bool:
+    """Whether the overlap that the histograms allow reaches the similarity."""
+    if not ha or not hb:
+        return True
+    a, b = np.frombuffer(ha, np.uint8).astype(np.int64), np.frombuffer(hb, np.uint8).astype(np.int64)
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < len(b):
+        b = b.reshape(len(a), -1).sum(1)
+    most = int(np.minimum(a, b).sum())
+    return 100 * most >= percent * (int(a.sum() + b.sum()) - most)
+
+
 def passes_orders(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, percent: int) -> bool:
     """Whether the sets share a prefix token under each of the further orders."""
     return all(np.isin(prefix(a, la, s, percent), prefix(b, lb, s, percent), assume_unique=True).any() for s in MORE_ORDERS)
 
 
 def describe(docs: DataFrame, local_repeats: int) -> tuple[DataFrame, DataFrame]:
-    """(documents, frequent): doc_id, n and class of every document; tokens met in many sets with their counts.
+    """(documents, frequent): doc_id, n, class and histogram of every document; tokens met in several sets with their counts.
 
     Both come from one pass over the texts. Each task counts the tokens of its
-    different sets and reports those in ``local_repeats`` or more of them.
+    different sets and reports those in ``local_repeats`` or more of them; it
+    gives the histogram of a class once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,29 +99,31 @@ def describe(docs: DataFrame, local_repeats: int) -> tuple[DataFrame, DataFrame]
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
             often = n >= local_repeats
             k = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(n[often], pa.int64()), pa.array(tokens[often].view(np.int64)), pa.array(np.ones(k, bool))], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(n[often], pa.int64()), pa.array(tokens[often].view(np.int64)), pa.nulls(k, pa.binary()), pa.array(np.ones(k, bool))], names=names)
 
         for batch in batches:
-            sizes, classes = [], []
+            sizes, classes, hists = [], [], []
             for values in shingle_sets(batch.column("text")):
                 name = class_id(values) if len(values) else 0
                 sizes.append(len(values))
                 classes.append(name)
+                hists.append(None)
                 if len(values) and name not in seen:
                     seen.add(name)
                     held.append(values)
                     size += len(values)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(np.zeros(len(sizes), bool))], names=names)
+                    hists[-1] = histogram(values)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(hists, pa.binary()), pa.array(np.zeros(len(sizes), bool))], names=names)
             if size > 8_000_000:
                 yield frequent()
                 held, size = [], 0
         if held:
             yield frequent()
 
-    names = ["doc_id", "n", "cls", "is_token"]
-    both = stage(docs.mapInArrow(run, "doc_id long, n long, cls long, is_token boolean"), "join-sets")
+    names = ["doc_id", "n", "cls", "hist", "is_token"]
+    both = stage(docs.mapInArrow(run, "doc_id long, n long, cls long, hist binary, is_token boolean"), "join-sets")
     tokens = both.filter("is_token").groupBy(F.col("cls").alias("token")).agg(F.sum("n").alias("n"))
-    return both.filter("NOT is_token").select("doc_id", "n", "cls"), tokens
+    return both.filter("NOT is_token").select("doc_id", "n", "cls", "hist"), tokens
 
 
 def _frequent_table(tokens: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,24 +237,41 @@ def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
-def star_pairs(members: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Each member of a bucket with a leader of about its size: by rising size, a new one once the last is too small."""
+def star_pairs(members: DataFrame, percent: int, parts: int, turn: int) -> DataFrame:
+    """In each bucket, pairs of a hub with the members that it is not connected with and that fit in size.
+
+    Members have the columns comp and degree (the number of their buckets). On
+    the first turn hubs are taken by falling degree until every member has met
+    one of its size. On later turns the hub is another class of the bucket's
+    largest component each time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
         b: list[int] = []
-        for _, (cls, n) in _groups(batches, "bucket", ["cls", "n"]):
-            order = np.lexsort((cls, n))
-            cls, n = cls[order], n[order].astype(np.int64)
-            at = 0
-            while at < len(cls):
-                to = int(np.searchsorted(n, 100 * n[at] // percent, side="right"))
-                a += [int(cls[at])] * (to - at - 1)
-                b += cls[at + 1:to].tolist()
-                at = to
+
+        def meet(hub: int, others: np.ndarray, cls: np.ndarray) -> None:
+            a.extend([int(cls[hub])] * len(others))
+            b.extend(cls[others].tolist())
+
+        for _, (cls, n, comp, degree) in _groups(batches, "bucket", ["cls", "n", "comp", "degree"]):
+            n = n.astype(np.int64)
+            order = np.lexsort((cls, -degree))
+            fits = lambda hub, x: x[(100 * np.minimum(n[x], n[hub]) >= percent * np.maximum(n[x], n[hub]))]
+            if turn:
+                names, sizes = np.unique(comp, return_counts=True)
+                inside = order[comp[order] == names[sizes.argmax()]]
+                hub = inside[turn % len(inside)]
+                meet(hub, fits(hub, np.flatnonzero(comp != comp[hub])), cls)
+            else:
+                left = order
+                while len(left) > 1:
+                    hub, met = left[0], fits(left[0], left)
+                    meet(hub, met[comp[met] != comp[hub]], cls)
+                    left = left[~np.isin(left, met)]
             if len(a) > 100_000:
                 yield _pairs(a, b)
-                a, b = [], []
+                a.clear(), b.clear()
         if a:
             yield _pairs(a, b)
 
@@ -233,8 +279,28 @@ def star_pairs(members: DataFrame, percent: int, parts: int) -> DataFrame:
     return together.mapInArrow(run, "a long, b long").distinct()
 
 
+def _reaching(i: int, others: np.ndarray, n: np.ndarray, hists: list[bytes], table: dict[int, np.ndarray], row: np.ndarray, percent: int) -> np.ndarray:
+    """Those of ``others`` whose histograms allow the similarity with member ``i``; ``table`` holds them by length."""
+    own = np.frombuffer(hists[i], np.uint8).astype(np.int32)
+    lengths = np.array([len(hists[j]) for j in others])
+    ok = np.zeros(len(others), bool)
+    for size in np.unique(lengths):
+        at = np.flatnonzero(lengths == size)
+        if not size or not len(own):
+            ok[at] = True
+            continue
+        x, mine = table[int(size)][row[others[at]]].astype(np.int32), own
+        if size > len(own):
+            x = x.reshape(len(at), len(own), -1).sum(2)
+        elif size < len(own):
+            mine = own.reshape(int(size), -1).sum(1)
+        most = np.minimum(x, mine).sum(1)
+        ok[at] = 100 * most >= percent * (n[others[at]] + n[i] - most)
+    return others[ok]
+
+
 def cross_pairs(members: DataFrame, percent: int, parts: int) -> DataFrame:
-    """All pairs of a bucket whose members (with the column comp) are not connected yet and fit in size."""
+    """All pairs of a bucket (with the columns comp and hist) that are not connected yet, fit in size and may reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[np.ndarray] = []
@@ -246,16 +312,23 @@ def cross_pairs(members: DataFrame, percent: int, parts: int) -> DataFrame:
             both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-        for _, (cls, n, comp) in _groups(batches, "bucket", ["cls", "n", "comp"]):
+        for _, (cls, n, comp, hist) in _groups(batches, "bucket", ["cls", "n", "comp", "hist"]):
             order = np.lexsort((cls, n))
-            cls, n, comp = cls[order], n[order].astype(np.int64), comp[order]
+            cls, n, comp, hists = cls[order], n[order].astype(np.int64), comp[order], [bytes(hist[j]) for j in order]
+            row, table = np.zeros(len(cls), np.int64), {}
+            for size in {len(h) for h in hists if h}:
+                at = [j for j, h in enumerate(hists) if len(h) == size]
+                row[at] = np.arange(len(at))
+                table[size] = np.frombuffer(b"".join(hists[j] for j in at), np.uint8).reshape(len(at), size)
             for i in range(len(cls) - 1):
                 to = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
-                other = cls[i + 1:to][comp[i + 1:to] != comp[i]]
-                if len(other):
-                    a.append(np.full(len(other), cls[i]))
-                    b.append(other)
-                    held += len(other)
+                others = i + 1 + np.flatnonzero(comp[i + 1:to] != comp[i])
+                for at in range(0, len(others), 4096):
+                    found = _reaching(i, others[at:at + 4096], n, hists, table, row, percent)
+                    if len(found):
+                        a.append(np.full(len(found), cls[i]))
+                        b.append(cls[found])
+                        held += len(found)
                 if held > 500_000:
                     yield out()
                     a, b, held = [], [], 0
@@ -266,6 +339,17 @@ def cross_pairs(members: DataFrame, percent: int, parts: int) -> DataFrame:
     return together.mapInArrow(run, "a long, b long").distinct()
 
 
+def within_bounds(pairs: DataFrame, histograms: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose histograms allow the similarity."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.loc[[may_reach(x, y, percent) for x, y in zip(pdf["ha"], pdf["hb"])], ["a", "b"]]
+
+    both = pairs.join(histograms.select(F.col("cls").alias("b"), F.col("hist").alias("hb")), "b").join(histograms.select(F.col("cls").alias("a"), F.col("hist").alias("ha")), "a")
+    return both.select("a", "b", "ha", "hb").mapInPandas(run, "a long, b long")
+
+
 def candidate_sets(docs: DataFrame, classes: DataFrame, most_ids: int) -> DataFrame:
     """(cls, tokens) of the classes that stand in a bucket.
 
@@ -318,7 +402,7 @@ def verify(pairs: DataFrame, sets: DataFrame, frequent, percent: int) -> DataFra
     return both.select("a", "b", "ta", "tb").mapInPandas(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 75, local_repeats: int = 3, most_frequent: int = 1_000_000, most_ids: int = 4_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = 75, local_repeats: int = 2, turns: int = 4, few_pairs: int = 100, most_frequent: int = 1_000_000, most_ids: int = 4_000_000) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_shingles, component_id, n_links.
 
     Needs ``doc_id`` and ``text``; other columns are ignored. Sets are of
@@ -338,17 +422,37 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, local_repeats: int =
     frequent = spark.sparkContext.broadcast(_frequent_table(tokens, most_frequent))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     members = stage(buckets(prefix_tokens(read, frequent, percent), parts), "join-buckets")
-    sets = stage(candidate_sets(read, members.select("cls").distinct(), most_ids), "join-tokens")
-    tested = stage(star_pairs(members, percent, parts), "join-stars")
-    links = stage(verify(tested, sets, frequent, percent), "join-links")
-    roots = components(links)
-    # members of a bucket in different components so far: the pairs between those are still to be tested
-    comp = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", "n", F.coalesce("root", "cls").alias("comp"))
-    comp = stage(comp, "join-components")
-    mixed = comp.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-    more = cross_pairs(comp.join(mixed, "bucket", "left_semi"), percent, parts).join(tested, ["a", "b"], "left_anti")
-    links = stage(links.unionByName(verify(more, sets, frequent, percent)), "join-all-links")
-    roots = components(links)
+    rank = members.groupBy("cls").agg(F.count("*").alias("degree"))
+    members = stage(members.join(rank, "cls").withColumn("comp", F.col("cls")), "join-members")
+    histograms = described.filter("hist IS NOT NULL").join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("hist").alias("hist"))
+    histograms = stage(histograms, "join-histograms")
+    links = roots = tested = None
+    turn, last = 0, False
+    while True:
+        if last:
+            near = cross_pairs(members.join(histograms, "cls"), percent, parts).join(tested, ["a", "b"], "left_anti")
+        else:
+            made = star_pairs(members, percent, parts, turn)
+            made = stage(made if tested is None else made.join(tested, ["a", "b"], "left_anti"), "join-pairs")
+            tested = made if tested is None else tested.unionByName(made)
+            near = within_bounds(made, histograms, percent)
+        near = stage(near, "join-near")
+        sets = stage(candidate_sets(read, near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct(), most_ids), "join-tokens")
+        found = stage(verify(near, sets, frequent, percent), "join-links")
+        links = found if links is None else stage(links.unionByName(found), "join-links")
+        roots = components(links)
+        turn += 1
+        if last:
+            break
+        # what is left: buckets whose members are not all connected
+        comp = members.select("bucket", "cls", "n", "degree").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+        comp = stage(comp, "join-members")
+        counts = comp.groupBy("bucket", "comp").agg(F.count("*").cast("double").alias("k")).groupBy("bucket").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("k"))
+        apart = stage(counts.filter("pairs > 0"), "join-apart")
+        left = apart.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0.0))).first()
+        members = comp.join(apart.select("bucket"), "bucket", "left_semi")
+        # more stars only where many pairs are left and the last ones still found links
+        last = turn >= turns or left[0] <= few_pairs * left[1] or found.count() * 20 < made.count()
     degree = links.select(F.col("u").alias("cls")).unionByName(links.select(F.col("v").alias("cls"))).groupBy("cls").agg(F.count("*").alias("linked"))
     classes = described.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     classes = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

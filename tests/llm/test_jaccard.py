@@ -64,7 +64,7 @@ def corpus(seed):
 def test_join_is_complete(spark, seed):
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, 5, "c") for i, t in rows], "doc_id long, text string, n int, cls string").repartition(3)
-    got = jaccard_join.near_duplicates(docs, local_repeats=2 if seed == 1 else 3, most_frequent=50 if seed == 3 else 1000)
+    got = jaccard_join.near_duplicates(docs, local_repeats=2 if seed == 1 else 3, few_pairs=100 if seed == 1 else 0, most_frequent=50 if seed == 3 else 1000)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows)
 
 
@@ -101,3 +101,20 @@ def test_components(spark):
         for a, b in links:
             comp[a] = comp[b] = min(comp[a], comp[b])
     assert got == {k: v for k, v in comp.items() if k != v}
+
+
+def test_histograms_never_rule_out_a_link():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    ruled_out = 0
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([rng.permutation(a)[: rng.integers(0, n + 1)], rng.integers(0, 2**63, int(rng.integers(0, n // 2 + 1))).astype(np.uint64)]))
+        if not len(b):
+            continue
+        may = jaccard_join.may_reach(jaccard_join.histogram(a), jaccard_join.histogram(b), 75)
+        assert may or not jaccard_join.similar(a, b, 75)
+        ruled_out += not may
+    assert ruled_out > 100
