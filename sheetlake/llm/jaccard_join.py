@@ -6,7 +6,7 @@ tokens. The orders here put rare tokens before frequent ones (levels of the
 corpus frequency) and differ in how they break ties. The first order makes the
 candidates; a candidate pair must pass the filters of the other orders as well
 before it is verified, and before its sets are even fetched a bound on the
-overlap from histograms of token hashes. Documents with equal sets are one
+overlap from bitmaps of token hashes. Documents with equal sets are one
 class throughout, and pairs that are connected already need no verification:
 stars around the best-connected class of each bucket come first, a few rounds
 of them, and only then all pairs that are still apart. A group of near copies
@@ -54,27 +54,29 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def histogram(values: np.ndarray) -> bytes:
-    """Numbers of tokens by the leading bits of a scattered token, in about as many groups as tokens.
+def bitmap(values: np.ndarray) -> bytes:
+    """Parities of the numbers of tokens by a hash, in about eight times as many bits as tokens."""
+    bits = max(6, len(values).bit_length() + 2)
+    counts = np.bincount((mix(values, 303) & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
-    Empty (no bound) if a number does not fit a byte.
-    """
-    bits = max(4, len(values).bit_length() - 1)
-    counts = np.bincount((mix(values, 303) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+def _fold(x: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (last axis) at a smaller size: halves are added, that is combined by exclusive or."""
+    while x.shape[-1] > size:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
 
 
-def may_reach(ha: bytes, hb: bytes, percent: int) -> bool:
-    """Whether the overlap that the histograms allow reaches the similarity."""
-    if not ha or not hb:
-        return True
-    a, b = np.frombuffer(ha, np.uint8).astype(np.int64), np.frombuffer(hb, np.uint8).astype(np.int64)
-    if len(a) > len(b):
-        a, b = b, a
-    if len(a) < len(b):
-        b = b.reshape(len(a), -1).sum(1)
-    most = int(np.minimum(a, b).sum())
-    return 100 * most >= percent * (int(a.sum() + b.sum()) - most)
+def may_reach(ba: bytes, bb: bytes, na: int, nb: int, percent: int) -> bool:
+    """Whether two sets can reach the similarity.
+
+    Tokens in both cancel out, so bitmaps differ in no more bits than sets in tokens.
+    """
+    size = min(len(ba), len(bb))
+    apart = int(np.bitwise_count(_fold(np.frombuffer(ba, np.uint8), size) ^ _fold(np.frombuffer(bb, np.uint8), size)).sum())
+    return (100 + percent) * apart <= (100 - percent) * (na + nb)
 
 
 def passes_orders(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, percent: int) -> bool:
@@ -83,11 +85,11 @@ def passes_orders(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray,
 
 
 def describe(docs: DataFrame, local_repeats: int) -> tuple[DataFrame, DataFrame]:
-    """(documents, frequent): doc_id, n, class and histogram of every document; tokens met in several sets with their counts.
+    """(documents, frequent): doc_id, n, class and bitmap of every document; tokens met in several sets with their counts.
 
     Both come from one pass over the texts. Each task counts the tokens of its
     different sets and reports those in ``local_repeats`` or more of them; it
-    gives the histogram of a class once.
+    gives the bitmap of a class once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,28 +104,28 @@ def describe(docs: DataFrame, local_repeats: int) -> tuple[DataFrame, DataFrame]
             return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(n[often], pa.int64()), pa.array(tokens[often].view(np.int64)), pa.nulls(k, pa.binary()), pa.array(np.ones(k, bool))], names=names)
 
         for batch in batches:
-            sizes, classes, hists = [], [], []
+            sizes, classes, maps = [], [], []
             for values in shingle_sets(batch.column("text")):
                 name = class_id(values) if len(values) else 0
                 sizes.append(len(values))
                 classes.append(name)
-                hists.append(None)
+                maps.append(None)
                 if len(values) and name not in seen:
                     seen.add(name)
                     held.append(values)
                     size += len(values)
-                    hists[-1] = histogram(values)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(hists, pa.binary()), pa.array(np.zeros(len(sizes), bool))], names=names)
+                    maps[-1] = bitmap(values)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(maps, pa.binary()), pa.array(np.zeros(len(sizes), bool))], names=names)
             if size > 8_000_000:
                 yield frequent()
                 held, size = [], 0
         if held:
             yield frequent()
 
-    names = ["doc_id", "n", "cls", "hist", "is_token"]
-    both = stage(docs.mapInArrow(run, "doc_id long, n long, cls long, hist binary, is_token boolean"), "join-sets")
+    names = ["doc_id", "n", "cls", "bitmap", "is_token"]
+    both = stage(docs.mapInArrow(run, "doc_id long, n long, cls long, bitmap binary, is_token boolean"), "join-sets")
     tokens = both.filter("is_token").groupBy(F.col("cls").alias("token")).agg(F.sum("n").alias("n"))
-    return both.filter("NOT is_token").select("doc_id", "n", "cls", "hist"), tokens
+    return both.filter("NOT is_token").select("doc_id", "n", "cls", "bitmap"), tokens
 
 
 def _frequent_table(tokens: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -279,28 +281,21 @@ def star_pairs(members: DataFrame, percent: int, parts: int, turn: int) -> DataF
     return together.mapInArrow(run, "a long, b long").distinct()
 
 
-def _reaching(i: int, others: np.ndarray, n: np.ndarray, hists: list[bytes], table: dict[int, np.ndarray], row: np.ndarray, percent: int) -> np.ndarray:
-    """Those of ``others`` whose histograms allow the similarity with member ``i``; ``table`` holds them by length."""
-    own = np.frombuffer(hists[i], np.uint8).astype(np.int32)
-    lengths = np.array([len(hists[j]) for j in others])
+def _reaching(i: int, others: np.ndarray, n: np.ndarray, maps: list[bytes], table: dict[int, np.ndarray], row: np.ndarray, percent: int) -> np.ndarray:
+    """Those of ``others`` that can reach the similarity with member ``i``; ``table`` holds their bitmaps by length."""
+    own = np.frombuffer(maps[i], np.uint8)
+    lengths = np.array([len(maps[j]) for j in others])
     ok = np.zeros(len(others), bool)
-    for size in np.unique(lengths):
-        at = np.flatnonzero(lengths == size)
-        if not size or not len(own):
-            ok[at] = True
-            continue
-        x, mine = table[int(size)][row[others[at]]].astype(np.int32), own
-        if size > len(own):
-            x = x.reshape(len(at), len(own), -1).sum(2)
-        elif size < len(own):
-            mine = own.reshape(int(size), -1).sum(1)
-        most = np.minimum(x, mine).sum(1)
-        ok[at] = 100 * most >= percent * (n[others[at]] + n[i] - most)
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        size = min(int(length), len(own))
+        apart = np.bitwise_count(_fold(table[int(length)][row[others[at]]], size) ^ _fold(own, size)).sum(1, dtype=np.int64)
+        ok[at] = (100 + percent) * apart <= (100 - percent) * (n[others[at]] + n[i])
     return others[ok]
 
 
 def cross_pairs(members: DataFrame, percent: int, parts: int) -> DataFrame:
-    """All pairs of a bucket (with the columns comp and hist) that are not connected yet, fit in size and may reach the similarity."""
+    """All pairs of a bucket (with the columns comp and bitmap) that are not connected yet, fit in size and may reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[np.ndarray] = []
@@ -312,19 +307,19 @@ def cross_pairs(members: DataFrame, percent: int, parts: int) -> DataFrame:
             both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-        for _, (cls, n, comp, hist) in _groups(batches, "bucket", ["cls", "n", "comp", "hist"]):
+        for _, (cls, n, comp, maps) in _groups(batches, "bucket", ["cls", "n", "comp", "bitmap"]):
             order = np.lexsort((cls, n))
-            cls, n, comp, hists = cls[order], n[order].astype(np.int64), comp[order], [bytes(hist[j]) for j in order]
+            cls, n, comp, maps = cls[order], n[order].astype(np.int64), comp[order], [bytes(maps[j]) for j in order]
             row, table = np.zeros(len(cls), np.int64), {}
-            for size in {len(h) for h in hists if h}:
-                at = [j for j, h in enumerate(hists) if len(h) == size]
+            for size in {len(h) for h in maps}:
+                at = [j for j, h in enumerate(maps) if len(h) == size]
                 row[at] = np.arange(len(at))
-                table[size] = np.frombuffer(b"".join(hists[j] for j in at), np.uint8).reshape(len(at), size)
+                table[size] = np.frombuffer(b"".join(maps[j] for j in at), np.uint8).reshape(len(at), size)
             for i in range(len(cls) - 1):
                 to = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
                 others = i + 1 + np.flatnonzero(comp[i + 1:to] != comp[i])
                 for at in range(0, len(others), 4096):
-                    found = _reaching(i, others[at:at + 4096], n, hists, table, row, percent)
+                    found = _reaching(i, others[at:at + 4096], n, maps, table, row, percent)
                     if len(found):
                         a.append(np.full(len(found), cls[i]))
                         b.append(cls[found])
@@ -339,15 +334,15 @@ def cross_pairs(members: DataFrame, percent: int, parts: int) -> DataFrame:
     return together.mapInArrow(run, "a long, b long").distinct()
 
 
-def within_bounds(pairs: DataFrame, histograms: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose histograms allow the similarity."""
+def within_bounds(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps allow the similarity."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.loc[[may_reach(x, y, percent) for x, y in zip(pdf["ha"], pdf["hb"])], ["a", "b"]]
+            yield pdf.loc[[may_reach(x, y, n, m, percent) for x, y, n, m in zip(pdf["ma"], pdf["mb"], pdf["na"], pdf["nb"])], ["a", "b"]]
 
-    both = pairs.join(histograms.select(F.col("cls").alias("b"), F.col("hist").alias("hb")), "b").join(histograms.select(F.col("cls").alias("a"), F.col("hist").alias("ha")), "a")
-    return both.select("a", "b", "ha", "hb").mapInPandas(run, "a long, b long")
+    both = pairs.join(bitmaps.select(F.col("cls").alias("b"), F.col("bitmap").alias("mb"), F.col("n").alias("nb")), "b").join(bitmaps.select(F.col("cls").alias("a"), F.col("bitmap").alias("ma"), F.col("n").alias("na")), "a")
+    return both.select("a", "b", "ma", "mb", "na", "nb").mapInPandas(run, "a long, b long")
 
 
 def candidate_sets(docs: DataFrame, classes: DataFrame, most_ids: int) -> DataFrame:
@@ -424,18 +419,18 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, local_repeats: int =
     members = stage(buckets(prefix_tokens(read, frequent, percent), parts), "join-buckets")
     rank = members.groupBy("cls").agg(F.count("*").alias("degree"))
     members = stage(members.join(rank, "cls").withColumn("comp", F.col("cls")), "join-members")
-    histograms = described.filter("hist IS NOT NULL").join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("hist").alias("hist"))
-    histograms = stage(histograms, "join-histograms")
+    bitmaps = described.filter("bitmap IS NOT NULL").join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("bitmap").alias("bitmap"), F.first("n").alias("n"))
+    bitmaps = stage(bitmaps, "join-bitmaps")
     links = roots = tested = None
     turn, last = 0, False
     while True:
         if last:
-            near = cross_pairs(members.join(histograms, "cls"), percent, parts).join(tested, ["a", "b"], "left_anti")
+            near = cross_pairs(members.join(bitmaps.select("cls", "bitmap"), "cls"), percent, parts).join(tested, ["a", "b"], "left_anti")
         else:
             made = star_pairs(members, percent, parts, turn)
             made = stage(made if tested is None else made.join(tested, ["a", "b"], "left_anti"), "join-pairs")
             tested = made if tested is None else tested.unionByName(made)
-            near = within_bounds(made, histograms, percent)
+            near = within_bounds(made, bitmaps, percent)
         near = stage(near, "join-near")
         sets = stage(candidate_sets(read, near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct(), most_ids), "join-tokens")
         found = stage(verify(near, sets, frequent, percent), "join-links")
