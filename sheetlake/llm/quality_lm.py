@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import small_side, stage
 
 ORDER = 4
 BITS, MASK = 16, 0xFFFF
@@ -247,7 +247,7 @@ def limits(scored: DataFrame, quantile: float, margin: float, least: int) -> Dat
     return cut.filter((F.col("all") >= least) | F.col("whole"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, margin: float = 0.05, least: int = 20, folds: int = 5, **options) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, margin: float = 0.05, least: int = 20, folds: int = 5, broadcast_ids: int = 4_000_000, **options) -> DataFrame:
     """A row per row of ``docs``: doc_id, lang, n_units, perplexity, limit, keep.
 
     ``docs`` needs doc_id, text and lang (others are ignored), ``labels``
@@ -255,7 +255,8 @@ def judge(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, margin
     toxic in some label and with no label that says otherwise; nulls are no
     evidence either way. One of ``folds`` parts of them, by a hash of the id,
     sets the limits and the others train the model, so that the limits hold
-    for texts that the model has not seen. A null or blank text has no perplexity and is
+    for texts that the model has not seen. Up to ``broadcast_ids`` trusted ids
+    are sent to the tasks; more are joined by shuffling. A null or blank text has no perplexity and is
     rejected. A null language is one of its own. Without trusted text
     everything with text is kept. Repeated rows each give their row. Tables
     may be empty.
@@ -266,7 +267,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, margin
     held_out = F.pmod(F.xxhash64("_label_id"), F.lit(folds)) == 0
     marks = stage(marks.filter("_good AND NOT _bad").select("_label_id", held_out.alias("held_out")), "lm-trusted")
     read = docs.select("doc_id", "lang", "text")
-    trusted = read.join(marks.filter("NOT held_out"), F.col("doc_id").cast("long") == F.col("_label_id"), "left_semi")
+    trusted = read.join(small_side(marks.filter("NOT held_out").select("_label_id"), broadcast_ids), F.col("doc_id").cast("long") == F.col("_label_id"), "left_semi")
     probabilities, backoffs = train(trusted.select("text"))
     scored = stage(score(read.select("doc_id", "lang", "text"), probabilities, backoffs, keep=("doc_id", "lang"), **options), "lm-scored")
     flagged = scored.join(marks.filter("held_out"), F.col("doc_id").cast("long") == F.col("_label_id"))
@@ -280,10 +281,10 @@ def judge(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, margin
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "n_units", F.exp("cost").alias("perplexity"), F.exp("limit").alias("limit"), keep.alias("keep"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, *, broadcast_ids: int = 4_000_000, **options) -> DataFrame:
     """``docs`` without the documents that ``judge`` rejects, with all columns.
 
     A doc_id that stands for several rows goes only if all of them are rejected.
     """
-    verdicts = stage(judge(docs, labels, **options).groupBy("doc_id").agg(F.max("keep").alias("keep")).filter("NOT keep").select(F.col("doc_id").alias("_gone")), "lm-gone")
-    return docs.join(verdicts, docs["doc_id"].cast("long").eqNullSafe(verdicts["_gone"]), "left_anti")
+    verdicts = stage(judge(docs, labels, broadcast_ids=broadcast_ids, **options).groupBy("doc_id").agg(F.max("keep").alias("keep")).filter("NOT keep").select(F.col("doc_id").alias("_gone")), "lm-gone")
+    return docs.join(small_side(verdicts, broadcast_ids), docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -35,3 +36,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/sheetlake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has ``rows`` rows at most; else as it is, for a join by shuffling."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
