@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import small_side, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -96,14 +96,17 @@ def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, with all its columns."""
+def drop_exact_duplicates(docs: DataFrame, *, broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, with all its columns.
+
+    Up to ``broadcast_rows`` names of rows to go are sent to the tasks; more
+    are joined by shuffling.
+    """
     flags = stage(exact_duplicates(docs, **options), "dedup-flags")
-    kept = flags.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"))
-    stays = stage(kept.select(F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_sha"), F.col("n").alias("_keep_n")), "dedup-stays")
+    gone = stage(flags.filter("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.unhex("text_sha256").alias("_gone_sha")).distinct(), "dedup-gone")
     sha = F.unhex(F.sha2(normalised(docs["text"]), 256))
-    out = docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(stays["_keep_id"]) & (sha == stays["_keep_sha"]), "left_semi")
-    if stays.filter("_keep_n > 1").isEmpty():
+    out = docs.join(small_side(gone, broadcast_rows), docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")) & (sha == F.col("_gone_sha")), "left_anti")
+    if flags.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         return out
     # The same row more than once: any of them is as good as another.
     single = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import class_id, mix, shingle_sets
-from .staging import stage
+from .staging import small_side, stage
 
 #: Other orders that a candidate must pass.
 MORE_ORDERS = (101, 202)
@@ -458,15 +458,17 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, local_repeats: int =
     return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
+def one_of_each(docs: DataFrame, *, broadcast_ids: int = 4_000_000, **options) -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest doc_id, with all columns.
 
-    Rows that share this doc_id stay only once if their texts are equal.
+    Rows that share this doc_id stay only once if their texts are equal. Up to
+    ``broadcast_ids`` ids to go are sent to the tasks; more are joined by
+    shuffling.
     """
     groups = near_duplicates(docs, **options)
     gone = groups.groupBy("doc_id").agg(F.min((~F.col("doc_id").eqNullSafe(F.col("component_id"))).cast("int")).alias("gone"), F.count("*").alias("n"))
     gone = stage(gone.filter("gone = 1 OR n > 1").select(F.col("doc_id").alias("_id"), (F.col("gone") == 1).alias("_gone")), "join-gone")
-    kept = docs.join(gone.filter("_gone"), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    kept = docs.join(small_side(gone.filter("_gone"), broadcast_ids), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_anti")
     if gone.filter("NOT _gone").isEmpty():
         return kept
     single = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import small_side, stage
 
 #: Cost per token of the first, second and third pass over a document.
 PASS_COSTS = (0, 1, 3)
@@ -185,10 +185,14 @@ def mix(docs: DataFrame, *, source: str = "source", weights: tuple[int, ...] = (
     return rest.unionByName(close).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as often as the mix takes each, with all columns: none, once or repeatedly."""
+def mixed_documents(docs: DataFrame, *, broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+    """``docs`` as often as the mix takes each, with all columns: none, once or repeatedly.
+
+    Up to ``broadcast_rows`` decisions are sent to the tasks; more are joined
+    by shuffling.
+    """
     plan = mix(docs, **options).filter("taken > 0")
     plan = stage(plan.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), (F.col("taken") / F.col("size") / F.col("n")).cast("int").alias("_times")), "mix-plan")
-    joined = docs.join(plan, docs["doc_id"].cast("long").eqNullSafe(plan["_id"]) & docs["source"].cast("string").eqNullSafe(plan["_source"]) & (word_count(docs["text"].cast("string")) == plan["_size"]))
+    joined = docs.join(small_side(plan, broadcast_rows), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & docs["source"].cast("string").eqNullSafe(F.col("_source")) & (word_count(docs["text"].cast("string")) == F.col("_size")))
     again = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_times"), F.lit(1)))))
     return again.select(*[F.col(f"`{c}`") for c in docs.columns])
