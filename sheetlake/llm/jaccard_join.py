@@ -116,7 +116,7 @@ def describe(docs: DataFrame, local_repeats: int) -> tuple[DataFrame, DataFrame]
                     size += len(values)
                     maps[-1] = bitmap(values)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(maps, pa.binary()), pa.array(np.zeros(len(sizes), bool))], names=names)
-            if size > 8_000_000:
+            if size > 2_000_000:
                 yield frequent()
                 held, size = [], 0
         if held:
@@ -170,7 +170,7 @@ def prefix_tokens(docs: DataFrame, frequent, percent: int) -> DataFrame:
                 classes.append(name)
                 sizes.append(len(values))
                 held += len(parts[-1])
-                if held > 500_000:
+                if held > 200_000:
                     yield out()
                     parts, classes, sizes, held = [], [], [], 0
             if parts:

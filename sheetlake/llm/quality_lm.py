@@ -60,7 +60,7 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
                     k = keys_of(text)
                     held.append(k)
                     size += len(k)
-                    if size > 4_000_000:
+                    if size > 1_500_000:
                         yield flush()
                         held, size = [], 0
         if held:
@@ -183,8 +183,8 @@ def score(docs: DataFrame, probabilities: DataFrame, backoffs: DataFrame, *, max
         for batch in batches:
             texts = batch.column("text").to_pylist()
             units, costs = [], []
-            for at in range(0, len(texts), 256):
-                keys = [keys_of(t) if t else np.zeros(0, np.int64) for t in texts[at:at + 256]]
+            for at in range(0, len(texts), 128):
+                keys = [keys_of(t) if t else np.zeros(0, np.int64) for t in texts[at:at + 128]]
                 sizes = np.array([len(k) for k in keys])
                 every = np.concatenate(keys)
                 if len(every):

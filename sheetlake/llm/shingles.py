@@ -33,7 +33,7 @@ _PLACES = mix(np.arange(WIDTH, dtype=np.uint64), 11) | _U(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, up to ``n``."""
     if len(_POWERS.get("up", ())) <= n:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, 1 << 19)
         for name, base in (("up", _PRIME), ("down", _INVERSE)):
             steps = np.full(size, _U(base))
             steps[0] = 1
@@ -63,7 +63,7 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(h + (to - at).astype(np.uint64)), np.searchsorted(starts, at, side="right") - 1
 
 
-def shingle_sets(texts: pa.Array, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, chunk: int = 1 << 18) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text; shorter texts have their whole sequence as one.
 
     Words are runs of other than ``[\\x20\\x09-\\x0D]``, with A-Z in lower

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_WORDS, CACHED_LENGTH = 200_000, 64
+CACHE_WORDS, CACHED_LENGTH = 100_000, 64
 
 
 def read_model(path: str) -> list[tuple[str, float, str]]:
@@ -159,8 +159,8 @@ def encode(docs: DataFrame, model: str, *, with_ids: bool = True) -> DataFrame:
         codec = Codec(pieces.value)
         for pdf in batches:
             # a batch at a time can be many texts: their ids go out in parts
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at:at + 500]
+            for at in range(0, len(pdf), 100):
+                part = pdf.iloc[at:at + 100]
                 texts = [t or "" for t in part["text"]]
                 ids = [codec.encode(t) for t in texts]
                 out = pd.DataFrame({
