@@ -1,0 +1,167 @@
+"""The drawing engine on small cases."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from sheetlake.functions import exprs as X
+from sheetlake.operators import evidence, parse, registry, review, tiles
+from sheetlake.sources import files, json_text, providers
+
+
+def one(spark, value, expr, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(expr(F.col("x")).alias("y")).first().y
+
+
+@pytest.mark.parametrize("expr, given, want", [
+    (X.clean_scalar, "  N/A\n", None), (X.clean_scalar, " Ã˜5 ", "Ø5"), (X.unit, "Milli­meters", "Milli­meters"), (X.unit, "Millimeters.", "mm"), (X.unit, '"', "in"),
+    (X.dimension_type, "Hole diameter", "diameter"), (X.dimension_type, None, "unknown"), (X.dimension_type, "pitch", "pattern"), (X.value_key, " 1,83 ", "1.83"),
+    (X.quantity_key, "4.0", "4"), (X.quantity_key, " ", None), (X.text_key, " Pad \t Diameter ", "pad diameter"), (X.ocr_text, " (X7) #1,02", "(x7)Ø1.02"), (X.is_numeric_candidate, "5STUB", False), (X.is_numeric_candidate, "x٣", True),
+    (X.ocr_class, "2:1", "ratio_or_scale"), (X.ocr_class, "ø3", "diameter_candidate"), (X.ocr_class, "(X4)", "quantity_candidate"), (X.ocr_class, "12", "numeric_candidate"), (X.metadata_field, "Rev_Date.", "revision_date"), (X.metadata_field, "product name", None),
+    (X.output_slug, "DEMO_AB12_Technical_Drawing_page-0001", "demo_ab12"), (X.output_slug, "page 1", "page_1"), (X.output_slug, "--", "drawing"), (X.media_type, "a/B.JPG", "image/jpeg"), (X.json_object, "x ```json {\"a\": {}} ```", '{"a": {}}'), (X.json_object, "} {", None),
+])
+def test_expressions(spark, expr, given, want):
+    assert one(spark, given, expr) == want
+
+
+def test_comparison_keys(spark):
+    assert one(spark, "(x7)Ø1.02", X.comparison_keys) == ["(x7)Ø1.02", "(x7)1.02", "Ø1.02", "1.02"]
+    assert one(spark, "Ø", X.comparison_keys) == ["Ø"]
+
+
+def model_positions(length, tile, overlap, least):
+    if length <= tile:
+        return [0]
+    out, at, step = [], 0, max(1, tile - overlap)
+    while length - at > tile:
+        out.append(at)
+        at += step
+    return [*out, at if length - at >= least else length - tile]
+
+
+def test_tiles(spark):
+    lengths = [1, 1024, 1025, 1200, 1754, 1792, 2481, 3508, 4961, 10000]
+    df = spark.createDataFrame([(n,) for n in lengths], "n int")
+    for tile, overlap, least in ((1024, 256, 384), (100, 100, 10), (64, 0, 64)):
+        got = {r.n: r.p for r in df.select("n", X.axis_positions(F.col("n"), tile, overlap, least).alias("p")).collect()}
+        assert got == {n: model_positions(n, tile, overlap, least) for n in lengths}
+    pages = spark.createDataFrame([("f", 1, 2481, 1754), ("f", 2, 1200, 800), ("g", 1, 4961, 3508), ("g", 2, 0, 5), ("g", 3, None, None)], "file string, page int, width int, height int")
+    rows = tiles.tiles(pages, ["file"]).orderBy("file", "page", "ordinal").collect()
+    assert [sum((r.file, r.page) == k for r in rows) for k in (("f", 1), ("f", 2), ("g", 1), ("g", 2))] == [6, 2, 35, 0]
+    last = [r for r in rows if (r.file, r.page) == ("f", 1)][-1]
+    assert (last.x + last.width, last.y + last.height) == (2481, 1754) and last.tile_id == "page_001_tile_006"
+    assert tiles.full_page_regions(pages, ["file"]).filter("w IS NULL").count() == 1
+
+
+def test_boxes(spark):
+    c = lambda *v: [F.lit(x) for x in v]
+    got = spark.range(1).select(X.crop_box(*c(5, 5, 20, 10), *c(500, 300)).alias("a"), X.crop_box(*c(5, 5, 0, 10), *c(500, 300)).alias("b")).first()
+    assert tuple(got.a) == (0, 0, 384, 300) and got.b is None
+    p = one(spark, [[10.2, 20.4], [30.9, 20.0], [31.5, 40.8], [9.7, 41.2]], X.polygon_box, "array<array<double>>")
+    assert tuple(p) == (9, 20, 22, 21)
+
+
+RESPONSE = {
+    "brand_name": " ACME ", "product_name": "widget42.v1", "size": "", "scale": "A3", "revision": "null", "surprise": 1,
+    "dimensions": [{"raw_text": "#5", "value": 5, "unit": "Millimeters", "type": "hole diameter", "label": "#5", "quantity": 4}, "bad", {"type": "made up"}],
+    "tables": [{"type": "pinout_table", "columns": ["Pin", "Signal"], "rows": [{"values": [1, "VCC"]}, {"label": "2", "cells": [{"column": "Pin", "value": "2"}, {"column": "Signal", "value": "GND"}]}]}],
+    "schematics": [{"title": "S", "components": ["R1", None, 3], "parameters": [{"label": "V", "value": "5"}, 7]}], "notes": [{"a": 1}, "n"], "tolerances": {},
+}
+
+
+def test_products(spark):
+    rows = [("acme_widget42.pdf", "```json\n" + json.dumps(RESPONSE) + "\n```"), ("b.pdf", "no json"), ("c.pdf", None), ("d.pdf", '{"warnings": ["w"], "notes": "x"}')]
+    got = {r.source_file: r for r in parse.products(spark.createDataFrame(rows, "file_name string, raw_response string")).collect()}
+    a = got["acme_widget42.pdf"]
+    assert (a.brand_name, a.size, a.scale, a.revision) == ("ACME", "A3", None, None) and len(a.dimensions) == 2
+    d = a.dimensions[0]
+    assert (d.raw_text, d.value, d.unit, d.type, d.quantity, d.label) == ("#5", "5", "mm", "diameter", "4", None)
+    t = a.tables[0]
+    assert t.columns == ["Pin", "Signal"] and [[c.value for c in r.cells] for r in t.rows] == [["1", "VCC"], ["2", "GND"]] and t.rows[1].label is None
+    assert a.schematics[0].components == ["R1"] and len(a.schematics[0].parameters) == 1 and json.loads(a.notes) == [{"a": 1}, "n"] and a.tolerances == "[]"
+    assert a.warnings == [
+        "Semantic extraction is not implemented yet.", "Moved sheet size value from `scale` to `size`.", "`product_name` may contain a source filename or file extension: `widget42.v1`.",
+        "`tolerances` was not a list and was reset.", "Suspicious diameter symbol in raw_text: `#5`.", "Dimension 2 was not an object and was skipped.",
+        "Dimension 3 type `made up` is not allowed and was set to unknown.", "schematics item 1 parameter 2 was not an object and was skipped.",
+    ]
+    assert got["b.pdf"].status == got["c.pdf"].status == "validation_failed" and got["b.pdf"].dimensions == []
+    assert got["d.pdf"].warnings == ["w", "`notes` was not a list and was reset."]
+
+
+def test_refinements(spark):
+    good = {"classification": "Dimension", "confidence": True, "local_context": "Title block", "dimension": {"raw_text": "5"}, "metadata": None, "is_product_dimension": True, "ocr_text_supported": "yes"}
+    rows = [("t1", json.dumps(good)), ("t2", "{}"), ("t3", "oops"), ("t4", '{"classification": "x", "confidence": 0.5, "dimension": 3, "local_context": "moon"}')]
+    got = {r.target_id: r for r in parse.refinements(spark.createDataFrame(rows, "target_id string, raw_response string")).collect()}
+    assert (got["t1"].classification, got["t1"].confidence, got["t1"].local_context, got["t1"].dimension.raw_text, got["t1"].ocr_text_supported) == ("dimension", 1.0, "title_block", "5", None) and not got["t1"].warnings
+    assert got["t2"].classification == "uncertain" and len(got["t2"].warnings) == 2 and len(got["t3"].warnings) == 1 and len(got["t4"].warnings) == 3
+
+
+def candidates(spark, rows):
+    df = spark.createDataFrame(rows, "candidate_id string, page int, raw_text string, value string, type string, label string, quantity string, x int, y int, width int, height int")
+    return evidence.dedupe_keys(df.withColumn("f", F.lit(1)))
+
+
+def test_duplicates_and_support(spark):
+    c = candidates(spark, [(f"t{i}", 1, v, v, "diameter", "PAD DIAMETER", "1", x, 0, 1024, 1024) for i, (v, x) in enumerate([("1,83", 0), ("1.83", 768), ("1.83", 2200)])])
+    g = evidence.duplicate_groups(c, ["f"]).collect()
+    assert [(r.members, r.score, r.classification) for r in g] == [(2, 90, "strong_duplicate")]
+    full = candidates(spark, [("p1", 1, "1.83", "1.83", "diameter", None, None, 0, 0, 1, 1), ("p2", 1, "1.83", "1.83", "diameter", "other", None, 0, 0, 1, 1)])
+    assert [(r.matches, r.status) for r in evidence.support(c, full, ["f"]).collect()] == [(1, "full_page_supported")] * 3
+    touching = candidates(spark, [("a", 1, "2", "2", None, None, None, 0, 0, 10, 10), ("b", 1, "2", "2", None, None, None, 10, 0, 10, 10)])
+    assert evidence.duplicate_groups(touching, ["f"]).count() == 0
+
+
+def test_registry(spark):
+    files_ = spark.createDataFrame([("b/X", "1"), ("a/x", "1"), ("c", "2"), ("d", "3")], "path string, fingerprint string")
+    log = spark.createDataFrame([(1, "2", "completed", "r1"), (2, "3", "failed", None), (3, "2", "completed", "r2")], "seq long, fingerprint string, status string, result_path string")
+    assert sorted(r.path for r in registry.to_process(files_, log).collect()) == ["a/x", "d"]
+    assert registry.to_process(files_, log, force=True).count() == 4
+    assert [r.result_path for r in registry.latest_completed(log).collect()] == ["r2"]
+    assert tuple(registry.status_counts(log).first()) == (3, 2, 1)
+
+
+def test_safe_merges(spark):
+    products = spark.createDataFrame([("f", "scale", "2.1"), ("f", "sheet", None), ("g", "scale", "1:1"), ("h", "scale", None)], "file string, field string, value string")
+    rows = [("f", 1, "scale", "2:1", "2:1", 0.95, True, "title_block"), ("f", 2, "sheet", "006", "006", 0.95, True, "unknown"), ("g", 1, "scale", "2:1", "2:1", 0.99, True, "title_block"), ("h", 1, "scale", "2.1", "2.1", 0.9, True, "title_block"), ("h", 2, "scale", "2:1", "2:1", 0.9, True, "title_block")]
+    refs = spark.createDataFrame(rows, "file string, ord int, field string, value string, visual string, confidence double, supported boolean, context string")
+    assert sorted((r.file, r.value) for r in review.safe_merges(products, refs, "file").collect()) == [("f", "2:1"), ("h", "2:1")]
+
+
+def test_files_and_json(spark, tmp_path):
+    import struct
+
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 4961, 3508)
+    jpg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08" + struct.pack(">HH", 30, 40) + b"\0" * 6
+    (tmp_path / "sub").mkdir()
+    for name, data in (("a.PNG", png), ("sub/b.jpg", jpg), ("c.jpg", b"\xff\xd8\xff\xd9"), ("d.txt", b"x"), ("e.pdf", b"%PDF")):
+        (tmp_path / name).write_bytes(data)
+    got = {r.filename: r for r in files.discover(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a.PNG", "b.jpg", "c.jpg", "e.pdf"} and tuple(got["a.PNG"].image) == (4961, 3508) and tuple(got["b.jpg"].image) == (40, 30) and got["c.jpg"].image is None
+    assert got["e.pdf"].fingerprint.startswith("sha256:")
+    data = {"t": "°C", "rows": [["x" * 150, 1], ["y" * 500]], "e": {}, "n": None}
+    text = one(spark, json.dumps(data), json_text.compact_json)
+    assert json.loads(text) == data and "°C" in text and text.endswith("}\n") and f'["{"x" * 150}", 1]' in text
+
+
+def test_providers(spark):
+    def ask(prompt, image):
+        if prompt == "boom":
+            raise OSError("down")
+        return (prompt.upper() if image else None), False
+
+    rows = [("1", "hi", b"x"), ("2", "boom", b"x"), ("3", "none", b"")]
+    got = {r.request_id: r for r in providers.respond(spark.createDataFrame(rows, "request_id string, prompt string, image binary"), ask).collect()}
+    assert got["1"].raw_response == "HI" and got["2"].error == "OSError: down" and got["3"].status == "failed"
+
+
+def test_incremental_stream(spark, tmp_path):
+    from sheetlake.streaming import incremental
+
+    source, reg = tmp_path / "in", str(tmp_path / "registry")
+    for n, rows in enumerate([[("a", "1"), ("b", "1")], [("c", "2"), ("d", "1")]]):
+        spark.createDataFrame(rows, "path string, fingerprint string").coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema("path string, fingerprint string").parquet(str(source))
+        q = incremental.process_batches(stream, reg, lambda df: df.withColumn("status", F.lit("completed")), str(tmp_path / "cp"))
+        q.awaitTermination(60)
+    assert sorted((r.path, r.fingerprint) for r in spark.read.parquet(reg).collect()) == [("a", "1"), ("c", "2")]
