@@ -1,7 +1,422 @@
-"""The queries of the engine over the driver's tables, each with its SQL."""
+"""The engine's operators as queries over the driver's tables, each with its SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+from ..operators import evidence, registry, review, tiles
+from ..sources import files, json_text
+
 FLAGSHIP = "q01_evidence_candidates"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, d: f(lambda t: spark.read.parquet(f"{d}/{t}.parquet"))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+    return add
+
+
+# Pieces of SQL
+def s_in(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def s_case(key: str, table: dict[str, tuple[str, ...]]) -> str:
+    return "CASE " + " ".join(f"WHEN {key} IN ({s_in(aliases)}) THEN '{name}'" for name, aliases in table.items()) + " END"
+
+
+S_TOKENS = "(SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS token FROM documents)"
+S_NUMERIC = "NOT regexp_matches(token, '[a-wyzA-WYZ]') AND regexp_matches(token, '\\d')"
+S_OCR = "regexp_replace(translate(lower(trim({0})), 'ø#,', 'ØØ.'), '\\s+', '', 'g')"
+S_CLASS = "CASE WHEN contains({0}, ':') THEN 'ratio_or_scale' WHEN regexp_matches({0}, '[øØ#]') THEN 'diameter_candidate' WHEN regexp_matches({0}, '(?i)\\(?x\\d+\\)?') THEN 'quantity_candidate' ELSE 'numeric_candidate' END"
+S_KEYS = (
+    "list_distinct(list_concat([{0}], list_filter([regexp_replace({0}, '[øØ#]', '', 'g'), regexp_replace({0}, '(?i)^\\(?x\\d+\\)?', ''),"
+    " regexp_replace(regexp_replace({0}, '[øØ#]', '', 'g'), '(?i)^\\(?x\\d+\\)?', '')], lambda k: k <> '')))"
+)
+S_SQUEEZE = "regexp_replace(regexp_replace({0}, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')"
+
+
+def tokens(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", F.explode(F.split("text", r"\s+")).alias("token"))
+
+
+def numeric_tokens(documents: DataFrame) -> DataFrame:
+    return tokens(documents).filter(X.is_numeric_candidate(F.col("token")))
+
+
+@query(f"""
+    WITH c AS (SELECT {S_OCR.format('token')} AS t, {S_CLASS.format('token')} AS classification, count(*) AS n FROM {S_TOKENS} WHERE {S_NUMERIC} GROUP BY ALL),
+    b AS (SELECT DISTINCT unnest({S_KEYS.format('t')}) AS k FROM (SELECT {S_OCR.format('x')} AS t FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS x FROM benchmark))),
+    s AS (SELECT c.t, c.classification, c.n, max(b.k IS NOT NULL) AS found FROM (SELECT *, unnest({S_KEYS.format('t')}) AS k FROM c) c LEFT JOIN b ON b.k = c.k GROUP BY ALL)
+    SELECT classification, CASE WHEN found THEN 'supported' ELSE 'not_found_in_full_page' END AS full_page_status, count(*) AS candidates, CAST(sum(n) AS BIGINT) AS occurrences FROM s GROUP BY ALL
+""")
+def q01_evidence_candidates(t):
+    """Read numbers by class, and whether any of their forms stands in the full-page text. Equal tokens are counted before the join."""
+    c = numeric_tokens(t("documents")).groupBy(X.ocr_text(F.col("token")).alias("t"), X.ocr_class(F.col("token")).alias("classification")).agg(F.count("*").alias("n"))
+    b = t("benchmark").select(F.explode(F.split("text", r"\s+")).alias("x")).select(F.explode(X.comparison_keys(X.ocr_text(F.col("x")))).alias("k")).distinct().withColumn("hit", F.lit(True))
+    s = c.withColumn("k", F.explode(X.comparison_keys(F.col("t")))).join(b, "k", "left").groupBy("t", "classification", "n").agg(F.max(F.col("hit").isNotNull()).alias("found"))
+    return s.groupBy("classification", F.when(F.col("found"), "supported").otherwise("not_found_in_full_page").alias("full_page_status")).agg(F.count("*").alias("candidates"), F.sum("n").alias("occurrences"))
+
+
+@query("SELECT doc_id, 'sha256:' || sha256(text) AS fingerprint FROM documents")
+def q02_fingerprint(t):
+    return t("documents").select("doc_id", X.fingerprint(F.col("text")).alias("fingerprint"))
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS fingerprint FROM documents GROUP BY 2")
+def q03_skip_completed(t):
+    return t("documents").groupBy(F.sha2("text", 256).alias("fingerprint")).agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("SELECT o_custkey AS fingerprint, max_by(o_orderkey, {'d': o_orderdate, 'k': o_orderkey}) AS o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+def q04_latest_completed(t):
+    log = t("orders").select(F.col("o_custkey").alias("fingerprint"), "o_orderkey", F.when(F.col("o_orderstatus") == "F", "completed").otherwise("failed").alias("status"), F.struct("o_orderdate", "o_orderkey").alias("seq"))
+    return registry.latest_completed(log).select("fingerprint", "o_orderkey")
+
+
+@query("SELECT count(*) AS entries, count(*) FILTER (o_orderstatus = 'F') AS completed, count(*) FILTER (o_orderstatus = 'P') AS failed FROM orders")
+def q05_status_counts(t):
+    return registry.status_counts(t("orders").select(F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").alias("status")))
+
+
+@query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def q06_anti_registry(t):
+    return t("documents").select("doc_id", "lang").join(t("labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT page_id, coalesce(lower(regexp_extract(url, '\\.([^./]+)$', 1)) IN ('pdf', 'png', 'jpg', 'jpeg', 'tif', 'tiff'), false) AS supported, lower(regexp_extract(url, '\\.([^./]+)$', 1)) AS extension FROM pages")
+def q07_supported_ext(t):
+    return t("pages").select("page_id", X.is_supported(F.col("url")).alias("supported"), X.extension(F.col("url")).alias("extension"))
+
+
+S_POS = "CASE WHEN {0} <= 1024 THEN [0] ELSE list_concat(range(0, CAST(ceil(({0} - 1024) / 768.0) AS INT) * 768, 768), [CASE WHEN {0} - CAST(ceil(({0} - 1024) / 768.0) AS INT) * 768 >= 384 THEN CAST(ceil(({0} - 1024) / 768.0) AS INT) * 768 ELSE {0} - 1024 END]) END"
+
+
+@query(f"SELECT p_partkey, CAST(unnest({S_POS.format('(p_size * 97)')}) AS INTEGER) AS x FROM part")
+def q08_tile_positions(t):
+    return t("part").select("p_partkey", F.explode(X.axis_positions(F.col("p_size") * 97)).alias("x"))
+
+
+S_TILES = f"""
+    WITH p AS (SELECT p_partkey, p_size * 97 AS w, CAST(floor(p_retailprice) AS INT) % 3000 + 1 AS h FROM part),
+    r AS (SELECT *, unnest({S_POS.format('h')}) AS y FROM p), c AS (SELECT *, unnest({S_POS.format('w')}) AS x FROM r),
+    o AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY y, x) AS ordinal FROM c)
+    SELECT p_partkey, printf('page_%03d_tile_%03d', 1, ordinal) AS tile_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y,
+        CAST(least(1024, w - x) AS INTEGER) AS width, CAST(least(1024, h - y) AS INTEGER) AS height FROM o
+"""
+
+
+def _sized(t) -> DataFrame:
+    return t("part").select("p_partkey", F.lit(1).alias("page"), (F.col("p_size") * 97).alias("width"), (F.floor("p_retailprice").cast("int") % 3000 + 1).alias("height"))
+
+
+@query(S_TILES)
+def q09_tile_boxes(t):
+    return tiles.tiles(_sized(t), ["p_partkey"]).drop("page")
+
+
+@query("SELECT p_partkey, 'page_001_region_001' AS region_id, 'full_page' AS type, 1 AS page, CASE WHEN p_size % 5 > 0 THEN 0 ELSE -1 END AS x, CASE WHEN p_size % 5 > 0 THEN 0 ELSE -1 END AS y, CASE WHEN p_size % 5 > 0 THEN p_size ELSE -1 END AS w, CASE WHEN p_size % 5 > 0 THEN p_size ELSE -1 END AS h, CAST(1 AS DOUBLE) AS confidence FROM part")
+def q11_full_page_region(t):
+    size = F.when(F.col("p_size") % 5 > 0, F.col("p_size"))
+    regions = tiles.full_page_regions(t("part").select("p_partkey", F.lit(1).alias("page"), size.alias("width"), size.alias("height")), ["p_partkey"])
+    return regions.fillna(-1, ["x", "y", "w", "h"])  # the SQL says -1 for an unknown box
+
+
+def _s_side(start: str, size: str, limit: str) -> str:
+    wide = f"least(least(greatest({size} + 320, 384), 1024), {limit})"
+    return f"CAST(greatest(0, least(round_even({start} + {size} / 2.0 - {wide} / 2.0, 0), {limit} - {wide})) AS INTEGER)"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_s_side('x', 'w', '3000')} AS cx, {_s_side('y', 'h', '2000')} AS cy, least(greatest(w + 320, 384), 1024) AS cw, least(greatest(h + 320, 384), 1024) AS ch FROM (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 2900 AS INT) AS x, CAST(l_suppkey % 1900 AS INT) AS y, CAST(l_quantity * 7 AS INT) AS w, CAST(l_quantity AS INT) * 3 AS h FROM lineitem)")
+def q12_target_crop_box(t):
+    box = X.crop_box((F.col("l_partkey") % 2900).cast("int"), (F.col("l_suppkey") % 1900).cast("int"), (F.col("l_quantity") * 7).cast("int"), F.col("l_quantity").cast("int") * 3, F.lit(3000), F.lit(2000))
+    return t("lineitem").select("l_orderkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_linenumber", F.col("b.x").alias("cx"), F.col("b.y").alias("cy"), F.col("b.width").alias("cw"), F.col("b.height").alias("ch"))
+
+
+@query("SELECT event_id, CAST(trunc(least(value, value * 1.5)) AS INTEGER) AS x, CAST(trunc(least(value / 2, value / 3)) AS INTEGER) AS y, CAST(greatest(0, trunc(greatest(value, value * 1.5)) - trunc(least(value, value * 1.5))) AS INTEGER) AS width, CAST(greatest(0, trunc(greatest(value / 2, value / 3)) - trunc(least(value / 2, value / 3))) AS INTEGER) AS height FROM events")
+def q13_polygon_box(t):
+    v = F.col("value")
+    points = F.array(F.array(v, v / 2), F.array(v * 1.5, v / 2), F.array(v * 1.5, v / 3), F.array(v, v / 3))
+    return t("events").select("event_id", X.polygon_box(points).alias("b")).select("event_id", "b.*")
+
+
+@query(f"SELECT doc_id, token, {S_OCR.format('token')} AS normalized_text, {S_CLASS.format('token')} AS classification, count(*) AS n FROM {S_TOKENS} WHERE {S_NUMERIC} GROUP BY ALL")
+def q14_numeric_candidates(t):
+    return numeric_tokens(t("documents")).groupBy("doc_id", "token", X.ocr_text(F.col("token")).alias("normalized_text"), X.ocr_class(F.col("token")).alias("classification")).agg(F.count("*").alias("n"))
+
+
+S_PATTERN = "(?i)(?:\\(?x\\d+\\)?\\s*)?(?:[øØ#]\\s*)?\\d+(?:[,.]\\d+)?(?::\\d+(?:[,.]\\d+)?)?"
+
+
+@query(f"SELECT doc_id, unnest(regexp_extract_all(text, '{S_PATTERN}')) AS number FROM documents")
+def q15_numeric_patterns(t):
+    return t("documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(S_PATTERN), F.lit(0))).alias("number"))
+
+
+@query(f"SELECT doc_id, token, unnest({S_KEYS.format('t')}) AS key FROM (SELECT *, {S_OCR.format('token')} AS t FROM {S_TOKENS} WHERE {S_NUMERIC})")
+def q18_comparison_keys(t):
+    return numeric_tokens(t("documents")).select("doc_id", "token", F.explode(X.comparison_keys(X.ocr_text(F.col("token")))).alias("key"))
+
+
+@query(f"""SELECT event_id, {S_CLASS.format('token')} AS classification FROM (SELECT event_id, CAST(user_id AS VARCHAR) AS token, value / 100 AS confidence FROM events)
+    WHERE confidence >= 0.75 AND NOT regexp_matches({S_OCR.format('token')}, '^\\d$')""")
+def q20_select_targets(t):
+    e = t("events").select("event_id", F.col("user_id").cast("string").alias("token"), (F.col("value") / 100).alias("confidence"))
+    return e.filter((F.col("confidence") >= 0.75) & ~X.is_weak(X.ocr_text(F.col("token")))).select("event_id", X.ocr_class(F.col("token")).alias("classification"))
+
+
+@query("SELECT p_partkey, CASE WHEN lower(v) NOT IN ('', 'null', 'none', 'n/a', 'na', '-') THEN v END AS value FROM (SELECT p_partkey, regexp_replace(CASE p_size % 7 WHEN 0 THEN ' N/A ' WHEN 1 THEN '' WHEN 2 THEN 'Null' WHEN 3 THEN chr(9) || p_type || ' ' ELSE p_type END, '^\\s+|\\s+$', '', 'g') AS v FROM part)")
+def q21_clean_scalar(t):
+    m = F.col("p_size") % 7
+    raw = F.when(m == 0, " N/A ").when(m == 1, "").when(m == 2, "Null").when(m == 3, F.concat(F.lit("\t"), "p_type", F.lit(" "))).otherwise(F.col("p_type"))
+    return t("part").select("p_partkey", X.clean_scalar(raw).alias("value"))
+
+
+S_UNIT = "array_extract(['Millimeters', 'deg.', 'inch', 'VOLTS', 'Hertz', 'percent', 'celsius', 'furlong'], CAST(p_partkey % 8 AS INT) + 1)"
+_UNIT = ("Millimeters", "deg.", "inch", "VOLTS", "Hertz", "percent", "celsius", "furlong")
+
+
+@query(f"SELECT unit, count(*) AS n FROM (SELECT coalesce({s_case('k', X.UNITS)}, u) AS unit FROM (SELECT {S_UNIT} AS u, replace(lower({S_UNIT}), '.', '') AS k FROM part)) GROUP BY 1")
+def q22_unit_alias(t):
+    u = F.get(F.array(*map(F.lit, _UNIT)), (F.col("p_partkey") % 8).cast("int"))
+    return t("part").groupBy(X.unit(u).alias("unit")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, CASE WHEN k IN ('hole_diameter', 'pad_diameter', 'dia', 'diam') THEN 'diameter' WHEN k = 'pitch' THEN 'pattern' WHEN k IN ('linear', 'diameter', 'radius', 'angle', 'thread', 'pattern') THEN k ELSE 'unknown' END AS type FROM (SELECT p_partkey, replace(lower(array_extract(['Hole Diameter', 'Pitch', 'RADIUS', ' dia ', 'thread', 'weird'], CAST(p_size % 6 AS INT) + 1).trim()), ' ', '_') AS k FROM part)")
+def q23_dimension_type(t):
+    raw = F.get(F.array(*map(F.lit, ("Hole Diameter", "Pitch", "RADIUS", " dia ", "thread", "weird"))), F.col("p_size") % 6)
+    return t("part").select("p_partkey", X.dimension_type(raw).alias("type"))
+
+
+@query("SELECT c_custkey, CASE WHEN m THEN scale ELSE size END AS size, CASE WHEN NOT m THEN scale END AS scale FROM (SELECT *, size IS NULL AND upper(scale) IN ('A0', 'A1', 'A2', 'A3', 'A4', 'A5') AS m FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'A4' END AS size, CASE WHEN c_nationkey % 2 = 0 THEN 'a' || (c_custkey % 8) ELSE '1:' || c_nationkey END AS scale FROM customer))")
+def q24_size_scale_fix(t):
+    c = t("customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "A4").alias("size"), F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("a"), (F.col("c_custkey") % 8).cast("string"))).otherwise(F.concat(F.lit("1:"), F.col("c_nationkey").cast("string"))).alias("scale"))
+    moved = F.col("size").isNull() & X.is_sheet_size(F.col("scale"))
+    return c.select("c_custkey", F.when(moved, F.col("scale")).otherwise(F.col("size")).alias("size"), F.when(~moved, F.col("scale")).alias("scale"))
+
+
+@query("SELECT page_id, contains(regexp_extract(url, '([^/]*)$', 1), '.') AS filename_like FROM pages")
+def q25_filename_warning(t):
+    return t("pages").select("page_id", F.regexp_extract("url", "([^/]*)$", 1).contains(".").alias("filename_like"))
+
+
+@query("SELECT event_id, md5(props) AS body_md5, json_valid(props) AS valid FROM events")
+def q26_json_extract(t):
+    body = X.json_object(F.concat(F.lit("Answer:\n```json\n"), "props", F.lit("\n```\nDone")))
+    return t("events").select("event_id", F.md5(body).alias("body_md5"), F.try_parse_json(body).isNotNull().alias("valid"))
+
+
+@query("SELECT event_id % 3 = 0 AS broken, CASE WHEN event_id % 3 = 0 THEN 'validation_failed' ELSE 'completed' END AS status, count(*) AS n FROM events GROUP BY ALL")
+def q27_json_permissive(t):
+    body = F.when(F.col("event_id") % 3 == 0, F.substring("props", 2, 1000)).otherwise(F.col("props"))
+    ok = F.try_parse_json(X.json_object(body)).isNotNull()
+    return t("events").groupBy((F.col("event_id") % 3 == 0).alias("broken"), F.when(ok, "completed").otherwise("validation_failed").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, unnest(['quantity', 'flag', NULL]) AS col, unnest([CAST(CAST(l_quantity AS INT) AS VARCHAR), l_returnflag, l_linestatus]) AS val FROM lineitem")
+def q28_table_cells(t):
+    names, values = F.array(F.lit("quantity"), F.lit("flag")), F.array(F.col("l_quantity").cast("int").cast("string"), "l_returnflag", "l_linestatus")
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.posexplode(values).alias("i", "val"), names.alias("n")).select("l_orderkey", "l_linenumber", F.get("n", F.col("i")).alias("col"), "val")
+
+
+@query("SELECT l_orderkey, count(*) >= 2 AND count(DISTINCT l_returnflag || l_linestatus) = 1 AS uniform FROM lineitem GROUP BY 1")
+def q29_collapse_uniform(t):
+    head = F.concat("l_returnflag", "l_linestatus")
+    return t("lineitem").groupBy("l_orderkey").agg(((F.count("*") >= 2) & (F.min(head) == F.max(head))).alias("uniform"))
+
+
+@query("SELECT p_partkey, regexp_extract(p_name, '(\\S+)$', 1) AS last_word, coalesce(ends_with(lower(p_name), lower(regexp_extract(p_name, '(\\S+)$', 1))) AND contains(lower(p_type), trim(lower(regexp_replace(p_name, '\\S+$', '')))), false) AS redundant FROM part")
+def q30_label_redundant(t):
+    from ..operators import parse
+
+    word = F.regexp_extract("p_name", r"(\S+)$", 1)
+    cells = F.array(F.struct(F.col("p_type").alias("column"), word.alias("value")))
+    return t("part").select("p_partkey", word.alias("last_word"), parse.redundant(F.col("p_name"), cells).alias("redundant"))
+
+
+def _candidates(t) -> DataFrame:
+    """Parts as dimension candidates: a thousand pages, boxes that overlap by chance."""
+    k = F.col("p_partkey")
+    return evidence.dedupe_keys(t("part").select(
+        F.format_string("c%09d", k).alias("candidate_id"), F.lit(1).alias("f"), (k % 5).cast("int").alias("page"),
+        F.when(F.col("p_size") % 4 == 0, "").otherwise(F.concat((F.col("p_size") % 6).cast("string"), F.lit(",5"))).alias("value"), F.concat((F.col("p_size") % 6).cast("string"), F.when(k % 2 == 0, ".5").otherwise(",5")).alias("raw_text"),
+        F.when(k % 3 == 0, F.lit(None)).otherwise(F.lit("Linear")).alias("type"), F.when(k % 4 == 0, F.lit(None)).otherwise(F.lit("PAD  A")).alias("label"), F.when(k % 7 < 4, F.lit(None)).otherwise((k % 2).cast("string")).alias("quantity"),
+        (F.floor("p_retailprice").cast("int") * 37 % 9000).alias("x"), (k % 97 * 61).cast("int").alias("y"), F.lit(700).alias("width"), F.lit(500).alias("height"),
+    ))
+
+
+S_CANDIDATES = """
+    c AS (SELECT printf('c%09d', p_partkey) AS candidate_id, CAST(p_partkey % 5 AS INT) AS k_page, replace(CASE WHEN p_size % 4 = 0 THEN (p_size % 6) || CASE WHEN p_partkey % 2 = 0 THEN '.5' ELSE ',5' END ELSE (p_size % 6) || ',5' END, ',', '.') AS k_value,
+        CASE WHEN p_partkey % 3 = 0 THEN 'unknown' ELSE 'linear' END AS k_type, CASE WHEN p_partkey % 4 > 0 THEN 'pad a' END AS k_label, CASE WHEN p_partkey % 7 >= 4 THEN CAST(p_partkey % 2 AS VARCHAR) END AS k_quantity,
+        replace((p_size % 6) || CASE WHEN p_partkey % 2 = 0 THEN '.5' ELSE ',5' END, ',', '.') AS raw, CAST(floor(p_retailprice) AS INT) * 37 % 9000 AS x, CAST(p_partkey % 97 * 61 AS INT) AS y FROM part),
+    m AS (SELECT * FROM c a WHERE EXISTS (SELECT 1 FROM c b WHERE a.candidate_id <> b.candidate_id AND a.k_page = b.k_page AND a.k_value = b.k_value AND a.k_type = b.k_type AND a.k_label IS NOT DISTINCT FROM b.k_label
+        AND a.k_quantity IS NOT DISTINCT FROM b.k_quantity AND abs(a.x - b.x) < 700 AND abs(a.y - b.y) < 500)),
+    g AS (SELECT k_page, k_value, k_type, k_label, k_quantity, count(*) AS members, count(DISTINCT raw) AS raws, min(candidate_id) AS first_id FROM m GROUP BY ALL HAVING count(*) >= 2),
+    d AS (SELECT *, CAST(40 + CASE WHEN k_label IS NULL THEN -15 ELSE 20 END + CASE WHEN k_quantity IS NULL THEN 0 ELSE 15 END + CASE WHEN raws = 1 THEN 15 ELSE 0 END + CASE WHEN members > 2 THEN 5 ELSE 0 END AS INTEGER) AS score FROM g)
+"""
+
+
+@query(f"WITH {S_CANDIDATES} SELECT candidate_id, k_page, k_value, k_type, k_label, k_quantity FROM c")
+def q31_dedupe_key(t):
+    return _candidates(t).select("candidate_id", "k_page", "k_value", "k_type", "k_label", "k_quantity")
+
+
+@query(f"WITH {S_CANDIDATES} SELECT k_page, k_value, k_type, k_label, k_quantity, members, first_id, score, CASE WHEN score >= 75 THEN 'strong_duplicate' ELSE 'weak_duplicate' END AS classification FROM d")
+def q32_duplicate_groups(t):
+    return evidence.duplicate_groups(_candidates(t), ["f"]).drop("f", "raws")
+
+
+@query(f"WITH {S_CANDIDATES} SELECT candidate_id FROM c WHERE candidate_id NOT IN (SELECT candidate_id FROM m)")
+def q34_unique_candidates(t):
+    c = _candidates(t)
+    return c.join(evidence.overlapping_members(c, ["f"]), "candidate_id", "left_anti").select("candidate_id")
+
+
+S_SUPPORT = """
+    f AS (SELECT CAST(1 AS INT) AS k_page, replace((s_suppkey % 6) || ',5', ',', '.') AS k_value, CASE WHEN s_nationkey % 2 = 0 THEN 'linear' ELSE 'unknown' END AS k_type, CASE WHEN s_nationkey % 3 = 0 THEN 'pad a' WHEN s_nationkey % 3 = 1 THEN 'other' END AS k_label,
+        CASE WHEN s_nationkey % 4 = 0 THEN '1' END AS k_quantity FROM supplier),
+    s AS (SELECT c.candidate_id, c.k_type, c.k_value, c.raw, c.k_label, (SELECT count(*) FROM f WHERE f.k_page = c.k_page AND f.k_value = c.k_value AND f.k_type = c.k_type AND (f.k_label IS NULL OR c.k_label IS NULL OR f.k_label = c.k_label)
+        AND (f.k_quantity IS NULL OR c.k_quantity IS NULL OR f.k_quantity = c.k_quantity)) AS matches FROM c)
+"""
+
+
+def _supported(t) -> DataFrame:
+    n = F.col("s_nationkey")
+    full = t("supplier").select(F.lit(1).alias("f"), F.lit(1).alias("page"), F.concat((F.col("s_suppkey") % 6).cast("string"), F.lit(",5")).alias("value"), F.lit(None).cast("string").alias("raw_text"), F.when(n % 2 == 0, "linear").alias("type"),
+        F.when(n % 3 == 0, "Pad A").when(n % 3 == 1, "other").alias("label"), F.when(n % 4 == 0, "1.0").alias("quantity"))
+    return evidence.support(_candidates(t), evidence.dedupe_keys(full), ["f"])
+
+
+@query(f"WITH {S_CANDIDATES}, {S_SUPPORT} SELECT candidate_id, CAST(matches AS BIGINT) AS matches, CASE WHEN matches > 0 THEN 'full_page_supported' ELSE 'tile_only' END AS status FROM s")
+def q35_support_split(t):
+    return _supported(t).select("candidate_id", "matches", "status")
+
+
+@query(f"WITH {S_CANDIDATES}, {S_SUPPORT} SELECT CASE WHEN k_label IS NULL AND raw = '1.5' THEN 'weak_tile_only' ELSE 'tile_only_candidate' END AS classification, count(*) AS n FROM s WHERE matches = 0 GROUP BY 1")
+def q36_tile_only_class(t):
+    raw = F.when(F.col("raw_text").isin("1.5", "1,5"), "1").otherwise(F.col("raw_text"))
+    return _supported(t).filter("status = 'tile_only'").groupBy(evidence.tile_only_class(F.col("value"), F.lower("type"), raw, F.col("label"), F.lit(None).cast("string")).alias("classification")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {S_CANDIDATES}, {S_SUPPORT} SELECT (SELECT count(*) FROM d) AS duplicate_groups, (SELECT count(*) FROM d WHERE score >= 75) AS strong, (SELECT count(*) FROM d WHERE score < 75) AS weak, (SELECT count(*) FROM s WHERE matches > 0) AS supported, (SELECT count(*) FROM s WHERE matches = 0) AS tile_only")
+def q37_review_summary(t):
+    one = lambda n, kind: F.count_if((F.col("part") == n) & (F.lit(True) if kind is None else F.col("kind") == kind))
+    parts = evidence.duplicate_groups(_candidates(t), ["f"]).select(F.lit("g").alias("part"), F.col("classification").alias("kind")).unionByName(_supported(t).select(F.lit("s").alias("part"), F.col("status").alias("kind")))
+    return parts.agg(one("g", None).alias("duplicate_groups"), one("g", "strong_duplicate").alias("strong"), one("g", "weak_duplicate").alias("weak"), one("s", "full_page_supported").alias("supported"), one("s", "tile_only").alias("tile_only"))
+
+
+@query("SELECT conv_id, count(*) FILTER (role = 'user') AS dimensions, count(*) FILTER (role = 'assistant') AS metadata, count(*) FILTER (role NOT IN ('user', 'assistant')) AS uncertain, count(*) FILTER (length(text) < 50) AS failed FROM conversations GROUP BY 1")
+def q38_refinement_summary(t):
+    r = F.col("role")
+    return t("conversations").groupBy("conv_id").agg(F.count_if(r == "user").alias("dimensions"), F.count_if(r == "assistant").alias("metadata"), F.count_if(~r.isin("user", "assistant")).alias("uncertain"), F.count_if(F.length("text") < 50).alias("failed"))
+
+
+@query("SELECT p_partkey, CASE WHEN k IN ('0.5', '1.5', '2.5') THEN 'dimensions' WHEN k IN ('2.5', '3.5') THEN 'dimension_tables' ELSE 'new' END AS coverage FROM (SELECT p_partkey, (p_size % 6) || '.5' AS k FROM part)")
+def q39_coverage(t):
+    held = lambda *v: F.array(*map(F.lit, v))
+    keys = X.comparison_keys(X.ocr_text(F.concat(F.lit("# "), (F.col("p_size") % 6).cast("string"), F.lit(",5"))))
+    return t("part").select("p_partkey", review.coverage(keys, held("0.5", "1.5", "2.5"), held("2.5", "3.5")).alias("coverage"))
+
+
+@query("SELECT c_custkey, CASE WHEN n_name IS NULL OR c_custkey % 11 = 0 THEN 'missing_in_product' WHEN c_custkey % 2 = 0 THEN 'supported' ELSE 'conflict' END AS status FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
+def q40_metadata_review(t):
+    j = t("customer").join(F.broadcast(t("nation")), F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    read = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" "), F.lower("n_name"), F.lit(" "))).otherwise(F.concat(F.coalesce("n_name", F.lit("")), F.lit("x")))
+    return j.select("c_custkey", review.metadata_status(F.coalesce(read, F.lit("x")), F.when(F.col("c_custkey") % 11 != 0, F.col("n_name"))).alias("status"))
+
+
+S_FIELD = "array_extract(['Rev. Date', 'SHEET_NO', 'Drawing Scale', 'Manufacturer', 'product name', 'size', 'Rev'], CAST(o_custkey % 7 AS INT) + 1)"
+
+
+@query(f"SELECT o_orderpriority, {s_case('k', X.FIELDS)} AS field, count(*) AS n FROM (SELECT o_orderpriority, replace(replace(lower({S_FIELD}), '.', ''), '_', ' ') AS k FROM orders) GROUP BY ALL")
+def q41_metadata_alias(t):
+    raw = F.get(F.array(*map(F.lit, ("Rev. Date", "SHEET_NO", "Drawing Scale", "Manufacturer", "product name", "size", "Rev"))), (F.col("o_custkey") % 7).cast("int"))
+    return t("orders").groupBy("o_orderpriority", X.metadata_field(raw).alias("field")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN l_returnflag = 'R' THEN 'needs_review:text_conflict' WHEN l_linestatus = 'O' THEN 'needs_review:unsafe' WHEN l_quantity / 50 >= 0.85 THEN 'merge_ready:confident' ELSE 'needs_review:low_confidence' END AS decision, count(*) AS n FROM lineitem GROUP BY 1")
+def q42_review_routing(t):
+    clash = review.text_conflict(F.lit(None).cast("boolean"), F.col("l_returnflag"), F.when(F.col("l_returnflag") == "R", "X").otherwise(F.col("l_returnflag")))
+    type_ = F.when(F.col("l_linestatus") == "O", "pattern").otherwise("linear")
+    return t("lineitem").groupBy(review.route(clash, type_, F.lit("1"), F.lit("1"), F.col("l_quantity") / 50).alias("decision")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH f AS (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS value FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+    SELECT c_custkey, 'sheet' AS field, CAST(NULL AS VARCHAR) AS before, value FROM customer JOIN f ON o_custkey = c_custkey WHERE c_custkey % 2 = 0""")
+def q43_safe_merge(t):
+    products = t("customer").select("c_custkey", F.lit("sheet").alias("field"), F.when(F.col("c_custkey") % 2 == 1, F.col("c_mktsegment")).alias("value"))
+    refs = t("orders").select(F.col("o_custkey").alias("c_custkey"), F.lit("sheet").alias("field"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("value"), F.lower("o_orderpriority").alias("visual"), F.when(F.col("o_orderstatus") == "F", 0.95).otherwise(0.5).alias("confidence"), F.lit(True).alias("supported"), F.lit("title_block").alias("context"))
+    return review.safe_merges(products, refs, "c_custkey")
+
+
+@query("SELECT s_suppkey, s_suppkey % 3 = 0 AS mended FROM supplier")
+def q44_scale_fix(t):
+    k = F.col("s_nationkey").cast("string")
+    return t("supplier").select("s_suppkey", X.is_scale_correction(F.when(F.col("s_suppkey") % 3 == 1, F.concat(k, F.lit(":1"))).otherwise(F.concat(k, F.lit(".1"))), F.when(F.col("s_suppkey") % 3 == 2, F.concat(k, F.lit(":2"))).otherwise(F.concat(k, F.lit(":1")))).alias("mended"))
+
+
+S_SLUG = "list_filter(string_split(lower(regexp_replace(url, '[^\\p{L}\\p{N}]', '_', 'g')), '_'), lambda p: p <> '')"
+
+
+@query(f"SELECT page_id, array_to_string(p, '_') AS slug, array_to_string(CASE WHEN len(k) > 0 THEN k[1:2] ELSE p END, '_') AS output_slug FROM (SELECT page_id, {S_SLUG} AS p, list_filter({S_SLUG}, lambda p: p NOT IN ({s_in(X.SLUG_NOISE)}) AND NOT regexp_matches(p, '^\\d+$')) AS k FROM pages)")
+def q45_slug(t):
+    return t("pages").select("page_id", X.slug(F.col("url")).alias("slug"), X.output_slug(F.col("url")).alias("output_slug"))
+
+
+@query(f"SELECT doc_id, md5({S_SQUEEZE.format('lower(text)')}) AS key_md5 FROM documents")
+def q46_text_key(t):
+    return t("documents").select("doc_id", F.md5(X.text_key(F.col("text"))).alias("key_md5"))
+
+
+@query("SELECT c.conv_id, c.turn, c.role, length(f.text) AS first_length FROM conversations c JOIN conversations f ON f.conv_id = c.conv_id AND f.turn = 0")
+def q47_page_to_image(t):
+    first = t("conversations").filter("turn = 0").select("conv_id", F.length("text").cast("long").alias("first_length"))
+    return t("conversations").select("conv_id", "turn", "role").join(first, "conv_id")
+
+
+@query("SELECT p_partkey, md5(printf('Read the tile %s of page %d of %s.', 't' || p_partkey, p_size, p_name)) AS prompt_md5 FROM part")
+def q48_prompt_render(t):
+    return t("part").select("p_partkey", F.md5(F.format_string("Read the tile %s of page %d of %s.", F.concat(F.lit("t"), F.col("p_partkey").cast("string")), "p_size", "p_name")).alias("prompt_md5"))
+
+
+@query("SELECT event_type, CASE WHEN value < 10 THEN 'failed' WHEN length(props) > 30 THEN 'validation_failed' ELSE 'completed' END AS status, count(*) AS n FROM events GROUP BY ALL")
+def q49_extraction_status(t):
+    return t("events").groupBy("event_type", F.when(F.col("value") < 10, "failed").when(F.length("props") > 30, "validation_failed").otherwise("completed").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, CAST(sum(length(text)) AS BIGINT) AS chars, max(turn) AS last_turn FROM conversations GROUP BY 1")
+def q50_review_counts(t):
+    return t("conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_distinct("role").alias("roles"), F.sum(F.length("text")).alias("chars"), F.max("turn").alias("last_turn"))
+
+
+@query("SELECT p_partkey, p_size AS width, CAST(p_partkey % 65536 AS INTEGER) AS height FROM part")
+def q51_png_size(t):
+    word = lambda c: F.lpad(F.hex(c.cast("long")), 8, "0")
+    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), word(F.col("p_size")), word(F.col("p_partkey") % 65536)))
+    return t("part").select("p_partkey", X.png_size(png).alias("s")).select("p_partkey", "s.width", "s.height")
+
+
+@query()
+def q52_compact_json(t):
+    return t("events").select("event_id", json_text.compact_json(F.to_json(F.struct("event_id", "event_type", "value", "props"), {"ignoreNullFields": "false"})).alias("text"))
+
+
+@query("SELECT p_partkey, p_size AS width, CAST(p_partkey % 65536 AS INTEGER) AS height FROM part")
+def q53_jpeg_size(t):
+    half = lambda c: F.lpad(F.hex(c.cast("long")), 4, "0")
+    jpg = F.unhex(F.concat(F.lit("FFD8FFE000040000FFC0000B08"), half(F.col("p_partkey") % 65536), half(F.col("p_size")), F.lit("000000000000")))
+    return t("part").select("p_partkey", files.image_size(jpg).alias("s")).select("p_partkey", "s.width", "s.height")
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal FROM conversations")
+def q55_ordinals(t):
+    return t("conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("ordinal"))
