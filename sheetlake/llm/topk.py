@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PAGE = 64
+PAGE = 128
 
 
 class Node:
@@ -86,8 +86,16 @@ def search(root: Node, centre: np.ndarray, point: np.ndarray, score_of, ids: lis
         at = np.flatnonzero(near)
         if node.items is not None:
             scores = score_of(node.items[at])
-            order = sorted(range(len(at)), key=lambda j: (-scores[j], node.least[at[j]]))
-            for j in order:
+            ok = np.arange(len(at)) if len(best) < k else np.flatnonzero(scores >= best[0][0])
+            if not len(ok):
+                continue
+            least = node.least[at[ok]]
+            if scores.dtype == object:
+                order = ok[sorted(range(len(ok)), key=lambda j: (-scores[ok[j]], least[j]))]
+            else:
+                order = ok[np.lexsort((least, -scores[ok]))]
+            # every vector has an id besides the query's own but one at most
+            for j in order[: k + 1]:
                 s = int(scores[j])
                 if len(best) == k and s < best[0][0]:
                     break
