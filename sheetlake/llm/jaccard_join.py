@@ -55,8 +55,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """Parities of the numbers of tokens by a hash, in about eight times as many bits as tokens."""
-    bits = max(6, len(values).bit_length() + 2)
+    """Parities of the numbers of tokens by a hash, in two to four times as many bits as tokens."""
+    bits = max(6, len(values).bit_length() + 1)
     counts = np.bincount((mix(values, 303) & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
@@ -381,7 +381,7 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, most_ids: int) -> DataFr
     return sets.groupBy("cls").agg(F.first("tokens").alias("tokens"))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, frequent, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, frequent, percent: int, broadcast_pairs: int = 1_000_000) -> DataFrame:
     """The pairs (u, v) that pass every order's filter and reach the similarity."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -392,12 +392,14 @@ def verify(pairs: DataFrame, sets: DataFrame, frequent, percent: int) -> DataFra
                 ok.append(passes_orders(x, y, _levels(x, frequent.value), _levels(y, frequent.value), percent) and similar(x, y, percent))
             yield pdf.loc[ok, ["a", "b"]].rename(columns={"a": "u", "b": "v"})
 
-    first = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = first.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, "u long, v long")
+    # the pairs go to the sets while they are few, and only sets of a pair are then joined
+    near = small_side(pairs, broadcast_pairs)
+    left = sets.join(near, F.col("cls") == F.col("a")).select("a", "b", F.col("tokens").alias("ta"))
+    right = sets.join(near, F.col("cls") == F.col("b")).select("a", "b", F.col("tokens").alias("tb"))
+    return left.join(right, ["a", "b"]).select("a", "b", "ta", "tb").mapInPandas(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 75, local_repeats: int = 2, turns: int = 4, few_pairs: int = 100, most_frequent: int = 1_000_000, most_ids: int = 4_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = 75, local_repeats: int = 2, turns: int = 4, few_pairs: int = 100, most_frequent: int = 3_000_000, most_ids: int = 4_000_000) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_shingles, component_id, n_links.
 
     Needs ``doc_id`` and ``text``; other columns are ignored. Sets are of
