@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .memory import release
 from .shingles import class_id, mix, shingle_sets
 from .staging import small_side, stage
 
@@ -121,6 +122,8 @@ def describe(docs: DataFrame, local_repeats: int) -> tuple[DataFrame, DataFrame]
                 held, size = [], 0
         if held:
             yield frequent()
+        held.clear()
+        release()
 
     names = ["doc_id", "n", "cls", "bitmap", "is_token"]
     both = stage(docs.mapInArrow(run, "doc_id long, n long, cls long, bitmap binary, is_token boolean"), "join-sets")
@@ -175,6 +178,7 @@ def prefix_tokens(docs: DataFrame, frequent, percent: int) -> DataFrame:
                     parts, classes, sizes, held = [], [], [], 0
             if parts:
                 yield out()
+        release()
 
     return docs.mapInArrow(run, "token long, cls long, n int")
 
@@ -229,6 +233,9 @@ def buckets(tokens: DataFrame, parts: int) -> DataFrame:
                 held, size = [], 0
         if held:
             yield out()
+        held = []
+        known.clear()
+        release()
 
     together = tokens.repartition(parts, "token").sortWithinPartitions("token")
     return together.mapInArrow(run, "bucket long, cls long, n int").groupBy("bucket", "cls").agg(F.min("n").alias("n"))
@@ -374,6 +381,7 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, most_ids: int) -> DataFr
                 held.append(values)
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(classes_, pa.int64()), pa.array([v.tobytes() for v in held], pa.binary())], names=["cls", "tokens"])
+        release()
 
     sets = docs.mapInArrow(run, "cls long, tokens binary")
     if names is None:
@@ -399,7 +407,7 @@ def verify(pairs: DataFrame, sets: DataFrame, frequent, percent: int, broadcast_
     return left.join(right, ["a", "b"]).select("a", "b", "ta", "tb").mapInPandas(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 75, local_repeats: int = 2, turns: int = 4, few_pairs: int = 100, most_frequent: int = 3_000_000, most_ids: int = 4_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = 75, local_repeats: int = 2, turns: int = 4, few_pairs: int = 100, most_frequent: int = 2_000_000, most_ids: int = 4_000_000) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_shingles, component_id, n_links.
 
     Needs ``doc_id`` and ``text``; other columns are ignored. Sets are of
@@ -455,6 +463,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, local_repeats: int =
     classes = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = stage(classes.join(least, "root").join(degree, "cls", "left").select("cls", "component_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "join-classes")
+    frequent.unpersist()
     placed = described.join(classes, "cls", "left")
     alone = F.col("n") == 0
     return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))

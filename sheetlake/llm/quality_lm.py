@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .memory import release
 from .staging import small_side, stage
 
 ORDER = 4
@@ -65,6 +66,8 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
                         held, size = [], 0
         if held:
             yield flush()
+        held = []
+        release()
 
     return texts.select(F.col("text").cast("string").alias("text")).mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -199,6 +202,7 @@ def score(docs: DataFrame, probabilities: DataFrame, backoffs: DataFrame, *, max
                 costs += [-float(t) / int(s) if s else None for t, s in zip(total, sizes)]
             arrays = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(units, pa.int64()), pa.array(costs, pa.float64())], names=[*keep, "n_units", "cost"])
+        release()
 
     read = docs.select(*[F.col(c) for c in keep], F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", n_units long, cost double"

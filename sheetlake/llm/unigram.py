@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import release
+
 SPACE = "▁"
 CACHE_WORDS, CACHED_LENGTH = 100_000, 64
 
@@ -171,6 +173,8 @@ def encode(docs: DataFrame, model: str, *, with_ids: bool = True) -> DataFrame:
                 if with_ids:
                     out["ids"] = [array("i", x).tolist() for x in ids]
                 yield out
+        del codec
+        release()
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return read.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids)
