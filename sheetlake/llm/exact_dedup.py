@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .staging import small_side, stage
 
+#: A key is frequent with more than one in so many rows, so there are no more frequent keys than this.
+FREQUENT_SHARE, SALTS = 2000, 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,6 +46,12 @@ def directory(entries: DataFrame, capacity: int, max_depth: int) -> DataFrame:
     return found.withColumn("bucket", F.expr(f"shiftleft(shiftright(cell, {max_depth} - local_depth), {max_depth} - local_depth)"))
 
 
+def frequent_keys(counts: DataFrame, share: int = FREQUENT_SHARE) -> DataFrame:
+    """(h) of the keys with more than one in ``share`` of all rows, so never more than ``share`` of them; ``counts`` has h and n."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.filter(F.col("n") > max(1, total // share)).select("h")
+
+
 def build_index(docs: DataFrame, *, capacity: int = 65536, max_depth: int = 12, key_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """(keys, index): ``keys`` has a row per document, ``index`` one per different text.
 
@@ -57,10 +65,17 @@ def build_index(docs: DataFrame, *, capacity: int = 65536, max_depth: int = 12,
         keys.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"), F.min("sha").alias("sha"), F.max("sha").alias("sha_hi")),
         "dedup-met",
     )
-    # Bytes are compared where keys meet: only those texts move, combined on the map side first.
-    shared = met.filter("n > 1").select("h")
-    texts = read.select("norm", key.alias("h")).join(shared, "h", "left_semi")
-    compared = texts.groupBy("h").agg((F.min("norm") == F.max("norm")).alias("same"))
+    # Bytes are compared where keys meet: only those texts move. A frequent key's are dealt over
+    # salts, and only the ends of what each salt found are compared further.
+    frequent = frequent_keys(met)
+    salt = F.when(F.col("often").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).cast("int")
+    texts = read.select("doc_id", "norm", key.alias("h")).join(F.broadcast(frequent.select("h", F.lit(True).alias("often"))), "h", "left").select("h", salt.alias("salt"), "norm")
+    shared = met.filter("n > 1").select("h").join(F.broadcast(frequent), "h", "left_anti").select("h", F.lit(0).alias("salt"))
+    shared = shared.unionByName(frequent.select("h", F.explode(F.sequence(F.lit(1), F.lit(SALTS))).alias("salt")))
+    ends = texts.join(shared, ["h", "salt"], "left_semi").groupBy("h", "salt").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
+    equal = F.col("lo") == F.col("hi")
+    sample = F.when(equal & (F.col("salt") > 0), F.col("lo"))
+    compared = ends.select("h", equal.alias("equal"), sample.alias("norm")).groupBy("h").agg((F.min("equal") & F.coalesce(F.min("norm") == F.max("norm"), F.lit(True))).alias("same"))
     apart = stage(compared.filter(~F.col("same")).select("h"), "dedup-apart")
     if apart.isEmpty():
         entries = met.select("h", "sha", "keep_id", "n")
@@ -85,14 +100,18 @@ def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     than any other. An empty table gives an empty result.
     """
     keys, index = build_index(docs, **options)
-    k, i = keys.alias("k"), index.alias("i")
-    found = k.join(i, (F.col("k.h") == F.col("i.h")) & (F.col("k.sha") == F.col("i.sha")))
+    index = index.select("h", "sha", "keep_id", "group_size")
+    # Entries of frequent texts are few, by their share, and go to the rows; only the rest meets by shuffling.
+    often = stage(frequent_keys(index.select(F.struct("h", "sha").alias("h"), F.col("group_size").alias("n"))).select("h.h", "h.sha"), "dedup-often")
+    large = index.join(F.broadcast(often), ["h", "sha"], "left_semi")
+    rest = keys.join(F.broadcast(often), ["h", "sha"], "left_anti")
+    found = rest.join(index, ["h", "sha"]).unionByName(keys.join(F.broadcast(large), ["h", "sha"]))
     return found.select(
-        F.col("k.doc_id").alias("doc_id"),
-        F.col("i.keep_id").alias("keep_id"),
-        F.col("i.group_size").alias("group_size"),
-        F.col("k.doc_id").eqNullSafe(F.col("i.keep_id")).alias("kept"),
-        F.lower(F.hex(F.col("k.sha"))).alias("text_sha256"),
+        "doc_id",
+        "keep_id",
+        "group_size",
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
