@@ -65,8 +65,8 @@ def build_index(docs: DataFrame, *, capacity: int = 65536, max_depth: int = 12,
         keys.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"), F.min("sha").alias("sha"), F.max("sha").alias("sha_hi")),
         "dedup-met",
     )
-    # Bytes are compared where keys meet: only those texts move. A frequent key's are dealt over
-    # salts, and only the ends of what each salt found are compared further.
+    # Bytes are compared where keys meet. A frequent key's texts are dealt over salts, and only
+    # one text of each salt is compared further.
     frequent = frequent_keys(met)
     salt = F.when(F.col("often").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).cast("int")
     texts = read.select("doc_id", "norm", key.alias("h")).join(F.broadcast(frequent.select("h", F.lit(True).alias("often"))), "h", "left").select("h", salt.alias("salt"), "norm")

@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -341,15 +340,27 @@ def cross_pairs(members: DataFrame, percent: int, parts: int) -> DataFrame:
     return together.mapInArrow(run, "a long, b long").distinct()
 
 
+def _binaries(column: pa.Array) -> Iterator[memoryview]:
+    """The values of a binary column without copies."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = memoryview(column.buffers()[2] or b"")
+    for at, to in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        yield data[at:to]
+
+
 def within_bounds(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """The pairs whose bitmaps allow the similarity."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.loc[[may_reach(x, y, n, m, percent) for x, y, n, m in zip(pdf["ma"], pdf["mb"], pdf["na"], pdf["nb"])], ["a", "b"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ma, mb = _binaries(batch.column("ma")), _binaries(batch.column("mb"))
+            na, nb = batch.column("na").to_pylist(), batch.column("nb").to_pylist()
+            ok = [may_reach(x, y, n, m, percent) for x, y, n, m in zip(ma, mb, na, nb)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(bitmaps.select(F.col("cls").alias("b"), F.col("bitmap").alias("mb"), F.col("n").alias("nb")), "b").join(bitmaps.select(F.col("cls").alias("a"), F.col("bitmap").alias("ma"), F.col("n").alias("na")), "a")
-    return both.select("a", "b", "ma", "mb", "na", "nb").mapInPandas(run, "a long, b long")
+    return both.select("a", "b", "ma", "mb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
 def candidate_sets(docs: DataFrame, classes: DataFrame, most_ids: int) -> DataFrame:
@@ -392,19 +403,20 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, most_ids: int) -> DataFr
 def verify(pairs: DataFrame, sets: DataFrame, frequent, percent: int, broadcast_pairs: int = 1_000_000) -> DataFrame:
     """The pairs (u, v) that pass every order's filter and reach the similarity."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             ok = []
-            for ta, tb in zip(pdf["ta"], pdf["tb"]):
+            for ta, tb in zip(_binaries(batch.column("ta")), _binaries(batch.column("tb"))):
                 x, y = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
                 ok.append(passes_orders(x, y, _levels(x, frequent.value), _levels(y, frequent.value), percent) and similar(x, y, percent))
-            yield pdf.loc[ok, ["a", "b"]].rename(columns={"a": "u", "b": "v"})
+            yield batch.select(["a", "b"]).rename_columns(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+        release()
 
     # the pairs go to the sets while they are few, and only sets of a pair are then joined
     near = small_side(pairs, broadcast_pairs)
     left = sets.join(near, F.col("cls") == F.col("a")).select("a", "b", F.col("tokens").alias("ta"))
     right = sets.join(near, F.col("cls") == F.col("b")).select("a", "b", F.col("tokens").alias("tb"))
-    return left.join(right, ["a", "b"]).select("a", "b", "ta", "tb").mapInPandas(run, "u long, v long")
+    return left.join(right, ["a", "b"]).select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75, local_repeats: int = 2, turns: int = 4, few_pairs: int = 100, most_frequent: int = 2_000_000, most_ids: int = 4_000_000) -> DataFrame:
