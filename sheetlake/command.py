@@ -1,0 +1,93 @@
+"""``python -m sheetlake.command process PATH --responses FILE`` and ``... status``: batches of drawings as a Spark job."""
+
+from __future__ import annotations
+
+import argparse
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import documents, parse, registry
+from .sources import files, json_text
+
+REGISTRY = "path string, filename string, fingerprint string, status string, extraction_status string, seq long"
+
+
+def parser() -> argparse.ArgumentParser:
+    top = argparse.ArgumentParser(prog="sheetlake")
+    commands = top.add_subparsers(dest="command", required=True)
+    process = commands.add_parser("process", help="read new drawings below a path")
+    process.add_argument("input_path")
+    process.add_argument("--responses", help="recorded model responses, JSON lines with file_name and raw_response")
+    process.add_argument("--force", action="store_true", help="also what has a completed entry")
+    for p in (process, commands.add_parser("status", help="count the entries of the registry")):
+        p.add_argument("--outputs", default="outputs")
+    return top
+
+
+def known(spark: SparkSession, outputs: str) -> DataFrame:
+    """The registry below ``outputs``; empty before the first batch."""
+    try:
+        return spark.read.schema(REGISTRY).parquet(f"{outputs}/registry")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], REGISTRY)
+
+
+def process(spark: SparkSession, input_path: str, outputs: str, responses: str | None = None, force: bool = False) -> dict[str, int]:
+    """Parse what is new, append products, reviews and registry entries, and return found, processed, skipped, failed.
+
+    Files without a response get the default product and the extraction status
+    not_run; those with a null response or an error are failed and come up
+    again next time. The products are written first and the registry last, so
+    a batch that breaks off is simply done again.
+    """
+    found = files.discover(spark, input_path)
+    entries = known(spark, outputs)
+    todo = registry.to_process(found, entries, force).select("path", "filename", "fingerprint")
+    if responses:
+        read = files.recorded(spark, responses).withColumn("answered", F.lit(True)).dropDuplicates(["file_name"])
+        todo = todo.join(read.withColumnRenamed("file_name", "filename"), "filename", "left")
+    else:
+        todo = todo.select("*", *[F.lit(None).cast(t).alias(n) for n, t in (("raw_response", "string"), ("error", "string"), ("answered", "boolean"))])
+    number = batch_number(entries)
+    answered = F.coalesce("answered", F.lit(False))
+    failed = answered & (F.col("error").isNotNull() | F.col("raw_response").isNull())
+    asked = todo.select("path", F.col("filename").alias("file_name"), "fingerprint", "raw_response", "error", answered.alias("answered"), failed.alias("failed"))
+    keep = ("path", "file_name", "fingerprint", "error", "answered", "failed")
+    rows = parse.products(asked, keep).withColumn("status", F.when(F.col("failed"), "failed").when(~F.col("answered"), "not_run").otherwise(F.col("status")))
+    rows = rows.withColumn("warnings", F.when(F.col("answered"), F.col("warnings")).otherwise(F.array().cast("array<string>")))
+    fields = [c for c in rows.columns if c not in (*keep, "status")]
+    text = json_text.compact_json(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+    made = f"{outputs}/products/batch={number}"
+    rows.withColumn("json", text).write.mode("overwrite").parquet(made)
+    done = spark.read.parquet(made)
+    documents.reviews(done).write.mode("overwrite").parquet(f"{outputs}/reviews/batch={number}")
+    log = done.select("path", F.col("file_name").alias("filename"), "fingerprint", F.when(F.col("failed"), "failed").otherwise("completed").alias("status"), F.col("status").alias("extraction_status"), F.lit(number).cast("long").alias("seq"))
+    counts = done.agg(F.count_if(~F.col("failed")).alias("processed"), F.count_if("failed").alias("failed")).first()
+    total = files.discover(spark, input_path, content=False).count()
+    log.write.mode("append").parquet(f"{outputs}/registry")
+    return {"found": total, "processed": counts["processed"], "skipped": total - counts["processed"] - counts["failed"], "failed": counts["failed"]}
+
+
+def batch_number(entries: DataFrame) -> int:
+    """One more than the last batch in the registry; all entries of a batch carry its number."""
+    return entries.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
+
+
+def main(argv: Sequence[str] | None = None) -> int:
+    """Exit status 1 if any file failed."""
+    args = parser().parse_args(argv)
+    spark = SparkSession.builder.appName("sheetlake").getOrCreate()
+    if args.command == "status":
+        counts = registry.status_counts(known(spark, args.outputs)).first().asDict()
+    else:
+        counts = process(spark, args.input_path, args.outputs, args.responses, args.force)
+    print("\n".join(f"{name}: {n}" for name, n in counts.items()))
+    return int(args.command == "process" and counts["failed"] > 0)
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

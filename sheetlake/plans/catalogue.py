@@ -124,6 +124,11 @@ def q09_tile_boxes(t):
     return tiles.tiles(_sized(t), ["p_partkey"]).drop("page")
 
 
+@query(f"SELECT p_partkey, tile_id, ordinal FROM ({S_TILES})")
+def q10_tile_ids(t):
+    return tiles.tiles(_sized(t), ["p_partkey"]).select("p_partkey", "tile_id", "ordinal")
+
+
 @query("SELECT p_partkey, 'page_001_region_001' AS region_id, 'full_page' AS type, 1 AS page, CASE WHEN p_size % 5 > 0 THEN 0 ELSE -1 END AS x, CASE WHEN p_size % 5 > 0 THEN 0 ELSE -1 END AS y, CASE WHEN p_size % 5 > 0 THEN p_size ELSE -1 END AS w, CASE WHEN p_size % 5 > 0 THEN p_size ELSE -1 END AS h, CAST(1 AS DOUBLE) AS confidence FROM part")
 def q11_full_page_region(t):
     size = F.when(F.col("p_size") % 5 > 0, F.col("p_size"))
@@ -162,11 +167,34 @@ def q15_numeric_patterns(t):
     return t("documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(S_PATTERN), F.lit(0))).alias("number"))
 
 
+@query(f"SELECT p_partkey, {S_OCR.format('p_name')} AS normalized_text FROM part")
+def q16_ocr_normalize(t):
+    return t("part").select("p_partkey", X.ocr_text(F.col("p_name")).alias("normalized_text"))
+
+
+@query(f"SELECT classification, count(*) AS n FROM (SELECT {S_CLASS.format('token')} AS classification FROM {S_TOKENS} WHERE {S_NUMERIC}) GROUP BY ALL")
+def q17_ocr_classify(t):
+    return numeric_tokens(t("documents")).groupBy(X.ocr_class(F.col("token")).alias("classification")).agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT doc_id, token, unnest({S_KEYS.format('t')}) AS key FROM (SELECT *, {S_OCR.format('token')} AS t FROM {S_TOKENS} WHERE {S_NUMERIC})")
 def q18_comparison_keys(t):
     return numeric_tokens(t("documents")).select("doc_id", "token", F.explode(X.comparison_keys(X.ocr_text(F.col("token")))).alias("key"))
 
 
+@query(f"""
+    WITH c AS (SELECT DISTINCT {S_OCR.format('token')} AS t FROM {S_TOKENS} WHERE {S_NUMERIC}),
+    b AS (SELECT DISTINCT unnest({S_KEYS.format('t')}) AS k FROM (SELECT {S_OCR.format('x')} AS t FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS x FROM benchmark)))
+    SELECT t, CASE WHEN EXISTS (SELECT 1 FROM (SELECT unnest({S_KEYS.format('c.t')}) AS k) q JOIN b ON b.k = q.k) THEN 'supported' ELSE 'not_found_in_full_page' END AS full_page_status FROM c
+""")
+def q19_candidate_support(t):
+    """Each read number once, by whether a form of it stands in the full-page text."""
+    c = numeric_tokens(t("documents")).select(X.ocr_text(F.col("token")).alias("t")).distinct()
+    b = t("benchmark").select(F.explode(F.split("text", r"\s+")).alias("x")).select(F.explode(X.comparison_keys(X.ocr_text(F.col("x")))).alias("k")).distinct()
+    hit = c.withColumn("k", F.explode(X.comparison_keys(F.col("t")))).join(b, "k", "left_semi").select("t").distinct().withColumn("hit", F.lit(True))
+    return c.join(hit, "t", "left").select("t", F.when(F.col("hit"), "supported").otherwise("not_found_in_full_page").alias("full_page_status"))
+
+
 @query(f"""SELECT event_id, {S_CLASS.format('token')} AS classification FROM (SELECT event_id, CAST(user_id AS VARCHAR) AS token, value / 100 AS confidence FROM events)
     WHERE confidence >= 0.75 AND NOT regexp_matches({S_OCR.format('token')}, '^\\d$')""")
 def q20_select_targets(t):
@@ -275,6 +303,11 @@ def q32_duplicate_groups(t):
     return evidence.duplicate_groups(_candidates(t), ["f"]).drop("f", "raws")
 
 
+@query(f"WITH {S_CANDIDATES} SELECT CASE WHEN score >= 75 THEN 'strong_duplicate' ELSE 'weak_duplicate' END AS classification, score, count(*) AS groups, CAST(sum(members) AS BIGINT) AS members FROM d GROUP BY ALL")
+def q33_duplicate_score(t):
+    return evidence.duplicate_groups(_candidates(t), ["f"]).groupBy("classification", "score").agg(F.count("*").alias("groups"), F.sum("members").alias("members"))
+
+
 @query(f"WITH {S_CANDIDATES} SELECT candidate_id FROM c WHERE candidate_id NOT IN (SELECT candidate_id FROM m)")
 def q34_unique_candidates(t):
     c = _candidates(t)

@@ -165,3 +165,36 @@ def test_incremental_stream(spark, tmp_path):
         q = incremental.process_batches(stream, reg, lambda df: df.withColumn("status", F.lit("completed")), str(tmp_path / "cp"))
         q.awaitTermination(60)
     assert sorted((r.path, r.fingerprint) for r in spark.read.parquet(reg).collect()) == [("a", "1"), ("c", "2")]
+
+
+def test_command(spark, tmp_path, capsys):
+    from sheetlake import command
+
+    source, outputs = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for name, data in (("a.png", b"1"), ("b.PDF", b"2"), ("c.jpg", b"1"), ("d.pdf", b"4"), ("e.txt", b"5")):
+        (source / name).write_bytes(data)
+    recorded = tmp_path / "responses.jsonl"
+    answers = [{"file_name": "a.png", "raw_response": '{"product_name": "Relay", "notes": ["x"], "dimensions": [{"value": "5"}, 3]}'}, {"file_name": "b.PDF", "raw_response": None, "error": "down"}]
+    recorded.write_text("\n".join(map(json.dumps, answers)))
+    run = lambda *more: command.main(["process", str(source), "--outputs", outputs, "--responses", str(recorded), *more])
+    said = lambda: dict(line.split(": ") for line in capsys.readouterr().out.split("\n") if ": " in line)
+    assert run() == 1 and said() == {"found": "4", "processed": "2", "skipped": "1", "failed": "1"}
+    products = {r.file_name: r for r in spark.read.parquet(f"{outputs}/products").collect()}
+    assert products["a.png"].status == "validation_failed" and json.loads(products["a.png"].json)["product_name"] == "Relay"
+    assert products["d.pdf"].status == "not_run" and products["d.pdf"].warnings == [] and "c.jpg" not in products
+    review_ = {r["product"].source_file: r for r in spark.read.parquet(f"{outputs}/reviews").collect()}
+    assert review_["a.png"].counts.dimensions == 1 and review_["a.png"].counts.notes == 1 and review_["a.png"].counts.pages == 0
+    recorded.write_text(json.dumps({"file_name": "b.PDF", "raw_response": "{}", "error": None}))
+    assert run() == 0 and said() == {"found": "4", "processed": "1", "skipped": "3", "failed": "0"}
+    assert command.main(["status", "--outputs", outputs]) == 0 and said() == {"entries": "4", "completed": "3", "failed": "1"}
+
+
+def test_reviews_list_evidence(spark):
+    from sheetlake.operators import documents
+
+    answers = spark.createDataFrame([("p", "a.png", '{"product_name": "Relay"}'), ("q", "b.png", "{}")], "path string, file_name string, raw_response string")
+    rows = spark.createDataFrame([("p", 2, "scale"), ("p", 1, "sheet")], "path string, ord int, field string")
+    made = {r.path: r for r in documents.reviews(parse.products(answers, ("path", "file_name")), {"metadata_merges": rows, "needs_review": rows}).collect()}
+    assert [json.loads(x)["field"] for x in made["p"].review.applied_merges] == ["sheet", "scale"] and made["p"].counts.metadata_merges == 2
+    assert made["q"].review.needs_review == [] and made["q"].counts.metadata_merges == 0 and made["q"].extraction.model is None
