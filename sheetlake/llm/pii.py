@@ -6,16 +6,25 @@ entity: with N documents, ``PMI(t, e) = log2(n_te * N / (n_t * n_e))`` against
 the information content ``IC(e) = log2(N / n_e)``. PMI reaches IC exactly when
 the term never occurs without the entity. In documents that hold the entity,
 terms with ``PMI >= remove_at * IC`` are removed and those with
-``PMI >= generalise_at * IC`` replaced by their class. Both need evidence from
-``min_support`` different texts, so that copies of one text prove nothing.
+``PMI >= generalise_at * IC`` replaced by their class.
+
+An entity is a value, a class of values that can recur (e-mail domain, network
+of an address, issuer of a card, area of a phone number) or a whole kind. All
+counts are of different texts, so that copies of one text prove nothing, and
+of words outside the patterns' places. Small counts are tested, not discarded:
+a pair counts if chance would bring a term of the corpus and an entity together
+that often in any pair at all with a probability of ``chance`` at most
+(Chernoff's bound of the binomial tail, times entities times terms).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import small_side, stage
 
 #: Kinds in the order in which spans at the same place are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -29,6 +38,9 @@ PATTERNS = {
 }
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 TERM = r"[\p{L}\p{N}]++"
+#: Stands for a pattern's place while words are cut; a private character, and a blank where a text holds it.
+PLACE = "\ue000"
+TERM_OR_PLACE = rf"[\p{{L}}\p{{N}}{PLACE}]++"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -89,45 +101,69 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_entities(docs: DataFrame, with_text: bool) -> DataFrame:
-    """A row per document, staged: row, doc_id, h, spans by pattern, entities; the text where it is needed."""
+def classes_of(kind: str, x: Column) -> Column:
+    """The entities a value stands for: itself, the classes it belongs to, its kind."""
+    d = _digits(x)
+    own = {
+        "email": [x, F.regexp_replace(x, "^.*@", "@")],
+        "ip": [x, F.regexp_replace(x, r"[0-9]+$", "*"), F.regexp_replace(x, r"[0-9]+\.[0-9]+$", "*")],
+        "card": [d, F.concat(F.substring(d, 1, 6), F.lit("*"))],
+        "phone": [d, F.concat(F.substring(d, 1, 4), F.lit("*"))],
+    }[kind]
+    return F.array(*[F.concat(F.lit(f"{kind}:"), v) for v in own], F.lit(kind))
+
+
+def find_entities(docs: DataFrame) -> DataFrame:
+    """A row per document, staged: row, doc_id, h, spans by pattern, entities, text."""
     read = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     read = read.select("row", "doc_id", "text", *[pattern_spans(F.col("text"), k).alias(k) for k in KINDS[:4]])
     spans = F.array_sort(F.concat(*KINDS[:4]))
-    names = F.array(*map(F.lit, KINDS))
-    held = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", F.get(names, s["kind"]), F.lower(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))))
-    read = read.withColumn("spans", spans).withColumn("entities", held)
-    text = F.col("text") if with_text else F.when(F.size("entities") > 0, F.col("text"))
-    return stage(read.select("row", "doc_id", F.xxhash64("text").alias("h"), "spans", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]], "entities", text.alias("text")), "pii-found")
 
-
-def terms_of(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
-
-
-def revealing_terms(docs: DataFrame, found: DataFrame, min_support: int, remove_at: float, generalise_at: float, min_length: int, broadcast_terms: int) -> DataFrame | None:
-    """(entity, term, action) for terms over a disclosure threshold; None if no entity has the support."""
-    held = found.select("row", "h", F.explode("entities").alias("entity"))
-    known = held.groupBy("entity", "h").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("support"))
-    known = stage(known.filter(F.col("support") >= min_support), "pii-entities")
-    if known.isEmpty():
+    def entities(s: Column) -> Column:
+        value = F.lower(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))
+        found = classes_of(KINDS[3], value)
+        for k in range(3):
+            found = F.when(s["kind"] == k, classes_of(KINDS[k], value)).otherwise(found)
+        return found
+
+    read = read.withColumn("spans", spans).withColumn("entities", F.array_distinct(F.flatten(F.transform("spans", entities))))
+    return stage(read.select("row", "doc_id", F.xxhash64("text").alias("h"), "spans", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]], "entities", "text"), "pii-found")
+
+
+def terms_of(min_length: int) -> Column:
+    """The different words of ``text`` of that length at least that no pattern's place touches."""
+    text, spans = F.col("text"), F.col("spans")
+    marks = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(PLACE).alias("label")))
+    marked = F.regexp_extract_all(_cleaned(F.translate(text, PLACE, " "), marks), F.lit(TERM_OR_PLACE), F.lit(0))
+    words = F.when(F.size(spans) > 0, F.filter(marked, lambda w: ~F.contains(w, F.lit(PLACE)))).otherwise(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+    return F.array_distinct(F.filter(F.transform(words, F.lower), lambda w: F.length(w) >= min_length))
+
+
+def revealing_terms(found: DataFrame, chance: float, remove_at: float, generalise_at: float, min_length: int, broadcast_rows: int) -> DataFrame | None:
+    """(entity, term, action) for terms over a disclosure threshold; None if no entity occurs often enough for the test."""
+    firsts = stage(found.groupBy("h").agg(F.min("row").alias("first"), F.count("*").alias("n")), "pii-texts")
+    total = firsts.count()
+    repeated = small_side(firsts.filter("n > 1").select("h", "first"), broadcast_rows)
+    texts = found.join(repeated, "h", "left").filter("first IS NULL OR first = row")
+    known = stage(texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")), "pii-entities")
+    entities = known.count()
+    if not entities:
         return None
-    total = found.count()
-    words = found.filter(F.size("entities") > 0).select("h", F.explode("entities").alias("entity"), "text").join(known.select("entity"), "entity", "left_semi")
-    words = words.select("entity", "h", F.explode(terms_of(F.col("text"))).alias("term")).filter(F.length("term") >= min_length)
-    pairs = words.groupBy("entity", "term", "h").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("support"))
-    # PMI can be no higher than with n_t = n_te, and n_t is at least the largest n_te of the term.
-    pairs = stage(pairs.filter(F.col("support") >= min_support).drop("support"), "pii-pairs")
-    terms = pairs.select("term").distinct()
-    every = docs.select(F.explode(terms_of(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("term"))
-    if terms.count() <= broadcast_terms:
-        often = every.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    else:
-        often = every.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
-    scored = pairs.join(often, "term").join(known.select("entity", "n_e"), "entity")
-    pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    ic = F.log2(F.lit(float(total)) / F.col("n_e"))
-    scored = scored.withColumn("share", F.when(ic > 0, pmi / ic))
+    often = stage(texts.select(F.explode(terms_of(min_length)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "pii-often")
+    needed = math.log(max(entities * often.count(), 1) / chance)
+    # no term has more evidence than one that is always and only with the entity
+    able = stage(known.filter(F.col("n_e") * F.log(F.lit(float(total)) / F.col("n_e")) >= needed), "pii-able")
+    if able.isEmpty():
+        return None
+    words = texts.filter(F.size("entities") > 0).select("entities", F.explode(terms_of(min_length)).alias("term"))
+    words = words.select("term", F.explode("entities").alias("entity")).join(small_side(able.select("entity"), broadcast_rows), "entity", "left_semi")
+    pairs = words.groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    scored = pairs.join(often, "term").join(small_side(able, broadcast_rows), "entity")
+    rate, base = F.col("n_te") / F.col("n_e"), F.col("n_t") / F.lit(float(total))
+    rest = F.when(F.col("n_te") < F.col("n_e"), (1 - rate) * F.log((1 - rate) / (1 - base))).otherwise(0.0)
+    tested = (rate > base) & (F.col("n_e") * (rate * F.log(rate / base) + rest) >= needed)
+    pmi, ic = F.log2(rate / base), F.log2(F.lit(float(total)) / F.col("n_e"))
+    scored = scored.filter(tested).withColumn("share", F.when(ic > 0, pmi / ic))
     action = F.when(F.col("share") >= remove_at, "remove").when(F.col("share") >= generalise_at, "generalise")
     return stage(scored.select("entity", "term", action.alias("action")).filter("action is not null"), "pii-terms")
 
@@ -163,7 +199,7 @@ def _cleaned(text: Column, marks: Column) -> Column:
     return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
 
 
-def sanitise(docs: DataFrame, *, min_support: int = 3, remove_at: float = 0.95, generalise_at: float = 0.85, min_length: int = 3, broadcast_terms: int = 50_000, with_text: bool = True) -> DataFrame:
+def sanitise(docs: DataFrame, *, chance: float = 0.05, remove_at: float = 0.95, generalise_at: float = 0.85, min_length: int = 3, broadcast_rows: int = 1_000_000, with_text: bool = True) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term[, clean_text].
 
     Needs ``doc_id`` and ``text``; other columns are ignored, whatever their
@@ -175,8 +211,8 @@ def sanitise(docs: DataFrame, *, min_support: int = 3, remove_at: float = 0.95,
     ``[NAME]`` (capitalised) or ``[NUMBER]``, and removed terms vanish. An
     empty table gives an empty result.
     """
-    found = find_entities(docs, with_text)
-    terms = revealing_terms(docs, found, min_support, remove_at, generalise_at, min_length, broadcast_terms)
+    found = find_entities(docs)
+    terms = revealing_terms(found, chance, remove_at, generalise_at, min_length, broadcast_rows)
     if terms is None:
         out = found.withColumn("terms", F.array().cast("array<struct<start:int,kind:int,end:int,action:string>>"))
     else:

@@ -102,3 +102,16 @@ def test_revealing_terms(spark):
     assert all(got[i].n_term == 0 for i in got if i >= 10)  # clean documents, and copies of one text
     assert got[10].clean_text == rows[4][1] and got[100].clean_text == "copied Quux [IP]"
     assert pii.sanitise(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_terms_of_entity_classes(spark):
+    # no address occurs twice; the domain does, and two texts with one address are tested too
+    rows = [(i, f"Vexil wrote from home w{i} u{i}@corp.example to us", 0, "") for i in range(6)]
+    rows += [(100 + i, f"nothing to us from home or elsewhere v{i}", 0, "") for i in range(3000)]
+    rows += [(9000 + i, f"from Quillon +1 415 555 0100 {'at home' * i}", 0, "") for i in range(2)]
+    rows += [(9100, "lonely Umbrix 10.1.1.1", 0, ""), (9200, "dial 555 0100 now", 0, "")]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i].clean_text == f"  from home w{i} [EMAIL] to us" for i in range(6))
+    assert got[9000].clean_text == "from  [PHONE] " and got[9001].clean_text == "from  [PHONE] at home"
+    # one text is no evidence, nor are an identifier's own digits
+    assert got[9100].n_term == 0 and got[9200].n_term == 0 and got[100].n_term == 0
