@@ -4,9 +4,10 @@ Patterns find the protected entities: e-mail addresses, IP addresses, card and
 phone numbers. Corpus co-occurrence then tells how strongly a term reveals an
 entity: with N documents, ``PMI(t, e) = log2(n_te * N / (n_t * n_e))`` against
 the information content ``IC(e) = log2(N / n_e)``. PMI reaches IC exactly when
-the term never occurs without the entity. In documents that hold the entity,
-terms with ``PMI >= remove_at * IC`` are removed and those with
-``PMI >= generalise_at * IC`` replaced by their class.
+the term never occurs without the entity. Terms with ``PMI >= remove_at * IC``
+for any entity are removed and those with ``PMI >= generalise_at * IC`` replaced
+by their class, in every document: where the entity is not written, the term
+discloses it by itself.
 
 An entity is a value, a class of values that can recur (e-mail domain, network
 of an address, issuer of a card, area of a phone number) or a whole kind. All
@@ -168,17 +169,17 @@ def revealing_terms(found: DataFrame, chance: float, remove_at: float, generalis
     return stage(scored.select("entity", "term", action.alias("action")).filter("action is not null"), "pii-terms")
 
 
-def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """(row, terms) with the places of revealing terms in documents that hold the entity."""
-    rows = found.filter(F.size("entities") > 0).select("row", "text", "entities")
-    at = rows.join(rows.select("row", F.explode("entities").alias("entity")).join(terms.select("entity").distinct(), "entity", "left_semi").select("row").distinct(), "row", "left_semi")
+def term_spans(found: DataFrame, terms: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(row, terms) with the places of revealing terms in all documents."""
+    flagged = small_side(terms.groupBy("term").agg(F.max("action").alias("action")), broadcast_rows)  # "remove" sorts after "generalise"
     words = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
+    held = found.select("row", F.explode(F.array_distinct(F.transform(words, F.lower))).alias("term")).join(flagged, "term", "left_semi")
+    at = found.select("row", "text").join(small_side(stage(held.select("row").distinct(), "pii-held"), broadcast_rows), "row", "left_semi")
     each = F.zip_with(F.slice(F.split("text", TERM, -1), F.lit(1), F.size(words)), words, lambda g, w: F.struct(F.length(g).alias("gap"), w.alias("word")))
-    at = at.select("row", "entities", F.posexplode(each).alias("pos", "x")).select("row", "entities", "pos", "x.gap", "x.word")
+    at = at.select("row", F.posexplode(each).alias("pos", "x")).select("row", "pos", "x.gap", "x.word")
     end = F.sum(F.col("gap") + F.length("word")).over(Window.partitionBy("row").orderBy("pos")).cast("int")
     at = at.withColumn("end", end).withColumn("start", F.col("end") - F.length("word")).withColumn("term", F.lower("word"))
-    hit = at.select("row", "start", "end", "term", F.explode("entities").alias("entity")).join(terms, ["entity", "term"])
-    one = hit.groupBy("row", "start", "end").agg(F.max("action").alias("action"))  # "remove" sorts after "generalise"
+    one = at.select("row", "start", "end", "term").join(flagged, "term")
     return one.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "action")).alias("terms"))
 
 
@@ -213,10 +214,10 @@ def sanitise(docs: DataFrame, *, chance: float = 0.05, remove_at: float = 0.95,
     """
     found = find_entities(docs)
     terms = revealing_terms(found, chance, remove_at, generalise_at, min_length, broadcast_rows)
-    if terms is None:
+    if terms is None or terms.isEmpty():
         out = found.withColumn("terms", F.array().cast("array<struct<start:int,kind:int,end:int,action:string>>"))
     else:
-        out = found.join(term_spans(found, terms), "row", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int,action:string>>")))
+        out = found.join(term_spans(found, terms, broadcast_rows), "row", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int,action:string>>")))
     apart = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     out = out.withColumn("terms", apart)
     extra = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["kind"].alias("kind"), t["end"].alias("end"))).cast(SPAN)

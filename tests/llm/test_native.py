@@ -115,3 +115,14 @@ def test_terms_of_entity_classes(spark):
     assert got[9000].clean_text == "from  [PHONE] " and got[9001].clean_text == "from  [PHONE] at home"
     # one text is no evidence, nor are an identifier's own digits
     assert got[9100].n_term == 0 and got[9200].n_term == 0 and got[100].n_term == 0
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_revealing_terms_without_the_entity(spark, bound):
+    rows = [(i, f"Zorblax w{i} mail boss@corp.example now", 0, "") for i in range(20)]
+    rows += [(50, "now ask zorblax, then Zorblax", 0, ""), (51, "now ask a@b.zorblax.c", 0, ""), (52, None, 0, "")]
+    rows += [(100 + i, f"mail at home now v{i}", 0, "") for i in range(2000)]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, DOCS), broadcast_rows=bound).collect()}
+    assert len(got) == len(rows) and got[0].n_term == 1 and got[100].n_term == 0
+    assert got[50].n_term == 2 and got[50].spans == "term:8:15,term:22:29" and got[50].clean_text == "now ask , then "
+    assert got[51].n_term == 0 and got[51].clean_text == "now ask [EMAIL]"
