@@ -3,7 +3,7 @@
 Components become ``floor(1024 * x)``. With M the largest norm, a vector x
 becomes the point (x, sqrt(M^2 - |x|^2)) and a query q the point (q, 0): the
 Euclidean distance then falls as the inner product rises, so a metric tree
-serves. Rows are dealt evenly over shards by a hash of the id; each shard is
+serves. Rows are dealt evenly over shards by a hash of id and vector; each shard is
 one M-tree of paged nodes with covering radii and distances to the parent,
 and every query visits every shard, which returns its k best. Floating-point
 distances only steer the search, with a margin; scores are integers.
@@ -94,12 +94,18 @@ def search(root: Node, centre: np.ndarray, point: np.ndarray, score_of, ids: lis
                 order = ok[sorted(range(len(ok)), key=lambda j: (-scores[ok[j]], least[j]))]
             else:
                 order = ok[np.lexsort((least, -scores[ok]))]
-            # every vector has an id besides the query's own but one at most
-            for j in order[: k + 1]:
+            counted = 0
+            for j in order:
                 s = int(scores[j])
-                if len(best) == k and s < best[0][0]:
+                if counted == k or len(best) == k and s < best[0][0]:
                     break
-                for v in ids[node.items[at[j]]]:
+                held = ids[node.items[at[j]]]
+                # a vector whose least id is another's gives a candidate before all of the following vectors
+                counted += int(held[0] != own)
+                if len(held) > 1:
+                    a, b = np.searchsorted(held, own), np.searchsorted(held, own, "right")
+                    held = (*held[: min(a, k)], *held[b : b + k])
+                for v in held:
                     v = int(v)
                     if v == own:
                         continue
@@ -138,9 +144,8 @@ def search_shard(rows: pd.DataFrame, queries: pd.DataFrame, k: int, stats: dict
     every, row_ids = every[order], rows["vec_id"].to_numpy()[order]
     unique, inverse = np.unique(every, axis=0, return_inverse=True)
     inverse = inverse.reshape(-1)
-    # of equal vectors only the k + 1 smallest ids can be in a result (one of them may be the query itself)
     by = np.argsort(inverse, kind="stable")
-    ids = [x[: k + 1] for x in np.split(row_ids[by], np.cumsum(np.bincount(inverse))[:-1])]
+    ids = np.split(row_ids[by], np.cumsum(np.bincount(inverse))[:-1])
     exact = float(np.abs(unique).max(initial=0)) * float(np.abs(asked).max(initial=0)) * max(width, 1) < 2**62
     ints = unique if exact else unique.astype(object)
     norms = (unique.astype(float) ** 2).sum(1)
@@ -148,12 +153,12 @@ def search_shard(rows: pd.DataFrame, queries: pd.DataFrame, k: int, stats: dict
     points = np.hstack([unique.astype(float), np.sqrt(np.maximum(largest - norms, 0))[:, None]])
     root, centre = build(points, np.array([x[0] for x in ids]))
     out = []
-    for q, own in zip(asked, queries["vec_id"]):
+    for q, own, n in zip(asked, queries["vec_id"], queries["n"] if "n" in queries else [1] * len(queries)):
         qf = q.astype(float)
         qi = q if exact else q.astype(object)
         base = float((qf**2).sum()) + largest
         for s, v in search(root, centre, np.append(qf, 0.0), lambda at: ints[at] @ qi, ids, int(own), k, base, stats):
-            out.append((own, v, max(min(s, 2**63 - 1), -(2**63))))
+            out += [(own, v, max(min(s, 2**63 - 1), -(2**63)))] * min(int(n), k)
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
 
@@ -164,7 +169,8 @@ def top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, shard_rows
     vector is null, or holds null or non-finite components, or whose id is
     null take no part. Shorter vectors count as padded with zeros; empty ones
     score 0. Repeated ids are separate candidates, but never for a query with
-    that id; repeated queries give their rows once each id. With fewer than k
+    that id. The candidates of all rows of a repeated query id are ranked
+    together, as often as the rows score them. With fewer than k
     candidates all are returned. Scores beyond 64 bits are clamped to them. An
     empty table gives an empty result. Rows are held ``shard_rows`` to a
     task and queries ``query_block``, at any size of the input.
@@ -173,11 +179,11 @@ def top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, shard_rows
     whole = F.transform("embedding", lambda x: F.floor(F.lit(1024.0) * x.cast("double")).cast("long"))
     read = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
     read = read.select("vec_id", whole.alias("v"))
-    asked = read.filter(F.pmod("vec_id", F.lit(query_every)) == 0).dropDuplicates(["vec_id"])
+    asked = read.filter(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id", "v").agg(F.count("*").alias("n"))
     n = read.count()
     shards = max(min_shards, math.ceil(n / shard_rows))
-    blocks = max(1, math.ceil(n / query_every / query_block))
-    shard, block = F.pmod(F.xxhash64("vec_id"), F.lit(shards)), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))
+    blocks = max(1, math.ceil(asked.count() / query_block))
+    shard, block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)), F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(blocks))
     rows = read.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("task", (shard * blocks + F.col("b")).cast("int"))
     # a stated query set against all rows, in blocks
     questions = asked.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("task", (F.col("s") * blocks + block).cast("int"))
@@ -185,7 +191,7 @@ def top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, shard_rows
     def run(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return search_shard(left, right, k)
 
-    parts = rows.select("task", "vec_id", "v").groupBy("task").cogroup(questions.select("task", "vec_id", "v").groupBy("task"))
+    parts = rows.select("task", "vec_id", "v").groupBy("task").cogroup(questions.select("task", "vec_id", "v", "n").groupBy("task"))
     found = parts.applyInPandas(run, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -104,3 +104,22 @@ def test_tree_skips_distances():
     stats = {"skipped": 0, "computed": 0}
     topk.search_shard(rows, rows[:20], 10, stats)
     assert stats["computed"] < 4000 * 20 / 2 and stats["skipped"] > 0
+
+
+def test_top_k_of_hot_ids(spark):
+    rng = np.random.default_rng(5)
+    same = [(0, [1.0, 2.0])] * 15 + [(i, [1.0, 2.0]) for i in range(1, 11)]
+    rows = same + [(50, [float(x), float(y)]) for x, y in rng.integers(3, 9, (60, 2))] + [(i, [0.25, float(i % 5)]) for i in range(101, 131)]
+    rows += [(7, [0.5, 0.5])] * 3
+    want = []
+    for q in (0, 50):
+        asked = [x for i, x in rows if i == q]
+        found = sorted((-sum(int(1024 * x) * int(1024 * y) for x, y in zip(a, b)), v) for a in asked for v, b in rows if v != q)[:10]
+        want += [(q, r, v, -d) for r, (d, v) in enumerate(found, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shards in (1, 3):
+        assert sorted(map(tuple, topk.top_k(df, query_every=50, min_shards=shards).collect())) == want
+    import pandas as pd
+
+    got = topk.search_shard(pd.DataFrame({"vec_id": [0] * 15 + list(range(1, 11)), "v": [[1, 2]] * 25}), pd.DataFrame({"vec_id": [0], "v": [[1, 2]]}), 10)
+    assert got["vec_id"].tolist() == list(range(1, 11))
