@@ -2,9 +2,11 @@
 
 Pass one decides blocks by stop-word density, length and link density (and by
 the elements around them: navigation, footers, adverts, forms and the like
-are no text; an article element is evidence for what it holds). Blocks too
-short or too ordinary to tell stay open. Pass two gives each open block the
-label of the nearest decided block of its region.
+are no text; an article element is evidence for what it holds, unless more
+text is found outside of it). Where a page holds hardly any stop word known
+here, sentence marks stand in for them. Blocks too short or too ordinary to
+tell stay open. Pass two gives each open block the label of the nearest decided
+block of its region.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ STOP_WORDS = frozenset(
     " el los las del al se con por una su lo como más para".split()
 )
 LOW, HIGH, MANY_LINKS = 70, 200, 0.33
-STOPS_LOW, STOPS_HIGH = 0.10, 0.25
+STOPS_LOW = 0.10
 #: Elements by what they mean for the text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 RAW = frozenset("script style noscript template textarea iframe object svg math select canvas audio video title head xmp noembed noframes".split())
@@ -42,6 +44,9 @@ KEEPERS = frozenset("article post entry content main body story text".split())
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 NAMES = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+WORD = re.compile(r"[^\W_]+")
+#: Ends of sentences in any script; a full stop only before a blank or the end.
+SENTENCE = re.compile(r"[.!?](?=\s|$)|[\u3002\uff01\uff1f\u0964\u061f\u06d4\u1362\u104b\u0589]")
 BLANKS = re.compile(r"\s+")
 
 
@@ -161,29 +166,41 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def decide(text: str, linked: int, in_article: bool) -> bool | None:
-    """Pass one: True for text, False for none, None if open."""
+def decide(text: str, linked: int, in_article: bool, known: bool = True) -> bool | None:
+    """Pass one: True for text, False for none, None if open; ``known`` if the page's language has stop words here."""
     size = len(text)
     if linked / size > MANY_LINKS and (linked > 20 or not in_article):
         return False
+    if not known:
+        marks = len(SENTENCE.findall(text))
+        if size > HIGH and marks or marks > 1 or marks and size >= LOW:
+            return True
+        return None if in_article or marks or not linked and size < LOW else False
     if size < LOW:
         return None if in_article or not linked else False
-    words = text.lower().split()
-    stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
-    if stops >= STOPS_HIGH:
+    stops = density(text)
+    if stops >= STOPS_LOW:
         return True if size > HIGH or in_article else None
-    if stops >= STOPS_LOW and (size > HIGH or in_article):
-        return True
-    if in_article and size > HIGH:
-        return True
-    return None if in_article or stops >= STOPS_LOW else False
+    return None if in_article else False
+
+
+def density(text: str) -> float:
+    """The share of stop words among the words."""
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(len(words), 1)
 
 
 def main_text(page: str) -> str:
     found = blocks(page)
-    if any(r for *_, r in found):  # with an article, the rest of the page is none
-        found = [b for b in found if b[2]]
-    labels = [decide(t, k, r > 0) for t, k, r in found]
+    known = density(" ".join(t for t, k, _ in found if k / len(t) <= MANY_LINKS)) >= STOPS_LOW / 2
+    # an article is evidence unless more text stands outside of it: cards that lead to other pages hold little
+    outside = sum(len(t) for t, k, r in found if not r and decide(t, k, False, known))
+    inside: dict[int, int] = {}
+    for t, k, r in found:
+        if r:
+            inside[r] = inside.get(r, 0) + len(t) - k
+    main = {r for r, n in inside.items() if n >= outside}
+    labels = [decide(t, k, r in main, known) for t, k, r in found]
     last: tuple[int, bool] | None = None
     before: list = []
     for i, (b, label) in enumerate(zip(found, labels)):
@@ -200,9 +217,7 @@ def main_text(page: str) -> str:
             last = (i, labels[i])
             continue
         near = [(abs(i - j), not label) for j, label in filter(None, (before[i], last))]
-        final[i] = not min(near)[1] if near else found[i][2] > 0 or not any(x is not None for x in labels)
-        if not final[i] and found[i][2] and len(found[i][0]) and found[i][1] / len(found[i][0]) <= MANY_LINKS:
-            final[i] = True  # inside the article only links make a short block none
+        final[i] = not min(near)[1] if near else found[i][2] in main or not any(x is not None for x in labels)
     return "\n".join(b[0] for b, label in zip(found, final) if label)
 
 

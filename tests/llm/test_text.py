@@ -230,3 +230,21 @@ def test_held_out_quality(spark):
     right = held.filter("toxic = 0").agg(F.avg((F.col("keep") == (F.col("quality") == 1)).cast("int"))).first()[0]
     clean = held.filter("toxic = 0 AND quality = 1").agg(F.avg(F.col("keep").cast("int"))).first()[0]
     assert right > 0.95 and clean > 0.95
+
+
+def test_html_without_or_beside_articles():
+    body = "The cat is on the mat and it was not a dog for that. " * 6
+    card = "<article><h3>Next one</h3><p>Read how the dog is at home and what it does there in the evening.</p><a href=x>More</a></article>"
+    page = f"<body><div>{body}</div><div>{body}</div>{card * 3}</body>"
+    assert html_text.main_text(page) == f"{body.strip()}\n{body.strip()}"
+    # a list of cards alone is what the page has; text beside a longer article is judged by its own words
+    assert "evening" in html_text.main_text(f"<body>{card * 3}</body>")
+    both = html_text.main_text(f"<body><div>{body}</div><article><h1>Title</h1><p>{body * 2}</p></article><div>All rights reserved worldwide, Example Incorporated Limited, Delaware USA</div></body>")
+    assert both == f"{body.strip()}\nTitle\n{(body * 2).strip()}"
+    # inside an article a list of links, and a short block beside it, are no text
+    links = "<ul><li><a href=1>One long link to another page</a></li><li>or</li><li><a href=2>Two long link to another page</a></li></ul>"
+    assert html_text.main_text(f"<article><p>{body}</p>{links}</article>") == body.strip()
+    for text in ("Кошка сидит на ковре, и собака смотрит на неё. " * 6, "猫がマットの上に座っている。犬はそれを見ている。" * 8, "Kissa istuu matolla ja koira katsoo sitä. " * 6, "القطة على السجادة والكلب ينظر إليها. " * 6):
+        page = f"<body><div><a href=1>Home</a> <a href=2>News of the day</a></div><div>{text}</div><div>{text}</div></body>"
+        assert html_text.main_text(page) == f"{text.strip()}\n{text.strip()}"
+        assert html_text.main_text(f"<body><article><p>{text}</p></article></body>") == text.strip()
