@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -22,17 +22,15 @@ from pyspark.sql import functions as F
 KINDS = ("assign", "access", "hex", "guess")
 
 
-def either_case(word: str) -> str:
-    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
-
-
-_KEYWORDS = "|".join(["password", "passwd", "secret", "token"])
-ASSIGN = re.compile(rf"({'|'.join(map(either_case, _KEYWORDS.split('|')))}|{either_case('api')}_?{either_case('key')})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of [0-9a-f]+ of 32 characters and more
-#: Credential contexts: a keyword with what may surround it, a separator, and a value up to a blank or quote.
-WORDS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "credential", "apikey", "api_key", "api-key", "access_key", "private_key", "bearer", "authorization")
-CONTEXT = re.compile(rf"(?:{'|'.join(map(either_case, WORDS))})[A-Za-z0-9_-]{{0,24}}[\"']?\x20{{0,8}}(?::=|=>|[:=])\x20{{0,8}}(?:(?:[Bb]earer|[Bb]asic)\x20)?[\"'`]?([^\s\"'`<>,;]+)")
+#: Credential contexts: a name with one of these words in it, a separator, and a value up to a blank or quote.
+#: A try begins at the start of a name only, so long names stay linear.
+CONTEXT = re.compile(
+    r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*?(?ai:password|passwd|passphrase|passcode|pwd|secret|token|credential|apikey|api_key|api-key|access_key|private_key|bearer|authorization))"
+    r"[A-Za-z0-9_-]++[\"']?\x20*+(?::=|=>|[:=])\x20*+(?:(?:[Bb]earer|[Bb]asic)\x20)?[\"'`]?([^\s\"'`<>,;]+)"
+)
 STEMS = ("pass", "pwd", "secret", "token", "credential", "api", "access_key", "private_key", "bearer", "authorization")
 
 #: Frequent passwords and words in them, most frequent first.
@@ -46,8 +44,6 @@ COMMON = (
     "alpha beta gamma delta omega zero one two three four five six seven eight nine ten key keys value string null none true false your "
     "here enter insert replace placeholder dummy fake foobar foo bar baz lorem ipsum dolor pass word pwd api prod dev stage local database"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-LONGEST = max(map(len, RANK))
 #: Rows of keys and of the alphabet, for walks in either direction.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "azertyuiop", "abcdefghijklmnopqrstuvwxyz", "1qaz", "2wsx", "3edc", "4rfv", "5tgb", "6yhn", "7ujm")
 NEXT = {(a, b) for row in ROWS for r in (row, row[::-1]) for a, b in zip(r, r[1:])}
@@ -64,57 +60,124 @@ def _char_bits(c: str) -> float:
     return math.log2(33) if c.isascii() else 10.0
 
 
-def guess_bits(value: str) -> float:
-    """Bits of the cheapest segmentation; 0 for an empty value. Linear in the length but for repeats of blocks."""
+class _Starts:
+    """Starts j of a segment that ends at i, for the least ``cost[j] + log2(i - j)``.
+
+    Of two starts the later one wins at first, if at all, and the earlier one
+    for good once it has caught up. So starts are a stack: one is taken off
+    when the one below catches up, and never goes on when it could not win.
+    """
+
+    __slots__ = ("stack",)
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[int, float, float]] = []  # start, cost, where the one below catches up
+
+    def add(self, j: int, cost: float) -> None:
+        stack = self.stack
+        while stack:
+            below, base, until = stack[-1]
+            if cost <= base:
+                stack.pop()
+                continue
+            r = 2.0 ** min(cost - base, 1000.0)
+            meets = (r * j - below) / (r - 1) if r > 1 else math.inf
+            if meets < until:
+                stack.append((j, cost, meets))
+                return
+            stack.pop()
+        stack.append((j, cost, math.inf))
+
+    def least(self, i: int) -> float:
+        stack = self.stack
+        while len(stack) > 1 and i >= stack[-1][2]:
+            stack.pop()
+        return stack[-1][1] + math.log2(i - stack[-1][0]) if stack else math.inf
+
+
+def ranks(words: Iterable[str]) -> dict[str, int]:
+    """Ranks from 1 of words of three letters and more, in lower case; the first place of a word counts."""
+    out: dict[str, int] = {}
+    for w in words:
+        if len(w) >= 3:
+            out.setdefault(w.lower(), len(out) + 1)
+    return out
+
+
+RANK = ranks(COMMON)
+
+
+def guess_bits(value: str, rank: dict[str, int] = RANK) -> float:
+    """Bits of the cheapest segmentation; 0 for an empty value.
+
+    Every segmentation counts: words of every place, and walks, runs, repeats
+    of blocks of two to eight characters and dates from every start. The work
+    grows with the length times the longest word, and not with its square.
+    """
     n = len(value)
     low, plain = value.lower(), value.lower().translate(LEET)
     if len(low) != n:  # a character whose lower case is longer
         low = plain = value
+    longest = max(map(len, rank), default=0)
     best = [0.0] + [math.inf] * n
+    bits = [0.0]
+    for c in value:
+        bits.append(bits[-1] + _char_bits(c))
     walk = run = 0
+    walks, runs = _Starts(), _Starts()
+    period = [0] * 9
+    blocks = [[_Starts() for _ in range(size)] for size in range(9)]
     for i in range(1, n + 1):
         c = value[i - 1]
         # brute force, one character more (the class of the character is all that the guesser knows)
-        here = best[i - 1] + _char_bits(c)
+        here = best[i - 1] + bits[i] - bits[i - 1]
         # words, plain or with digits for letters; capitals cost a bit
-        for size in range(3, min(LONGEST, i) + 1):
+        for size in range(3, min(longest, i) + 1):
             piece = low[i - size:i]
-            rank = RANK.get(piece)
+            place = rank.get(piece)
             leet = 0.0
-            if rank is None and (rank := RANK.get(plain[i - size:i])) is not None:
+            if place is None and (place := rank.get(plain[i - size:i])) is not None:
                 leet = 2.0
-            if rank is not None:
+            if place is not None:
                 case = 0.0 if value[i - size:i] == piece else 1.0 if value[i - size + 1:i] == piece[1:] else 3.0
-                here = min(here, best[i - size] + math.log2(rank + 1) + leet + case + SEGMENT_BITS)
+                here = min(here, best[i - size] + math.log2(place + 1) + leet + case + SEGMENT_BITS)
         # keyboard walks and sequences of three keys or more
-        walk = walk + 1 if i > 1 and (low[i - 2], low[i - 1]) in NEXT else 0
-        if walk >= 2:
-            here = min(here, best[i - walk - 1] + math.log2(47 * (walk + 1)) + SEGMENT_BITS)
-        # one character repeated
-        run = run + 1 if i > 1 and c == value[i - 2] else 0
-        if run >= 2:
-            here = min(here, best[i - run - 1] + _char_bits(c) + math.log2(run + 1) + SEGMENT_BITS)
-        best[i] = here
-        # a block of two to eight characters repeated, ending here
-        for size in range(2, min(8, i // 2) + 1):
-            block, times, j = value[i - size:i], 1, i - size
-            while j >= size and value.startswith(block, j - size):
-                times, j = times + 1, j - size
-                if times > 64:
-                    break
-            if times >= 2:
-                best[i] = min(best[i], best[j] + sum(map(_char_bits, block)) + math.log2(times) + SEGMENT_BITS)
+        if i > 1 and (low[i - 2], low[i - 1]) in NEXT:
+            walk += 1
+            if walk >= 2:
+                walks.add(i - 3, best[i - 3])
+                here = min(here, walks.least(i) + math.log2(47) + SEGMENT_BITS)
+        else:
+            walk, walks = 0, _Starts() if walks.stack else walks
+        # one character repeated three times or more
+        if i > 1 and c == value[i - 2]:
+            run += 1
+            if run >= 2:
+                runs.add(i - 3, best[i - 3])
+                here = min(here, runs.least(i) + _char_bits(c) + SEGMENT_BITS)
+        else:
+            run, runs = 0, _Starts() if runs.stack else runs
+        # a block of two to eight characters repeated
+        for size in range(2, min(8, i - 1) + 1):
+            if c != value[i - 1 - size]:
+                if period[size] >= size:
+                    blocks[size] = [_Starts() for _ in range(size)]
+                period[size] = 0
+                continue
+            period[size] += 1
+            if period[size] >= size:
+                starts = blocks[size][i % size]
+                starts.add(i - 2 * size, best[i - 2 * size])
+                here = min(here, starts.least(i) - math.log2(size) + bits[i] - bits[i - size] + SEGMENT_BITS)
         # dates
         for size in (4, 6, 7, 8, 9, 10):
             if i >= size and c.isdigit() and value[i - size].isdigit() and DATE.fullmatch(value, i - size, i):
-                best[i] = min(best[i], best[i - size] + math.log2(130 * (1 if size == 4 else 366)) + SEGMENT_BITS)
+                here = min(here, best[i - size] + math.log2(130 * (1 if size == 4 else 366)) + SEGMENT_BITS)
+        best[i] = here
     return best[n]
 
 
-_bits = lru_cache(maxsize=10_000)(guess_bits)
-
-
-def find_secrets(text: str, min_bits: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], float]:
+def find_secrets(text: str, min_bits: float, bits: Callable[[str], float]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], float]:
     """(base spans, added spans, largest guess cost of a base assignment's value); spans are (start, kind, end)."""
     base, added, most = [], [], 0.0
     low = text.lower()
@@ -122,17 +185,16 @@ def find_secrets(text: str, min_bits: float) -> tuple[list[tuple[int, int, int]]
         for m in ASSIGN.finditer(text):
             if len(m[2]) >= 8:
                 base.append((m.start(), 0, m.end()))
-                most = max(most, _bits(m[2]))
+                most = max(most, bits(m[2]))
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".")
-            if len(value) >= 8 and _bits(value) >= min_bits:
+            if len(value) >= 8 and bits(value) >= min_bits:
                 added.append((m.start(1), 3, m.start(1) + len(value)))
     if "AKIA" in text:
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
-    added = [(s, k, e) for s, k, e in added if not any(b < e and s < d for b, _, d in base)] if len(base) * len(added) < 10_000 else _apart(added, base)
-    return base, added, most
+    return base, _apart(added, base), most
 
 
 def _apart(added: list, base: list) -> list:
@@ -153,23 +215,26 @@ def _line(spans: list) -> str:
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, max_bits double, clean_text string"
 
 
-def scan(docs: DataFrame, *, min_bits: float = 40.0, with_text: bool = True) -> DataFrame:
+def scan(docs: DataFrame, *, min_bits: float = 40.0, words: Iterable[str] = COMMON, with_text: bool = True) -> DataFrame:
     """A row per row of ``docs``: the columns of ``SCHEMA``; ``clean_text`` only if asked for.
 
     Needs ``doc_id`` and ``text``; other columns are ignored, whatever their
     names. A null text counts as empty (no spans). Base spans follow the three
     patterns; values in credential contexts that overlap none of them and cost
-    ``min_bits`` or more are added as ``guess``. ``clean_text`` has
-    ``[SECRET]`` for each. Repeated rows each give their row; an empty table
+    ``min_bits`` or more are added as ``guess``; ``words`` are what guessers
+    try, the most frequent first. ``clean_text`` has ``[SECRET]`` for each. Repeated rows each give their row; an empty table
     gives an empty result.
     """
 
+    rank = ranks(words)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = lru_cache(maxsize=10_000)(lambda value: guess_bits(value, rank))
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
                 text = text or ""
-                base, added, most = find_secrets(text, min_bits)
+                base, added, most = find_secrets(text, min_bits, bits)
                 line, spans = _line(base), sorted(base + added)
                 row = [sum(k == x for _, x, _ in base) for k in range(3)] + [hashlib.sha256(line.encode()).hexdigest(), _line(spans) if added else line, len(added), most]
                 if with_text:

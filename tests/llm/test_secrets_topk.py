@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -45,9 +46,24 @@ def brute_cost(value):
 
 
 def test_guess_cost_is_the_minimum():
-    for v in ["secret2021!", "aaab1999-12-31", "Dr4gonqwert", "zzzabcabcx", "admin01012000token", "xYxYxYx9"]:
-        assert secrets.guess_bits(v) == pytest.approx(brute_cost(v), abs=1e-6) or secrets.guess_bits(v) >= brute_cost(v) - 1e-6
-        assert secrets.guess_bits(v) <= brute_cost(v) + 9  # walks and runs count from their start only
+    values = ["secret2021!", "aaab1999-12-31", "Dr4gonqwert", "zzzabcabcx", "admin01012000token", "xYxYxYx9", "monkeyuiop", "greenmnbv", "appleeee", "shadowertyuiopmonkeytrewq", "qwqwqwqwqwqwqw", "abababababab", "aaaaaaaaaaaaaaaaa"]
+    rng = random.Random(6)
+    parts = ["monkey", "apple", "key", "qwerty", "uiop", "poi", "abab", "eee", "1999", "0101", "12", "x", "Z", "!", "4", "bcbc", "leet", "m0nk3y"]
+    values += ["".join(rng.choices(parts, k=rng.randint(1, 6))) for _ in range(300)]
+    values += ["".join(rng.choices("abq12", k=rng.randint(1, 24))) for _ in range(300)] + ["".join(rng.choices("ab", k=20)) for _ in range(100)]
+    for v in values:
+        assert secrets.guess_bits(v) == pytest.approx(brute_cost(v), abs=1e-6), v
+
+
+def test_guess_cost_of_long_values():
+    for v in ("qw" * 20_000, "a" * 40_000, "abcdefgh" * 5_000, "ab1" * 10_000 + "abab" * 2_000):
+        assert secrets.guess_bits(v) < 80
+
+
+def test_ranked_words_are_a_parameter(spark):
+    docs = spark.createDataFrame([(1, "pwd = zorblaxquuxflib"), (2, "password_for_the_production_database_cluster_x: x7Kq9ZpLm2Vt"), (3, "app_token" + " " * 10 + ": hG5$kd93!sPq"), (4, "cfg:secret_key=x7Kq9ZpLm2Vt"), (5, "token" * 30_000)], "doc_id long, text string")
+    assert {r.doc_id: r.n_guess + r.n_assign for r in secrets.scan(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 0}
+    assert {r.doc_id: r.n_guess for r in secrets.scan(docs, words=["zorblax", "quux", "Flib", "x"]).collect()}[1] == 0
 
 
 def test_scan(spark):
