@@ -148,12 +148,83 @@ def test_mix(spark):
     assert sum(len((r.text or "").split()) for r in again.collect()) == sum(taken.values())
 
 
+def cheapest(supply, quota, costs=(0, 1, 3)):
+    """Minimum-cost flow by Bellman-Ford paths, unit by unit of cost: (tokens routed, cost)."""
+    edges, nodes = [], {"S": 0, "T": 1}
+
+    def add(a, b, room, price):
+        a, b = nodes.setdefault(a, len(nodes)), nodes.setdefault(b, len(nodes))
+        edges.extend([[a, b, room, price], [b, a, 0, -price]])
+
+    for p, n in supply.items():
+        for c in costs:
+            add("S", ("p", p), n, c)
+        for s in p:
+            add(("p", p), ("s", s), 10**9, 0)
+    for s, n in quota.items():
+        add(("s", s), "T", n, 0)
+    routed = spent = 0
+    while True:
+        far, came = {0: 0}, {}
+        for _ in nodes:
+            for i, (a, b, room, price) in enumerate(edges):
+                if room and a in far and far[a] + price < far.get(b, 10**9):
+                    far[b], came[b] = far[a] + price, i
+        if 1 not in far:
+            return routed, spent
+        path, at = [], 1
+        while at:
+            path.append(came[at])
+            at = edges[came[at]][0]
+        push = min(edges[i][2] for i in path)
+        for i in path:
+            edges[i][2] -= push
+            edges[i ^ 1][2] += push
+        routed, spent = routed + push, spent + push * far[1]
+
+
+def test_flow_is_cheapest():
+    rng = random.Random(9)
+    for _ in range(150):
+        names = "abcdef"[: rng.randint(1, 6)]
+        supply = {tuple(sorted(rng.sample(names, rng.randint(1, len(names))))): rng.randint(0, 30) for _ in range(rng.randint(1, 8))}
+        quota = {s: rng.randint(0, 40) for s in names}
+        flow = mixing.min_cost_flow(supply, quota)
+        cost = sum(max(0, min(flow[p], 2 * n) - n) + 3 * max(0, flow[p] - 2 * n) for p, n in supply.items())
+        assert (sum(flow.values()), cost) == cheapest(supply, quota) and all(f <= 3 * supply[p] for p, f in flow.items())
+    import time
+
+    began = time.time()
+    many = {tuple(sorted({f"s{rng.randrange(3000)}" for _ in range(3)})): rng.randint(1, 1000) for _ in range(30_000)}
+    flow = mixing.min_cost_flow(many, {f"s{i}": rng.randint(1, 9000) for i in range(3000)})
+    assert time.time() - began < 60 and sum(flow.values()) > 0
+
+
 def test_flow_over_overlapping_sources(spark):
     flow = mixing.min_cost_flow({("a",): 10, ("a", "b"): 10, ("b",): 0}, {"a": 15, "b": 15})
     assert flow == {("a",): 10, ("a", "b"): 20, ("b",): 0}
     rows = [(i, "w " * 10, ["a"] if i % 3 == 0 else ["b", "a", "a"] if i % 3 == 1 else []) for i in range(90)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
-    assert len(got) == 90 and abs(sum(r.taken for r in got) - 900) <= 10
+    rows += [(100 + i, "w " * 10, [None, "null", "\x1f"][: 1 + i % 3]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
+    got = mixing.mix(docs).collect()
+    assert len(got) == 120 and abs(sum(r.taken for r in got) - 1200) <= 40
+    again = mixing.mixed_documents(docs)
+    assert again.columns == docs.columns and again.count() * 10 == sum(r.taken for r in got)
+
+
+def test_mix_of_odd_and_many_sources(spark):
+    odd = [(1, "a b", "\x00"), (2, "a b", None), (3, "a b c", "null"), (4, "x", ""), (4, "x", "")]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 4, 4] and {(r.doc_id, r.source_size) for r in got} == {(1, 2), (2, 2), (3, 3), (4, 2)}
+    many = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("w w w").alias("text"), F.concat(F.lit("host"), "id").alias("source"))
+    assert mixing.mix(many).agg(F.count("*"), F.sum("target"), F.max(F.abs(F.col("taken") - F.col("target")))).first()[:] == (60_000, 180_000.0, 1.5)
+    # the same row many times over, and a large source cut in several rounds
+    rows = [(7, "w w w", "big")] * 3000 + [(i, "w " * (i % 7), "big") for i in range(5000)] + [(9000, "w " * 2500, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, slice_docs=3).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count("*").alias("n")).collect()
+    assert {r.source: r.n for r in got} == {"big": 8000, "other": 1} and all(abs(r.taken - r.target) <= 3 for r in got if r.source == "big")
+    assert mixing.mixed_documents(docs, slice_docs=3).filter("source = 'big'").select(F.sum(mixing.word_count(F.col("text")))).first()[0] == next(r.taken for r in got if r.source == "big")
 
 
 def brute_lm(trusted, texts):
