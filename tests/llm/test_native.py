@@ -31,7 +31,7 @@ def test_exact_dedup(spark, bits):
         ids = [x for x in groups[low(t)] if x is not None]
         keep = max(ids) if ids else None
         want.append((i, keep, len(groups[low(t)]), i == keep, hashlib.sha256(low(t).encode()).hexdigest()))
-    got = [tuple(r) for r in exact_dedup.exact_duplicates(docs, capacity=2, max_depth=4, key_bits=bits).collect()]
+    got = [tuple(r) for r in exact_dedup.exact_duplicates(docs, capacity=2, key_bits=bits).collect()]
     key = lambda r: tuple(map(str, r))
     assert sorted(got, key=key) == sorted(want, key=key)
     kept = exact_dedup.drop_exact_duplicates(docs, key_bits=bits)
@@ -45,16 +45,42 @@ def test_exact_dedup_empty(spark):
     assert exact_dedup.drop_exact_duplicates(docs).count() == 0
 
 
-def test_directory_splits_overfull_buckets(spark):
-    entries = spark.range(1000).select(F.xxhash64("id").alias("h"))
-    rows = exact_dedup.directory(entries, 50, 8).collect()
+def in_bucket(h, depth, bucket):
+    return (h & (2**64 - 1)) >> (64 - depth) == (bucket & (2**64 - 1)) >> (64 - depth) if depth else bucket == 0
+
+
+@pytest.mark.parametrize("capacity", [1, 7, 50, 5000])
+def test_directory_doubles_until_buckets_fit(spark, capacity):
+    # keys that are spread, and some that agree in all but their last bits
+    keys = spark.range(1000).select(F.xxhash64("id").alias("h")).unionByName(spark.range(40).select((F.col("id") + (5 << 60)).alias("h"))).distinct()
+    every = [k.h for k in keys.collect()]
+    rows = exact_dedup.directory(keys, capacity).collect()
+    held = [sum(in_bucket(h, r.local_depth, r.bucket) for h in every) for r in rows]
+    assert sum(held) == 1040 and 0 < min(held) and max(held) <= capacity
+    found = exact_dedup.located(keys, exact_dedup.directory(keys, capacity)).collect()
+    assert len(found) == 1040 and all(in_bucket(r.h, r.local_depth, r.bucket) for r in found)
+    # no bucket could have done with fewer bits
+    for r in rows:
+        if r.local_depth:
+            assert sum(in_bucket(h, r.local_depth - 1, r.bucket & (-1 << (65 - r.local_depth)) if r.local_depth > 1 else 0) for h in every) > capacity
+
+
+def test_index_lies_in_its_buckets_and_answers(spark):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("Text "), F.col("id") % 500).alias("text"))
+    keys, buckets, index = exact_dedup.build_index(docs, capacity=20)
+    rows = index.collect()
     held = defaultdict(int)
-    cells = {r.cell: r for r in rows}
-    for r in entries.collect():
-        c = cells[(r.h & (2**64 - 1)) >> 56]
-        held[c.bucket, c.local_depth] += 1
-    assert max(held.values()) <= 50 and len({r.local_depth for r in rows}) >= 1
-    assert sum(held.values()) == 1000
+    for r in rows:
+        assert in_bucket(r.h, r.local_depth, r.bucket)
+        held[r.bucket] += 1
+    assert len(rows) == 500 and max(held.values()) <= 20 and len(held) == buckets.count() >= 25
+    # whole buckets lie in one file each
+    assert index.select("bucket", F.input_file_name().alias("f")).distinct().count() == len(held)
+    other = spark.createDataFrame([(1, "TEXT 3"), (2, "text 500"), (3, None)], "doc_id long, text string")
+    assert [tuple(r)[:2] for r in exact_dedup.seen_before(other, buckets, index).collect()] == [(1, 503)]
+    # rows are found through their own bucket only
+    wrong = buckets.limit(buckets.count() - 1)
+    assert 0 < 600 - exact_dedup.lookup(keys, wrong, index).count() <= 60
 
 
 def brute_spans(text):
