@@ -3,22 +3,30 @@
 Components become ``floor(1024 * x)``. With M the largest norm, a vector x
 becomes the point (x, sqrt(M^2 - |x|^2)) and a query q the point (q, 0): the
 Euclidean distance then falls as the inner product rises, so a metric tree
-serves. Rows are dealt evenly over shards by a hash of id and vector; each shard is
-one M-tree of paged nodes with covering radii and distances to the parent,
-and every query visits every shard, which returns its k best. Floating-point
-distances only steer the search, with a margin; scores are integers.
+serves. The top of the tree is a page of routing vectors: each row belongs to
+the nearest one, whose covering radius says how far its rows may be. Below it
+each region is one shard or, where it is large, several, and each shard is a
+tree of paged nodes with covering radii and distances to the parent. A query
+goes to the shards of the regions that can hold one of its k best, given k
+scores that are known beforehand from the routing rows. Each row is moved
+once; a shard's tree is built once, and queries stream through it.
+Floating-point distances only steer the search, with a margin; scores are
+integers.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import stage
+
 PAGE = 128
 
 
@@ -60,16 +68,18 @@ def build(points: np.ndarray, least_ids: np.ndarray, page: int = PAGE) -> tuple[
     return load(np.arange(len(points)), centre), centre
 
 
-def search(root: Node, centre: np.ndarray, point: np.ndarray, score_of, ids: list[np.ndarray], own: int, k: int, base: float, stats: dict) -> list[tuple[int, int]]:
+def search(root: Node, centre: np.ndarray, point: np.ndarray, score_of, ids: list[np.ndarray], own: int, k: int, base: float, stats: dict, floor: float = -math.inf) -> list[tuple[int, int]]:
     """The k best (score, id) for a query point: highest score, ties to the smaller id; ``own`` is left out.
 
-    ``base`` is |q|^2 + M^2, so that a score s stands for the squared distance base - 2 s.
+    ``base`` is |q|^2 + M^2, so that a score s stands for the squared distance
+    base - 2 s. Candidates below ``floor`` need not be found.
     """
     best: list[tuple[int, int]] = []  # a heap with the worst on top: (score, -id)
     slack = 1e-9 * (base + 1) + 1e-6
 
     def bound() -> float:
-        return math.inf if len(best) < k else math.sqrt(max(base - 2 * float(best[0][0]), 0.0) + slack) + 1e-9 * math.sqrt(base + 1)
+        least = floor if len(best) < k else max(floor, float(best[0][0]))
+        return math.inf if least == -math.inf else math.sqrt(max(base - 2 * least, 0.0) + slack) + 1e-9 * math.sqrt(base + 1)
 
     pages = [(0.0, 0, root, float(np.sqrt(((point - centre) ** 2).sum())))]
     count = 0
@@ -126,43 +136,105 @@ def search(root: Node, centre: np.ndarray, point: np.ndarray, score_of, ids: lis
     return sorted(((s, -v) for s, v in best), key=lambda r: (-r[0], r[1]))
 
 
-def _matrix(lists, width: int) -> np.ndarray:
-    out = np.zeros((len(lists), width), dtype=np.int64)
+def _matrix(lists: list, width: int, kind=np.int64) -> np.ndarray:
+    """Rows of ``width`` numbers, shorter ones padded with zeros and longer ones cut."""
+    if lists and all(len(x) == width for x in lists):
+        return np.array(lists, dtype=kind).reshape(len(lists), width)
+    out = np.zeros((len(lists), width), dtype=kind)
     for i, x in enumerate(lists):
-        out[i, :len(x)] = x
+        out[i, :min(len(x), width)] = x[:width]
     return out
 
 
+class Shard:
+    """The tree of some rows (vec_id, v)."""
+
+    def __init__(self, row_ids: np.ndarray, vectors: list) -> None:
+        self.width = max(map(len, vectors))
+        every = _matrix(vectors, self.width)
+        order = np.argsort(row_ids, kind="stable")
+        unique, inverse = np.unique(every[order], axis=0, return_inverse=True)
+        inverse = inverse.reshape(-1)
+        by = np.argsort(inverse, kind="stable")
+        self.ids = np.split(row_ids[order][by], np.cumsum(np.bincount(inverse))[:-1])
+        self.ints = unique
+        self.top = float(np.abs(unique.astype(float)).max(initial=0))
+        norms = (unique.astype(float) ** 2).sum(1)
+        self.largest = float(norms.max())
+        points = np.hstack([unique.astype(float), np.sqrt(np.maximum(self.largest - norms, 0))[:, None]])
+        self.root, self.centre = build(points, np.array([x[0] for x in self.ids]))
+
+    def find(self, query, own: int, k: int, stats: dict, floor: float = -math.inf) -> list[tuple[int, int]]:
+        """The k best (score, id). What the query has beyond the rows' width meets zeros."""
+        q = _matrix([query], self.width)[0]
+        qf = q.astype(float)
+        exact = self.top * float(np.abs(qf).max(initial=0)) * max(self.width, 1) < 2**62
+        ints, qi = (self.ints, q) if exact else (self.ints.astype(object), q.astype(object))
+        base = float((qf**2).sum()) + self.largest
+        return search(self.root, self.centre, np.append(qf, 0.0), lambda at: ints[at] @ qi, self.ids, own, k, base, stats, floor)
+
+    def answers(self, asked: pd.DataFrame, k: int, stats: dict) -> pd.DataFrame:
+        """The k best of this shard for each query (vec_id, v, and n and floor if there are any)."""
+        out = []
+        times = asked["n"] if "n" in asked else [1] * len(asked)
+        floors = asked["floor"] if "floor" in asked else [-math.inf] * len(asked)
+        for q, own, n, floor in zip(asked["v"], asked["vec_id"], times, floors):
+            for s, v in self.find(q, int(own), k, stats, float(floor)):
+                out += [(own, v, max(min(s, 2**63 - 1), -(2**63)))] * min(int(n), k)
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+
+
 def search_shard(rows: pd.DataFrame, queries: pd.DataFrame, k: int, stats: dict | None = None) -> pd.DataFrame:
     """The k best of one shard for each query."""
     stats = {"skipped": 0, "computed": 0} if stats is None else stats
     if not len(rows) or not len(queries):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-    width = max(max(map(len, rows["v"])), max(map(len, queries["v"])))
-    every, asked = _matrix(rows["v"].tolist(), width), _matrix(queries["v"].tolist(), width)
-    order = np.lexsort((rows["vec_id"].to_numpy(),))
-    every, row_ids = every[order], rows["vec_id"].to_numpy()[order]
-    unique, inverse = np.unique(every, axis=0, return_inverse=True)
-    inverse = inverse.reshape(-1)
-    by = np.argsort(inverse, kind="stable")
-    ids = np.split(row_ids[by], np.cumsum(np.bincount(inverse))[:-1])
-    exact = float(np.abs(unique).max(initial=0)) * float(np.abs(asked).max(initial=0)) * max(width, 1) < 2**62
-    ints = unique if exact else unique.astype(object)
-    norms = (unique.astype(float) ** 2).sum(1)
-    largest = float(norms.max())
-    points = np.hstack([unique.astype(float), np.sqrt(np.maximum(largest - norms, 0))[:, None]])
-    root, centre = build(points, np.array([x[0] for x in ids]))
-    out = []
-    for q, own, n in zip(asked, queries["vec_id"], queries["n"] if "n" in queries else [1] * len(queries)):
-        qf = q.astype(float)
-        qi = q if exact else q.astype(object)
-        base = float((qf**2).sum()) + largest
-        for s, v in search(root, centre, np.append(qf, 0.0), lambda at: ints[at] @ qi, ids, int(own), k, base, stats):
-            out += [(own, v, max(min(s, 2**63 - 1), -(2**63)))] * min(int(n), k)
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+    return Shard(rows["vec_id"].to_numpy(), rows["v"].tolist()).answers(queries, k, stats)
+
+
+class Routing:
+    """The top page: routing vectors, and rows whose scores say beforehand what a query can expect."""
 
+    def __init__(self, sample: list[tuple[int, list[int]]], fan: int, width: int, largest: float) -> None:
+        self.width, self.largest = width, largest
+        self.sample_ids = np.array([i for i, _ in sample], np.int64)
+        self.sample = _matrix([v for _, v in sample], width).astype(float)
+        _, first = np.unique(self.sample, axis=0, return_index=True)
+        self.at = np.sort(first)[:fan]
+        self.points = self.sample[self.at]
+        self.lift = self._lifted(self.points)
+        self.radius = np.zeros(len(self.at))
 
-def top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, shard_rows: int = 32768, min_shards: int = 12, query_block: int = 8192) -> DataFrame:
+    def _lifted(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(self.largest - (x**2).sum(1), 0))
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The region of each row, and its distance from the routing vector, rounded up."""
+        d = 2 * self.largest - 2 * (x @ self.points.T + np.outer(self._lifted(x), self.lift))
+        region = d.argmin(1)
+        return region, np.sqrt(np.maximum(d[np.arange(len(x)), region], 0) + 1e-9 * (self.largest + 1))
+
+    def floors(self, q: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+        """What k sampled rows of other ids reach at least; minus infinity with fewer of them."""
+        out = np.full(len(q), -np.inf)
+        scores = q @ self.sample.T
+        for i in range(len(q)):
+            others = scores[i, self.sample_ids != own[i]]
+            if len(others) >= k:
+                out[i] = np.partition(others, len(others) - k)[len(others) - k]
+        return out - 1e-12 * ((q**2).sum(1) + self.largest) - 1e-9
+
+    def reachable(self, q: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        """For each query and region, whether the covering radius leaves room for a score of ``floors``."""
+        base = (q**2).sum(1) + self.largest
+        slack = 1e-9 * (base + 1) + 1e-6
+        d = np.sqrt(np.maximum(base[:, None] - 2 * (q @ self.points.T), 0))
+        with np.errstate(invalid="ignore"):
+            most = np.where(np.isinf(floors), np.inf, np.sqrt(np.maximum(base - 2 * np.where(np.isinf(floors), 0, floors), 0) + slack))
+        return d - self.radius[None, :] - np.sqrt(slack)[:, None] <= most[:, None]
+
+
+def top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, shard_rows: int = 32768, min_shards: int = 12, sample_rows: int = 2048, most_regions: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose vec_id is divisible by ``query_every``.
 
     Needs ``vec_id`` and ``embedding``; other columns are ignored. Rows whose
@@ -172,26 +244,74 @@ def top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, shard_rows
     that id. The candidates of all rows of a repeated query id are ranked
     together, as often as the rows score them. With fewer than k
     candidates all are returned. Scores beyond 64 bits are clamped to them. An
-    empty table gives an empty result. Rows are held ``shard_rows`` to a
-    task and queries ``query_block``, at any size of the input.
+    empty table gives an empty result. A task holds one shard of about
+    ``shard_rows`` rows and a batch of queries, at any size of the input. The
+    driver holds ``sample_rows`` rows, from which the ``most_regions`` routing
+    vectors at most are taken; all rows are indexed, and the result is exact.
     """
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     whole = F.transform("embedding", lambda x: F.floor(F.lit(1024.0) * x.cast("double")).cast("long"))
     read = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
     read = read.select("vec_id", whole.alias("v"))
-    asked = read.filter(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id", "v").agg(F.count("*").alias("n"))
-    n = read.count()
-    shards = max(min_shards, math.ceil(n / shard_rows))
-    blocks = max(1, math.ceil(asked.count() / query_block))
-    shard, block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)), F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(blocks))
-    rows = read.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("task", (shard * blocks + F.col("b")).cast("int"))
-    # a stated query set against all rows, in blocks
-    questions = asked.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("task", (F.col("s") * blocks + block).cast("int"))
-
-    def run(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return search_shard(left, right, k)
-
-    parts = rows.select("task", "vec_id", "v").groupBy("task").cogroup(questions.select("task", "vec_id", "v", "n").groupBy("task"))
-    found = parts.applyInPandas(run, "query_id long, vec_id long, score long")
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    n, width, largest = read.agg(F.count("*"), F.max(F.size("v")), F.max(norm)).first()
+    spark = vectors.sparkSession
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    picked = read.orderBy(F.xxhash64("vec_id", "v", F.lit(7)), "vec_id").limit(sample_rows).collect()
+    regions = min(most_regions, 2 * max(min_shards, math.ceil(n / shard_rows)))
+    routing = Routing([(r["vec_id"], r["v"]) for r in picked], regions, width, largest * (1 + 1e-9))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                region, far = routing.nearest(_matrix(pdf["v"].tolist(), width, float))
+                yield pdf.assign(region=region.astype("int32"), far=far)
+
+    placed = stage(read.mapInPandas(place, "vec_id long, v array<long>, region int, far double"), "topk-rows")
+    # one number of rows and one radius for each region: a bounded table
+    held = {r["region"]: (r["n"], r["far"]) for r in placed.groupBy("region").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
+    shards, first = {}, 0
+    for region, (rows, far) in sorted(held.items()):
+        routing.radius[region] = far
+        shards[region] = (first, math.ceil(rows / shard_rows))
+        first += shards[region][1]
+    asked = placed.filter(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id", "v").agg(F.count("*").alias("n"))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                some = pdf.iloc[at:at + 256]
+                q = _matrix(some["v"].tolist(), width, float)
+                floors = routing.floors(q, some["vec_id"].to_numpy(), k)
+                open_ = routing.reachable(q, floors)
+                rows, tasks = [], []
+                for i, ok in enumerate(open_):
+                    for region in np.flatnonzero(ok).tolist():
+                        start, count = shards.get(region, (0, 0))
+                        rows += [i] * count
+                        tasks += range(start, start + count)
+                out = some.iloc[rows]
+                yield pd.DataFrame({"task": np.array(tasks, "int32"), "kind": 1, "vec_id": out["vec_id"].array, "v": out["v"].array, "n": out["n"].array, "floor": floors[rows]})
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, held_, shard = [], [], None
+        for pdf in batches:
+            rows = pdf[pdf["kind"] == 0]
+            ids.append(rows["vec_id"].to_numpy())
+            held_ += rows["v"].tolist()
+            queries = pdf[pdf["kind"] == 1]
+            if len(queries) and held_:
+                if shard is None:  # rows come before queries
+                    shard = Shard(np.concatenate(ids), held_)
+                yield shard.answers(queries, k, {"skipped": 0, "computed": 0})
+
+    where = spark.createDataFrame([(r, a, c) for r, (a, c) in shards.items()], "region int, first int, count int")
+    task = (F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("count"))).cast("int")
+    rows = placed.join(F.broadcast(where), "region").select(task.alias("task"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("floor"))
+    # a stated query set against all rows
+    questions = asked.mapInPandas(ask, "task int, kind int, vec_id long, v array<long>, n long, floor double")
+    dealt = rows.unionByName(questions).repartitionById(first, "task").sortWithinPartitions("kind")
+    found = dealt.select("kind", "vec_id", "v", "n", "floor").mapInPandas(answer, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

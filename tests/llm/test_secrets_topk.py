@@ -139,3 +139,35 @@ def test_top_k_of_hot_ids(spark):
 
     got = topk.search_shard(pd.DataFrame({"vec_id": [0] * 15 + list(range(1, 11)), "v": [[1, 2]] * 25}), pd.DataFrame({"vec_id": [0], "v": [[1, 2]]}), 10)
     assert got["vec_id"].tolist() == list(range(1, 11))
+
+
+def test_queries_reach_only_regions_that_can_matter(spark):
+    # far clusters: the covering radii rule most shards out, and the result stays exact
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 5)) * 20
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 30] + rng.normal(size=5) * 0.05]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.top_k(df, query_every=50, min_shards=6, shard_rows=200, sample_rows=300).collect())) == brute_top(rows, 10, 50)
+    sample = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows[:300]]
+    every = np.array([[np.floor(1024 * x) for x in v] for _, v in rows])
+    routing = topk.Routing(sample, 20, 5, float((every**2).sum(1).max()) * (1 + 1e-9))
+    region, far = routing.nearest(every)
+    for r in range(20):
+        routing.radius[r] = far[region == r].max(initial=0)
+    q = every[::50]
+    floors = routing.floors(q, np.arange(0, 3000, 50), 10)
+    open_ = routing.reachable(q, floors)
+    assert open_.mean() < 0.7
+    best = np.argsort(-(q @ every.T), axis=1)[:, :10]
+    assert all(open_[i, region[b]] for i, row in enumerate(best) for b in row)
+
+
+def test_top_k_of_mixed_widths_and_large_numbers(spark):
+    rows = [(0, [1e17, -1e17]), (1, [1e17]), (2, [-3e17, 1.0, 5.0]), (3, []), (100, [2.0, 2.0, 2.0, 2.0])]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), min_shards=2).collect()))
+    whole = {i: [min(max(int(np.floor(1024 * x)), -(2**63)), 2**63 - 1) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 100):
+        found = sorted((-max(min(sum(a * b for a, b in zip(whole[q], v)), 2**63 - 1), -(2**63)), i) for i, v in whole.items() if i != q)
+        want += [(q, r, v, -d) for r, (d, v) in enumerate(found, 1)]
+    assert got == sorted(want)
