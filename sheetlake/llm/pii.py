@@ -43,6 +43,9 @@ TERM = r"[\p{L}\p{N}]++"
 PLACE = "\ue000"
 TERM_OR_PLACE = rf"[\p{{L}}\p{{N}}{PLACE}]++"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+FOUND = "array<struct<start:int,kind:int,end:int,value:string>>"
+#: Arrays are worked through in blocks of so many, so that no array grows by one element over and over.
+BLOCK = 128
 
 
 def _digits(x: Column) -> Column:
@@ -74,26 +77,41 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+def _blocks(parts: Column) -> Column:
+    last = F.floor((F.size(parts) - 1) / BLOCK).cast("int")
+    return F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: F.slice(parts, b * BLOCK + 1, F.lit(BLOCK))))
+
+
+def _befores(totals: Column, add) -> Column:
+    """For each of ``totals``, what all before it come to."""
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(totals, first, lambda acc, t: F.struct(add(acc["at"], t).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
 def pattern_spans(text: Column, kind: str) -> Column:
-    """Sorted array of (start, kind, end) in code points; leftmost non-overlapping, failing matches dropped."""
+    """Sorted array of (start, kind, end, value) in code points; leftmost non-overlapping, failing matches dropped."""
     pattern = PATTERNS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     parts = F.zip_with(
         F.slice(gaps, F.lit(1), F.size(found)), found,
-        lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), _valid(kind, m).alias("ok")),
+        lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), _valid(kind, m).alias("ok"), m.alias("value")),
     )
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + x["len"]
-        new = F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))).cast(SPAN)
+        new = F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), x["value"].alias("value"))).cast(FOUND)
         return F.struct(end.alias("at"), F.when(x["ok"], F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    spans = F.aggregate(parts, first, step, lambda acc: acc["out"])
+    def spans_of(block: Column, before: Column) -> Column:
+        return F.aggregate(block, F.struct(before.alias("at"), F.array().cast(FOUND).alias("out")), step, lambda acc: acc["out"])
+
+    # the blocks are made once, and then have a field each
+    held = F.transform(_blocks(parts), lambda b: F.struct(b.alias("block"), F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + x["len"]).alias("total")))
+    spans = F.transform(F.array(held), lambda h: F.flatten(F.zip_with(h, _befores(h["total"], lambda a, t: a + t), lambda x, at: spans_of(x["block"], at))))
     hint = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(HINTS[kind])
-    return F.when(hint, spans).otherwise(F.array().cast(SPAN))
+    return F.coalesce(F.when(hint, F.get(spans, F.lit(0))), F.array().cast(FOUND))
 
 
 def written(spans: Column) -> Column:
@@ -121,13 +139,13 @@ def find_entities(docs: DataFrame) -> DataFrame:
     spans = F.array_sort(F.concat(*KINDS[:4]))
 
     def entities(s: Column) -> Column:
-        value = F.lower(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))
+        value = F.lower(s["value"])
         found = classes_of(KINDS[3], value)
         for k in range(3):
             found = F.when(s["kind"] == k, classes_of(KINDS[k], value)).otherwise(found)
         return found
 
-    read = read.withColumn("spans", spans).withColumn("entities", F.array_distinct(F.flatten(F.transform("spans", entities))))
+    read = read.withColumn("spans", spans).withColumn("entities", F.array_distinct(F.flatten(F.transform("spans", entities)))).withColumn("spans", F.transform("spans", lambda s: s.dropFields("value")))
     return stage(read.select("row", "doc_id", F.xxhash64("text").alias("h"), "spans", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]], "entities", "text"), "pii-found")
 
 
@@ -141,32 +159,38 @@ def terms_of(min_length: int) -> Column:
 
 
 def revealing_terms(found: DataFrame, chance: float, remove_at: float, generalise_at: float, min_length: int, broadcast_rows: int) -> DataFrame | None:
-    """(entity, term, action) for terms over a disclosure threshold; None if no entity occurs often enough for the test."""
+    """(term, action) for terms over a disclosure threshold; None if no entity occurs often enough for the test."""
     firsts = stage(found.groupBy("h").agg(F.min("row").alias("first"), F.count("*").alias("n")), "pii-texts")
     total = firsts.count()
     repeated = small_side(firsts.filter("n > 1").select("h", "first"), broadcast_rows)
     texts = found.join(repeated, "h", "left").filter("first IS NULL OR first = row")
-    known = stage(texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")), "pii-entities")
+    # entities of the same texts say the same of every term, so they are one
+    held = texts.select("row", F.explode("entities").alias("entity"))
+    known = stage(held.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64("row")).alias("x"), F.sum(F.xxhash64(F.lit(1), "row").cast("decimal(38,0)")).alias("y")), "pii-entities")
     entities = known.count()
     if not entities:
         return None
     often = stage(texts.select(F.explode(terms_of(min_length)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "pii-often")
     needed = math.log(max(entities * often.count(), 1) / chance)
     # no term has more evidence than one that is always and only with the entity
-    able = stage(known.filter(F.col("n_e") * F.log(F.lit(float(total)) / F.col("n_e")) >= needed), "pii-able")
+    able = stage(known.filter(F.col("n_e") * F.log(F.lit(float(total)) / F.col("n_e")) >= needed).select("entity", "n_e", F.xxhash64("n_e", "x", "y").alias("group")), "pii-able")
     if able.isEmpty():
         return None
-    words = texts.filter(F.size("entities") > 0).select("entities", F.explode(terms_of(min_length)).alias("term"))
-    words = words.select("term", F.explode("entities").alias("entity")).join(small_side(able.select("entity"), broadcast_rows), "entity", "left_semi")
-    pairs = words.groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    scored = pairs.join(often, "term").join(small_side(able, broadcast_rows), "entity")
+    # nor can a term be over a threshold that is in too few texts for the test, or in too many for any entity
+    most = able.agg(F.max(F.col("n_e") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - min(remove_at, generalise_at))))).first()[0]
+    fit = (F.col("n_t") * F.log(F.lit(float(total)) / F.least(F.col("n_t"), F.lit(total / math.e))) >= needed) & (F.col("n_t") <= F.lit(most * (1 + 1e-9)))
+    fit = small_side(stage(often.filter(fit), "pii-fit"), broadcast_rows)
+    grouped = held.join(small_side(able.select("entity", "group"), broadcast_rows), "entity").select("row", "group").distinct()
+    words = texts.filter(F.size("entities") > 0).select("row", F.explode(terms_of(min_length)).alias("term")).join(fit.select("term"), "term", "left_semi")
+    pairs = words.join(grouped, "row").groupBy("group", "term").agg(F.count("*").alias("n_te"))
+    scored = pairs.join(fit, "term").join(small_side(able.select("group", "n_e").distinct(), broadcast_rows), "group")
     rate, base = F.col("n_te") / F.col("n_e"), F.col("n_t") / F.lit(float(total))
     rest = F.when(F.col("n_te") < F.col("n_e"), (1 - rate) * F.log((1 - rate) / (1 - base))).otherwise(0.0)
     tested = (rate > base) & (F.col("n_e") * (rate * F.log(rate / base) + rest) >= needed)
     pmi, ic = F.log2(rate / base), F.log2(F.lit(float(total)) / F.col("n_e"))
     scored = scored.filter(tested).withColumn("share", F.when(ic > 0, pmi / ic))
     action = F.when(F.col("share") >= remove_at, "remove").when(F.col("share") >= generalise_at, "generalise")
-    return stage(scored.select("entity", "term", action.alias("action")).filter("action is not null"), "pii-terms")
+    return stage(scored.select("term", action.alias("action")).filter("action is not null"), "pii-terms")
 
 
 def term_spans(found: DataFrame, terms: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -184,24 +208,29 @@ def term_spans(found: DataFrame, terms: DataFrame, broadcast_rows: int) -> DataF
 
 
 def _cleaned(text: Column, marks: Column) -> Column:
-    """The text with each marked place replaced; overlapping marks are joined first."""
-    def join(acc: Column, m: Column) -> Column:
-        last = F.element_at(acc, -1)
-        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], m["end"]).alias("end"), last["label"].alias("label"))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > m["start"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(acc, F.array(m)))
-
-    kind = "array<struct<start:int,end:int,label:string>>"
-    joined = F.aggregate(marks.cast(kind), F.array().cast(kind), join)
-    done = F.aggregate(
-        joined, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, m: F.struct(m["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, m["start"] - acc["at"]), m["label"]).alias("out")),
-        lambda acc: F.struct(acc["at"].alias("at"), acc["out"].alias("out")),
-    )
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+    """The text with each marked place replaced; of marks (sorted by start) that overlap the first one's label stands.
+
+    The text is cut at blocks of marks first, so that no mark needs a walk
+    through all of it.
+    """
+    marks = marks.cast("array<struct<start:int,end:int,label:string>>")
+    held = F.transform(_blocks(marks), lambda b: F.struct(b.alias("block"), F.aggregate(b, F.lit(0), lambda a, m: F.greatest(a, m["end"])).alias("total")))
+    placed = F.transform(F.array(held), lambda h: F.zip_with(h, _befores(h["total"], lambda a, t: F.greatest(a, t)), lambda x, at: F.struct(x["block"].alias("block"), at.alias("at"), F.greatest(x["total"], at).alias("to"), F.substring(text, at + 1, F.greatest(x["total"] - at, F.lit(0))).alias("text"))))
+
+    def step(acc: Column, m: Column, x: Column) -> Column:
+        apart = m["start"] >= acc["at"]
+        gap = F.substring(x["text"], acc["at"] - x["at"] + 1, m["start"] - acc["at"])
+        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.when(apart, F.concat(acc["out"], gap, m["label"])).otherwise(acc["out"]).alias("out"))
+
+    def joined(x: Column) -> Column:
+        return F.aggregate(x["block"], F.struct(x["at"].alias("at"), F.lit("").alias("out")), lambda acc, m: step(acc, m, x), lambda acc: acc["out"])
+
+    done = F.transform(placed, lambda p: F.concat(F.array_join(F.transform(p, joined), ""), F.substring(text, F.element_at(p, -1)["to"] + 1, F.length(text))))
+    return F.when(F.size(marks) > 0, F.get(done, F.lit(0))).otherwise(text)
 
 
 def sanitise(docs: DataFrame, *, chance: float = 0.05, remove_at: float = 0.95, generalise_at: float = 0.85, min_length: int = 3, broadcast_rows: int = 1_000_000, with_text: bool = True) -> DataFrame:
-    """A row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term[, clean_text].
+    """A row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, n_removed[, clean_text].
 
     Needs ``doc_id`` and ``text``; other columns are ignored, whatever their
     names. A null text counts as empty: no spans, the hash of the empty
@@ -226,6 +255,7 @@ def sanitise(docs: DataFrame, *, chance: float = 0.05, remove_at: float = 0.95,
         F.sha2(written(F.col("spans")), 256).alias("base_sha256"),
         written(F.array_sort(F.concat("spans", extra))).alias("spans"),
         F.size("terms").cast("long").alias("n_term"),
+        F.size(F.filter("terms", lambda t: t["action"] == "remove")).cast("long").alias("n_removed"),
     ]
     if with_text:
         text = F.col("text")
@@ -236,5 +266,6 @@ def sanitise(docs: DataFrame, *, chance: float = 0.05, remove_at: float = 0.95,
             kind = F.when(word.rlike(r"^\p{N}"), "[NUMBER]").when(word.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
             return F.when(t["action"] == "remove", "").otherwise(kind)
         more = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), label(t).alias("label")))
-        columns.append(_cleaned(text, F.array_sort(F.concat(base, more))).alias("clean_text"))
+        out = out.withColumn("marks", F.array_sort(F.concat(base, more))).withColumn("clean_text", _cleaned(text, F.col("marks")))
+        columns.append("clean_text")
     return out.select(*columns)

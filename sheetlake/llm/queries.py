@@ -16,7 +16,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.sanitise(_read(spark, sf_dir, "documents"), with_text=False)
+    clean = pii.sanitise(_read(spark, sf_dir, "documents"))
+    return clean.withColumn("clean_sha256", F.sha2("clean_text", 256)).drop("clean_text")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +29,8 @@ def op3_chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_read(spark, sf_dir, "documents"), with_text=False)
+    clean = secrets.scan(_read(spark, sf_dir, "documents"))
+    return clean.withColumn("clean_sha256", F.sha2("clean_text", 256)).drop("clean_text")
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
