@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import small_side, stage
@@ -44,6 +44,7 @@ PLACE = "\ue000"
 TERM_OR_PLACE = rf"[\p{{L}}\p{{N}}{PLACE}]++"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 FOUND = "array<struct<start:int,kind:int,end:int,value:string>>"
+TERMS = "array<struct<start:int,kind:int,end:int,action:string>>"
 #: Arrays are worked through in blocks of so many, so that no array grows by one element over and over.
 BLOCK = 128
 
@@ -88,6 +89,21 @@ def _befores(totals: Column, add) -> Column:
     return F.aggregate(totals, first, lambda acc, t: F.struct(add(acc["at"], t).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
 
+def _placed(parts: Column, schema: str, item) -> Column:
+    """What ``item`` makes of the ``parts`` that are ok, in order; parts have gap, len and ok and follow each other. Null if there are none."""
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + x["len"]
+        return F.struct(end.alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(item(x, start, end)).cast(schema))).otherwise(acc["out"]).alias("out"))
+
+    def of_block(block: Column, before: Column) -> Column:
+        return F.aggregate(block, F.struct(before.alias("at"), F.array().cast(schema).alias("out")), step, lambda acc: acc["out"])
+
+    # the blocks are made once, and then have a field each
+    held = F.transform(_blocks(parts), lambda b: F.struct(b.alias("block"), F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + x["len"]).alias("total")))
+    return F.get(F.transform(F.array(held), lambda h: F.flatten(F.zip_with(h, _befores(h["total"], lambda a, t: a + t), lambda x, at: of_block(x["block"], at)))), F.lit(0))
+
+
 def pattern_spans(text: Column, kind: str) -> Column:
     """Sorted array of (start, kind, end, value) in code points; leftmost non-overlapping, failing matches dropped."""
     pattern = PATTERNS[kind]
@@ -98,20 +114,9 @@ def pattern_spans(text: Column, kind: str) -> Column:
         lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), _valid(kind, m).alias("ok"), m.alias("value")),
     )
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["len"]
-        new = F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), x["value"].alias("value"))).cast(FOUND)
-        return F.struct(end.alias("at"), F.when(x["ok"], F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
-
-    def spans_of(block: Column, before: Column) -> Column:
-        return F.aggregate(block, F.struct(before.alias("at"), F.array().cast(FOUND).alias("out")), step, lambda acc: acc["out"])
-
-    # the blocks are made once, and then have a field each
-    held = F.transform(_blocks(parts), lambda b: F.struct(b.alias("block"), F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + x["len"]).alias("total")))
-    spans = F.transform(F.array(held), lambda h: F.flatten(F.zip_with(h, _befores(h["total"], lambda a, t: a + t), lambda x, at: spans_of(x["block"], at))))
+    spans = _placed(parts, FOUND, lambda x, start, end: F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), x["value"].alias("value")))
     hint = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(HINTS[kind])
-    return F.coalesce(F.when(hint, F.get(spans, F.lit(0))), F.array().cast(FOUND))
+    return F.coalesce(F.when(hint, spans), F.array().cast(FOUND))
 
 
 def written(spans: Column) -> Column:
@@ -194,17 +199,21 @@ def revealing_terms(found: DataFrame, chance: float, remove_at: float, generalis
 
 
 def term_spans(found: DataFrame, terms: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(row, terms) with the places of revealing terms in all documents."""
-    flagged = small_side(terms.groupBy("term").agg(F.max("action").alias("action")), broadcast_rows)  # "remove" sorts after "generalise"
+    """``found`` with ``terms``, the places of revealing terms, in all documents."""
+    flagged = terms.groupBy("term").agg(F.max("action").alias("action"))  # "remove" sorts after "generalise"
     words = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
-    held = found.select("row", F.explode(F.array_distinct(F.transform(words, F.lower))).alias("term")).join(flagged, "term", "left_semi")
-    at = found.select("row", "text").join(small_side(stage(held.select("row").distinct(), "pii-held"), broadcast_rows), "row", "left_semi")
-    each = F.zip_with(F.slice(F.split("text", TERM, -1), F.lit(1), F.size(words)), words, lambda g, w: F.struct(F.length(g).alias("gap"), w.alias("word")))
-    at = at.select("row", F.posexplode(each).alias("pos", "x")).select("row", "pos", "x.gap", "x.word")
-    end = F.sum(F.col("gap") + F.length("word")).over(Window.partitionBy("row").orderBy("pos")).cast("int")
-    at = at.withColumn("end", end).withColumn("start", F.col("end") - F.length("word")).withColumn("term", F.lower("word"))
-    one = at.select("row", "start", "end", "term").join(flagged, "term")
-    return one.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "action")).alias("terms"))
+    held = found.select("row", F.explode(F.array_distinct(F.transform(words, F.lower))).alias("term")).join(small_side(stage(flagged, "pii-flagged"), broadcast_rows), "term")
+    # each document's own flagged words, and then their places in it
+    held = stage(held.groupBy("row").agg(F.collect_list(F.struct("term", "action")).alias("held")), "pii-held")
+    out = found.join(small_side(held, broadcast_rows), "row", "left")
+
+    def part(gap: Column, word: Column) -> Column:
+        action = F.get(F.filter(F.col("held"), lambda t: t["term"] == F.lower(word)), F.lit(0))["action"]
+        return F.struct(F.length(gap).alias("gap"), F.length(word).alias("len"), action.alias("action"), action.isNotNull().alias("ok"))
+
+    parts = F.zip_with(F.slice(F.split("text", TERM, -1), F.lit(1), F.size(words)), words, part)
+    placed = _placed(parts, TERMS, lambda x, start, end: F.struct(start.alias("start"), F.lit(4).alias("kind"), end.alias("end"), x["action"].alias("action")))
+    return out.withColumn("terms", F.coalesce(F.when(F.col("held").isNotNull(), placed), F.array().cast(TERMS))).drop("held")
 
 
 def _cleaned(text: Column, marks: Column) -> Column:
@@ -244,9 +253,9 @@ def sanitise(docs: DataFrame, *, chance: float = 0.05, remove_at: float = 0.95,
     found = find_entities(docs)
     terms = revealing_terms(found, chance, remove_at, generalise_at, min_length, broadcast_rows)
     if terms is None or terms.isEmpty():
-        out = found.withColumn("terms", F.array().cast("array<struct<start:int,kind:int,end:int,action:string>>"))
+        out = found.withColumn("terms", F.array().cast(TERMS))
     else:
-        out = found.join(term_spans(found, terms, broadcast_rows), "row", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int,action:string>>")))
+        out = term_spans(found, terms, broadcast_rows)
     apart = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     out = out.withColumn("terms", apart)
     extra = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["kind"].alias("kind"), t["end"].alias("end"))).cast(SPAN)
