@@ -136,7 +136,12 @@ class Page:
         self._parts = []
 
     def _last(self, names) -> int:
-        return max((self._places[x][-1] for x in names if self._places.get(x)), default=0)
+        at = 0
+        for x in names:
+            places = self._places.get(x)
+            if places and places[-1] > at:
+                at = places[-1]
+        return at
 
     def _close(self, to: int, name: str | None) -> None:
         """Take the stack down to ``to``, which ``name`` (None: the end of something around it) ends."""
@@ -316,7 +321,7 @@ def decide(text: str, linked: int, in_article: bool, known: bool = True) -> bool
 def density(text: str) -> float:
     """The share of stop words among the words."""
     words = WORD.findall(text.lower())
-    return sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+    return len([w for w in words if w in STOP_WORDS]) / max(len(words), 1)
 
 
 def _plain(raw: str) -> str:

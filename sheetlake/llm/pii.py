@@ -78,6 +78,11 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` made once, however often it is used; in a lambda it would be made for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _blocks(parts: Column) -> Column:
     last = F.floor((F.size(parts) - 1) / BLOCK).cast("int")
     return F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: F.slice(parts, b * BLOCK + 1, F.lit(BLOCK))))
@@ -99,9 +104,10 @@ def _placed(parts: Column, schema: str, item) -> Column:
     def of_block(block: Column, before: Column) -> Column:
         return F.aggregate(block, F.struct(before.alias("at"), F.array().cast(schema).alias("out")), step, lambda acc: acc["out"])
 
-    # the blocks are made once, and then have a field each
-    held = F.transform(_blocks(parts), lambda b: F.struct(b.alias("block"), F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + x["len"]).alias("total")))
-    return F.get(F.transform(F.array(held), lambda h: F.flatten(F.zip_with(h, _befores(h["total"], lambda a, t: a + t), lambda x, at: of_block(x["block"], at)))), F.lit(0))
+    def held(p: Column) -> Column:
+        return F.transform(_blocks(p), lambda b: F.struct(b.alias("block"), F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + x["len"]).alias("total")))
+
+    return _once(parts, lambda p: _once(held(p), lambda h: F.flatten(F.zip_with(h, _befores(h["total"], lambda a, t: a + t), lambda x, at: of_block(x["block"], at)))))
 
 
 def pattern_spans(text: Column, kind: str) -> Column:
@@ -222,9 +228,11 @@ def _cleaned(text: Column, marks: Column) -> Column:
     The text is cut at blocks of marks first, so that no mark needs a walk
     through all of it.
     """
-    marks = marks.cast("array<struct<start:int,end:int,label:string>>")
-    held = F.transform(_blocks(marks), lambda b: F.struct(b.alias("block"), F.aggregate(b, F.lit(0), lambda a, m: F.greatest(a, m["end"])).alias("total")))
-    placed = F.transform(F.array(held), lambda h: F.zip_with(h, _befores(h["total"], lambda a, t: F.greatest(a, t)), lambda x, at: F.struct(x["block"].alias("block"), at.alias("at"), F.greatest(x["total"], at).alias("to"), F.substring(text, at + 1, F.greatest(x["total"] - at, F.lit(0))).alias("text"))))
+    def held(m: Column) -> Column:
+        return F.transform(_blocks(m), lambda b: F.struct(b.alias("block"), F.aggregate(b, F.lit(0), lambda a, m: F.greatest(a, m["end"])).alias("total")))
+
+    def placed(h: Column) -> Column:
+        return F.zip_with(h, _befores(h["total"], lambda a, t: F.greatest(a, t)), lambda x, at: F.struct(x["block"].alias("block"), at.alias("at"), F.greatest(x["total"], at).alias("to"), F.substring(text, at + 1, F.greatest(x["total"] - at, F.lit(0))).alias("text")))
 
     def step(acc: Column, m: Column, x: Column) -> Column:
         apart = m["start"] >= acc["at"]
@@ -234,8 +242,12 @@ def _cleaned(text: Column, marks: Column) -> Column:
     def joined(x: Column) -> Column:
         return F.aggregate(x["block"], F.struct(x["at"].alias("at"), F.lit("").alias("out")), lambda acc, m: step(acc, m, x), lambda acc: acc["out"])
 
-    done = F.transform(placed, lambda p: F.concat(F.array_join(F.transform(p, joined), ""), F.substring(text, F.element_at(p, -1)["to"] + 1, F.length(text))))
-    return F.when(F.size(marks) > 0, F.get(done, F.lit(0))).otherwise(text)
+    def done(p: Column) -> Column:
+        return F.concat(F.array_join(F.transform(p, joined), ""), F.substring(text, F.element_at(p, -1)["to"] + 1, F.length(text)))
+
+    kind = "array<struct<start:int,end:int,label:string>>"
+    cleaned = _once(marks.cast(kind), lambda m: _once(held(m), lambda h: _once(placed(h), done)))
+    return F.when(F.size(marks) > 0, cleaned).otherwise(text)
 
 
 def sanitise(docs: DataFrame, *, chance: float = 0.05, remove_at: float = 0.95, generalise_at: float = 0.85, min_length: int = 3, broadcast_rows: int = 1_000_000, with_text: bool = True) -> DataFrame:

@@ -259,7 +259,7 @@ def top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, shard_rows
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     picked = read.orderBy(F.xxhash64("vec_id", "v", F.lit(7)), "vec_id").limit(sample_rows).collect()
-    regions = min(most_regions, 2 * max(min_shards, math.ceil(n / shard_rows)))
+    regions = min(most_regions, max(min_shards, math.ceil(n / shard_rows)))
     routing = Routing([(r["vec_id"], r["v"]) for r in picked], regions, width, largest * (1 + 1e-9))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
