@@ -8,24 +8,50 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import documents, parse, registry
-from .sources import files, json_text
+from . import config
+from .operators import documents, extract, parse, registry, tiles
+from .sources import files, json_text, providers
+
+LOCAL_URL, HOSTED_URL, HOSTED_KEY = "http://localhost:11434/api/generate", "https://api.anthropic.com/v1/messages", "ANTHROPIC_API_KEY"
 
 REGISTRY = "path string, filename string, fingerprint string, status string, extraction_status string, seq long"
 
 
 def parser() -> argparse.ArgumentParser:
+    given = config.read()
     top = argparse.ArgumentParser(prog="sheetlake")
-    commands = top.add_subparsers(dest="command", required=True)
+    commands = top.add_subparsers(dest="command")
     process = commands.add_parser("process", help="read new drawings below a path")
-    process.add_argument("input_path")
+    process.add_argument("input_path", nargs="?", default="inputs/incoming")
     process.add_argument("--responses", help="recorded model responses, JSON lines with file_name and raw_response")
     process.add_argument("--force", action="store_true", help="also what has a completed entry")
+    process.add_argument("--retry-failed", action="store_true", help="for compatibility; failed files come up again anyway")
+    process.add_argument("--extractor", default=given.extractor, choices=config.EXTRACTORS, help="model endpoint to ask where no response is recorded")
+    process.add_argument("--model", default=given.model)
+    process.add_argument("--ollama-think", choices=["true", "false", "low", "medium", "high", "max"], help="thinking setting of a local model")
+    process.add_argument("--generate-crops", action="store_true", help="also write the boxes of overlapping tiles")
+    process.add_argument("--extract-crops", action="store_true", help="as --generate-crops; pictures of tiles need a cropper (see the README)")
+    process.add_argument("--ocr", action="store_true", help="needs recorded text blocks (see the README)")
+    process.add_argument("--ocr-engine", default="rapidocr")
     for p in (process, commands.add_parser("status", help="count the entries of the registry")):
         p.add_argument("--outputs", default="outputs")
     return top
 
 
+def endpoint(extractor: str, model: str | None, think: str | None):
+    """What asks the model; None without an extractor."""
+    name = extract.resolved_model(extractor, model)
+    if extractor == "ollama":
+        return providers.local_generate(LOCAL_URL, name, config.think(think))
+    if extractor == "anthropic":
+        if not name:
+            raise ValueError("this extractor needs a model")
+        return providers.hosted_messages(HOSTED_URL, name, HOSTED_KEY)
+    if extractor != "none":
+        raise ValueError(f"unknown extractor: {extractor}")
+    return None
+
+
 def known(spark: SparkSession, outputs: str) -> DataFrame:
     """The registry below ``outputs``; empty before the first batch."""
     try:
@@ -36,23 +62,57 @@ def known(spark: SparkSession, outputs: str) -> DataFrame:
         return spark.createDataFrame([], REGISTRY)
 
 
-def process(spark: SparkSession, input_path: str, outputs: str, responses: str | None = None, force: bool = False) -> dict[str, int]:
-    """Parse what is new, append products, reviews and registry entries, and return found, processed, skipped, failed.
+def process(spark: SparkSession, input_path: str, outputs: str, responses: str | None = None, force: bool = False, ask=None, crops: bool = False) -> dict[str, int]:
+    """Parse what is new, append products, reviews, audits and registry entries, and return found, processed, skipped, failed.
 
-    Files without a response get the default product and the extraction status
-    not_run; those with a null response or an error are failed and come up
-    again next time. The products are written first and the registry last, so
-    a batch that breaks off is simply done again.
+    Files without a response are sent to ``ask`` (see ``sources.providers``)
+    or, without it, get the default product and the extraction status not_run;
+    those with a null response or an error are failed and come up again next
+    time. Of equal files the first by path is tried, and the next one where it
+    fails. Of several recorded responses of a file the last in the order of
+    their texts counts. The products are written first and the registry last,
+    so a batch that breaks off is simply done again.
     """
     found = files.discover(spark, input_path)
     entries = known(spark, outputs)
-    todo = registry.to_process(found, entries, force).select("path", "filename", "fingerprint")
+    wanted = found.select("path", "filename", "fingerprint")
+    todo = registry.to_process(wanted, entries, force)
+    number = batch_number(entries)
+    total = files.discover(spark, input_path, content=False).count()
+    counts, tried, turn = {"processed": 0, "failed": 0}, None, 0
+    while True:
+        done = _batch(spark, todo, found, responses, ask, f"{outputs}/products/batch={number}", f"part={turn}")
+        documents.reviews(done).write.mode("append" if turn else "overwrite").parquet(f"{outputs}/reviews/batch={number}")
+        documents.audits(done, {}, internal=f"{outputs}/internal").write.mode("append" if turn else "overwrite").parquet(f"{outputs}/audits/batch={number}")
+        log = done.select("path", F.col("file_name").alias("filename"), "fingerprint", F.when(F.col("failed"), "failed").otherwise("completed").alias("status"), F.col("status").alias("extraction_status"), F.lit(number).cast("long").alias("seq"))
+        n = done.agg(F.count_if(~F.col("failed")).alias("processed"), F.count_if("failed").alias("failed")).first()
+        log.write.mode("append").parquet(f"{outputs}/registry")
+        counts = {k: v + n[k] for k, v in counts.items()}
+        tried = log if tried is None else tried.unionByName(log)
+        todo, turn = registry.next_equal(wanted, tried), turn + 1
+        if force or n["failed"] == 0 or todo.isEmpty():
+            break
+    if crops:
+        sized = found.filter("image IS NOT NULL").select("path", F.lit(1).alias("page"), "image.*")
+        tiles.tiles(sized, ["path"]).write.mode("overwrite").parquet(f"{outputs}/tiles/batch={number}")
+    return {"found": total, "processed": counts["processed"], "skipped": total - counts["processed"] - counts["failed"], "failed": counts["failed"]}
+
+
+def _batch(spark: SparkSession, todo: DataFrame, found: DataFrame, responses: str | None, ask, place: str, part: str) -> DataFrame:
+    """The parsed products of some files, written and read again."""
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("raw_response", "string"), ("error", "string"), ("answered", "boolean"))]
     if responses:
-        read = files.recorded(spark, responses).withColumn("answered", F.lit(True)).dropDuplicates(["file_name"])
-        todo = todo.join(read.withColumnRenamed("file_name", "filename"), "filename", "left")
+        read = files.recorded(spark, responses)
+        last = read.groupBy("file_name").agg(F.max(F.struct("raw_response", "error")).alias("r")).select(F.col("file_name").alias("filename"), "r.*", F.lit(True).alias("answered"))
+        todo = todo.join(last, "filename", "left")
+    elif ask:
+        asked = extract.page_requests(extract.page_images(todo)).join(spark.read.format("binaryFile").load([r[0] for r in todo.select("path").collect()]).select("path", F.col("content").alias("image")), "path")
+        got = providers.respond(asked, ask)
+        got.write.mode("overwrite").parquet(f"{place}-responses/{part}")  # calls are not repeatable
+        got = spark.read.parquet(f"{place}-responses/{part}")
+        todo = todo.join(asked.select("path", "request_id").join(got.filter("status <> 'not_run'"), "request_id").select("path", "raw_response", "error", F.lit(True).alias("answered")), "path", "left")
     else:
-        todo = todo.select("*", *[F.lit(None).cast(t).alias(n) for n, t in (("raw_response", "string"), ("error", "string"), ("answered", "boolean"))])
-    number = batch_number(entries)
+        todo = todo.select("*", *none)
     answered = F.coalesce("answered", F.lit(False))
     failed = answered & (F.col("error").isNotNull() | F.col("raw_response").isNull())
     asked = todo.select("path", F.col("filename").alias("file_name"), "fingerprint", "raw_response", "error", answered.alias("answered"), failed.alias("failed"))
@@ -61,15 +121,8 @@ def process(spark: SparkSession, input_path: str, outputs: str, responses: str |
     rows = rows.withColumn("warnings", F.when(F.col("answered"), F.col("warnings")).otherwise(F.array().cast("array<string>")))
     fields = [c for c in rows.columns if c not in (*keep, "status")]
     text = json_text.compact_json(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
-    made = f"{outputs}/products/batch={number}"
-    rows.withColumn("json", text).write.mode("overwrite").parquet(made)
-    done = spark.read.parquet(made)
-    documents.reviews(done).write.mode("overwrite").parquet(f"{outputs}/reviews/batch={number}")
-    log = done.select("path", F.col("file_name").alias("filename"), "fingerprint", F.when(F.col("failed"), "failed").otherwise("completed").alias("status"), F.col("status").alias("extraction_status"), F.lit(number).cast("long").alias("seq"))
-    counts = done.agg(F.count_if(~F.col("failed")).alias("processed"), F.count_if("failed").alias("failed")).first()
-    total = files.discover(spark, input_path, content=False).count()
-    log.write.mode("append").parquet(f"{outputs}/registry")
-    return {"found": total, "processed": counts["processed"], "skipped": total - counts["processed"] - counts["failed"], "failed": counts["failed"]}
+    rows.withColumn("json", text).write.mode("overwrite").parquet(f"{place}/{part}")
+    return spark.read.parquet(f"{place}/{part}")
 
 
 def batch_number(entries: DataFrame) -> int:
@@ -78,13 +131,17 @@ def batch_number(entries: DataFrame) -> int:
 
 
 def main(argv: Sequence[str] | None = None) -> int:
-    """Exit status 1 if any file failed."""
+    """Exit status 1 if any file failed. Without a command, process."""
+    config.load_env()
     args = parser().parse_args(argv)
+    if args.command is None:
+        args = parser().parse_args(["process"])
+        args.extractor, args.model = "none", None
     spark = SparkSession.builder.appName("sheetlake").getOrCreate()
     if args.command == "status":
         counts = registry.status_counts(known(spark, args.outputs)).first().asDict()
     else:
-        counts = process(spark, args.input_path, args.outputs, args.responses, args.force)
+        counts = process(spark, args.input_path, args.outputs, args.responses, args.force, endpoint(args.extractor, args.model, args.ollama_think), args.generate_crops or args.extract_crops)
     print("\n".join(f"{name}: {n}" for name, n in counts.items()))
     return int(args.command == "process" and counts["failed"] > 0)
 

@@ -110,7 +110,8 @@ def is_numeric_candidate(c: Column) -> Column:
 
 
 def ocr_class(c: Column) -> Column:
-    return F.when(c.contains(":"), "ratio_or_scale").when(c.rlike("[øØ#]"), "diameter_candidate").when(c.rlike(r"(?iU)\(?x\d+\)?"), "quantity_candidate").otherwise("numeric_candidate")
+    """Ratio before diameter before count."""
+    return F.when(c.contains(":"), "ratio_or_scale_candidate").when(c.rlike("[øØ#]"), "diameter_candidate").when(c.rlike(r"(?iU)\(?x\d+\)?"), "quantity_candidate").otherwise("numeric_candidate")
 
 
 def is_weak(c: Column) -> Column:

@@ -55,6 +55,17 @@ def scalar(v: Column, name: str) -> Column:
     return X.clean_scalar(get(v, name))
 
 
+def own_scalar(v: Column, name: str) -> Column:
+    """A field as VARIANT: texts cleaned, anything else as it is, so that numbers stay numbers."""
+    return cleaned(get(v, name, "variant"))
+
+
+def cleaned(x: Column) -> Column:
+    text = X.clean_scalar(F.try_variant_get(x, "$", "string"))
+    quoted = F.try_variant_get(F.try_parse_json(F.to_json(F.struct(text.alias("t")))), "$.t", "variant")
+    return F.when(kind(x) == "STRING", quoted).when(kind(x) != "VOID", x)
+
+
 def _same(a: Column, b: Column) -> Column:
     return F.coalesce(F.lower(X.strip(a)) == F.lower(X.strip(b)), F.lit(False))
 
@@ -62,7 +73,7 @@ def _same(a: Column, b: Column) -> Column:
 def dimension(d: Column) -> Column:
     raw, value, label = scalar(d, "raw_text"), scalar(d, "value"), scalar(d, "label")
     return F.struct(
-        raw.alias("raw_text"), value.alias("value"), X.unit(scalar(d, "unit")).alias("unit"), X.dimension_type(get(d, "type")).alias("type"), scalar(d, "quantity").alias("quantity"),
+        raw.alias("raw_text"), own_scalar(d, "value").alias("value"), X.unit(scalar(d, "unit")).alias("unit"), X.dimension_type(get(d, "type")).alias("type"), own_scalar(d, "quantity").alias("quantity"),
         F.when(~_same(label, raw) & ~_same(label, value), label).alias("label"), scalar(d, "context").alias("context"),
     )
 
@@ -81,9 +92,10 @@ def dimension_warnings(list_: Column) -> Column:
 
 def cells(row: Column, columns: Column) -> Column:
     """{column, value} of a row: its cells, or its values set against the columns."""
-    own = F.transform(only_objects(items(row, "cells")), lambda c: F.struct(scalar(c, "column").alias("column"), scalar(c, "value").alias("value")))
-    values = F.transform(items(row, "values"), lambda v: X.clean_scalar(F.try_variant_get(v, "$", "string")))
-    names = F.when(scalar(row, "label").isNotNull() & (F.size(columns) == F.size(values) + 1), F.slice(columns, F.lit(2), F.greatest(F.size(columns), F.lit(1)))).otherwise(columns)
+    own = F.transform(only_objects(items(row, "cells")), lambda c: F.struct(scalar(c, "column").alias("column"), own_scalar(c, "value").alias("value")))
+    values = F.transform(items(row, "values"), cleaned)
+    labelled = F.coalesce(kind(get(row, "label", "variant")) != "VOID", F.lit(False))
+    names = F.when(labelled & (F.size(columns) == F.size(values) + 1), F.slice(columns, F.lit(2), F.greatest(F.size(columns), F.lit(1)))).otherwise(columns)
     zipped = F.transform(values, lambda v, i: F.struct(F.get(names, i).alias("column"), v.alias("value")))
     return F.when(is_list(get(row, "cells", "variant")), own).otherwise(zipped)
 
@@ -91,14 +103,17 @@ def cells(row: Column, columns: Column) -> Column:
 def redundant(label: Column, cells_: Column) -> Column:
     """Whether a label only repeats the first value, perhaps after part of the first column's name."""
     one = F.get(cells_, F.lit(0))
-    low, value, column = F.lower(X.strip(label)), F.lower(X.strip(one["value"])), F.lower(X.strip(one["column"]))
+    text = F.when(kind(one["value"]) == "STRING", F.try_variant_get(one["value"], "$", "string"))  # a number repeats no label
+    low, value, column = F.lower(X.strip(label)), F.lower(X.strip(text)), F.lower(X.strip(one["column"]))
     rest = X.strip(F.substring(low, F.lit(1), F.length(low) - F.length(value)))
     return F.coalesce((F.length(value) > 0) & F.endswith(low, value) & ((rest == "") | F.coalesce(column.contains(rest), F.lit(False))), F.lit(False))
 
 
 def table(t: Column) -> Column:
-    """Rows in one form; ``columns`` is set where all rows (two at least) have the same ones."""
-    named = F.transform(F.filter(items(t, "columns"), lambda c: kind(c) == "STRING"), lambda c: F.try_variant_get(c, "$", "string"))
+    """Rows with cells; where all rows (two at least) have the same columns, ``columns`` and values instead."""
+    # a column's name keeps its place whatever it is; only texts can head all rows
+    named = F.transform(items(t, "columns"), lambda c: F.try_variant_get(c, "$", "string"))
+    odd = F.exists(items(t, "columns"), lambda c: ~kind(c).isin("STRING", "VOID"))
 
     def row(r: Column) -> Column:
         c, label = cells(r, named), scalar(r, "label")
@@ -106,8 +121,11 @@ def table(t: Column) -> Column:
 
     rows = F.transform(only_objects(items(t, "rows")), row)
     heads = F.array_distinct(F.transform(rows, lambda r: F.transform(r["cells"], lambda c: F.coalesce(c["column"], F.lit("")))))
-    uniform = (F.size(rows) >= 2) & (F.size(heads) == 1) & (F.size(F.get(heads, F.lit(0))) > 0) & ~F.array_contains(F.get(heads, F.lit(0)), "")
-    return F.struct(X.table_type(get(t, "type")).alias("type"), scalar(t, "title").alias("title"), scalar(t, "context").alias("context"), F.when(uniform, F.get(heads, F.lit(0))).alias("columns"), rows.alias("rows"))
+    blank = F.exists(F.get(heads, F.lit(0)), lambda c: X.strip(c) == "")
+    uniform = (F.size(rows) >= 2) & (F.size(heads) == 1) & (F.size(F.get(heads, F.lit(0))) > 0) & ~blank & ~odd
+    shown = F.transform(rows, lambda r: F.struct(r["label"].alias("label"), F.when(~uniform, r["cells"]).alias("cells"), F.when(uniform, F.transform(r["cells"], lambda c: c["value"])).alias("values")))
+    columns = F.when(uniform, F.transform(F.get(rows, F.lit(0))["cells"], lambda c: c["column"]))
+    return F.struct(X.table_type(get(t, "type")).alias("type"), scalar(t, "title").alias("title"), scalar(t, "context").alias("context"), columns.alias("columns"), shown.alias("rows"))
 
 
 def table_warnings(v: Column, name: str) -> Column:
@@ -142,12 +160,13 @@ def schematic_warnings(v: Column) -> Column:
     return F.flatten(F.transform(items(v, "schematics"), own))
 
 
-def products(responses: DataFrame, keep: tuple[str, ...] = ("file_name",)) -> DataFrame:
+def products(responses: DataFrame, keep: tuple[str, ...] = ("file_name",), found: str | None = None) -> DataFrame:
     """The columns ``keep`` with the product's fields and ``status`` for rows of file_name and raw_response.
 
     ``status`` is completed or validation_failed. Null, broken and non-object
     responses give the default product with a warning. tolerances and notes
-    stay JSON text.
+    stay JSON text. ``found`` names a column for the warnings of this parse
+    alone, without those that the response has itself.
     """
     body = X.json_object(F.coalesce("raw_response", F.lit("")))
     df = responses.select(*keep, "file_name", F.try_parse_json(body).alias("v")) if "file_name" not in keep else responses.select(*keep, F.try_parse_json(body).alias("v"))
@@ -160,11 +179,11 @@ def products(responses: DataFrame, keep: tuple[str, ...] = ("file_name",)) -> Da
         t = scalar(v, n)
         checks.append((F.coalesce(t.contains(".") | _same(t, F.col("file_name")) | _same(t, stem), F.lit(False)), F.concat(F.lit(f"`{n}` may contain a source filename or file extension: `"), t, F.lit("`."))))
     resets = [(get(v, n, "variant").isNotNull() & ~is_list(get(v, n, "variant")), F.lit(f"`{n}` was not a list and was reset.")) for n in LISTS]
-    found = F.concat(
+    told = F.concat(
         warn((moved, F.lit("Moved sheet size value from `scale` to `size`.")), *checks, *resets), dimension_warnings(items(v, "dimensions")),
         table_warnings(v, "dimension_tables"), table_warnings(v, "tables"), schematic_warnings(v),
     )
-    found = F.when(ok, found).when(v.isNull(), F.array(F.lit("Extractor response was not valid JSON."))).otherwise(F.array(F.lit("Extractor response JSON was not an object.")))
+    told = F.when(ok, told).when(v.isNull(), F.array(F.lit("Extractor response was not valid JSON."))).otherwise(F.array(F.lit("Extractor response JSON was not an object.")))
     own = F.transform(items(v, "warnings"), lambda w: F.try_variant_get(w, "$", "string"))
     placeholder = F.array(F.lit("Semantic extraction is not implemented yet."))
     own = F.when(~ok, none()).when(get(v, "warnings", "variant").isNull(), placeholder).otherwise(own)
@@ -175,7 +194,8 @@ def products(responses: DataFrame, keep: tuple[str, ...] = ("file_name",)) -> Da
         F.transform(only_objects(items(v, "dimension_tables")), table).alias("dimension_tables"), F.transform(only_objects(items(v, "tables")), table).alias("tables"),
         F.transform(only_objects(items(v, "schematics")), schematic).alias("schematics"),
         *[F.when(is_list(get(v, n, "variant")), F.to_json(get(v, n, "variant"))).otherwise("[]").alias(n) for n in ("tolerances", "notes")],
-        F.concat(own, found).alias("warnings"), F.when(F.size(found) > 0, "validation_failed").otherwise("completed").alias("status"),
+        F.concat(own, told).alias("warnings"), F.when(F.size(told) > 0, "validation_failed").otherwise("completed").alias("status"),
+        *([told.alias(found)] if found else []),
     )
 
 

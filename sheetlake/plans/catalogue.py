@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import evidence, registry, review, tiles
+from ..functions import prompts
+from ..operators import documents, evidence, extract, ocr, parse, registry, review, tiles
 from ..sources import files, json_text
+from ..streaming import incremental
 
 FLAGSHIP = "q01_evidence_candidates"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +39,7 @@ def s_case(key: str, table: dict[str, tuple[str, ...]]) -> str:
 S_TOKENS = "(SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS token FROM documents)"
 S_NUMERIC = "NOT regexp_matches(token, '[a-wyzA-WYZ]') AND regexp_matches(token, '\\d')"
 S_OCR = "regexp_replace(translate(lower(trim({0})), 'ø#,', 'ØØ.'), '\\s+', '', 'g')"
-S_CLASS = "CASE WHEN contains({0}, ':') THEN 'ratio_or_scale' WHEN regexp_matches({0}, '[øØ#]') THEN 'diameter_candidate' WHEN regexp_matches({0}, '(?i)\\(?x\\d+\\)?') THEN 'quantity_candidate' ELSE 'numeric_candidate' END"
+S_CLASS = "CASE WHEN contains({0}, ':') THEN 'ratio_or_scale_candidate' WHEN regexp_matches({0}, '[øØ#]') THEN 'diameter_candidate' WHEN regexp_matches({0}, '(?i)\\(?x\\d+\\)?') THEN 'quantity_candidate' ELSE 'numeric_candidate' END"
 S_KEYS = (
     "list_distinct(list_concat([{0}], list_filter([regexp_replace({0}, '[øØ#]', '', 'g'), regexp_replace({0}, '(?i)^\\(?x\\d+\\)?', ''),"
     " regexp_replace(regexp_replace({0}, '[øØ#]', '', 'g'), '(?i)^\\(?x\\d+\\)?', '')], lambda k: k <> '')))"
@@ -72,9 +74,20 @@ def q02_fingerprint(t):
     return t("documents").select("doc_id", X.fingerprint(F.col("text")).alias("fingerprint"))
 
 
-@query("SELECT min(doc_id) AS doc_id, sha256(text) AS fingerprint FROM documents GROUP BY 2")
+S_LOG = "(SELECT sha256(text) AS fingerprint, d.doc_id FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 0)"
+
+
+def _files_and_log(t) -> tuple[DataFrame, DataFrame]:
+    """Documents as files, and those of low quality as a registry of completed entries in order of their ids."""
+    d = t("documents").select("doc_id", F.sha2("text", 256).alias("fingerprint"), F.format_string("%09d", "doc_id").alias("path"))
+    log = d.join(t("labels").filter("quality = 0").select("doc_id"), "doc_id").select("fingerprint", F.lit("completed").alias("status"), F.col("doc_id").alias("seq"), F.concat(F.lit("r"), "path").alias("result_path"))
+    return d, log
+
+
+@query(f"SELECT printf('%09d', min(doc_id)) AS path, sha256(text) AS fingerprint FROM documents WHERE sha256(text) NOT IN (SELECT fingerprint FROM {S_LOG}) GROUP BY 2")
 def q03_skip_completed(t):
-    return t("documents").groupBy(F.sha2("text", 256).alias("fingerprint")).agg(F.min("doc_id").alias("doc_id"))
+    d, log = _files_and_log(t)
+    return registry.to_process(d.select("path", "fingerprint"), log)
 
 
 @query("SELECT o_custkey AS fingerprint, max_by(o_orderkey, {'d': o_orderdate, 'k': o_orderkey}) AS o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
@@ -88,9 +101,9 @@ def q05_status_counts(t):
     return registry.status_counts(t("orders").select(F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").alias("status")))
 
 
-@query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
-def q06_anti_registry(t):
-    return t("documents").select("doc_id", "lang").join(t("labels").select("doc_id"), "doc_id", "left_anti")
+@query(f"SELECT printf('%09d', doc_id) AS path, 'SKIP ' || printf('%09d', doc_id) || ' (already completed) -> r' || printf('%09d', last) AS message FROM documents JOIN (SELECT fingerprint, max(doc_id) AS last FROM {S_LOG} GROUP BY 1) ON fingerprint = sha256(text)")
+def q06_skip_messages(t):
+    return registry.skip_messages(*_files_and_log(t))
 
 
 @query("SELECT page_id, coalesce(lower(regexp_extract(url, '\\.([^./]+)$', 1)) IN ('pdf', 'png', 'jpg', 'jpeg', 'tif', 'tiff'), false) AS supported, lower(regexp_extract(url, '\\.([^./]+)$', 1)) AS extension FROM pages")
@@ -199,7 +212,7 @@ def q19_candidate_support(t):
     WHERE confidence >= 0.75 AND NOT regexp_matches({S_OCR.format('token')}, '^\\d$')""")
 def q20_select_targets(t):
     e = t("events").select("event_id", F.col("user_id").cast("string").alias("token"), (F.col("value") / 100).alias("confidence"))
-    return e.filter((F.col("confidence") >= 0.75) & ~X.is_weak(X.ocr_text(F.col("token")))).select("event_id", X.ocr_class(F.col("token")).alias("classification"))
+    return e.filter(ocr.is_target(F.lit("not_found_in_full_page"), F.col("confidence"), X.ocr_text(F.col("token")))).select("event_id", X.ocr_class(F.col("token")).alias("classification"))
 
 
 @query("SELECT p_partkey, CASE WHEN lower(v) NOT IN ('', 'null', 'none', 'n/a', 'na', '-') THEN v END AS value FROM (SELECT p_partkey, regexp_replace(CASE p_size % 7 WHEN 0 THEN ' N/A ' WHEN 1 THEN '' WHEN 2 THEN 'Null' WHEN 3 THEN chr(9) || p_type || ' ' ELSE p_type END, '^\\s+|\\s+$', '', 'g') AS v FROM part)")
@@ -234,7 +247,9 @@ def q24_size_scale_fix(t):
 
 @query("SELECT page_id, contains(regexp_extract(url, '([^/]*)$', 1), '.') AS filename_like FROM pages")
 def q25_filename_warning(t):
-    return t("pages").select("page_id", F.regexp_extract("url", "([^/]*)$", 1).contains(".").alias("filename_like"))
+    answer = F.to_json(F.struct(F.regexp_extract("url", "([^/]*)$", 1).alias("document_name")))
+    made = parse.products(t("pages").select("page_id", F.lit("x.pdf").alias("file_name"), answer.alias("raw_response")), ("page_id",))
+    return made.select("page_id", F.exists("warnings", lambda w: w.startswith("`document_name` may contain")).alias("filename_like"))
 
 
 @query("SELECT event_id, md5(props) AS body_md5, json_valid(props) AS valid FROM events")
@@ -245,62 +260,67 @@ def q26_json_extract(t):
 
 @query("SELECT event_id % 3 = 0 AS broken, CASE WHEN event_id % 3 = 0 THEN 'validation_failed' ELSE 'completed' END AS status, count(*) AS n FROM events GROUP BY ALL")
 def q27_json_permissive(t):
-    body = F.when(F.col("event_id") % 3 == 0, F.substring("props", 2, 1000)).otherwise(F.col("props"))
-    ok = F.try_parse_json(X.json_object(body)).isNotNull()
-    return t("events").groupBy((F.col("event_id") % 3 == 0).alias("broken"), F.when(ok, "completed").otherwise("validation_failed").alias("status")).agg(F.count("*").alias("n"))
+    """Responses of which every third lacks its first character."""
+    broken = F.col("event_id") % 3 == 0
+    body = F.when(broken, F.substring("props", F.lit(2), F.length("props"))).otherwise(F.col("props"))
+    made = parse.products(t("events").select(broken.alias("broken"), F.lit("x.pdf").alias("file_name"), body.alias("raw_response")), ("broken",))
+    return made.groupBy("broken", "status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_orderkey, l_linenumber, unnest(['quantity', 'flag', NULL]) AS col, unnest([CAST(CAST(l_quantity AS INT) AS VARCHAR), l_returnflag, l_linestatus]) AS val FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, unnest(['quantity', '1', NULL]) AS col, unnest([CAST(CAST(l_quantity AS INT) AS VARCHAR), l_returnflag, l_linestatus]) AS val FROM lineitem")
 def q28_table_cells(t):
-    names, values = F.array(F.lit("quantity"), F.lit("flag")), F.array(F.col("l_quantity").cast("int").cast("string"), "l_returnflag", "l_linestatus")
-    return t("lineitem").select("l_orderkey", "l_linenumber", F.posexplode(values).alias("i", "val"), names.alias("n")).select("l_orderkey", "l_linenumber", F.get("n", F.col("i")).alias("col"), "val")
+    """Bare values set against columns of which one is a number and one is missing."""
+    row = F.to_json(F.struct(F.array(F.col("l_quantity").cast("int").cast("string"), "l_returnflag", "l_linestatus").alias("values")))
+    table = F.parse_json(F.concat(F.lit('{"columns": ["quantity", 1], "rows": ['), row, F.lit("]}")))
+    made = t("lineitem").select("l_orderkey", "l_linenumber", table.alias("v")).select("l_orderkey", "l_linenumber", parse.table(F.col("v")).alias("t"))
+    return made.select("l_orderkey", "l_linenumber", F.explode(F.get("t.rows", F.lit(0))["cells"]).alias("c")).select("l_orderkey", "l_linenumber", F.col("c.column").alias("col"), F.try_variant_get("c.value", "$", "string").alias("val"))
 
 
-@query("SELECT l_orderkey, count(*) >= 2 AND count(DISTINCT l_returnflag || l_linestatus) = 1 AS uniform FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, count(*) >= 2 AND count(DISTINCT l_returnflag || l_linestatus) = 1 AS uniform, CASE WHEN count(*) >= 2 AND count(DISTINCT l_returnflag || l_linestatus) = 1 THEN [min(l_returnflag), min(l_linestatus)] END AS columns FROM lineitem GROUP BY 1")
 def q29_collapse_uniform(t):
-    head = F.concat("l_returnflag", "l_linestatus")
-    return t("lineitem").groupBy("l_orderkey").agg(((F.count("*") >= 2) & (F.min(head) == F.max(head))).alias("uniform"))
+    """Each order as a table whose columns are the flags of its lines."""
+    cell = lambda c: F.struct(F.col(c).alias("column"), F.lit("x").alias("value"))
+    rows = t("lineitem").groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(F.struct(F.array(cell("l_returnflag"), cell("l_linestatus")).alias("cells"))).alias("rows"))).alias("j"))
+    return rows.select("l_orderkey", parse.table(F.parse_json("j")).alias("t")).select("l_orderkey", F.col("t.columns").isNotNull().alias("uniform"), "t.columns")
 
 
 @query("SELECT p_partkey, regexp_extract(p_name, '(\\S+)$', 1) AS last_word, coalesce(ends_with(lower(p_name), lower(regexp_extract(p_name, '(\\S+)$', 1))) AND contains(lower(p_type), trim(lower(regexp_replace(p_name, '\\S+$', '')))), false) AS redundant FROM part")
 def q30_label_redundant(t):
-    from ..operators import parse
-
     word = F.regexp_extract("p_name", r"(\S+)$", 1)
-    cells = F.array(F.struct(F.col("p_type").alias("column"), word.alias("value")))
+    cells = F.array(F.struct(F.col("p_type").alias("column"), F.variant_get(F.parse_json(F.to_json(F.struct(word.alias("v")))), "$.v", "variant").alias("value")))
     return t("part").select("p_partkey", word.alias("last_word"), parse.redundant(F.col("p_name"), cells).alias("redundant"))
 
 
 def _candidates(t) -> DataFrame:
-    """Parts as dimension candidates: a thousand pages, boxes that overlap by chance."""
+    """Parts as dimension candidates of two documents with the same ids; boxes overlap by chance."""
     k = F.col("p_partkey")
     return evidence.dedupe_keys(t("part").select(
-        F.format_string("c%09d", k).alias("candidate_id"), F.lit(1).alias("f"), (k % 5).cast("int").alias("page"),
+        F.format_string("c%09d", F.floor(k / 2)).alias("candidate_id"), (k % 2).cast("int").alias("f"), (k % 5).cast("int").alias("page"),
         F.when(F.col("p_size") % 4 == 0, "").otherwise(F.concat((F.col("p_size") % 6).cast("string"), F.lit(",5"))).alias("value"), F.concat((F.col("p_size") % 6).cast("string"), F.when(k % 2 == 0, ".5").otherwise(",5")).alias("raw_text"),
-        F.when(k % 3 == 0, F.lit(None)).otherwise(F.lit("Linear")).alias("type"), F.when(k % 4 == 0, F.lit(None)).otherwise(F.lit("PAD  A")).alias("label"), F.when(k % 7 < 4, F.lit(None)).otherwise((k % 2).cast("string")).alias("quantity"),
+        F.when(k % 3 == 0, F.lit(None)).otherwise(F.lit("Linear")).alias("type"), F.when(k % 4 == 0, F.lit(None)).otherwise(F.lit("PAD  A")).alias("label"), F.when(k % 7 < 4, F.lit(None)).otherwise((k % 2).cast("string")).alias("quantity"), F.lit(None).cast("string").alias("context"),
         (F.floor("p_retailprice").cast("int") * 37 % 9000).alias("x"), (k % 97 * 61).cast("int").alias("y"), F.lit(700).alias("width"), F.lit(500).alias("height"),
     ))
 
 
 S_CANDIDATES = """
-    c AS (SELECT printf('c%09d', p_partkey) AS candidate_id, CAST(p_partkey % 5 AS INT) AS k_page, replace(CASE WHEN p_size % 4 = 0 THEN (p_size % 6) || CASE WHEN p_partkey % 2 = 0 THEN '.5' ELSE ',5' END ELSE (p_size % 6) || ',5' END, ',', '.') AS k_value,
+    c AS (SELECT printf('c%09d', p_partkey // 2) AS candidate_id, CAST(p_partkey % 2 AS INT) AS f, CAST(p_partkey % 5 AS INT) AS k_page, replace(CASE WHEN p_size % 4 = 0 THEN (p_size % 6) || CASE WHEN p_partkey % 2 = 0 THEN '.5' ELSE ',5' END ELSE (p_size % 6) || ',5' END, ',', '.') AS k_value,
         CASE WHEN p_partkey % 3 = 0 THEN 'unknown' ELSE 'linear' END AS k_type, CASE WHEN p_partkey % 4 > 0 THEN 'pad a' END AS k_label, CASE WHEN p_partkey % 7 >= 4 THEN CAST(p_partkey % 2 AS VARCHAR) END AS k_quantity,
-        replace((p_size % 6) || CASE WHEN p_partkey % 2 = 0 THEN '.5' ELSE ',5' END, ',', '.') AS raw, CAST(floor(p_retailprice) AS INT) * 37 % 9000 AS x, CAST(p_partkey % 97 * 61 AS INT) AS y FROM part),
-    m AS (SELECT * FROM c a WHERE EXISTS (SELECT 1 FROM c b WHERE a.candidate_id <> b.candidate_id AND a.k_page = b.k_page AND a.k_value = b.k_value AND a.k_type = b.k_type AND a.k_label IS NOT DISTINCT FROM b.k_label
+        (p_size % 6) || CASE WHEN p_partkey % 2 = 0 THEN '.5' ELSE ',5' END AS raw, CAST(floor(p_retailprice) AS INT) * 37 % 9000 AS x, CAST(p_partkey % 97 * 61 AS INT) AS y FROM part),
+    m AS (SELECT * FROM c a WHERE EXISTS (SELECT 1 FROM c b WHERE a.f = b.f AND a.candidate_id <> b.candidate_id AND a.k_page = b.k_page AND a.k_value = b.k_value AND a.k_type = b.k_type AND a.k_label IS NOT DISTINCT FROM b.k_label
         AND a.k_quantity IS NOT DISTINCT FROM b.k_quantity AND abs(a.x - b.x) < 700 AND abs(a.y - b.y) < 500)),
-    g AS (SELECT k_page, k_value, k_type, k_label, k_quantity, count(*) AS members, count(DISTINCT raw) AS raws, min(candidate_id) AS first_id FROM m GROUP BY ALL HAVING count(*) >= 2),
+    g AS (SELECT f, k_page, k_value, k_type, k_label, k_quantity, count(*) AS members, count(DISTINCT raw) AS raws, min(candidate_id) AS first_id FROM m GROUP BY ALL HAVING count(*) >= 2),
     d AS (SELECT *, CAST(40 + CASE WHEN k_label IS NULL THEN -15 ELSE 20 END + CASE WHEN k_quantity IS NULL THEN 0 ELSE 15 END + CASE WHEN raws = 1 THEN 15 ELSE 0 END + CASE WHEN members > 2 THEN 5 ELSE 0 END AS INTEGER) AS score FROM g)
 """
 
 
-@query(f"WITH {S_CANDIDATES} SELECT candidate_id, k_page, k_value, k_type, k_label, k_quantity FROM c")
+@query(f"WITH {S_CANDIDATES} SELECT f, candidate_id, k_page, k_value, k_type, k_label, k_quantity FROM c")
 def q31_dedupe_key(t):
-    return _candidates(t).select("candidate_id", "k_page", "k_value", "k_type", "k_label", "k_quantity")
+    return _candidates(t).select("f", "candidate_id", "k_page", "k_value", "k_type", "k_label", "k_quantity")
 
 
-@query(f"WITH {S_CANDIDATES} SELECT k_page, k_value, k_type, k_label, k_quantity, members, first_id, score, CASE WHEN score >= 75 THEN 'strong_duplicate' ELSE 'weak_duplicate' END AS classification FROM d")
+@query(f"WITH {S_CANDIDATES} SELECT f, k_page, k_value, k_type, k_label, k_quantity, members, first_id, score, CASE WHEN score >= 75 THEN 'strong_duplicate' ELSE 'weak_duplicate' END AS classification FROM d")
 def q32_duplicate_groups(t):
-    return evidence.duplicate_groups(_candidates(t), ["f"]).drop("f", "raws")
+    return evidence.duplicate_groups(_candidates(t), ["f"]).drop("raws", "score_reasons", "review_action")
 
 
 @query(f"WITH {S_CANDIDATES} SELECT CASE WHEN score >= 75 THEN 'strong_duplicate' ELSE 'weak_duplicate' END AS classification, score, count(*) AS groups, CAST(sum(members) AS BIGINT) AS members FROM d GROUP BY ALL")
@@ -308,49 +328,88 @@ def q33_duplicate_score(t):
     return evidence.duplicate_groups(_candidates(t), ["f"]).groupBy("classification", "score").agg(F.count("*").alias("groups"), F.sum("members").alias("members"))
 
 
-@query(f"WITH {S_CANDIDATES} SELECT candidate_id FROM c WHERE candidate_id NOT IN (SELECT candidate_id FROM m)")
+@query(f"WITH {S_CANDIDATES} SELECT f, candidate_id FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.f = c.f AND m.candidate_id = c.candidate_id)")
 def q34_unique_candidates(t):
     c = _candidates(t)
-    return c.join(evidence.overlapping_members(c, ["f"]), "candidate_id", "left_anti").select("candidate_id")
+    return evidence.tile_summary(c, _full_page(t), ["f"])["unique"].select("f", "candidate_id")
 
 
 S_SUPPORT = """
-    f AS (SELECT CAST(1 AS INT) AS k_page, replace((s_suppkey % 6) || ',5', ',', '.') AS k_value, CASE WHEN s_nationkey % 2 = 0 THEN 'linear' ELSE 'unknown' END AS k_type, CASE WHEN s_nationkey % 3 = 0 THEN 'pad a' WHEN s_nationkey % 3 = 1 THEN 'other' END AS k_label,
+    f AS (SELECT CAST(s_suppkey % 2 AS INT) AS f, CAST(1 AS INT) AS k_page, replace((s_suppkey % 6) || ',5', ',', '.') AS k_value, CASE WHEN s_nationkey % 2 = 0 THEN 'linear' ELSE 'unknown' END AS k_type, CASE WHEN s_nationkey % 3 = 0 THEN 'pad a' WHEN s_nationkey % 3 = 1 THEN 'other' END AS k_label,
         CASE WHEN s_nationkey % 4 = 0 THEN '1' END AS k_quantity FROM supplier),
-    s AS (SELECT c.candidate_id, c.k_type, c.k_value, c.raw, c.k_label, (SELECT count(*) FROM f WHERE f.k_page = c.k_page AND f.k_value = c.k_value AND f.k_type = c.k_type AND (f.k_label IS NULL OR c.k_label IS NULL OR f.k_label = c.k_label)
+    s AS (SELECT c.f, c.candidate_id, c.k_type, c.k_value, c.raw, c.k_label, (SELECT count(*) FROM f WHERE f.f = c.f AND f.k_page = c.k_page AND f.k_value = c.k_value AND f.k_type = c.k_type AND (f.k_label IS NULL OR c.k_label IS NULL OR f.k_label = c.k_label)
         AND (f.k_quantity IS NULL OR c.k_quantity IS NULL OR f.k_quantity = c.k_quantity)) AS matches FROM c)
 """
 
 
-def _supported(t) -> DataFrame:
+def _full_page(t) -> DataFrame:
     n = F.col("s_nationkey")
-    full = t("supplier").select(F.lit(1).alias("f"), F.lit(1).alias("page"), F.concat((F.col("s_suppkey") % 6).cast("string"), F.lit(",5")).alias("value"), F.lit(None).cast("string").alias("raw_text"), F.when(n % 2 == 0, "linear").alias("type"),
+    full = t("supplier").select((F.col("s_suppkey") % 2).cast("int").alias("f"), F.format_string("full_page_dimension_%03d", "s_suppkey").alias("candidate_id"), F.lit(1).alias("page"), F.concat((F.col("s_suppkey") % 6).cast("string"), F.lit(",5")).alias("value"), F.lit(None).cast("string").alias("raw_text"), F.when(n % 2 == 0, "linear").alias("type"),
         F.when(n % 3 == 0, "Pad A").when(n % 3 == 1, "other").alias("label"), F.when(n % 4 == 0, "1.0").alias("quantity"))
-    return evidence.support(_candidates(t), evidence.dedupe_keys(full), ["f"])
+    return evidence.dedupe_keys(full)
+
 
+def _supported(t) -> DataFrame:
+    return evidence.support(_candidates(t), _full_page(t), ["f"])
 
-@query(f"WITH {S_CANDIDATES}, {S_SUPPORT} SELECT candidate_id, CAST(matches AS BIGINT) AS matches, CASE WHEN matches > 0 THEN 'full_page_supported' ELSE 'tile_only' END AS status FROM s")
+
+@query(f"WITH {S_CANDIDATES}, {S_SUPPORT} SELECT f, candidate_id, CAST(matches AS BIGINT) AS matches, CASE WHEN matches > 0 THEN 'full_page_supported' ELSE 'tile_only' END AS status FROM s")
 def q35_support_split(t):
-    return _supported(t).select("candidate_id", "matches", "status")
+    return _supported(t).select("f", "candidate_id", "matches", "status")
 
 
-@query(f"WITH {S_CANDIDATES}, {S_SUPPORT} SELECT CASE WHEN k_label IS NULL AND raw = '1.5' THEN 'weak_tile_only' ELSE 'tile_only_candidate' END AS classification, count(*) AS n FROM s WHERE matches = 0 GROUP BY 1")
+@query(f"WITH {S_CANDIDATES}, {S_SUPPORT} SELECT CASE WHEN k_label IS NULL OR raw IN ('1.5', '1,5') THEN 'weak_tile_only' ELSE 'tile_only_candidate' END AS classification, count(*) AS n FROM s WHERE matches = 0 GROUP BY 1")
 def q36_tile_only_class(t):
     raw = F.when(F.col("raw_text").isin("1.5", "1,5"), "1").otherwise(F.col("raw_text"))
     return _supported(t).filter("status = 'tile_only'").groupBy(evidence.tile_only_class(F.col("value"), F.lower("type"), raw, F.col("label"), F.lit(None).cast("string")).alias("classification")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {S_CANDIDATES}, {S_SUPPORT} SELECT (SELECT count(*) FROM d) AS duplicate_groups, (SELECT count(*) FROM d WHERE score >= 75) AS strong, (SELECT count(*) FROM d WHERE score < 75) AS weak, (SELECT count(*) FROM s WHERE matches > 0) AS supported, (SELECT count(*) FROM s WHERE matches = 0) AS tile_only")
+@query(f"""WITH {S_CANDIDATES}, {S_SUPPORT}, k AS (SELECT f, CASE WHEN score >= 75 THEN 'strong' ELSE 'weak' END AS kind FROM d UNION ALL SELECT f, CASE WHEN matches > 0 THEN 'supported' ELSE 'tile_only' END FROM s
+    UNION ALL SELECT f, CASE WHEN k_label IS NULL THEN 'no_label' ELSE 'review' END FROM s WHERE matches = 0)
+    SELECT f, count(*) FILTER (kind = 'strong') AS strong_duplicate_groups, count(*) FILTER (kind = 'weak') AS weak_duplicate_groups, count(*) FILTER (kind = 'supported') AS full_page_supported_candidates, count(*) FILTER (kind = 'tile_only') AS tile_only_candidates,
+        count(*) FILTER (kind = 'review') AS tile_only_review_candidates, count(*) FILTER (kind = 'no_label') AS weak_tile_only_candidates, count(*) FILTER (kind = 'none') AS non_product_candidates FROM k GROUP BY 1""")
 def q37_review_summary(t):
-    one = lambda n, kind: F.count_if((F.col("part") == n) & (F.lit(True) if kind is None else F.col("kind") == kind))
-    parts = evidence.duplicate_groups(_candidates(t), ["f"]).select(F.lit("g").alias("part"), F.col("classification").alias("kind")).unionByName(_supported(t).select(F.lit("s").alias("part"), F.col("status").alias("kind")))
-    return parts.agg(one("g", None).alias("duplicate_groups"), one("g", "strong_duplicate").alias("strong"), one("g", "weak_duplicate").alias("weak"), one("s", "full_page_supported").alias("supported"), one("s", "tile_only").alias("tile_only"))
+    return evidence.tile_summary(_candidates(t), _full_page(t), ["f"])["counts"]
+
 
+def _judged(t) -> DataFrame:
+    """Turns as refinements of their conversation's drawing: dimensions 5 and 7 and a scale are read."""
+    v = lambda x: F.parse_json(F.format_string('"%s"', x))
 
-@query("SELECT conv_id, count(*) FILTER (role = 'user') AS dimensions, count(*) FILTER (role = 'assistant') AS metadata, count(*) FILTER (role NOT IN ('user', 'assistant')) AS uncertain, count(*) FILTER (length(text) < 50) AS failed FROM conversations GROUP BY 1")
+    def dimension(x):
+        return F.struct(x.alias("raw_text"), v(x).alias("value"), F.lit("mm").alias("unit"), F.lit("linear").alias("type"), F.parse_json(F.lit("null")).alias("quantity"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("context"))
+
+    c, role, even = F.col("conv_id"), F.col("role"), F.col("turn") % 2 == 0
+    read = t("conversations").select(
+        "conv_id", F.col("turn").alias("ord"), F.format_string("t%03d", "turn").alias("target_id"), F.lit("5").alias("ocr_text"), F.lit("5").alias("visual_text"), F.lit(True).alias("ocr_text_supported"), F.lit("note").alias("local_context"), F.lit(None).cast("string").alias("visible_label"),
+        F.when(F.length("text") < 50, "failed").otherwise("completed").alias("status"), F.when(role == "user", "dimension").when(role == "assistant", "metadata").otherwise("note").alias("classification"), F.lit(True).alias("is_product_dimension"),
+        dimension(F.when(even, "5").otherwise("7")).alias("dimension"), F.struct(F.lit("Scale").alias("field"), F.lit("1:1").alias("value")).alias("metadata"), F.when(F.col("turn") % 3 == 0, 0.9).otherwise(0.5).alias("confidence"),
+    )
+    table = parse.table(F.parse_json(F.lit('{"rows": [{"label": "a", "values": [7]}]}')))
+    products = t("conversations").select("conv_id").distinct().select(
+        "conv_id", F.when(c % 2 == 0, F.array(dimension(F.lit("#5")))).otherwise(F.slice(F.array(dimension(F.lit("#5"))), 1, 0)).alias("dimensions"), F.when(c % 5 == 0, F.array(table)).otherwise(F.slice(F.array(table), 1, 0)).alias("dimension_tables"),
+        *[F.when(c % 3 == 0, "1:1").when(c % 3 == 2, "2:1").alias(n) if n == "scale" else F.lit(None).cast("string").alias(n) for n in review.MERGEABLE],
+    )
+    return review.judged(read, products, ["conv_id"])
+
+
+S_JUDGED = """(SELECT *, CASE WHEN length(text) < 50 THEN 'failed' WHEN role = 'user' THEN 'dimension' WHEN role = 'assistant' THEN 'metadata' ELSE 'note' END AS kind,
+    CASE WHEN turn % 2 = 0 AND conv_id % 2 = 0 THEN 'dimensions' WHEN turn % 2 = 1 AND conv_id % 5 = 0 THEN 'dimension_tables' ELSE 'new' END AS coverage,
+    CASE conv_id % 3 WHEN 0 THEN 'supported' WHEN 1 THEN 'missing_in_product' ELSE 'conflict' END AS scale FROM conversations)"""
+
+
+@query(f"""SELECT conv_id, count(*) AS targets, count(*) FILTER (kind = 'dimension') AS dimensions, count(*) FILTER (kind = 'metadata') AS metadata, count(*) FILTER (kind = 'note') AS notes, count(*) FILTER (kind = 'x') AS uncertain, count(*) FILTER (kind = 'y') AS irrelevant,
+    count(*) FILTER (kind = 'failed') AS failed, count(*) FILTER (kind = 'dimension') AS merge_candidates, count(*) FILTER (kind = 'dimension' AND coverage = 'dimensions') AS covered_by_dimensions, count(*) FILTER (kind = 'dimension' AND coverage = 'dimension_tables') AS covered_by_dimension_tables,
+    count(*) FILTER (kind = 'dimension' AND coverage = 'new') AS new_dimension_candidates, count(*) FILTER (kind = 'metadata') AS metadata_review_candidates FROM {S_JUDGED} GROUP BY 1""")
 def q38_refinement_summary(t):
-    r = F.col("role")
-    return t("conversations").groupBy("conv_id").agg(F.count_if(r == "user").alias("dimensions"), F.count_if(r == "assistant").alias("metadata"), F.count_if(~r.isin("user", "assistant")).alias("uncertain"), F.count_if(F.length("text") < 50).alias("failed"))
+    return review.refinement_summary(_judged(t), ["conv_id"])
+
+
+@query(f"""SELECT conv_id, turn, kind, CASE WHEN kind = 'dimension' AND turn % 3 = 0 THEN 'merge_ready' ELSE 'needs_review' END AS list,
+    CASE WHEN kind = 'metadata' AND scale = 'conflict' THEN {{c}} WHEN kind = 'metadata' THEN {{m}} WHEN turn % 3 = 0 THEN {{h}} ELSE {{l}} END AS reason, CASE WHEN kind = 'metadata' AND scale = 'conflict' THEN '2:1' END AS product_value
+    FROM {S_JUDGED} WHERE kind = 'dimension' AND coverage = 'new' OR kind = 'metadata' AND scale <> 'supported'""".format(**{k: "'" + review.REASONS[v] + "'" for k, v in {"c": "needs_review:conflict", "m": "needs_review:missing_in_product", "h": "merge_ready:confident", "l": "needs_review:low_confidence"}.items()}))
+def q56_review_items(t):
+    return review.review_items(_judged(t), ["conv_id"]).select("conv_id", F.col("ord.ord").alias("turn"), "kind", "list", "reason", "product_value")
 
 
 @query("SELECT p_partkey, CASE WHEN k IN ('0.5', '1.5', '2.5') THEN 'dimensions' WHEN k IN ('2.5', '3.5') THEN 'dimension_tables' ELSE 'new' END AS coverage FROM (SELECT p_partkey, (p_size % 6) || '.5' AS k FROM part)")
@@ -383,12 +442,18 @@ def q42_review_routing(t):
     return t("lineitem").groupBy(review.route(clash, type_, F.lit("1"), F.lit("1"), F.col("l_quantity") / 50).alias("decision")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH f AS (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS value FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
-    SELECT c_custkey, 'sheet' AS field, CAST(NULL AS VARCHAR) AS before, value FROM customer JOIN f ON o_custkey = c_custkey WHERE c_custkey % 2 = 0""")
+@query("""WITH f AS (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS value, min(o_orderkey) AS ord FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 > 0 GROUP BY 1)
+    SELECT c_custkey, 'sheet' AS field, CASE WHEN c_custkey % 4 = 2 THEN ' ' END AS before, value, ord FROM customer JOIN f ON o_custkey = c_custkey WHERE c_custkey % 2 = 0 AND c_custkey % 3 > 0""")
 def q43_safe_merge(t):
-    products = t("customer").select("c_custkey", F.lit("sheet").alias("field"), F.when(F.col("c_custkey") % 2 == 1, F.col("c_mktsegment")).alias("value"))
-    refs = t("orders").select(F.col("o_custkey").alias("c_custkey"), F.lit("sheet").alias("field"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("value"), F.lower("o_orderpriority").alias("visual"), F.when(F.col("o_orderstatus") == "F", 0.95).otherwise(0.5).alias("confidence"), F.lit(True).alias("supported"), F.lit("title_block").alias("context"))
-    return review.safe_merges(products, refs, "c_custkey")
+    """Sheets of customers' drawings; N/A in a product is not empty, no support is as good as support, a visible label as good as a place."""
+    c, o = F.col("c_custkey"), F.col("o_orderkey")
+    products = t("customer").select("c_custkey", F.lit("sheet").alias("field"), F.when(c % 2 == 1, F.col("c_mktsegment")).when(c % 3 == 0, "N/A").when(c % 4 == 2, " ").alias("value"))
+    refs = t("orders").select(
+        F.col("o_custkey").alias("c_custkey"), o.alias("ord"), F.lit("completed").alias("status"), F.lit("metadata").alias("classification"), F.lit("Sheet No.").alias("field"), F.col("o_orderpriority").alias("value"), F.lower("o_orderpriority").alias("visual_text"),
+        F.when(F.col("o_orderstatus") == "F", 0.95).otherwise(0.5).alias("confidence"), F.when(o % 5 == 0, False).when(o % 5 == 1, True).alias("ocr_text_supported"), F.when(o % 2 == 0, "title_block").otherwise("unknown").alias("local_context"),
+        F.when(o % 2 == 1, "Sheet").alias("visible_label"), F.lit("t").alias("target_id"), F.lit("x").alias("ocr_text"),
+    )
+    return review.safe_merges(products, refs, ["c_custkey"]).select("c_custkey", "field", "before", "value", "ord")
 
 
 @query("SELECT s_suppkey, s_suppkey % 3 = 0 AS mended FROM supplier")
@@ -410,25 +475,47 @@ def q46_text_key(t):
     return t("documents").select("doc_id", F.md5(X.text_key(F.col("text"))).alias("key_md5"))
 
 
-@query("SELECT c.conv_id, c.turn, c.role, length(f.text) AS first_length FROM conversations c JOIN conversations f ON f.conv_id = c.conv_id AND f.turn = 0")
+@query("SELECT url AS path, CAST(p AS INTEGER) AS page, CASE WHEN page_id % 3 = 0 THEN 'img' || p ELSE url END AS image_path, url || '#page=' || p AS source_ref FROM (SELECT *, unnest(CASE WHEN page_id % 3 = 0 THEN [1, 2] ELSE [1] END) AS p FROM (SELECT url, min(page_id) AS page_id FROM pages GROUP BY 1))")
 def q47_page_to_image(t):
-    first = t("conversations").filter("turn = 0").select("conv_id", F.length("text").cast("long").alias("first_length"))
-    return t("conversations").select("conv_id", "turn", "role").join(first, "conv_id")
+    """Every third page is a file whose two pages have been rendered; the others are pictures themselves."""
+    p = t("pages").groupBy(F.col("url").alias("path")).agg(F.min("page_id").alias("page_id"))
+    rendered = p.filter("page_id % 3 = 0").select("path", F.explode(F.array(F.lit(1), F.lit(2))).alias("page")).withColumn("image_path", F.concat(F.lit("img"), F.col("page").cast("string")))
+    return extract.page_images(p.select("path"), rendered)
+
+
+def _s_tile_prompt() -> str:
+    """The tile prompt written out with its places open, as SQL."""
+    lines = prompts.rules(prompts.COMMON + prompts.PAGE + prompts.TILE)
+    text = f"Read this part of a page of a technical drawing.\nAnswer with one JSON object only.\n\nRules:\n{lines}\n\nSource file: <a>\nTile: <b>\nPage: <c>\nPlace on the page in pixels: x=1, y=2, width=<c>, height=4\n\nThe JSON object:\n{prompts.product_schema()}\n"
+    made = "'" + text.replace("'", "''") + "'"
+    for place, column in (("<a>", "p_name || '.pdf'"), ("<b>", "'t' || p_partkey"), ("<c>", "CAST(p_size AS VARCHAR)")):
+        made = f"replace({made}, '{place}', {column})"
+    return made
 
 
-@query("SELECT p_partkey, md5(printf('Read the tile %s of page %d of %s.', 't' || p_partkey, p_size, p_name)) AS prompt_md5 FROM part")
+@query(f"SELECT p_partkey, md5({_s_tile_prompt()}) AS prompt_md5 FROM part")
 def q48_prompt_render(t):
-    return t("part").select("p_partkey", F.md5(F.format_string("Read the tile %s of page %d of %s.", F.concat(F.lit("t"), F.col("p_partkey").cast("string")), "p_size", "p_name")).alias("prompt_md5"))
+    made = t("part").select("p_partkey", F.concat(F.lit("in/"), "p_name", F.lit(".pdf")).alias("path"), F.col("p_size").alias("page"), F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("tile_id"), F.lit(1).alias("x"), F.lit(2).alias("y"), F.col("p_size").alias("width"), F.lit(4).alias("height"), F.lit("i").alias("image_path"))
+    return extract.tile_requests(made).select(F.substring("part_id", 2, 20).cast("long").alias("p_partkey"), F.md5("prompt").alias("prompt_md5"))
 
 
-@query("SELECT event_type, CASE WHEN value < 10 THEN 'failed' WHEN length(props) > 30 THEN 'validation_failed' ELSE 'completed' END AS status, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT event_type, CASE WHEN event_id % 7 = 0 THEN 'not_run' WHEN value < 10 THEN 'failed' WHEN event_id % 5 = 0 THEN 'validation_failed' ELSE 'completed' END AS status, count(*) AS n FROM events GROUP BY ALL")
 def q49_extraction_status(t):
-    return t("events").groupBy("event_type", F.when(F.col("value") < 10, "failed").when(F.length("props") > 30, "validation_failed").otherwise("completed").alias("status")).agg(F.count("*").alias("n"))
+    """Requests of which some have no answer, a failed one, or one that was cut off."""
+    e, i = t("events"), F.col("event_id")
+    asked = e.select(i.cast("string").alias("request_id"), F.col("event_type").alias("path"), F.lit(1).alias("page"), F.lit(None).cast("string").alias("part_id"))
+    given = e.filter(i % 7 != 0).select(i.cast("string").alias("request_id"), F.when(F.col("value") < 10, "failed").otherwise("completed").alias("status"), F.col("props").alias("raw_response"), F.lit(None).cast("string").alias("error"), (i % 5 == 0).alias("truncated"))
+    return extract.product_runs(asked, given).groupBy(F.col("path").alias("event_type"), "status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, CAST(sum(length(text)) AS BIGINT) AS chars, max(turn) AS last_turn FROM conversations GROUP BY 1")
+@query("SELECT conv_id, count(*) AS notes, count(*) FILTER (role = 'user') AS needs_review, count(*) FILTER (role <> 'user') AS metadata_merges FROM conversations GROUP BY 1")
 def q50_review_counts(t):
-    return t("conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_distinct("role").alias("roles"), F.sum(F.length("text")).alias("chars"), F.max("turn").alias("last_turn"))
+    """The review documents of conversations whose turns are notes, items for review and merges."""
+    c = t("conversations")
+    answers = c.groupBy("conv_id").agg(F.to_json(F.struct(F.collect_list("text").alias("notes"))).alias("raw_response")).withColumn("file_name", F.lit("x.pdf"))
+    rows = c.select("conv_id", F.col("turn").alias("ord"), "role")
+    made = documents.reviews(parse.products(answers, ("conv_id", "file_name")), {"needs_review": rows.filter("role = 'user'"), "metadata_merges": rows.filter("role <> 'user'")}, ("conv_id",))
+    return made.select("conv_id", "counts.notes", F.size("review.needs_review").cast("long").alias("needs_review"), "counts.metadata_merges")
 
 
 @query("SELECT p_partkey, p_size AS width, CAST(p_partkey % 65536 AS INTEGER) AS height FROM part")
@@ -450,6 +537,29 @@ def q53_jpeg_size(t):
     return t("part").select("p_partkey", files.image_size(jpg).alias("s")).select("p_partkey", "s.width", "s.height")
 
 
-@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal FROM conversations")
-def q55_ordinals(t):
-    return t("conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("ordinal"))
+@query("SELECT printf('%09d', min(doc_id)) AS path, sha256(text) AS fingerprint, 'completed' AS status FROM documents GROUP BY 2")
+def q54_registry_stream(t):
+    """Documents as a stream of files that is worked off and kept in step with the registry."""
+    d = t("documents")
+    spark, place = d.sparkSession, incremental.workspace(d.sparkSession)
+    d.select(F.format_string("%09d", "doc_id").alias("path"), F.sha2("text", 256).alias("fingerprint")).write.parquet(f"{place}/files")
+    stream = spark.readStream.schema("path string, fingerprint string").parquet(f"{place}/files")
+    incremental.process_batches(stream, f"{place}/registry", lambda df: df.withColumn("status", F.lit("completed")), f"{place}/progress").awaitTermination()
+    return spark.read.parquet(f"{place}/registry").select("path", "fingerprint", "status")
+
+
+S_READ = "(SELECT CAST(user_id % 7 AS INTEGER) AS doc, event_id, CAST(user_id AS VARCHAR) AS text, value / 100 AS confidence, CAST(trunc(value * 10) AS INT) AS x FROM events)"
+
+
+@query(f"""SELECT doc, printf('page_001_ocr_target_%03d', row_number() OVER (PARTITION BY doc ORDER BY event_id)) AS id, printf('page_001_ocr_%03d', event_id) AS source_ocr_block_id, {_s_side('x', '30', '3000')} AS x, {_s_side('7', '20', '2000')} AS y
+    FROM {S_READ} WHERE confidence >= 0.75 AND NOT regexp_matches(text, '^\\d$') AND text <> '12'""")
+def q55_target_crops(t):
+    """Read numbers to blocks, candidates and target crops; the full page has the number 12."""
+    e, x = t("events"), (F.col("value") * 10).cast("int").cast("double")
+    points = F.array(F.array(x, F.lit(7.0)), F.array(x + 30, F.lit(7.0)), F.array(x + 30, F.lit(27.0)))
+    read = e.select((F.col("user_id") % 7).cast("int").alias("doc"), F.lit(1).alias("page"), F.col("event_id").alias("ordinal"), points.alias("polygon"), F.col("user_id").cast("string").alias("text"), (F.col("value") / 100).alias("confidence"), F.lit("r").alias("source_ref"), F.lit("e").alias("engine"), F.lit(0.0).alias("elapsed"))
+    docs = read.select("doc").distinct()
+    answers = docs.select("doc", F.lit("x.pdf").alias("file_name"), F.lit('{"dimensions": [{"value": 12}]}').alias("raw_response"))
+    found = ocr.candidates(ocr.blocks(read, ["doc"]), parse.products(answers, ("doc",)), ["doc"])
+    images = docs.select("doc", F.lit(1).alias("page"), F.lit(3000).alias("image_width"), F.lit(2000).alias("image_height"), F.lit("r").alias("source_ref"))
+    return ocr.targets(found.drop("source_ref"), images, ["doc"]).select("doc", "id", "source_ocr_block_id", "bbox.x", "bbox.y")
\ No newline at end of file

@@ -32,13 +32,19 @@ def local_generate(url: str, model: str, think: bool | str | None = None) -> Cal
     return ask
 
 
-def hosted_messages(url: str, model: str, key_variable: str, media_type: str = "image/png") -> Callable:
+def image_type(image: bytes) -> str:
+    """The media type by the first bytes; PNG where they say nothing."""
+    known = {b"\xff\xd8\xff": "image/jpeg", b"GIF8": "image/gif"}
+    return next((t for start, t in known.items() if image.startswith(start)), "image/webp" if image[8:12] == b"WEBP" else "image/png")
+
+
+def hosted_messages(url: str, model: str, key_variable: str, media_type: str | None = None) -> Callable:
     """A messages endpoint that answers {content: [{type, text}], stop_reason}; the key comes from the environment."""
     def ask(prompt: str, image: bytes) -> tuple[str | None, bool]:
         key = os.environ.get(key_variable)
         if not key:
             raise ValueError(f"{key_variable} is not set")
-        picture = {"type": "image", "source": {"type": "base64", "media_type": media_type, "data": base64.b64encode(image).decode()}}
+        picture = {"type": "image", "source": {"type": "base64", "media_type": media_type or image_type(image), "data": base64.b64encode(image).decode()}}
         got = _post(url, {"x-api-key": key, "anthropic-version": "2023-06-01"}, {"model": model, "max_tokens": MAX_TOKENS, "messages": [{"role": "user", "content": [picture, {"type": "text", "text": prompt}]}]})
         text = "\n".join(b["text"] for b in got.get("content", []) if b.get("type") == "text").strip()
         return text or None, got.get("stop_reason") == "max_tokens"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,6 +12,14 @@ from pyspark.sql import functions as F
 from ..operators import registry as R
 
 
+def workspace(spark) -> str:
+    """A new folder below the one that all executors share; a temporary one on a single machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return f"{(named or 'file://' + tempfile.gettempdir()).rstrip('/')}/sheetlake-{uuid.uuid4().hex}"
+
+
 def process_batches(files: DataFrame, registry_path: str, work: Callable[[DataFrame], DataFrame], checkpoint: str):
     """Start a query that runs ``work`` on new files and appends to the registry.
 
@@ -26,8 +36,7 @@ def process_batches(files: DataFrame, registry_path: str, work: Callable[[DataFr
                 raise
             known = spark.createDataFrame([], "path string, fingerprint string, status string, batch long, seq long")
         todo = R.to_process(df, known.filter(F.col("batch") != number))
-        done = work(todo).withColumn("batch", F.lit(number).cast("long"))
-        done = done.join(known.filter(F.col("batch") == number).select("fingerprint"), "fingerprint", "left_anti")
-        R.entries(done, number << 40).select("path", "fingerprint", "status", "batch", "seq").write.mode("append").parquet(registry_path)
+        done = work(todo).join(known.filter(F.col("batch") == number).select("fingerprint"), "fingerprint", "left_anti")
+        R.entries(done, number).select("path", "fingerprint", "status", "batch", "seq").write.mode("append").parquet(registry_path)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,9 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sheetlake import config
 from sheetlake.functions import exprs as X
-from sheetlake.operators import evidence, parse, registry, review, tiles
-from sheetlake.sources import files, json_text, providers
+from sheetlake.functions import paths
+from sheetlake.operators import evidence, extract, ocr, parse, registry, review, tiles
+from sheetlake.sources import files, json_text, pdf, providers
 
 
 def one(spark, value, expr, kind="string"):
@@ -18,7 +20,7 @@ def one(spark, value, expr, kind="string"):
     (X.clean_scalar, "  N/A\n", None), (X.clean_scalar, " Ã˜5 ", "Ø5"), (X.unit, "Milli­meters", "Milli­meters"), (X.unit, "Millimeters.", "mm"), (X.unit, '"', "in"),
     (X.dimension_type, "Hole diameter", "diameter"), (X.dimension_type, None, "unknown"), (X.dimension_type, "pitch", "pattern"), (X.value_key, " 1,83 ", "1.83"),
     (X.quantity_key, "4.0", "4"), (X.quantity_key, " ", None), (X.text_key, " Pad \t Diameter ", "pad diameter"), (X.ocr_text, " (X7) #1,02", "(x7)Ø1.02"), (X.is_numeric_candidate, "5STUB", False), (X.is_numeric_candidate, "x٣", True),
-    (X.ocr_class, "2:1", "ratio_or_scale"), (X.ocr_class, "ø3", "diameter_candidate"), (X.ocr_class, "(X4)", "quantity_candidate"), (X.ocr_class, "12", "numeric_candidate"), (X.metadata_field, "Rev_Date.", "revision_date"), (X.metadata_field, "product name", None),
+    (X.ocr_class, "2:1", "ratio_or_scale_candidate"), (X.ocr_class, "ø3", "diameter_candidate"), (X.ocr_class, "(X4)", "quantity_candidate"), (X.ocr_class, "12", "numeric_candidate"), (X.metadata_field, "Rev_Date.", "revision_date"), (X.metadata_field, "product name", None),
     (X.output_slug, "DEMO_AB12_Technical_Drawing_page-0001", "demo_ab12"), (X.output_slug, "page 1", "page_1"), (X.output_slug, "--", "drawing"), (X.media_type, "a/B.JPG", "image/jpeg"), (X.json_object, "x ```json {\"a\": {}} ```", '{"a": {}}'), (X.json_object, "} {", None),
 ])
 def test_expressions(spark, expr, given, want):
@@ -76,9 +78,9 @@ def test_products(spark):
     a = got["acme_widget42.pdf"]
     assert (a.brand_name, a.size, a.scale, a.revision) == ("ACME", "A3", None, None) and len(a.dimensions) == 2
     d = a.dimensions[0]
-    assert (d.raw_text, d.value, d.unit, d.type, d.quantity, d.label) == ("#5", "5", "mm", "diameter", "4", None)
+    assert (d.raw_text, d.value.toPython(), d.unit, d.type, d.quantity.toPython(), d.label) == ("#5", 5, "mm", "diameter", 4, None)
     t = a.tables[0]
-    assert t.columns == ["Pin", "Signal"] and [[c.value for c in r.cells] for r in t.rows] == [["1", "VCC"], ["2", "GND"]] and t.rows[1].label is None
+    assert t.columns == ["Pin", "Signal"] and [[c.toPython() for c in r["values"]] for r in t.rows] == [[1, "VCC"], ["2", "GND"]] and t.rows[0].cells is None and t.rows[1].label is None
     assert a.schematics[0].components == ["R1"] and len(a.schematics[0].parameters) == 1 and json.loads(a.notes) == [{"a": 1}, "n"] and a.tolerances == "[]"
     assert a.warnings == [
         "Semantic extraction is not implemented yet.", "Moved sheet size value from `scale` to `size`.", "`product_name` may contain a source filename or file extension: `widget42.v1`.",
@@ -105,9 +107,16 @@ def candidates(spark, rows):
 def test_duplicates_and_support(spark):
     c = candidates(spark, [(f"t{i}", 1, v, v, "diameter", "PAD DIAMETER", "1", x, 0, 1024, 1024) for i, (v, x) in enumerate([("1,83", 0), ("1.83", 768), ("1.83", 2200)])])
     g = evidence.duplicate_groups(c, ["f"]).collect()
-    assert [(r.members, r.score, r.classification) for r in g] == [(2, 90, "strong_duplicate")]
+    assert [(r.members, r.score, r.classification, r.review_action) for r in g] == [(2, 75, "strong_duplicate", "merge_evidence_only")] and g[0].score_reasons == ["same page/value/type", "same label", "same quantity"]
+    # another document with the same ids has nothing to do with it, and a box of any size is dealt with
+    other = candidates(spark, [("t0", 1, "9", "9", None, None, None, 0, 0, 10, 10), ("t1", 1, "9", "9", None, None, None, 5, 5, 2_000_000_000, 2_000_000_000)]).withColumn("f", F.lit(2))
+    lone = candidates(spark, [("t0", 1, "1.83", "1.83", "diameter", "PAD DIAMETER", "1", 0, 0, 1024, 1024)]).withColumn("f", F.lit(3))
+    every = c.unionByName(other).unionByName(lone)
+    assert sorted((r.f, r.members) for r in evidence.duplicate_groups(every, ["f"]).collect()) == [(1, 2), (2, 2)]
+    assert sorted((r.f, r.candidate_id) for r in evidence.overlapping_members(every, ["f"]).collect()) == [(1, "t0"), (1, "t1"), (2, "t0"), (2, "t1")]
+    assert {(r.f, r.status) for r in evidence.support(every, c.limit(1), ["f"]).collect()} == {(1, "full_page_supported"), (2, "tile_only"), (3, "tile_only")}
     full = candidates(spark, [("p1", 1, "1.83", "1.83", "diameter", None, None, 0, 0, 1, 1), ("p2", 1, "1.83", "1.83", "diameter", "other", None, 0, 0, 1, 1)])
-    assert [(r.matches, r.status) for r in evidence.support(c, full, ["f"]).collect()] == [(1, "full_page_supported")] * 3
+    assert [(r.matches, r.status, r.matching_ids) for r in evidence.support(c, full, ["f"]).collect()] == [(1, "full_page_supported", ["p1"])] * 3
     touching = candidates(spark, [("a", 1, "2", "2", None, None, None, 0, 0, 10, 10), ("b", 1, "2", "2", None, None, None, 10, 0, 10, 10)])
     assert evidence.duplicate_groups(touching, ["f"]).count() == 0
 
@@ -121,11 +130,148 @@ def test_registry(spark):
     assert tuple(registry.status_counts(log).first()) == (3, 2, 1)
 
 
+@pytest.mark.parametrize("value, type_, raw, label, context, want", [
+    ("2:1", "Pattern", "2:1", "A", None, "non_product_candidate"), ("1", None, " R12 ", "A", None, "non_product_candidate"), ("1", None, "x", "A", "Power  Transformer", "non_product_candidate"),
+    ("5", "linear", "5", None, None, "weak_tile_only"), ("5", "linear", "5", "  ", None, "weak_tile_only"), ("1", "linear", "1", "A", None, "weak_tile_only"), ("5", "linear", "5", "A", None, "tile_only_candidate"),
+])
+def test_tile_only_class(spark, value, type_, raw, label, context, want):
+    row = spark.createDataFrame([(value, type_, raw, label, context)], "v string, t string, r string, l string, c string")
+    assert row.select(evidence.tile_only_class(*[F.col(x) for x in "vtrlc"])).first()[0] == want
+
+
+def test_candidates_and_summary(spark):
+    body = lambda *d: json.dumps({"dimensions": list(d)})
+    one_ = {"raw_text": "1,83", "value": 1.83, "type": "diameter", "label": "PAD DIAMETER", "quantity": 1}
+    rows = [("a.png", f"t{i}", 1, x, 0, 1024, 1024, body(one_, {"raw_text": "7", "value": 0})) for i, x in enumerate((0, 768, 2200))] + [("b.png", "t0", 1, 0, 0, 10, 10, body())]
+    asked = spark.createDataFrame(rows, "file_name string, tile_id string, page int, x int, y int, width int, height int, raw_response string")
+    made = parse.products(asked, ("file_name", "tile_id", "page", "x", "y", "width", "height"))
+    c = evidence.tile_candidates(made, ["file_name"])
+    got = {r.candidate_id: r for r in c.collect()}
+    assert len(got) == 6 and got["t0_dimension_001"].k_value == "1.83" and got["t0_dimension_001"].k_quantity == "1" and got["t0_dimension_002"].k_value == "7"
+    full = evidence.full_page_candidates(parse.products(spark.createDataFrame([("a.png", body({**one_, "label": None, "value": "1,83"}))], "file_name string, raw_response string"), ("file_name",)), ["file_name"])
+    s = evidence.tile_summary(c, full, ["file_name"])
+    assert s["supported"].count() == 3 and s["tile_only"].count() == 3 and s["unique"].count() == 2
+    counts = s["counts"].first()
+    assert (counts.strong_duplicate_groups, counts.weak_duplicate_groups, counts.full_page_supported_candidates, counts.tile_only_candidates, counts.weak_tile_only_candidates) == (1, 1, 3, 3, 3)
+
+
+def test_tables_keep_their_columns(spark):
+    def table(**t):
+        return spark.createDataFrame([(json.dumps(t),)], "j string").select(parse.table(F.parse_json("j")).alias("t")).first().t
+
+    got = table(columns=[1, "A", "B"], rows=[{"values": ["x", "y", 5]}])
+    assert [(c.column, c.value.toPython()) for c in got.rows[0].cells] == [("1", "x"), ("A", "y"), ("B", 5)] and got.columns is None
+    got = table(columns=["L", "A"], rows=[{"label": "n/a", "values": [1]}, {"label": "", "values": [2]}])
+    assert got.columns == ["A"] and [[v.toPython() for v in r["values"]] for r in got.rows] == [[1], [2]]
+    got = table(rows=[{"label": "Pin 1", "cells": [{"column": "Pin Number", "value": "1"}]}, {"label": "Pin 1", "cells": [{"column": "Pin Number", "value": 1}]}])
+    assert [r.label for r in got.rows] == [None, "Pin 1"]
+    assert table(columns=[" A "], rows=[{"values": [1]}, {"cells": [{"column": "A", "value": 2}]}]).columns is None
+
+
 def test_safe_merges(spark):
-    products = spark.createDataFrame([("f", "scale", "2.1"), ("f", "sheet", None), ("g", "scale", "1:1"), ("h", "scale", None)], "file string, field string, value string")
-    rows = [("f", 1, "scale", "2:1", "2:1", 0.95, True, "title_block"), ("f", 2, "sheet", "006", "006", 0.95, True, "unknown"), ("g", 1, "scale", "2:1", "2:1", 0.99, True, "title_block"), ("h", 1, "scale", "2.1", "2.1", 0.9, True, "title_block"), ("h", 2, "scale", "2:1", "2:1", 0.9, True, "title_block")]
-    refs = spark.createDataFrame(rows, "file string, ord int, field string, value string, visual string, confidence double, supported boolean, context string")
-    assert sorted((r.file, r.value) for r in review.safe_merges(products, refs, "file").collect()) == [("f", "2:1"), ("h", "2:1")]
+    products = spark.createDataFrame([("f", "scale", "2.1"), ("f", "sheet", None), ("g", "scale", "1:1"), ("h", "scale", None), ("i", "size", "N/A"), ("j", "sheet", " ")], "file string, field string, value string")
+    base = {"status": "completed", "classification": "metadata", "confidence": 0.95, "ocr_text_supported": True, "local_context": "title_block", "visible_label": None, "target_id": "t", "ocr_text": "x"}
+    rows = [
+        ("f", 1, "Drawing Scale", "2:1", {}), ("f", 2, "sheet", "006", {"local_context": "unknown"}), ("g", 1, "scale", "2:1", {}), ("h", 1, "scale", "2.1", {"confidence": 0.9}), ("h", 2, "scale", "2:1", {"confidence": 0.9}),
+        ("i", 1, "size", "A3", {}), ("j", 1, "sheet no.", "1", {"ocr_text_supported": False}), ("j", 2, "sheet no.", "2", {"classification": "note"}), ("j", 3, "sheet no.", "3", {"status": "failed"}), ("j", 4, "unknown field", "4", {}),
+        ("j", 5, "sheet no.", "N/A", {}), ("j", 6, "sheet no.", "6", {"ocr_text_supported": None, "local_context": "unknown", "visible_label": "SHEET"}), ("j", 7, "sheet", "7", {}),
+    ]
+    names = ["status", "classification", "confidence", "ocr_text_supported", "local_context", "visible_label", "target_id", "ocr_text"]
+    refs = spark.createDataFrame([(f, o, n, v, v.lower(), *[{**base, **more}[k] for k in names]) for f, o, n, v, more in rows], "file string, ord int, field string, value string, visual_text string, status string, classification string, confidence double, ocr_text_supported boolean, local_context string, visible_label string, target_id string, ocr_text string")
+    merges = review.safe_merges(products, refs, ["file"])
+    assert sorted((r.file, r.ord, r.value, r.reason == review.MENDED) for r in merges.collect()) == [("f", 1, "2:1", True), ("h", 1, "2.1", False), ("h", 2, "2:1", True), ("j", 6, "6", False)]
+    got = {(r.file, r.field): r.value for r in review.merged(products, merges, ["file"]).collect()}
+    assert got == {("f", "scale"): "2:1", ("f", "sheet"): None, ("g", "scale"): "1:1", ("h", "scale"): "2:1", ("i", "size"): "N/A", ("j", "sheet"): "6"}
+
+
+def test_coverage_and_review_items(spark):
+    product = {"scale": "2.1", "dimensions": [{"raw_text": "(x2) #5", "value": 5}], "dimension_tables": [{"rows": [{"label": "A", "values": [800]}]}, {"columns": ["x"], "rows": [{"values": [70]}, {"values": [71]}]}]}
+    products = parse.products(spark.createDataFrame([("a.pdf", json.dumps(product))], "file_name string, raw_response string"), ("file_name",))
+    keys = review.product_coverage(products, ["file_name"]).first()
+    assert {"5", "Ø5", "(x2)Ø5"} <= set(keys.dimension_keys) and keys.table_keys == ["800"]
+    dim = lambda v, **k: {"classification": "dimension", "is_product_dimension": True, "dimension": {"raw_text": v, "value": v, "type": "linear"}, "confidence": 0.9, "visual_text": v, "local_context": "note", **k}
+    answers = [dim("800"), dim("5"), dim("950"), dim("960", confidence=0.1), dim("970", visual_text="9"), dim("980", dimension={"raw_text": "980", "value": "980", "type": "pattern"}), {"classification": "metadata", "metadata": {"field": "Scale", "value": "2:1"}}, {"classification": "metadata", "metadata": {"field": "sheet", "value": "1"}}, {"classification": "note"}, "broken"]
+    rows = [("a.pdf", i, f"t{i}", json.dumps(a) if isinstance(a, dict) else a) for i, a in enumerate(answers)] + [("a.pdf", 10, "t10", None)]
+    texts = {i: a["dimension"]["raw_text"] for i, a in enumerate(answers) if isinstance(a, dict) and a.get("dimension")}
+    refs = parse.refinements(spark.createDataFrame(rows, "file_name string, ord int, target_id string, raw_response string"), ("file_name", "ord", "target_id"))
+    refs = refs.withColumn("ocr_text", F.element_at(F.create_map(*[F.lit(x) for kv in texts.items() for x in kv]), F.col("ord"))).withColumn("status", F.when(F.col("ord") == 10, "failed").otherwise(F.col("status")))
+    judged = review.judged(refs, products, ["file_name"])
+    s = review.refinement_summary(judged, ["file_name"]).first()
+    assert (s.targets, s.dimensions, s.metadata, s.notes, s.uncertain, s.failed, s.covered_by_dimensions, s.covered_by_dimension_tables, s.new_dimension_candidates, s.metadata_review_candidates) == (11, 6, 2, 1, 1, 1, 1, 1, 4, 2)
+    items = sorted((r.ord.ord, r.list, r.kind, r.reason) for r in review.review_items(judged, ["file_name"]).collect())
+    why = review.REASONS
+    assert items == [(2, "merge_ready", "dimension", why["merge_ready:confident"]), (3, "needs_review", "dimension", why["needs_review:low_confidence"]), (4, "needs_review", "dimension", why["needs_review:text_conflict"]), (5, "needs_review", "dimension", why["needs_review:unsafe"]), (6, "needs_review", "metadata", why["needs_review:conflict"]), (7, "needs_review", "metadata", why["needs_review:missing_in_product"])]
+
+
+def test_ocr_candidates_and_targets(spark):
+    texts = ["#1,83", "ProductName", "1.02", "5STUB|7", "(x7) 1,02", "4", "12", "12"]
+    rows = [("a", 1, i + 1, [[0.0, 0.0], [20.0, 10.0]], t, 0.5 if i == 7 else 0.9, "a#page=1", "e", 0.1) for i, t in enumerate(texts)] + [("a", 1, 9, [[0.0]], "3", 0.9, "", "e", 0.1), ("a", 1, 10, [[0.0, 0.0], [0.0, 9.0]], "33", 0.9, "", "e", 0.1), ("b", 1, 1, [[0.0, 0.0], [20.0, 10.0]], "1.02", 0.9, "", "e", 0.1)]
+    read = spark.createDataFrame(rows, "file_name string, page int, ordinal int, polygon array<array<double>>, text string, confidence double, source_ref string, engine string, elapsed double")
+    blocks = ocr.blocks(read, ["file_name"])
+    assert blocks.count() == 10 and blocks.first().id == "page_001_ocr_001"
+    answer = {"dimensions": [{"raw_text": "1,83", "value": 1.83}, {"raw_text": "(x7) #1,02"}]}
+    products = parse.products(spark.createDataFrame([("a", json.dumps(answer))], "file_name string, raw_response string"), ("file_name",))
+    got = ocr.candidates(blocks, products, ["file_name"])
+    assert {(r.file_name, r.text, r.full_page_status) for r in got.collect()} == {("a", "#1,83", "supported"), ("a", "1.02", "supported"), ("a", "(x7) 1,02", "supported"), ("a", "4", "not_found_in_full_page"), ("a", "12", "not_found_in_full_page"), ("a", "33", "not_found_in_full_page"), ("b", "1.02", "not_found_in_full_page")}
+    images = spark.createDataFrame([("a", 1, 500, 300, "a#page=1")], "file_name string, page int, image_width int, image_height int, source_ref string")
+    crops = ocr.targets(got.drop("source_ref"), images, ["file_name"]).collect()
+    assert [(r.id, r.text, tuple(r.bbox), tuple(r.ocr_bbox)) for r in crops] == [("page_001_ocr_target_001", "12", (0, 0, 384, 300), (0, 0, 20, 10))]
+
+
+def test_extraction_runs(spark):
+    files_ = spark.createDataFrame([("in/A_B1_Drawing.pdf",), ("in/c.png",)], "path string")
+    rendered = spark.createDataFrame([("in/A_B1_Drawing.pdf", 1, "p1.png"), ("in/A_B1_Drawing.pdf", 2, "p2.png")], "path string, page int, image_path string")
+    images = extract.page_images(files_, rendered)
+    assert sorted((r.page, r.image_path, r.source_ref) for r in images.collect()) == [(1, "in/c.png", "in/c.png#page=1"), (1, "p1.png", "in/A_B1_Drawing.pdf#page=1"), (2, "p2.png", "in/A_B1_Drawing.pdf#page=2")]
+    asked = extract.page_requests(images)
+    assert all("A_B1_Drawing.pdf" in r.prompt or "c.png" in r.prompt for r in asked.collect())
+    given = spark.createDataFrame([("in/A_B1_Drawing.pdf#page=1", "completed", '{"warnings": []}', None, True), ("in/c.png#page=1", "failed", "text", "down", False)], "request_id string, status string, raw_response string, error string, truncated boolean")
+    got = {r.request_id: r for r in extract.product_runs(asked, given).collect()}
+    one_, two, three = (got[k] for k in ("in/A_B1_Drawing.pdf#page=1", "in/A_B1_Drawing.pdf#page=2", "in/c.png#page=1"))
+    assert (one_.status, one_.validation_warnings, one_.warnings) == ("validation_failed", [extract.TRUNCATED], [extract.TRUNCATED])
+    assert (two.status, three.status, three.error, three.raw_response, three.validation_warnings) == ("not_run", "failed", "down", "text", [])
+    first = {r.path: r.warnings for r in extract.first_pages(extract.product_runs(asked, given), "ollama").collect()}
+    assert first["in/c.png"] == ["ollama extraction failed: down"] and len(first) == 2
+    targets = spark.createDataFrame([("in/c.png", "t1", 1, (0, 1, 2, 3), "5", "numeric_candidate", "x.png")], "path string, id string, page int, bbox struct<x:int,y:int,width:int,height:int>, text string, classification string, image_path string")
+    ask = extract.target_requests(targets)
+    assert "x=0, y=1, width=2, height=3" in ask.first().prompt
+    runs = extract.refinement_runs(ask, spark.createDataFrame([("in/c.png#t1", "completed", '{"classification": "note", "confidence": 1}', None, False)], given.schema)).first()
+    assert (runs.target_id, runs.status, runs.classification) == ("t1", "completed", "note")
+    assert extract.resolved_model("ollama", None) == "moondream" and extract.resolved_model("anthropic", None) is None and extract.resolved_model("none", "x") is None
+
+
+def test_paths_settings_and_pdf(spark, tmp_path, monkeypatch):
+    p = F.col("p")
+    df = spark.createDataFrame([("in/DEMO_AB12_Technical_Drawing_page-0001.pdf",)], "p string")
+    got = df.select(paths.output_name(p).alias("a"), paths.page_raw_response("i", paths.output_name(p), F.lit(1)).alias("b"), paths.page_raw_response("i", paths.output_name(p), F.lit(2)).alias("c"), paths.part_raw_response("i", paths.output_name(p), F.lit("t1")).alias("d"), paths.now_utc().alias("e")).first()
+    assert tuple(got)[:4] == ("demo_ab12", "i/demo_ab12.raw_response.txt", "i/demo_ab12_page_002.raw_response.txt", "i/demo_ab12_t1.raw_response.txt") and got.e.endswith("+00:00")
+    (tmp_path / ".env").write_text("# no\n\nSHEETLAKE_MODEL = 'm'\nSHEETLAKE_EXTRACTOR=\" OLLAMA \"\nodd\n")
+    monkeypatch.setenv("SHEETLAKE_MODEL", "kept")
+    monkeypatch.delenv("SHEETLAKE_EXTRACTOR", raising=False)
+    config.load_env(tmp_path / ".env")
+    assert config.read() == config.Config("ollama", "kept") and [config.think(x) for x in ("true", "false", "low", None)] == [True, False, "low", None]
+    monkeypatch.delenv("SHEETLAKE_EXTRACTOR")
+
+    def render(content, dpi):
+        return [(100.0, 100.0, b"x" if dpi else None), (200.0, 100.0, None)] if content == b"ok" else 1 / 0
+
+    made = pdf.pages(spark.createDataFrame([("a", b"ok"), ("b", b"no")], "path string, content binary"), render).collect()
+    assert [(r.path, r.page, r.width, r.error is None) for r in made] == [("a", 1, 100.0, True), ("a", 2, 200.0, True), ("b", None, None, False)]
+
+
+def test_registry_order_and_messages(spark):
+    files_ = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1"), ("d", "2")], "path string, fingerprint string")
+    tried = spark.createDataFrame([("a", "1", "failed"), ("d", "2", "completed")], "path string, fingerprint string, status string")
+    assert [r.path for r in registry.next_equal(files_, tried).collect()] == ["b"]
+    # a batch of very many partitions stays before the next one
+    early = registry.entries(spark.range(400, numPartitions=400).select(F.lit("f").alias("fingerprint"), F.lit("completed").alias("status"), F.lit("old").alias("result_path")), 0)
+    late = registry.entries(spark.createDataFrame([("f", "completed", "new")], "fingerprint string, status string, result_path string"), 1)
+    log = early.unionByName(late)
+    assert registry.latest_completed(log, ("batch", "seq")).first().result_path == "new"
+    last = log.withColumn("seq", F.struct("batch", "seq"))
+    assert [r.message for r in registry.skip_messages(spark.createDataFrame([("p", "f"), ("q", "g")], "path string, fingerprint string"), last).collect()] == ["SKIP p (already completed) -> new"]
+    entry = registry.failed_entries(spark.createDataFrame([("p", "n", "f", "e")], "path string, filename string, fingerprint string, error string")).first()
+    assert (entry.input_path, entry.status, entry.error) == ("p", "failed", "e")
 
 
 def test_files_and_json(spark, tmp_path):
@@ -188,6 +334,19 @@ def test_command(spark, tmp_path, capsys):
     recorded.write_text(json.dumps({"file_name": "b.PDF", "raw_response": "{}", "error": None}))
     assert run() == 0 and said() == {"found": "4", "processed": "1", "skipped": "3", "failed": "0"}
     assert command.main(["status", "--outputs", outputs]) == 0 and said() == {"entries": "4", "completed": "3", "failed": "1"}
+    audit = {r.path.rsplit("/", 1)[1]: r for r in spark.read.parquet(f"{outputs}/audits").collect()}
+    assert audit["a.png"].document.original_filename == "a.png" and audit["a.png"].regions == [] and audit["d.pdf"].extraction.status == "not_run"
+    # of equal files the next one is tried where the first fails
+    recorded.write_text("\n".join(json.dumps({"file_name": n, "raw_response": r, "error": None}) for n, r in (("a.png", None), ("c.jpg", "{}"))))
+    command.process(spark, str(source), outputs + "2", str(recorded))
+    assert {(r.filename, r.status) for r in spark.read.parquet(f"{outputs}2/registry").collect()} == {("a.png", "failed"), ("c.jpg", "completed"), ("b.PDF", "completed"), ("d.pdf", "completed")}
+    # a model that is asked instead
+    counts = command.process(spark, str(source), outputs + "3", ask=lambda prompt, image: ('{"product_name": "M"}' if image == b"1" else None, False), crops=True)
+    assert counts == {"found": 4, "processed": 1, "skipped": 1, "failed": 2} and spark.read.parquet(f"{outputs}3/tiles").count() == 0
+    assert command.parser().parse_args(["process", "--extractor", "ollama", "--ollama-think", "low", "--generate-crops", "--retry-failed"]).extractor == "ollama"
+    assert command.endpoint("none", None, None) is None and callable(command.endpoint("ollama", None, "true"))
+    with pytest.raises(ValueError):
+        command.endpoint("anthropic", None, None)
 
 
 def test_reviews_list_evidence(spark):
