@@ -55,15 +55,22 @@ def scalar(v: Column, name: str) -> Column:
     return X.clean_scalar(get(v, name))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` written and made once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def own_scalar(v: Column, name: str) -> Column:
     """A field as VARIANT: texts cleaned, anything else as it is, so that numbers stay numbers."""
     return cleaned(get(v, name, "variant"))
 
 
 def cleaned(x: Column) -> Column:
-    text = X.clean_scalar(F.try_variant_get(x, "$", "string"))
-    quoted = F.try_variant_get(F.try_parse_json(F.to_json(F.struct(text.alias("t")))), "$.t", "variant")
-    return F.when(kind(x) == "STRING", quoted).when(kind(x) != "VOID", x)
+    def mended(v: Column) -> Column:
+        text = X.clean_scalar(F.try_variant_get(v, "$", "string"))
+        return F.try_variant_get(F.try_parse_json(F.to_json(F.struct(text.alias("t")))), "$.t", "variant")
+
+    return once(x, lambda v: once(kind(v), lambda k: F.when(k == "STRING", mended(v)).when(k != "VOID", v)))
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -71,11 +78,11 @@ def _same(a: Column, b: Column) -> Column:
 
 
 def dimension(d: Column) -> Column:
-    raw, value, label = scalar(d, "raw_text"), scalar(d, "value"), scalar(d, "label")
-    return F.struct(
-        raw.alias("raw_text"), own_scalar(d, "value").alias("value"), X.unit(scalar(d, "unit")).alias("unit"), X.dimension_type(get(d, "type")).alias("type"), own_scalar(d, "quantity").alias("quantity"),
-        F.when(~_same(label, raw) & ~_same(label, value), label).alias("label"), scalar(d, "context").alias("context"),
-    )
+    read = F.struct(*[scalar(d, n).alias(n) for n in ("raw_text", "value", "unit", "label", "context")])
+    return once(read, lambda z: F.struct(
+        z["raw_text"].alias("raw_text"), own_scalar(d, "value").alias("value"), X.unit(z["unit"]).alias("unit"), X.dimension_type(get(d, "type")).alias("type"), own_scalar(d, "quantity").alias("quantity"),
+        F.when(~_same(z["label"], z["raw_text"]) & ~_same(z["label"], z["value"]), z["label"]).alias("label"), z["context"].alias("context"),
+    ))
 
 
 def dimension_warnings(list_: Column) -> Column:
@@ -102,11 +109,15 @@ def cells(row: Column, columns: Column) -> Column:
 
 def redundant(label: Column, cells_: Column) -> Column:
     """Whether a label only repeats the first value, perhaps after part of the first column's name."""
-    one = F.get(cells_, F.lit(0))
-    text = F.when(kind(one["value"]) == "STRING", F.try_variant_get(one["value"], "$", "string"))  # a number repeats no label
-    low, value, column = F.lower(X.strip(label)), F.lower(X.strip(text)), F.lower(X.strip(one["column"]))
-    rest = X.strip(F.substring(low, F.lit(1), F.length(low) - F.length(value)))
-    return F.coalesce((F.length(value) > 0) & F.endswith(low, value) & ((rest == "") | F.coalesce(column.contains(rest), F.lit(False))), F.lit(False))
+    first = F.get(cells_, F.lit(0))
+    text = F.when(kind(first["value"]) == "STRING", F.try_variant_get(first["value"], "$", "string"))  # a number repeats no label
+    read = F.struct(F.lower(X.strip(label)).alias("low"), F.lower(X.strip(text)).alias("value"), F.lower(X.strip(first["column"])).alias("column"))
+
+    def repeats(z: Column) -> Column:
+        rest = X.strip(F.substring(z["low"], F.lit(1), F.length(z["low"]) - F.length(z["value"])))
+        return F.coalesce((F.length(z["value"]) > 0) & F.endswith(z["low"], z["value"]) & ((rest == "") | F.coalesce(z["column"].contains(rest), F.lit(False))), F.lit(False))
+
+    return once(read, repeats)
 
 
 def table(t: Column) -> Column:
@@ -115,17 +126,22 @@ def table(t: Column) -> Column:
     named = F.transform(items(t, "columns"), lambda c: F.try_variant_get(c, "$", "string"))
     odd = F.exists(items(t, "columns"), lambda c: ~kind(c).isin("STRING", "VOID"))
 
-    def row(r: Column) -> Column:
-        c, label = cells(r, named), scalar(r, "label")
-        return F.struct(F.when(~redundant(label, c), label).alias("label"), c.alias("cells"))
-
-    rows = F.transform(only_objects(items(t, "rows")), row)
-    heads = F.array_distinct(F.transform(rows, lambda r: F.transform(r["cells"], lambda c: F.coalesce(c["column"], F.lit("")))))
-    blank = F.exists(F.get(heads, F.lit(0)), lambda c: X.strip(c) == "")
-    uniform = (F.size(rows) >= 2) & (F.size(heads) == 1) & (F.size(F.get(heads, F.lit(0))) > 0) & ~blank & ~odd
-    shown = F.transform(rows, lambda r: F.struct(r["label"].alias("label"), F.when(~uniform, r["cells"]).alias("cells"), F.when(uniform, F.transform(r["cells"], lambda c: c["value"])).alias("values")))
-    columns = F.when(uniform, F.transform(F.get(rows, F.lit(0))["cells"], lambda c: c["column"]))
-    return F.struct(X.table_type(get(t, "type")).alias("type"), scalar(t, "title").alias("title"), scalar(t, "context").alias("context"), columns.alias("columns"), shown.alias("rows"))
+    def row(r: Column, names: Column) -> Column:
+        read = F.struct(cells(r, names).alias("cells"), scalar(r, "label").alias("label"))
+        return once(read, lambda z: F.struct(F.when(~redundant(z["label"], z["cells"]), z["label"]).alias("label"), z["cells"].alias("cells")))
+
+    def head(rows: Column) -> Column:
+        """The columns that all rows have; null if there are none such."""
+        heads = F.array_distinct(F.transform(rows, lambda r: F.transform(r["cells"], lambda c: F.coalesce(c["column"], F.lit("")))))
+        return once(heads, lambda h: F.when((F.size(rows) >= 2) & (F.size(h) == 1) & (F.size(F.get(h, F.lit(0))) > 0) & ~F.exists(F.get(h, F.lit(0)), lambda c: X.strip(c) == ""), F.get(h, F.lit(0))))
+
+    def shown(rows: Column, columns: Column) -> Column:
+        one = columns.isNotNull()
+        return F.transform(rows, lambda r: F.struct(r["label"].alias("label"), F.when(~one, r["cells"]).alias("cells"), F.when(one, F.transform(r["cells"], lambda c: c["value"])).alias("values")))
+
+    made = once(named, lambda names: F.transform(only_objects(items(t, "rows")), lambda r: row(r, names)))
+    both = once(made, lambda rows: once(F.when(~odd, head(rows)), lambda c: F.struct(c.alias("columns"), shown(rows, c).alias("rows"))))
+    return once(both, lambda z: F.struct(X.table_type(get(t, "type")).alias("type"), scalar(t, "title").alias("title"), scalar(t, "context").alias("context"), z["columns"].alias("columns"), z["rows"].alias("rows")))
 
 
 def table_warnings(v: Column, name: str) -> Column:
