@@ -2,11 +2,12 @@
 
 A set of size n that is to reach similarity t with another must share a token
 with it among its first ``n - ceil(t * n) + 1`` under *every* global order of
-tokens. The orders here put rare tokens before frequent ones (levels of the
-corpus frequency) and differ in how they break ties. The first order makes the
-candidates; a candidate pair must pass the filters of the other orders as well
-before it is verified, and before its sets are even fetched a bound on the
-overlap from bitmaps of token hashes. Documents with equal sets are one
+tokens. The first order here puts rare tokens before frequent ones (levels of
+the corpus frequency); the others are scattered. The first order
+makes the candidates. Every class carries marks of its prefix tokens under
+each other order, and bits of all its tokens: a candidate pair goes on
+only if its prefixes may meet under each order and its tokens overlap enough,
+and the sets of what is left are fetched and compared. Documents with equal sets are one
 class throughout, and pairs that are connected already need no verification:
 stars around the best-connected class of each bucket come first, a few rounds
 of them, and only then all pairs that are still apart. A group of near copies
@@ -79,17 +80,38 @@ def may_reach(ba: bytes, bb: bytes, na: int, nb: int, percent: int) -> bool:
     return (100 + percent) * apart <= (100 - percent) * (na + nb)
 
 
-def passes_orders(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, percent: int) -> bool:
-    """Whether the sets share a prefix token under each of the further orders."""
-    return all(np.isin(prefix(a, la, s, percent), prefix(b, lb, s, percent), assume_unique=True).any() for s in MORE_ORDERS)
+def order_marks(values: np.ndarray, percent: int) -> bytes:
+    """The prefix tokens under each of the further orders, as sorted 16-bit marks; the number of marks of each order comes first."""
+    p = prefix_length(len(values), percent)
+    marks = []
+    for salt in MORE_ORDERS:
+        first = values[np.argpartition(mix(values, salt), p - 1)[:p]] if p < len(values) else values
+        marks.append(np.unique((mix(first, 404) >> np.uint64(48)).astype(np.uint16)))
+    return b"".join([np.array([len(m) for m in marks], np.uint32).tobytes(), *(m.tobytes() for m in marks)])
+
+
+def _marks(packed) -> Iterator[np.ndarray]:
+    at = 4 * len(MORE_ORDERS)
+    for n in np.frombuffer(packed, np.uint32, len(MORE_ORDERS)).tolist():
+        yield np.frombuffer(packed, np.uint16, n, at)
+        at += 2 * n
+
 
+def may_share(oa, ob) -> bool:
+    """Whether prefixes may have a token in common under each order; without a mark in common they surely have none."""
+    for x, y in zip(_marks(oa), _marks(ob)):
+        both = np.sort(np.concatenate([x, y]))
+        if not (both[1:] == both[:-1]).any():
+            return False
+    return True
 
-def describe(docs: DataFrame, local_repeats: int) -> tuple[DataFrame, DataFrame]:
-    """(documents, frequent): doc_id, n, class and bitmap of every document; tokens met in several sets with their counts.
+
+def describe(docs: DataFrame, local_repeats: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(documents, frequent): doc_id, n, class and bitmaps of every document; tokens met in several sets with their counts.
 
     Both come from one pass over the texts. Each task counts the tokens of its
     different sets and reports those in ``local_repeats`` or more of them; it
-    gives the bitmap of a class once.
+    gives the bitmaps of a class once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,22 +123,23 @@ def describe(docs: DataFrame, local_repeats: int) -> tuple[DataFrame, DataFrame]
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
             often = n >= local_repeats
             k = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(n[often], pa.int64()), pa.array(tokens[often].view(np.int64)), pa.nulls(k, pa.binary()), pa.array(np.ones(k, bool))], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(n[often], pa.int64()), pa.array(tokens[often].view(np.int64)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(np.ones(k, bool))], names=names)
 
         for batch in batches:
-            sizes, classes, maps = [], [], []
+            sizes, classes, maps, orders = [], [], [], []
             for values in shingle_sets(batch.column("text")):
                 name = class_id(values) if len(values) else 0
                 sizes.append(len(values))
                 classes.append(name)
                 maps.append(None)
+                orders.append(None)
                 if len(values) and name not in seen:
                     seen.add(name)
                     held.append(values)
                     size += len(values)
-                    maps[-1] = bitmap(values)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(maps, pa.binary()), pa.array(np.zeros(len(sizes), bool))], names=names)
-            if size > 2_000_000:
+                    maps[-1], orders[-1] = bitmap(values), order_marks(values, percent)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(maps, pa.binary()), pa.array(orders, pa.binary()), pa.array(np.zeros(len(sizes), bool))], names=names)
+            if size > 1_000_000:
                 yield frequent()
                 held, size = [], 0
         if held:
@@ -124,10 +147,10 @@ def describe(docs: DataFrame, local_repeats: int) -> tuple[DataFrame, DataFrame]
         held.clear()
         release()
 
-    names = ["doc_id", "n", "cls", "bitmap", "is_token"]
-    both = stage(docs.mapInArrow(run, "doc_id long, n long, cls long, bitmap binary, is_token boolean"), "join-sets")
+    names = ["doc_id", "n", "cls", "bitmap", "orders", "is_token"]
+    both = stage(docs.mapInArrow(run, "doc_id long, n long, cls long, bitmap binary, orders binary, is_token boolean"), "join-sets")
     tokens = both.filter("is_token").groupBy(F.col("cls").alias("token")).agg(F.sum("n").alias("n"))
-    return both.filter("NOT is_token").select("doc_id", "n", "cls", "bitmap"), tokens
+    return both.filter("NOT is_token").select("doc_id", "n", "cls", "bitmap", "orders"), tokens
 
 
 def _frequent_table(tokens: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,6 +268,36 @@ def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
+def split(members: DataFrame, most: int, turn: int) -> DataFrame:
+    """``members`` with buckets of more than ``most`` classes cut up by a hash of the class, another one on each turn.
+
+    What a turn keeps apart may meet on the next one, and in the end all pairs
+    of a bucket that are not connected are looked at (``in_blocks``).
+    """
+    big = _big(members, most)
+    if big is None:
+        return members
+    part = F.xxhash64("bucket", F.pmod(F.xxhash64("cls", F.lit(turn)), F.col("parts")))
+    return members.join(big, "bucket", "left").withColumn("bucket", F.when(F.col("parts").isNull(), F.col("bucket")).otherwise(part)).drop("parts")
+
+
+def in_blocks(members: DataFrame, most: int) -> DataFrame:
+    """``members`` with a block each, and with buckets of more than ``most`` classes dealt to all pairs of their blocks."""
+    big = _big(members, most)
+    if big is None:
+        return members.withColumn("block", F.lit(0))
+    own = F.coalesce(F.pmod(F.xxhash64("cls"), F.col("parts")), F.lit(0)).cast("int")
+    dealt = members.join(big, "bucket", "left").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.coalesce("parts", F.lit(1)) - 1).cast("int"))))
+    pair = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
+    return dealt.withColumn("bucket", F.when(F.col("parts").isNull(), F.col("bucket")).otherwise(pair)).drop("parts", "other")
+
+
+def _big(members: DataFrame, most: int) -> DataFrame | None:
+    """(bucket, parts) of the buckets with more than ``most`` classes."""
+    big = stage(members.groupBy("bucket").agg(F.count("*").alias("k")).filter(F.col("k") > most).select("bucket", F.ceil(F.col("k") / most).alias("parts")), "join-big")
+    return None if big.isEmpty() else small_side(big, 1_000_000)
+
+
 def star_pairs(members: DataFrame, percent: int, parts: int, turn: int) -> DataFrame:
     """In each bucket, pairs of a hub with the members that it is not connected with and that fit in size.
 
@@ -301,7 +354,10 @@ def _reaching(i: int, others: np.ndarray, n: np.ndarray, maps: list[bytes], tabl
 
 
 def cross_pairs(members: DataFrame, percent: int, parts: int) -> DataFrame:
-    """All pairs of a bucket (with the columns comp and bitmap) that are not connected yet, fit in size and may reach the similarity."""
+    """All pairs of a bucket (with the columns comp, bitmap and block) that are not connected yet, fit in size and may reach the similarity.
+
+    Where two blocks meet, only pairs across them are looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[np.ndarray] = []
@@ -313,8 +369,10 @@ def cross_pairs(members: DataFrame, percent: int, parts: int) -> DataFrame:
             both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-        for _, (cls, n, comp, maps) in _groups(batches, "bucket", ["cls", "n", "comp", "bitmap"]):
+        for _, (cls, n, comp, maps, block) in _groups(batches, "bucket", ["cls", "n", "comp", "bitmap", "block"]):
             order = np.lexsort((cls, n))
+            block = block[order]
+            across = block.min() != block.max()
             cls, n, comp, maps = cls[order], n[order].astype(np.int64), comp[order], [bytes(maps[j]) for j in order]
             row, table = np.zeros(len(cls), np.int64), {}
             for size in {len(h) for h in maps}:
@@ -324,6 +382,8 @@ def cross_pairs(members: DataFrame, percent: int, parts: int) -> DataFrame:
             for i in range(len(cls) - 1):
                 to = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
                 others = i + 1 + np.flatnonzero(comp[i + 1:to] != comp[i])
+                if across:
+                    others = others[block[others] != block[i]]
                 for at in range(0, len(others), 4096):
                     found = _reaching(i, others[at:at + 4096], n, maps, table, row, percent)
                     if len(found):
@@ -350,17 +410,18 @@ def _binaries(column: pa.Array) -> Iterator[memoryview]:
 
 
 def within_bounds(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose bitmaps allow the similarity."""
+    """The pairs whose prefixes may meet under every order and whose bitmaps allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ma, mb = _binaries(batch.column("ma")), _binaries(batch.column("mb"))
+            ma, mb, oa, ob = (_binaries(batch.column(c)) for c in ("ma", "mb", "oa", "ob"))
             na, nb = batch.column("na").to_pylist(), batch.column("nb").to_pylist()
-            ok = [may_reach(x, y, n, m, percent) for x, y, n, m in zip(ma, mb, na, nb)]
+            ok = [may_share(o, p) and may_reach(x, y, n, m, percent) for x, y, o, p, n, m in zip(ma, mb, oa, ob, na, nb)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(bitmaps.select(F.col("cls").alias("b"), F.col("bitmap").alias("mb"), F.col("n").alias("nb")), "b").join(bitmaps.select(F.col("cls").alias("a"), F.col("bitmap").alias("ma"), F.col("n").alias("na")), "a")
-    return both.select("a", "b", "ma", "mb", "na", "nb").mapInArrow(run, "a long, b long")
+    side = lambda s: bitmaps.select(F.col("cls").alias(s), F.col("bitmap").alias(f"m{s}"), F.col("orders").alias(f"o{s}"), F.col("n").alias(f"n{s}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return both.select("a", "b", "ma", "mb", "oa", "ob", "na", "nb").mapInArrow(run, "a long, b long")
 
 
 def candidate_sets(docs: DataFrame, classes: DataFrame, most_ids: int) -> DataFrame:
@@ -400,15 +461,15 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, most_ids: int) -> DataFr
     return sets.groupBy("cls").agg(F.first("tokens").alias("tokens"))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, frequent, percent: int, broadcast_pairs: int = 1_000_000) -> DataFrame:
-    """The pairs (u, v) that pass every order's filter and reach the similarity."""
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, broadcast_pairs: int = 1_000_000) -> DataFrame:
+    """The pairs (u, v) that reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for ta, tb in zip(_binaries(batch.column("ta")), _binaries(batch.column("tb"))):
                 x, y = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
-                ok.append(passes_orders(x, y, _levels(x, frequent.value), _levels(y, frequent.value), percent) and similar(x, y, percent))
+                ok.append(similar(x, y, percent))
             yield batch.select(["a", "b"]).rename_columns(["u", "v"]).filter(pa.array(ok, pa.bool_()))
         release()
 
@@ -419,43 +480,45 @@ def verify(pairs: DataFrame, sets: DataFrame, frequent, percent: int, broadcast_
     return left.join(right, ["a", "b"]).select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 75, local_repeats: int = 2, turns: int = 4, few_pairs: int = 100, most_frequent: int = 2_000_000, most_ids: int = 4_000_000) -> DataFrame:
-    """A row per row of ``docs``: doc_id, n_shingles, component_id, n_links.
+def near_duplicates(docs: DataFrame, *, percent: int = 75, local_repeats: int = 2, turns: int = 4, few_pairs: int = 100, most_frequent: int = 2_000_000, most_ids: int = 4_000_000, most_members: int = 1024) -> DataFrame:
+    """A row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Needs ``doc_id`` and ``text``; other columns are ignored. Sets are of
     distinct five-word shingles (A-Z lower-cased); a shorter text is one
     shingle, and a null text or one without words has the empty set, which
     links with nothing. Two documents link when 100 * intersection >=
     ``percent`` * union, so documents with equal sets always link.
-    ``component_id`` is the smallest doc_id that links reach; ``n_links``
-    counts other documents with an equal set and other classes that were
-    verified as links. A null doc_id is passed over in that minimum and has
+    ``component_id`` is the smallest doc_id that links reach. (The number of
+    links is not given: pairs that are connected already are not verified.) A
+    null doc_id is passed over in that minimum and has
     the component of its text. Repeated rows each give their row. An empty
-    table gives an empty result. Shingles and sets go by 64-bit hashes.
+    table gives an empty result. Shingles and sets go by 64-bit hashes: among
+    n different sets, or n different shingles of the sets that are compared,
+    two share a name with a chance of about n^2 / 2^65. Buckets of more than
+    ``most_members`` classes are compared in parts, by several tasks.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
-    described, tokens = describe(read, local_repeats)
+    described, tokens = describe(read, local_repeats, percent)
     frequent = spark.sparkContext.broadcast(_frequent_table(tokens, most_frequent))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     members = stage(buckets(prefix_tokens(read, frequent, percent), parts), "join-buckets")
     rank = members.groupBy("cls").agg(F.count("*").alias("degree"))
     members = stage(members.join(rank, "cls").withColumn("comp", F.col("cls")), "join-members")
-    bitmaps = described.filter("bitmap IS NOT NULL").join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("bitmap").alias("bitmap"), F.first("n").alias("n"))
+    bitmaps = described.filter("bitmap IS NOT NULL").join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("bitmap").alias("bitmap"), F.first("orders").alias("orders"), F.first("n").alias("n"))
     bitmaps = stage(bitmaps, "join-bitmaps")
     links = roots = tested = None
     turn, last = 0, False
     while True:
         if last:
-            near = cross_pairs(members.join(bitmaps.select("cls", "bitmap"), "cls"), percent, parts).join(tested, ["a", "b"], "left_anti")
+            made = cross_pairs(in_blocks(members, most_members).join(bitmaps.select("cls", "bitmap"), "cls"), percent, parts).join(tested, ["a", "b"], "left_anti")
         else:
-            made = star_pairs(members, percent, parts, turn)
+            made = star_pairs(split(members, most_members, turn), percent, parts, turn)
             made = stage(made if tested is None else made.join(tested, ["a", "b"], "left_anti"), "join-pairs")
             tested = made if tested is None else tested.unionByName(made)
-            near = within_bounds(made, bitmaps, percent)
-        near = stage(near, "join-near")
+        near = stage(within_bounds(made, bitmaps, percent), "join-near")
         sets = stage(candidate_sets(read, near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct(), most_ids), "join-tokens")
-        found = stage(verify(near, sets, frequent, percent), "join-links")
+        found = stage(verify(near, sets, percent), "join-links")
         links = found if links is None else stage(links.unionByName(found), "join-links")
         roots = components(links)
         turn += 1
@@ -470,15 +533,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, local_repeats: int =
         members = comp.join(apart.select("bucket"), "bucket", "left_semi")
         # more stars only where many pairs are left and the last ones still found links
         last = turn >= turns or left[0] <= few_pairs * left[1] or found.count() * 20 < made.count()
-    degree = links.select(F.col("u").alias("cls")).unionByName(links.select(F.col("v").alias("cls"))).groupBy("cls").agg(F.count("*").alias("linked"))
-    classes = described.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    classes = described.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stage(classes.join(least, "root").join(degree, "cls", "left").select("cls", "component_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "join-classes")
+    classes = stage(classes.join(least, "root").select("cls", "component_id"), "join-classes")
     frequent.unpersist()
     placed = described.join(classes, "cls", "left")
     alone = F.col("n") == 0
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, broadcast_ids: int = 4_000_000, **options) -> DataFrame:

@@ -46,7 +46,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 def op9_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

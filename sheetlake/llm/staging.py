@@ -14,12 +14,15 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Where it is unset (tests on one machine), a temporary folder of this
-    process is used, one for each application.
+    Where it is unset and the master is local (tests on one machine), a
+    temporary folder of this process is used, one for each application. On a
+    cluster a shared folder is needed.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="sheetlake-")
