@@ -81,12 +81,14 @@ def may_reach(ba: bytes, bb: bytes, na: int, nb: int, percent: int) -> bool:
 
 
 def order_marks(values: np.ndarray, percent: int) -> bytes:
-    """The prefix tokens under each of the further orders, as sorted 16-bit marks; the number of marks of each order comes first."""
+    """The prefix tokens under each of the further orders, as 16-bit marks; the number of marks of each order comes first."""
     p = prefix_length(len(values), percent)
+    h = mix(values, MORE_ORDERS[0])
     marks = []
-    for salt in MORE_ORDERS:
-        first = values[np.argpartition(mix(values, salt), p - 1)[:p]] if p < len(values) else values
-        marks.append(np.unique((mix(first, 404) >> np.uint64(48)).astype(np.uint16)))
+    # an order by the whole hash and one by its halves exchanged; a mark is of bits that its order does not look at first
+    for key, mark in ((h, h), ((h << np.uint64(32)) | (h >> np.uint64(32)), h >> np.uint64(48))):
+        first = mark[np.argpartition(key, p - 1)[:p]] if p < len(values) else mark
+        marks.append(first.astype(np.uint16))
     return b"".join([np.array([len(m) for m in marks], np.uint32).tobytes(), *(m.tobytes() for m in marks)])
 
 
@@ -98,7 +100,7 @@ def _marks(packed) -> Iterator[np.ndarray]:
 
 
 def may_share(oa, ob) -> bool:
-    """Whether prefixes may have a token in common under each order; without a mark in common they surely have none."""
+    """Whether prefixes may have a token in common under each order; without a mark in common (or a repeated one) they surely have none."""
     for x, y in zip(_marks(oa), _marks(ob)):
         both = np.sort(np.concatenate([x, y]))
         if not (both[1:] == both[:-1]).any():
