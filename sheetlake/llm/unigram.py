@@ -14,6 +14,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,7 +172,7 @@ def encode(docs: DataFrame, model: str, *, with_ids: bool = True) -> DataFrame:
                     "round_trip": [codec.decode(x) == t for x, t in zip(ids, texts)],
                 })
                 if with_ids:
-                    out["ids"] = [array("i", x).tolist() for x in ids]
+                    out["ids"] = [np.frombuffer(x, np.intc) for x in ids]
                 yield out
         del codec
         release()
