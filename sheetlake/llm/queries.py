@@ -61,7 +61,35 @@ QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_chat_pairs, o
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_SAFE = "replace(coalesce({0}, {1}), '<|im_', '< |im_')"
+_HEAD = f"'<|im_start|>' || {_SAFE.format('x.role', chr(39) + 'user' + chr(39))} || chr(10)"
+_BODY = f"{_SAFE.format('x.text', chr(39) * 2)} || '<|im_end|>'"
+
+
+def _render(turns: str) -> str:
+    return f"array_to_string(list_transform({turns}, lambda x: {_HEAD} || {_BODY} || chr(10)), '')"
+
+
+def _mask(turns: str) -> str:
+    """Where the assistant's texts stand: after the turns before and their own head."""
+    sizes = f"list_transform({turns}, lambda x: {{'head': length({_HEAD}), 'body': length({_BODY}), 'own': coalesce(x.role = 'assistant', false)}})"
+    before = "CAST(coalesce(list_sum(list_transform(s[1:i - 1], lambda y: y.head + y.body + 1)), 0) AS BIGINT)"
+    places = f"list_transform(list_filter(range(1, len(s) + 1), lambda i: s[i].own), lambda i: ({before} + s[i].head) || ':' || ({before} + s[i].head + s[i].body))"
+    return f"(SELECT coalesce(array_to_string({places}, ','), '') FROM (SELECT {sizes} AS s))"
+
+
 ORACLES = {
+    "op3_chat_pairs": f"""
+        WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, {{'role': role, 'text': text}} AS x FROM conversations WHERE conv_id IS NOT NULL),
+        g AS (
+            SELECT pair_id, coalesce(list(x ORDER BY turn NULLS FIRST, x.role NULLS FIRST, x.text NULLS FIRST) FILTER (side = 0), []) AS c,
+                coalesce(list(x ORDER BY turn NULLS FIRST, x.role NULLS FIRST, x.text NULLS FIRST) FILTER (side = 1), []) AS r FROM t GROUP BY 1
+        ),
+        n AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] IS DISTINCT FROM r[i])) - 1, least(len(c), len(r))) AS n_prefix FROM g),
+        s AS (SELECT pair_id, n_prefix, c[1:n_prefix] AS p, c[n_prefix + 1:] AS c, r[n_prefix + 1:] AS r FROM n)
+        SELECT pair_id, n_prefix, {_render('p')} AS prompt, {_render('c')} AS chosen, {_mask('c')} AS chosen_mask, {_render('r')} AS rejected, {_mask('r')} AS rejected_mask,
+            len(list_filter(c, lambda x: x.role = 'assistant')) > 0 AND len(list_filter(r, lambda x: x.role = 'assistant')) > 0 AS usable FROM s
+    """,
     "op5_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
