@@ -35,10 +35,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     The files survive the loss of any executor; a failed task is simply run
     again, and what follows does not repeat the work before it.
     """
+    return stage_at(df, name)[0]
+
+
+def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``stage``, and where the table is."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sheetlake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
