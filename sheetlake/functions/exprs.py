@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # Fixed values that results depend on.
 SUPPORTED = ("pdf", "png", "jpg", "jpeg", "tif", "tiff")
 NULL_WORDS = ("", "null", "none", "n/a", "na", "-")
+MISREAD = ("Ã˜", "Ø")
 SHEET_SIZES = ("A0", "A1", "A2", "A3", "A4", "A5")
 DIMENSION_TYPES = ("linear", "diameter", "radius", "angle", "thread", "pattern", "unknown")
 TYPE_ALIASES = {"hole_diameter": "diameter", "pad_diameter": "diameter", "dia": "diameter", "diam": "diameter", "pitch": "pattern"}
@@ -52,7 +53,7 @@ def squeeze(c: Column) -> Column:
 
 def clean_scalar(c: Column) -> Column:
     """Mended, trimmed; placeholder words become null."""
-    t = strip(F.replace(c, F.lit("Ã˜"), F.lit("Ø")))
+    t = strip(F.replace(c, *map(F.lit, MISREAD)))
     return F.when(~F.lower(t).isin(*NULL_WORDS), t)
 
 
@@ -91,6 +92,12 @@ def quantity_key(c: Column) -> Column:
     return F.nullif(F.regexp_replace(t, r"^(-?\d+)\.0+$", "$1"), F.lit(""))
 
 
+def number_key(c: Column) -> Column:
+    """Text of a number in any notation: whole ones without a fraction, others as they are."""
+    n = c.try_cast("decimal(38,9)")
+    return F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(quantity_key(c))
+
+
 def metadata_value(c: Column) -> Column:
     return F.nullif(squeeze(F.replace(F.lower(c), F.lit(","), F.lit("."))), F.lit(""))
 

@@ -79,8 +79,8 @@ def refinement_runs(requests: DataFrame, responses: DataFrame) -> DataFrame:
     asked = requests.select("request_id", "path", "page", "part_id").join(responses, "request_id", "left")
     given = F.coalesce(F.col("status"), F.lit("not_run"))
     asked = asked.withColumns({"given": given, "body": F.col("raw_response"), "raw_response": F.when(given == "completed", F.col("raw_response"))})
-    made = parse.refinements(asked, ("request_id", "path", "page", "part_id", "given", "error", "body", "truncated"))
-    return _finished(made.withColumn("validation_warnings", F.col("warnings"))).withColumnRenamed("part_id", "target_id")
+    made = parse.refinements(asked, ("request_id", "path", "page", "part_id", "given", "error", "body", "truncated"), found="validation_warnings")
+    return _finished(made).withColumnRenamed("part_id", "target_id")
 
 
 def _finished(made: DataFrame) -> DataFrame:

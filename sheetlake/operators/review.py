@@ -33,7 +33,7 @@ def _text(v: Column) -> Column:
 
 
 def dimension_keys(d: Column) -> Column:
-    return F.array_union(value_keys(d["raw_text"]), value_keys(_text(d["value"])))
+    return F.array_union(value_keys(_text(d["raw_text"])), value_keys(_text(d["value"])))
 
 
 def product_coverage(products: DataFrame, scope: list[str]) -> DataFrame:
@@ -85,7 +85,7 @@ def judged(refinements: DataFrame, products: DataFrame, scope: list[str]) -> Dat
     class_ = F.col("classification")
     kind = F.when(~usable, "failed").when(class_.isin("dimension", "metadata", "note", "irrelevant"), class_).otherwise("uncertain")
     known = product_coverage(products, scope)
-    fields = products.select(*scope, F.create_map(*[x for n in MERGEABLE for x in (F.lit(n), F.col(n))]).alias("fields"))
+    fields = products.select(*scope, F.create_map(*[x for n in MERGEABLE for x in (F.lit(n), _text(F.col(n)))]).alias("fields"))
     out = refinements.withColumn("kind", kind)
     for side in (known, fields):
         names = [F.col(c).alias(f"_{c}") if c in scope else F.col(c) for c in side.columns]
@@ -123,7 +123,7 @@ def review_items(judged_: DataFrame, scope: list[str]) -> DataFrame:
     """
     d = F.col("dimension")
     conflict = text_conflict(F.col("ocr_text_supported"), F.col("visual_text"), F.col("ocr_text"))
-    own = route(conflict, d["type"], d["raw_text"], _text(d["value"]), F.col("confidence"))
+    own = route(conflict, d["type"], _text(d["raw_text"]), _text(d["value"]), F.col("confidence"))
     decision = F.when(F.col("coverage") == "new", own).when(F.col("metadata_status").isin("conflict", "missing_in_product"), F.concat(F.lit("needs_review:"), F.col("metadata_status")))
     items = judged_.withColumn("decision", decision).filter("decision IS NOT NULL")
     reasons = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])

@@ -267,13 +267,14 @@ def q27_json_permissive(t):
     return made.groupBy("broken", "status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_orderkey, l_linenumber, unnest(['quantity', '1', NULL]) AS col, unnest([CAST(CAST(l_quantity AS INT) AS VARCHAR), l_returnflag, l_linestatus]) AS val FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, unnest(['quantity', 'status', NULL]) AS col, unnest([CAST(CAST(l_quantity AS INT) AS VARCHAR), l_returnflag, l_linestatus]) AS val FROM lineitem")
 def q28_table_cells(t):
-    """Bare values set against columns of which one is a number and one is missing."""
+    """Bare values set against columns of which one is a number, so that it names none and the next moves up."""
     row = F.to_json(F.struct(F.array(F.col("l_quantity").cast("int").cast("string"), "l_returnflag", "l_linestatus").alias("values")))
-    table = F.parse_json(F.concat(F.lit('{"columns": ["quantity", 1], "rows": ['), row, F.lit("]}")))
-    made = t("lineitem").select("l_orderkey", "l_linenumber", table.alias("v")).select("l_orderkey", "l_linenumber", parse.table(F.col("v")).alias("t"))
-    return made.select("l_orderkey", "l_linenumber", F.explode(F.get("t.rows", F.lit(0))["cells"]).alias("c")).select("l_orderkey", "l_linenumber", F.col("c.column").alias("col"), F.try_variant_get("c.value", "$", "string").alias("val"))
+    table = F.concat(F.lit('{"columns": ["quantity", 1, " status "], "rows": ['), row, F.lit("]}"))
+    made = parse.tables(t("lineitem").select("l_orderkey", "l_linenumber", table.alias("j")), "j")
+    cells = made.select("l_orderkey", "l_linenumber", F.get("t.rows", F.lit(0))["cells"].alias("cells"))
+    return cells.select("l_orderkey", "l_linenumber", F.posexplode_outer("cells").alias("i", "c")).select("l_orderkey", "l_linenumber", parse.text_of(F.col("c.column")).alias("col"), parse.text_of(F.col("c.value")).alias("val"))
 
 
 @query("SELECT l_orderkey, count(*) >= 2 AND count(DISTINCT l_returnflag || l_linestatus) = 1 AS uniform, CASE WHEN count(*) >= 2 AND count(DISTINCT l_returnflag || l_linestatus) = 1 THEN [min(l_returnflag), min(l_linestatus)] END AS columns FROM lineitem GROUP BY 1")
@@ -281,14 +282,13 @@ def q29_collapse_uniform(t):
     """Each order as a table whose columns are the flags of its lines."""
     cell = lambda c: F.struct(F.col(c).alias("column"), F.lit("x").alias("value"))
     rows = t("lineitem").groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(F.struct(F.array(cell("l_returnflag"), cell("l_linestatus")).alias("cells"))).alias("rows"))).alias("j"))
-    return rows.select("l_orderkey", parse.table(F.parse_json("j")).alias("t")).select("l_orderkey", F.col("t.columns").isNotNull().alias("uniform"), "t.columns")
+    return parse.tables(rows, "j").select("l_orderkey", F.col("t.columns").isNotNull().alias("uniform"), "t.columns")
 
 
 @query("SELECT p_partkey, regexp_extract(p_name, '(\\S+)$', 1) AS last_word, coalesce(ends_with(lower(p_name), lower(regexp_extract(p_name, '(\\S+)$', 1))) AND contains(lower(p_type), trim(lower(regexp_replace(p_name, '\\S+$', '')))), false) AS redundant FROM part")
 def q30_label_redundant(t):
     word = F.regexp_extract("p_name", r"(\S+)$", 1)
-    cells = F.array(F.struct(F.col("p_type").alias("column"), F.variant_get(F.parse_json(F.to_json(F.struct(word.alias("v")))), "$.v", "variant").alias("value")))
-    return t("part").select("p_partkey", word.alias("last_word"), parse.redundant(F.col("p_name"), cells).alias("redundant"))
+    return t("part").select("p_partkey", word.alias("last_word"), parse.redundant(F.col("p_name"), word, F.col("p_type")).alias("redundant"))
 
 
 def _candidates(t) -> DataFrame:
@@ -377,7 +377,7 @@ def _judged(t) -> DataFrame:
     v = lambda x: F.parse_json(F.format_string('"%s"', x))
 
     def dimension(x):
-        return F.struct(x.alias("raw_text"), v(x).alias("value"), F.lit("mm").alias("unit"), F.lit("linear").alias("type"), F.parse_json(F.lit("null")).alias("quantity"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("context"))
+        return F.struct(v(x).alias("raw_text"), v(x).alias("value"), v(F.lit("mm")).alias("unit"), F.lit("linear").alias("type"), *[F.lit(None).cast("variant").alias(n) for n in ("quantity", "label", "context")])
 
     c, role, even = F.col("conv_id"), F.col("role"), F.col("turn") % 2 == 0
     read = t("conversations").select(
@@ -385,10 +385,10 @@ def _judged(t) -> DataFrame:
         F.when(F.length("text") < 50, "failed").otherwise("completed").alias("status"), F.when(role == "user", "dimension").when(role == "assistant", "metadata").otherwise("note").alias("classification"), F.lit(True).alias("is_product_dimension"),
         dimension(F.when(even, "5").otherwise("7")).alias("dimension"), F.struct(F.lit("Scale").alias("field"), F.lit("1:1").alias("value")).alias("metadata"), F.when(F.col("turn") % 3 == 0, 0.9).otherwise(0.5).alias("confidence"),
     )
-    table = parse.table(F.parse_json(F.lit('{"rows": [{"label": "a", "values": [7]}]}')))
-    products = t("conversations").select("conv_id").distinct().select(
+    table = F.col("t")
+    products = parse.tables(t("conversations").select("conv_id").distinct().withColumn("j", F.lit('{"rows": [{"label": "a", "values": ["7"]}]}')), "j").select(
         "conv_id", F.when(c % 2 == 0, F.array(dimension(F.lit("#5")))).otherwise(F.slice(F.array(dimension(F.lit("#5"))), 1, 0)).alias("dimensions"), F.when(c % 5 == 0, F.array(table)).otherwise(F.slice(F.array(table), 1, 0)).alias("dimension_tables"),
-        *[F.when(c % 3 == 0, "1:1").when(c % 3 == 2, "2:1").alias(n) if n == "scale" else F.lit(None).cast("string").alias(n) for n in review.MERGEABLE],
+        *[F.when(c % 3 == 0, "1:1").when(c % 3 == 2, "2:1").cast("variant").alias(n) if n == "scale" else F.lit(None).cast("variant").alias(n) for n in review.MERGEABLE],
     )
     return review.judged(read, products, ["conv_id"])
 

@@ -76,9 +76,10 @@ def test_products(spark):
     rows = [("acme_widget42.pdf", "```json\n" + json.dumps(RESPONSE) + "\n```"), ("b.pdf", "no json"), ("c.pdf", None), ("d.pdf", '{"warnings": ["w"], "notes": "x"}')]
     got = {r.source_file: r for r in parse.products(spark.createDataFrame(rows, "file_name string, raw_response string")).collect()}
     a = got["acme_widget42.pdf"]
-    assert (a.brand_name, a.size, a.scale, a.revision) == ("ACME", "A3", None, None) and len(a.dimensions) == 2
+    plain = lambda v: v if v is None else v.toPython()
+    assert (plain(a.brand_name), plain(a["size"]), a.scale, a.revision) == ("ACME", "A3", None, None) and len(a.dimensions) == 2
     d = a.dimensions[0]
-    assert (d.raw_text, d.value.toPython(), d.unit, d.type, d.quantity.toPython(), d.label) == ("#5", 5, "mm", "diameter", 4, None)
+    assert (plain(d.raw_text), plain(d.value), plain(d.unit), d.type, plain(d.quantity), d.label) == ("#5", 5, "mm", "diameter", 4, None)
     t = a.tables[0]
     assert t.columns == ["Pin", "Signal"] and [[c.toPython() for c in r["values"]] for r in t.rows] == [[1, "VCC"], ["2", "GND"]] and t.rows[0].cells is None and t.rows[1].label is None
     assert a.schematics[0].components == ["R1"] and len(a.schematics[0].parameters) == 1 and json.loads(a.notes) == [{"a": 1}, "n"] and a.tolerances == "[]"
@@ -95,8 +96,8 @@ def test_refinements(spark):
     good = {"classification": "Dimension", "confidence": True, "local_context": "Title block", "dimension": {"raw_text": "5"}, "metadata": None, "is_product_dimension": True, "ocr_text_supported": "yes"}
     rows = [("t1", json.dumps(good)), ("t2", "{}"), ("t3", "oops"), ("t4", '{"classification": "x", "confidence": 0.5, "dimension": 3, "local_context": "moon"}')]
     got = {r.target_id: r for r in parse.refinements(spark.createDataFrame(rows, "target_id string, raw_response string")).collect()}
-    assert (got["t1"].classification, got["t1"].confidence, got["t1"].local_context, got["t1"].dimension.raw_text, got["t1"].ocr_text_supported) == ("dimension", 1.0, "title_block", "5", None) and not got["t1"].warnings
-    assert got["t2"].classification == "uncertain" and len(got["t2"].warnings) == 2 and len(got["t3"].warnings) == 1 and len(got["t4"].warnings) == 3
+    assert (got["t1"].classification, got["t1"].confidence, got["t1"].local_context, got["t1"].dimension.raw_text.toPython(), got["t1"].ocr_text_supported) == ("dimension", None, "title_block", "5", None) and not got["t1"].warnings
+    assert got["t2"].classification == "uncertain" and got["t2"].warnings == [] and got["t2"].status == "completed" and len(got["t3"].warnings) == 1 and len(got["t4"].warnings) == 3
 
 
 def candidates(spark, rows):
@@ -157,15 +158,72 @@ def test_candidates_and_summary(spark):
 
 def test_tables_keep_their_columns(spark):
     def table(**t):
-        return spark.createDataFrame([(json.dumps(t),)], "j string").select(parse.table(F.parse_json("j")).alias("t")).first().t
+        return parse.tables(spark.createDataFrame([(json.dumps(t),)], "j string"), "j").first().t
 
     got = table(columns=[1, "A", "B"], rows=[{"values": ["x", "y", 5]}])
-    assert [(c.column, c.value.toPython()) for c in got.rows[0].cells] == [("1", "x"), ("A", "y"), ("B", 5)] and got.columns is None
+    assert [(c.column and c.column.toPython(), c.value.toPython()) for c in got.rows[0].cells] == [("A", "x"), ("B", "y"), (None, 5)] and got.columns is None
     got = table(columns=["L", "A"], rows=[{"label": "n/a", "values": [1]}, {"label": "", "values": [2]}])
     assert got.columns == ["A"] and [[v.toPython() for v in r["values"]] for r in got.rows] == [[1], [2]]
     got = table(rows=[{"label": "Pin 1", "cells": [{"column": "Pin Number", "value": "1"}]}, {"label": "Pin 1", "cells": [{"column": "Pin Number", "value": 1}]}])
-    assert [r.label for r in got.rows] == [None, "Pin 1"]
-    assert table(columns=[" A "], rows=[{"values": [1]}, {"cells": [{"column": "A", "value": 2}]}]).columns is None
+    assert [r.label and r.label.toPython() for r in got.rows] == [None, "Pin 1"]
+    assert table(columns=[" A "], rows=[{"values": [1]}, {"cells": [{"column": "A", "value": 2}]}]).columns == ["A"]
+    assert table(columns=["A"], rows=[{"values": [1]}, {"cells": [{"column": 3, "value": 2}]}]).columns is None
+
+
+def read(spark, text, name="a.pdf"):
+    return parse.products(spark.createDataFrame([(name, text)], "file_name string, raw_response string")).first()
+
+
+@pytest.mark.parametrize("text, want", [
+    ('{"sheet": "1", "sheet": "2"}', "2"), ('{"sheet": "1"} tail', "1"), ('x {"sheet": 1.0}', 1.0), ('{"sheet": 1}', 1), ('{"sheet": true}', True), ('{"sheet": ["a"]}', ["a"]), ('{"sheet": {"b": 1}}', {"b": 1}), ('{"sheet": 1e400}', float("inf")),
+    ('{"sheet": -Infinity}', float("-inf")), ('{"sheet": " N/A "}', None), ('{"sheet": null}', None), ('{"sheet": "\\ud800"}', "?"), ('{"sheet": 12345678901234567890123}', 12345678901234567890123), ('```json {"sheet": 1}\n{"sheet": "in"}\n```', "in"),
+])
+def test_values_keep_their_types(spark, text, want):
+    got = read(spark, text)
+    value = got.sheet and got.sheet.toPython()
+    assert value == want and type(value) in (type(want), __import__("decimal").Decimal) and got.status == "completed"
+
+
+@pytest.mark.parametrize("text", ['{"a": 1} {"b": 2}', "{'a': 1}", '{"a": 1,}', "[1, 2]", "", '{"a": 01}', '{"a": "\t"}', "} {", '{"a": ' + "[" * 100000 + "]" * 100000 + "}"])
+def test_texts_that_are_not_one_value(spark, text):
+    got = read(spark, text)
+    try:
+        json.loads(text[text.index("{"):text.rindex("}") + 1])
+    except RecursionError:
+        said = "nested too deeply"
+    except ValueError as e:
+        said = "No JSON object found." if "{" not in text or text.rindex("}") < text.index("{") else str(e)
+    assert got.status == "validation_failed" and got.warnings == [f"Extractor response was not valid JSON: {said}"]
+
+
+def test_kinds_that_warn_and_kinds_that_do_not(spark):
+    answer = {"dimensions": [{"type": 5, "unit": 7, "raw_text": 3, "label": ["x"]}, {"type": "pad"}, "x"], "dimension_tables": [{"type": "pinout_table", "rows": None}], "tables": [{"type": 4, "rows": [{}, 3]}], "schematics": [{"parameters": None}, {"parameters": 3}], "warnings": ["own", 5, {"a": None}]}
+    got = read(spark, json.dumps(answer))
+    d = got.dimensions[0]
+    assert (d.type, d.unit.toPython(), d.raw_text.toPython(), d.label.toPython()) == ("unknown", 7, 3, ["x"])
+    assert "type" not in got.dimension_tables[0] and got.dimension_tables[0].rows == [] and got.tables[0].type == "unknown"
+    assert got.warnings == [
+        "own", "5", '{"a":null}', "Dimension 2 type `pad` is not allowed and was set to unknown.", "Dimension 3 was not an object and was skipped.", "dimension_tables item 1 rows were not a list and were reset.",
+        "tables item 1 row 1 had no cells or values and was reset.", "tables item 1 row 2 was not an object and was skipped.", "schematics item 2 parameters was not a list and was reset.",
+    ]
+
+
+def test_refinement_warnings_are_kept(spark):
+    answers = {
+        "a": {"classification": 5, "warnings": ["model said"], "dimension": {"type": "zzz", "raw_text": "#1", "label": "diameter"}}, "b": {"classification": None, "confidence": None, "warnings": None, "local_context": 3, "metadata": 4, "dimension": []},
+        "c": {"classification": " Note ", "confidence": 1, "dimension": None, "metadata": None}, "d": {"confidence": "0.9"},
+    }
+    rows = [(k, json.dumps(v)) for k, v in answers.items()]
+    got = {r.target_id: r for r in parse.refinements(spark.createDataFrame(rows, "target_id string, raw_response string")).collect()}
+    assert got["a"].warnings == ["model said", "Refinement classification was missing and was set to uncertain.", "Dimension 1 type `zzz` is not allowed and was set to unknown.", "Suspicious diameter symbol in raw_text: `#1`."]
+    assert got["b"].warnings == ["Refinement classification was missing and was set to uncertain.", "Refinement warnings were not a list and were reset.", "Refinement confidence was missing and was set to 0.0.", "Refinement dimension was not an object and was reset.", "Refinement metadata was not an object and was reset."]
+    assert (got["c"].classification, got["c"].confidence, got["c"].warnings, got["c"].status) == ("note", 1.0, [], "completed") and got["d"].confidence == 0.0
+
+
+def test_quantities_that_are_texts_stay_texts(spark):
+    answer = {"dimensions": [{"raw_text": "1", "quantity": q} for q in (4.0, "4.0", 1e1, "1e1", 4, " X ", "", 2.5)]}
+    made = parse.products(spark.createDataFrame([("a", json.dumps(answer))], "file_name string, raw_response string"))
+    assert [r.k_quantity for r in evidence.full_page_candidates(made, ["file_name"]).orderBy("candidate_id").collect()] == ["4", "4.0", "10", "1e1", "4", "x", None, "2.5"]
 
 
 def test_safe_merges(spark):
