@@ -208,25 +208,36 @@ def prefix_tokens(docs: DataFrame, frequent, percent: int) -> DataFrame:
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str, others: list[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Rows sorted by ``key``, a group at a time."""
-    rest: list[np.ndarray] | None = None
+    """Rows sorted by ``key``, a group of two rows at least at a time; a group over many batches is put together once."""
+    own, held = None, []  # the key and the pieces of the group that may go on
+
+    def whole() -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*held)] if len(held) > 1 else held[0]
+
+    def many() -> bool:
+        return len(held) > 1 or bool(held) and len(held[0][0]) > 1
+
     for batch in batches:
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in (key, *others)]
-        if rest is not None:
-            columns = [np.concatenate(x) for x in zip(rest, columns)]
-        if not len(columns[0]):
+        keys, *columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in (key, *others)]
+        if not len(keys):
+            continue
+        bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        if held and keys[0] != own:
+            if many():
+                yield own, whole()
+            held = []
+        own = int(keys[0])
+        held.append([c[:bounds[1]] for c in columns])
+        if len(bounds) == 2:
             continue
-        cuts = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
-        last = int(cuts[-1]) if len(cuts) else 0
-        rest = [c[last:] for c in columns]
-        bounds = np.concatenate([[0], cuts])
-        # groups of one row need no look
-        long = np.flatnonzero(np.diff(bounds) > 1)
-        for i in long:
-            a, b = bounds[i], bounds[i + 1]
-            yield int(columns[0][a]), [c[a:b] for c in columns[1:]]
-    if rest is not None and len(rest[0]) > 1:
-        yield int(rest[0][0]), [c for c in rest[1:]]
+        if many():
+            yield own, whole()
+        for a, b in zip(bounds[1:-2], bounds[2:-1]):
+            if b - a > 1:  # groups of one row need no look
+                yield int(keys[a]), [c[a:b] for c in columns]
+        own, held = int(keys[bounds[-2]]), [[c[bounds[-2]:].copy() for c in columns]]
+    if many():
+        yield own, whole()
 
 
 def buckets(tokens: DataFrame, parts: int) -> DataFrame:

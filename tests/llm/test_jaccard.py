@@ -138,3 +138,20 @@ def test_hot_buckets_in_parts(spark):
     for turns in (1, 3):
         got = jaccard_join.near_duplicates(docs, most_members=16, turns=turns, few_pairs=0)
         assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
+def test_groups_over_batches():
+    import itertools
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    for case in range(200):
+        keys = np.sort(rng.integers(0, rng.integers(1, 8), rng.integers(0, 40)))
+        rows = np.arange(len(keys))
+        cuts = np.sort(rng.integers(0, len(keys) + 1, rng.integers(0, 6)))
+        batches = [pa.RecordBatch.from_arrays([pa.array(k), pa.array(r)], names=["key", "row"]) for k, r in zip(np.split(keys, cuts), np.split(rows, cuts))]
+        got = [(k, v.tolist()) for k, (v,) in jaccard_join._groups(iter(batches), "key", ["row"])]
+        want = [(k, [i for _, i in g]) for k, g in itertools.groupby(zip(keys.tolist(), rows.tolist()), key=lambda x: x[0])]
+        assert got == [(k, g) for k, g in want if len(g) > 1]
