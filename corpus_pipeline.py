@@ -11,29 +11,41 @@ from sheetlake.llm import exact_dedup, jaccard_join, mixing, quality_lm, unigram
 from sheetlake.llm.queries import MODEL
 from sheetlake.llm.staging import stage
 
+#: Documents that go to a Python worker at a time; they may be long, and a batch is held several times over.
+BATCH_ROWS = 1000
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model of trusted text rejects go."""
+    _in_small_batches(spark)
     return quality_lm.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays."""
+    _in_small_batches(spark)
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest doc_id stays."""
+    _in_small_batches(spark)
     return jaccard_join.one_of_each(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    _in_small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, round_trip, ids."""
+    _in_small_batches(spark)
     return unigram.encode(docs, MODEL)
 
 
