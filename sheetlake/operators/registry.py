@@ -19,8 +19,9 @@ def to_process(files: DataFrame, registry: DataFrame, force: bool = False) -> Da
 
 
 def _first(files: DataFrame) -> DataFrame:
-    first = files.groupBy("fingerprint").agg(F.min_by("path", F.struct(F.lower("path"), F.col("path"))).alias("path"))
-    return files.join(first, ["fingerprint", "path"], "left_semi")
+    """Of equal files the first by path, case aside; one aggregation and no join."""
+    row = F.struct(*[F.col(c) for c in files.columns])
+    return files.groupBy("fingerprint").agg(F.min_by(row, F.struct(F.lower("path"), F.col("path"))).alias("_row")).select("_row.*")
 
 
 def next_equal(files: DataFrame, results: DataFrame) -> DataFrame:
@@ -44,8 +45,13 @@ def failed_entries(failures: DataFrame) -> DataFrame:
     return failures.select(F.col("path").alias("input_path"), F.col("filename").alias("original_filename"), "fingerprint", F.lit("failed").alias("status"), "error", now.alias("processed_at"))
 
 
-def latest_completed(registry: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """The last completed entry of each fingerprint in the order of ``order``; combined before any shuffle."""
+#: What orders the entries of a registry, the first column first; see ``entries``.
+ORDER = ("batch", "seq")
+
+
+def latest_completed(registry: DataFrame) -> DataFrame:
+    """The last completed entry of each fingerprint, by batch and then seq (whichever of them there are); combined before any shuffle."""
+    order = [F.col(c) for c in ORDER if c in registry.columns]
     row = F.struct(*[F.col(c) for c in registry.columns])
     return registry.filter("status = 'completed'").groupBy("fingerprint").agg(F.max_by(row, F.struct(*order)).alias("r")).select("r.*")
 

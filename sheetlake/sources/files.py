@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import struct
-
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -12,39 +11,47 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ..functions import exprs as X
 
 
+LISTED = "path string, modificationTime timestamp, length long, content binary"
+
+
 def discover(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
-    """path, length, fingerprint and header facts of the supported files below ``path``; empty if there are none."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(path)
-    files = files.filter(X.is_supported(F.col("path")))
-    out = files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), X.extension(F.col("path")).alias("extension"), F.col("length").alias("size_bytes"), *[c for c in (X.fingerprint(F.col("content")).alias("fingerprint"), image_size(F.col("content")).alias("image")) if content])
-    return out
+    """path, filename, extension, size_bytes and, with ``content``, fingerprint and header facts of the supported files below ``path``.
+
+    Empty if there are none or the path does not exist.
+    """
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        files = spark.createDataFrame([], LISTED)
+    name = F.element_at(F.split("path", "/"), -1)
+    files = files.filter(X.is_supported(F.col("path"))).withColumn("extension", X.extension(F.col("path")))
+    facts = (X.fingerprint(F.col("content")).alias("fingerprint"), image_size(F.col("content"), F.col("extension")).alias("image"))
+    return files.select("path", name.alias("filename"), "extension", F.col("length").alias("size_bytes"), *(facts if content else ()))
+
+
+#: Markers of a JPEG's frame headers, and those that stand alone.
+FRAMES = (0xC0, 0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF)
+ALONE = (0xD8, 0xD9)
 
 
 def _jpeg(content: bytes | None):
-    """Width and height from the first frame header of a JPEG stream."""
+    """Width and height from the first frame header of a JPEG stream; bytes between segments are passed over."""
     if not content or content[:2] != b"\xff\xd8":
         return None
-    at, n = 2, len(content)
-    while at + 4 <= n:
-        if content[at] != 0xFF:
-            return None
-        mark = content[at + 1]
-        if mark == 0xFF:
+    at = 2
+    while (at := content.find(b"\xff", at)) >= 0:
+        head = content[at:].lstrip(b"\xff")[:8] if content[at:at + 2] == b"\xff\xff" else content[at + 1:at + 9]
+        at = content.index(head[:1], at + 1) if head else len(content)
+        if head and head[0] in ALONE:
             at += 1
-        elif mark == 0x01 or 0xD0 <= mark <= 0xD7:
-            at += 2
-        elif mark in (0xD9, 0xDA):
+            continue
+        if len(head) < 3 or (size := int.from_bytes(head[1:3], "big")) < 2:
             return None
-        else:
-            size = struct.unpack(">H", content[at + 2:at + 4])[0]
-            if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
-                if at + 9 > n:
-                    return None
-                h, w = struct.unpack(">HH", content[at + 5:at + 9])
-                return {"width": w, "height": h}
-            if size < 2:
-                return None
-            at += 2 + size
+        if head[0] in FRAMES:
+            return {"height": int.from_bytes(head[4:6], "big"), "width": int.from_bytes(head[6:8], "big")} if len(head) == 8 else None
+        at += 1 + size
     return None
 
 
@@ -56,14 +63,23 @@ def jpeg_size(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_jpeg(c) or {"width": None, "height": None} for c in content], columns=["width", "height"]).astype("Int32")
 
 
-def image_size(content):
-    """Struct of width and height; null where neither kind of header is found. Python sees JPEG contents only."""
-    jpeg = jpeg_size(F.when(F.hex(F.substring(content, 1, 2)) == "FFD8", content))
-    return F.coalesce(X.png_size(content), F.when(jpeg["width"].isNotNull(), jpeg))
+def image_size(content, extension=None):
+    """Struct of width and height; null where the header is not found. Python sees JPEG contents only.
+
+    With ``extension`` only the kind of header that it stands for is read.
+    """
+    is_ = lambda *names: F.lit(True) if extension is None else extension.isin(*names)
+    jpeg = jpeg_size(F.when(is_("jpg", "jpeg") & (F.hex(F.substring(content, 1, 2)) == "FFD8"), content))
+    return F.coalesce(F.when(is_("png"), X.png_size(content)), F.when(jpeg["width"].isNotNull(), jpeg))
 
 
 def recorded(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded responses: file_name, raw_response, error, truncated (false where absent)."""
-    df = spark.read.json(path)
-    have = set(df.columns)
-    return df.select("file_name", "raw_response", *[(F.col(c) if c in have else F.lit(d)).cast(t).alias(c) for c, t, d in (("error", "string", None), ("truncated", "boolean", False))])
+    """Recorded responses, one JSON object a line: file_name, page (1 where absent), part_id (of a tile or target; else null), raw_response, error, truncated."""
+    schema = "file_name string, page int, part_id string, raw_response string, error string, truncated boolean"
+    return spark.read.schema(schema).json(path).withColumns({"page": F.coalesce("page", F.lit(1)), "truncated": F.coalesce("truncated", F.lit(False))})
+
+
+def recorded_texts(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded text blocks of a reader program, one JSON object a line, as ``operators.ocr.blocks`` takes them, with file_name."""
+    schema = "file_name string, page int, ordinal int, polygon array<array<double>>, text string, confidence double, engine string, elapsed double, source_ref string"
+    return spark.read.schema(schema).json(path).withColumn("page", F.coalesce("page", F.lit(1)))

@@ -325,9 +325,8 @@ def test_registry_order_and_messages(spark):
     early = registry.entries(spark.range(400, numPartitions=400).select(F.lit("f").alias("fingerprint"), F.lit("completed").alias("status"), F.lit("old").alias("result_path")), 0)
     late = registry.entries(spark.createDataFrame([("f", "completed", "new")], "fingerprint string, status string, result_path string"), 1)
     log = early.unionByName(late)
-    assert registry.latest_completed(log, ("batch", "seq")).first().result_path == "new"
-    last = log.withColumn("seq", F.struct("batch", "seq"))
-    assert [r.message for r in registry.skip_messages(spark.createDataFrame([("p", "f"), ("q", "g")], "path string, fingerprint string"), last).collect()] == ["SKIP p (already completed) -> new"]
+    assert registry.latest_completed(log).first().result_path == "new"
+    assert [r.message for r in registry.skip_messages(spark.createDataFrame([("p", "f"), ("q", "g")], "path string, fingerprint string"), log).collect()] == ["SKIP p (already completed) -> new"]
     entry = registry.failed_entries(spark.createDataFrame([("p", "n", "f", "e")], "path string, filename string, fingerprint string, error string")).first()
     assert (entry.input_path, entry.status, entry.error) == ("p", "failed", "e")
 
@@ -348,15 +347,183 @@ def test_files_and_json(spark, tmp_path):
     assert json.loads(text) == data and "°C" in text and text.endswith("}\n") and f'["{"x" * 150}", 1]' in text
 
 
-def test_providers(spark):
-    def ask(prompt, image):
-        if prompt == "boom":
-            raise OSError("down")
-        return (prompt.upper() if image else None), False
+class Stub:
+    """A model server whose answers are given beforehand: (status, body, headers) one after the other for each prompt."""
 
-    rows = [("1", "hi", b"x"), ("2", "boom", b"x"), ("3", "none", b"")]
-    got = {r.request_id: r for r in providers.respond(spark.createDataFrame(rows, "request_id string, prompt string, image binary"), ask).collect()}
-    assert got["1"].raw_response == "HI" and got["2"].error == "OSError: down" and got["3"].status == "failed"
+    def __init__(self, answers):
+        import http.server
+        import threading
+
+        stub = self
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_POST(self):
+                body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                prompt = body.get("prompt") or body["messages"][0]["content"][1]["text"]
+                stub.asked.append((prompt, body))
+                queue = answers[prompt]
+                code, text, headers = queue.pop(0) if len(queue) > 1 else queue[0]
+                self.send_response(code)
+                for k, v in headers.items():
+                    self.send_header(k, v)
+                self.end_headers()
+                self.wfile.write(text.encode())
+
+            def log_message(self, *a):
+                pass
+
+        self.asked = []
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        self.url = f"http://127.0.0.1:{self.server.server_port}/"
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+
+def test_endpoints(spark, monkeypatch):
+    ok = json.dumps({"content": [{"type": "text", "text": " a "}, {"type": "x"}, {"type": "text", "text": "b"}], "stop_reason": "max_tokens", "response": "local", "done_reason": "stop"})
+    answers = {
+        "ok": [(200, ok, {})], "busy": [(429, "slow down", {"Retry-After": "0"}), (200, ok, {})], "down": [(500, "broken", {})], "bad": [(400, "no such model", {})], "empty": [(404, "", {})], "json": [(200, "{oops", {})], "none": [(200, '{"content": [], "é": 1}', {})],
+    }
+    names = sorted(answers)
+    monkeypatch.setenv("STUB_KEY", "k")
+    monkeypatch.setitem(spark.sparkContext.environment, "STUB_KEY", "k")  # for the workers
+    ask_rows = spark.createDataFrame([(n, n, b"img", "in/p.JPG") for n in names], "request_id string, prompt string, image binary, image_path string").coalesce(1)
+    stub = Stub(answers)
+    made = providers.respond(ask_rows, providers.hosted_messages(stub.url, "m", "STUB_KEY"), lanes=1, per_second=50, tries=2, pause=0.01)
+    got = {r.request_id: (r.status, r.raw_response, r.error, r.truncated) for r in made.collect()}
+    assert got["ok"] == got["busy"] == ("completed", "a \nb", None, True)
+    assert got["down"] == ("failed", "broken", "HTTP 500: broken", False) and got["bad"] == ("failed", "no such model", "HTTP 400: no such model", False)
+    assert got["empty"] == ("failed", None, "HTTP 404: Not Found", False)
+    assert got["json"][:2] == ("failed", None) and got["json"][2].startswith("Expecting property name") and got["none"] == ("failed", '{"content": [], "é": 1}', providers.NO_TEXT, False)
+    tries = [p for p, _ in stub.asked]
+    assert {n: tries.count(n) for n in names} == {"bad": 1, "busy": 2, "down": 2, "empty": 1, "json": 1, "none": 1, "ok": 1}
+    assert stub.asked[0][1]["messages"][0]["content"][0]["source"]["media_type"] == "image/jpeg"
+    local = providers.local_generate(Stub({**answers, "none": [(200, '{"response": 5}', {})]}).url, "m", "low")
+    assert local("ok", b"x") == providers.Answer("completed", "local") and local("none", b"x")[:3] == ("failed", '{"response": 5}', providers.NO_RESPONSE)
+    assert local("down", b"x")[:3] == ("failed", None, "HTTP Error 500: Internal Server Error") and local("down", b"x").again
+    assert not providers.local_generate("http://127.0.0.1:1/", "m")("x", b"").raw_response
+    monkeypatch.delenv("STUB_KEY")
+    assert providers.hosted_messages("http://x", "m", "STUB_KEY")("p", b"").error == "STUB_KEY is not set."
+    monkeypatch.setenv("STUB_KEY", "k")
+    assert providers.hosted_messages("http://x", None, "STUB_KEY")("p", b"").error == providers.NO_MODEL
+    assert [providers.media_type(n) for n in ("a.png", "a.JPEG", "a.gif", "a.webp", "a.tif", "a")] == ["image/png", "image/jpeg", "image/gif", "image/webp", "image/png", "image/png"]
+    boom = providers.respond(ask_rows.limit(1), lambda *a: 1 / 0).first()
+    assert (boom.status, boom.error) == ("failed", "ZeroDivisionError: division by zero")
+    with pytest.raises(ValueError):
+        providers.respond(ask_rows, local, per_second=1)
+
+
+def test_recorded_calls_are_never_repeated(spark, tmp_path):
+    """A batch is killed half way; done again, it asks only for what the ledger lacks."""
+    from sheetlake import command
+
+    source, marks = tmp_path / "in", tmp_path / "marks"
+    source.mkdir()
+    marks.mkdir()
+    for i in range(9):
+        (source / f"part{i}.png").write_bytes(b"%d" % i)
+
+    def asking(dies):
+        def ask(prompt, image, name):
+            import os
+            import uuid
+
+            if dies and len(os.listdir(marks)) >= 5:
+                os._exit(3)  # as a lost executor
+            (marks / f"{image.decode()}-{uuid.uuid4().hex}").write_text("")
+            return providers.Answer("completed", json.dumps({"product_name": image.decode()}))
+        return ask
+
+    how = {"wave": 2, "lanes": 1}
+    with pytest.raises(Exception):
+        command.process(spark, str(source), str(tmp_path / "out"), ask=asking(True), extractor="ollama", calls=how)
+    recorded = {r.raw_response for r in spark.read.parquet(str(tmp_path / "out/work/batch=0/part=0/calls")).collect()}
+    assert 0 < len(recorded) < 9 and not (tmp_path / "out/registry").exists()
+    counts = command.process(spark, str(source), str(tmp_path / "out"), ask=asking(False), extractor="ollama", calls=how)
+    assert counts == {"found": 9, "processed": 9, "skipped": 0, "failed": 0}
+    asked = [m.name.split("-")[0] for m in marks.iterdir()]
+    assert all(asked.count(json.loads(r)["product_name"]) == 1 for r in recorded) and set(asked) == {str(i) for i in range(9)}
+    assert {json.loads(r.json)["product_name"] for r in spark.read.parquet(str(tmp_path / "out/products")).collect()} == {str(i) for i in range(9)}
+
+
+def test_pages_tiles_and_targets_are_chained(spark, tmp_path):
+    import struct
+
+    from sheetlake import command
+
+    source = tmp_path / "in"
+    source.mkdir()
+    for name in ("DEMO_AB12.png", "x/DEMO_AB12.png"):
+        (source / name).parent.mkdir(exist_ok=True)
+        (source / name).write_bytes(b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 1400, 1000) + name.encode())
+    (source / "x/DEMO_AB12.png").unlink()
+    page = {"product_name": "Relay", "scale": "2.1", "dimensions": [{"raw_text": "5", "value": 5, "type": "linear", "label": "A"}], "tables": [{"columns": ["P", "Q"], "rows": [{"values": [1, "a"]}, {"values": [2, "b"]}]}], "notes": ["n"]}
+    tile = {"dimensions": [{"raw_text": "5", "value": 5, "type": "linear", "label": "A"}, {"raw_text": "9", "value": "9", "type": "linear", "label": "B"}]}
+    target = {"classification": "dimension", "is_product_dimension": True, "confidence": 0.95, "raw_text": "77", "visual_text": "77", "ocr_text_supported": True, "local_context": "drawing_view", "dimension": {"raw_text": "77", "value": "77", "type": "linear"}, "warnings": []}
+    scale = {"classification": "metadata", "confidence": 0.9, "visual_text": "2:1", "metadata": {"field": "Scale", "value": "2:1"}}
+    name = "DEMO_AB12.png"
+    lines = [{"file_name": name, "raw_response": json.dumps(page)}]
+    lines += [{"file_name": name, "part_id": f"page_001_tile_{i:03d}", "raw_response": json.dumps(tile)} for i in (1, 2)]
+    lines += [{"file_name": name, "part_id": "page_001_ocr_target_001", "raw_response": json.dumps(target)}, {"file_name": name, "part_id": "page_001_ocr_target_002", "raw_response": json.dumps(scale)}]
+    (tmp_path / "r.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    box = [[10.0, 10.0], [40.0, 30.0]]
+    (tmp_path / "t.jsonl").write_text("\n".join(json.dumps({"file_name": name, "ordinal": i, "polygon": box, "text": t, "confidence": 0.9, "engine": "e"}) for i, t in enumerate(("77", "2:1", "5", "word"), 1)))
+    out = str(tmp_path / "out")
+    argv = ["process", str(source), "--outputs", out, "--responses", str(tmp_path / "r.jsonl"), "--texts", str(tmp_path / "t.jsonl"), "--ocr", "--extract-crops", "--documents"]
+    assert command.main(argv) == 0
+    review_ = spark.read.parquet(f"{out}/reviews").first()
+    assert (review_.counts.dimensions, review_.counts.raw_ocr_blocks, review_.counts.ocr_candidates, review_.counts.ocr_target_crops, review_.counts.ocr_target_refinements, review_.counts.tile_extractions) == (1, 4, 3, 2, 2, 2)
+    assert [json.loads(i)["target_id"] for i in review_.review.merge_ready] == ["page_001_ocr_target_001"] and [json.loads(i)["reason"] for i in review_.review.needs_review] == [review.REASONS["needs_review:conflict"]]
+    only, groups = [json.loads(i) for i in review_.tile_review.tile_only_candidates], [json.loads(i) for i in review_.tile_review.duplicate_candidate_groups]
+    assert {c["raw_text"] for c in only} == {"9"} and {(g["k_value"], g["members"]) for g in groups} == {("5", 2), ("9", 2)}
+    audit = spark.read.parquet(f"{out}/audits").first()
+    assert (len(audit.tiles), len(audit.tile_extractions), len(audit.ocr_target_refinements), len(audit.regions), audit.tile_summary.full_page_supported_candidates, audit.refinement_summary.new_dimension_candidates) == (2, 2, 2, 1, 2, 1)
+    docs = tmp_path / "out/documents"
+    files_ = {str(p.relative_to(docs)) for p in docs.rglob("*") if p.is_file()}
+    responses = {"internal/demo_ab12.raw_response.txt"} | {f"internal/tile_responses/demo_ab12_page_001_tile_{i:03d}.raw_response.txt" for i in (1, 2)} | {f"internal/ocr_target_responses/demo_ab12_page_001_ocr_target_{i:03d}.raw_response.txt" for i in (1, 2)}
+    assert files_ == responses | {"products/demo_ab12.json", "internal/demo_ab12.internal.json", "internal/demo_ab12.tile_summary.json", "internal/reviews/demo_ab12.review.json", "internal/demo_ab12.vlm_prompt.txt"}
+    made = json.loads((docs / "products/demo_ab12.json").read_text())
+    assert made["tables"] == [{"type": "unknown", "title": None, "context": None, "columns": ["P", "Q"], "rows": [[1, "a"], [2, "b"]]}] and made["notes"] == ["n"] and made["dimensions"][0]["value"] == 5 and "type" not in made
+    assert json.loads((docs / "internal/demo_ab12.internal.json").read_text())["tiles"][0]["tile_id"] == "page_001_tile_001"
+    assert spark.read.parquet(f"{out}/registry").first().result_path == f"{out}/documents/products/demo_ab12.json"
+
+
+def test_warnings_of_steps_that_are_left_out(spark, tmp_path):
+    from sheetlake import command
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.png").write_bytes(b"1")
+    (tmp_path / "t.jsonl").write_text("")
+    out = str(tmp_path / "out")
+    command.process(spark, str(tmp_path / "in"), out, extract_crops=True, texts=str(tmp_path / "t.jsonl"))
+    from sheetlake.operators import chain
+
+    assert spark.read.parquet(f"{out}/products").first().warnings == [parse.PLACEHOLDER, chain.CROPS_SKIPPED, chain.TARGETS_SKIPPED]
+    assert command.process(spark, str(tmp_path / "nowhere"), out + "2") == {"found": 0, "processed": 0, "skipped": 0, "failed": 0}
+
+
+def test_documents_are_visible_only_when_all_are_written(spark, tmp_path):
+    from sheetlake.sources import outputs
+
+    root = str(tmp_path / "docs")
+    rows = [("a/x.txt", "old", "b"), ("a/x.txt", "new", "C"), ("a/x.txt", "older", "A"), ("b.txt", "é", "p"), ("c.txt", None, "p")]
+    texts = spark.createDataFrame(rows, "file string, text string, path string")
+    assert outputs.write(outputs.winners(texts), root) == 2
+    found = lambda: {str(p.relative_to(root)): p.read_text() for p in (tmp_path / "docs").rglob("*") if p.is_file()}
+    assert found() == {"a/x.txt": "new", "b.txt": "é"}
+    broken = spark.createDataFrame([("a/x.txt", "newer"), ("d.txt", "d"), ("\0", "no such name")], "file string, text string")
+    with pytest.raises(Exception):
+        outputs.write(broken, root)
+    assert found() == {"a/x.txt": "new", "b.txt": "é"} and sorted(p.name for p in (tmp_path / "docs").iterdir()) == ["a", "b.txt"]
+
+
+def test_jpeg_headers_with_stray_bytes(spark):
+    import struct
+
+    head = b"\xff\xc0\x00\x0b\x08" + struct.pack(">HH", 30, 40) + b"\0" * 6
+    for before in (b"", b"\x00\x11", b"\xff\xd9", b"\xff\xff\xff\xd8ab", b"\xff\xe0\x00\x04ab", b"\x00\xff"):
+        assert files._jpeg(b"\xff\xd8" + before + head) == {"width": 40, "height": 30}
+    for broken in (b"", b"\xff", b"\xff\xd8", b"\xff\xd8\xff", b"\xff\xd8\xff\xe0\x00\x01" + head, b"\xff\xd8" + head[:8], b"\xff\xd8\xff\xe0\x00\xff" + head, b"\x00" + head):
+        assert files._jpeg(broken) is None
 
 
 def test_incremental_stream(spark, tmp_path):
@@ -386,25 +553,26 @@ def test_command(spark, tmp_path, capsys):
     assert run() == 1 and said() == {"found": "4", "processed": "2", "skipped": "1", "failed": "1"}
     products = {r.file_name: r for r in spark.read.parquet(f"{outputs}/products").collect()}
     assert products["a.png"].status == "validation_failed" and json.loads(products["a.png"].json)["product_name"] == "Relay"
-    assert products["d.pdf"].status == "not_run" and products["d.pdf"].warnings == [] and "c.jpg" not in products
+    assert products["d.pdf"].status == "not_run" and products["d.pdf"].warnings == [parse.PLACEHOLDER] and "c.jpg" not in products
     review_ = {r["product"].source_file: r for r in spark.read.parquet(f"{outputs}/reviews").collect()}
     assert review_["a.png"].counts.dimensions == 1 and review_["a.png"].counts.notes == 1 and review_["a.png"].counts.pages == 0
     recorded.write_text(json.dumps({"file_name": "b.PDF", "raw_response": "{}", "error": None}))
     assert run() == 0 and said() == {"found": "4", "processed": "1", "skipped": "3", "failed": "0"}
     assert command.main(["status", "--outputs", outputs]) == 0 and said() == {"entries": "4", "completed": "3", "failed": "1"}
     audit = {r.path.rsplit("/", 1)[1]: r for r in spark.read.parquet(f"{outputs}/audits").collect()}
-    assert audit["a.png"].document.original_filename == "a.png" and audit["a.png"].regions == [] and audit["d.pdf"].extraction.status == "not_run"
+    assert audit["a.png"].document.original_filename == "a.png" and len(audit["a.png"].regions) == 1 and audit["d.pdf"].extraction.status == "not_run"
     # of equal files the next one is tried where the first fails
     recorded.write_text("\n".join(json.dumps({"file_name": n, "raw_response": r, "error": None}) for n, r in (("a.png", None), ("c.jpg", "{}"))))
     command.process(spark, str(source), outputs + "2", str(recorded))
     assert {(r.filename, r.status) for r in spark.read.parquet(f"{outputs}2/registry").collect()} == {("a.png", "failed"), ("c.jpg", "completed"), ("b.PDF", "completed"), ("d.pdf", "completed")}
     # a model that is asked instead
-    counts = command.process(spark, str(source), outputs + "3", ask=lambda prompt, image: ('{"product_name": "M"}' if image == b"1" else None, False), crops=True)
+    counts = command.process(spark, str(source), outputs + "3", ask=lambda prompt, image, name: providers.Answer("completed", '{"product_name": "M"}') if image == b"1" else providers.Answer("failed"), crops=True)
     assert counts == {"found": 4, "processed": 1, "skipped": 1, "failed": 2} and spark.read.parquet(f"{outputs}3/tiles").count() == 0
     assert command.parser().parse_args(["process", "--extractor", "ollama", "--ollama-think", "low", "--generate-crops", "--retry-failed"]).extractor == "ollama"
     assert command.endpoint("none", None, None) is None and callable(command.endpoint("ollama", None, "true"))
+    assert callable(command.endpoint("anthropic", None, None))
     with pytest.raises(ValueError):
-        command.endpoint("anthropic", None, None)
+        command.endpoint("other", None, None)
 
 
 def test_reviews_list_evidence(spark):
