@@ -532,8 +532,10 @@ def q52_compact_json(t):
 
 @query("SELECT p_partkey, p_size AS width, CAST(p_partkey % 65536 AS INTEGER) AS height FROM part")
 def q53_jpeg_size(t):
+    """Headers with stray bytes, lone markers and fill bytes between segments."""
     half = lambda c: F.lpad(F.hex(c.cast("long")), 4, "0")
-    jpg = F.unhex(F.concat(F.lit("FFD8FFE000040000FFC0000B08"), half(F.col("p_partkey") % 65536), half(F.col("p_size")), F.lit("000000000000")))
+    stray = F.when(F.col("p_partkey") % 4 == 1, "0011").when(F.col("p_partkey") % 4 == 2, "FFD9").when(F.col("p_partkey") % 4 == 3, "FFFFFFD800").otherwise("")
+    jpg = F.unhex(F.concat(F.lit("FFD8"), stray, F.lit("FFE000040000"), stray, F.lit("FFC0000B08"), half(F.col("p_partkey") % 65536), half(F.col("p_size")), F.lit("000000000000")))
     return t("part").select("p_partkey", files.image_size(jpg).alias("s")).select("p_partkey", "s.width", "s.height")
 
 
@@ -562,4 +564,28 @@ def q55_target_crops(t):
     answers = docs.select("doc", F.lit("x.pdf").alias("file_name"), F.lit('{"dimensions": [{"value": 12}]}').alias("raw_response"))
     found = ocr.candidates(ocr.blocks(read, ["doc"]), parse.products(answers, ("doc",)), ["doc"])
     images = docs.select("doc", F.lit(1).alias("page"), F.lit(3000).alias("image_width"), F.lit(2000).alias("image_height"), F.lit("r").alias("source_ref"))
-    return ocr.targets(found.drop("source_ref"), images, ["doc"]).select("doc", "id", "source_ocr_block_id", "bbox.x", "bbox.y")
\ No newline at end of file
+    return ocr.targets(found.drop("source_ref"), images, ["doc"]).select("doc", "id", "source_ocr_block_id", "bbox.x", "bbox.y")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 6 IN (2, 5) THEN 'validation_failed' ELSE 'completed' END AS status, CASE WHEN event_id % 6 < 2 THEN CAST(event_id AS VARCHAR) END AS sheet,
+    CASE event_id % 6 WHEN 0 THEN 'STRING' WHEN 1 THEN 'STRING' WHEN 3 THEN 'DOUBLE' WHEN 4 THEN 'BIGINT' END AS kind,
+    CASE event_id % 6 WHEN 2 THEN 'Extractor response was not valid JSON: Extra data: line 1 column 16 (char 15)' WHEN 5 THEN 'Extractor response was not valid JSON: No JSON object found.' ELSE 'Semantic extraction is not implemented yet.' END AS warning FROM events""")
+def q57_strict_json(t):
+    """Responses with repeated keys, text after them, two values, NaN, numbers, and no end."""
+    i = F.col("event_id").cast("string")
+    forms = [F.concat(F.lit('{"sheet": " '), i, F.lit('"}')), F.concat(F.lit('{"sheet": "x", "sheet": "'), i, F.lit('"} and text')), F.lit('{"sheet": "a"} {"sheet": "b"}'), F.lit('{"sheet": NaN}'), F.concat(F.lit('{"sheet": 9'), i, F.lit("}")), F.lit('{"sheet": "')]
+    body = F.get(F.array(*forms), (F.col("event_id") % 6).cast("int"))
+    made = parse.products(t("events").select("event_id", F.lit("x.pdf").alias("file_name"), body.alias("raw_response")), ("event_id",))
+    return made.select("event_id", "status", parse.text_of(F.col("sheet")).alias("sheet"), F.schema_of_variant("sheet").alias("kind"), F.element_at("warnings", -1).alias("warning"))
+
+
+@query(f"""SELECT p_partkey, 't_dimension_001' AS candidate_id, CASE WHEN p_size % 4 = 0 THEN p_size || '.5' ELSE CAST(p_size % 4 AS VARCHAR) END AS k_value, 'diameter' AS k_type, {S_SQUEEZE.format('lower(p_brand)')} AS k_label, CAST(p_size AS VARCHAR) AS k_quantity FROM part
+    UNION ALL SELECT p_partkey, 't_dimension_002', replace(lower(p_name), ',', '.'), 'unknown', NULL, '4.0' FROM part""")
+def q58_parsed_candidates(t):
+    """Candidates from responses: a value that is zero or missing leaves its place to the text, entries that are none are left out."""
+    size = F.col("p_size").cast("string")
+    first = F.concat(F.lit('{"raw_text": "'), size, F.lit(',5", "value": '), (F.col("p_size") % 4).cast("string"), F.lit(', "type": "Hole Diameter", "label": "'), "p_brand", F.lit('", "quantity": '), size, F.lit(".0}"))
+    body = F.concat(F.lit('{"dimensions": ['), first, F.lit(', 7, {"raw_text": " '), "p_name", F.lit(' ", "value": "n/a", "quantity": "4.0"}]}'))
+    made = parse.products(t("part").select("p_partkey", F.lit("x.pdf").alias("file_name"), body.alias("raw_response")), ("p_partkey",))
+    tiles_ = made.withColumns({"tile_id": F.lit("t"), "page": F.lit(1), **{c: F.lit(1) for c in ("x", "y", "width", "height")}})
+    return evidence.tile_candidates(tiles_, ["p_partkey"]).select("p_partkey", "candidate_id", "k_value", "k_type", "k_label", "k_quantity")
