@@ -177,13 +177,14 @@ def texts(made: dict[str, DataFrame]) -> DataFrame:
 def _products(x: Inputs, runs: DataFrame) -> DataFrame:
     """The product of each file: what page 1 gave, or the default one, with the warnings of the batch."""
     pages = runs.groupBy("path").agg(F.count("*").alias("pages"))
+    told = F.col("pdf.page_count") if "pdf" in x.files.columns else F.lit(None).cast("int")
     first = extract.first_pages(runs, x.extractor)
-    said = [F.when(F.col("pages") > 1, MANY_PAGES)]
+    said = [F.when(F.greatest("pages", "told") > 1, MANY_PAGES)]
     if x.extract_crops:
         said.append(F.lit(CROPS_SKIPPED) if not x.asks else F.lit(CROPS_LOCAL_ONLY) if x.extractor not in ("ollama", "none") else F.lit(None).cast("string"))
     if x.texts is not None and not x.asks:
         said.append(F.lit(TARGETS_SKIPPED))
     own = F.when(F.col("status") == "not_run", F.array(F.lit(parse.PLACEHOLDER))).otherwise(F.col("warnings"))
-    rows = first.join(pages, "path").join(x.files.select("path", "fingerprint"), "path")
+    rows = first.join(pages, "path").join(x.files.select("path", "fingerprint", told.alias("told")), "path")
     answered = F.col("status") != "not_run"
-    return rows.withColumns({"answered": answered, "failed": answered & ~F.col("status").isin("completed", "validation_failed"), "warnings": F.concat(own, F.array_compact(F.array(*said))), "extractor": F.lit(x.extractor), "model": F.lit(x.model)}).drop("pages", "request_id", "page", "part_id", "image_path")
+    return rows.withColumns({"answered": answered, "failed": answered & ~F.col("status").isin("completed", "validation_failed"), "warnings": F.concat(own, F.array_compact(F.array(*said))), "extractor": F.lit(x.extractor), "model": F.lit(x.model)}).drop("pages", "told", "request_id", "page", "part_id", "image_path")

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import exprs as X
+from . import pdf
 
 
 LISTED = "path string, modificationTime timestamp, length long, content binary"
 
 
 def discover(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
-    """path, filename, extension, size_bytes and, with ``content``, fingerprint and header facts of the supported files below ``path``.
+    """path, filename, extension, size_bytes and, with ``content``, fingerprint, image size and PDF facts of the supported files below ``path``.
 
     Empty if there are none or the path does not exist.
     """
@@ -27,7 +28,9 @@ def discover(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
         files = spark.createDataFrame([], LISTED)
     name = F.element_at(F.split("path", "/"), -1)
     files = files.filter(X.is_supported(F.col("path"))).withColumn("extension", X.extension(F.col("path")))
-    facts = (X.fingerprint(F.col("content")).alias("fingerprint"), image_size(F.col("content"), F.col("extension")).alias("image"))
+    told = pdf.facts(F.when(F.col("extension") == "pdf", F.col("content")))
+    pdf_facts = F.when(F.col("extension") == "pdf", told)
+    facts = (X.fingerprint(F.col("content")).alias("fingerprint"), image_size(F.col("content"), F.col("extension")).alias("image"), pdf_facts.alias("pdf"))
     return files.select("path", name.alias("filename"), "extension", F.col("length").alias("size_bytes"), *(facts if content else ()))
 
 
