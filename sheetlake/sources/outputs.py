@@ -24,7 +24,7 @@ from .json_text import compact
 MANIFEST = "file string, bytes long"
 
 
-def _open(root: str) -> tuple[fs.FileSystem, str]:
+def located(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.removeprefix("file:"))
 
 
@@ -35,22 +35,22 @@ def winners(texts: DataFrame) -> DataFrame:
 
 
 def write(texts: DataFrame, root: str) -> int:
-    """Write each row's text (UTF-8) to its ``file`` below ``root``, over what is there; the number of files.
+    """Write each row's text (UTF-8) or bytes to its ``file`` below ``root``, over what is there; the number of files.
 
     ``file`` is relative, and each one occurs once (see ``winners``). Nothing
     is visible before all files are written: a failure leaves ``root`` as it
     was. Rows with a null are left out.
     """
     spark = texts.sparkSession
-    place, base = _open(root)
+    place, base = located(root)
     hidden = posixpath.join(base, f"_staged-{uuid.uuid4().hex}")
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        to, _ = _open(root)
+        to, _ = located(root)
         for pdf in batches:
             sizes = []
             for file, text in zip(pdf["file"], pdf["text"]):
-                data = text.encode()
+                data = text.encode() if isinstance(text, str) else text
                 target = posixpath.join(hidden, "files", file)
                 to.create_dir(posixpath.dirname(target), recursive=True)
                 with to.open_output_stream(target) as out:
@@ -59,7 +59,7 @@ def write(texts: DataFrame, root: str) -> int:
             yield pd.DataFrame({"file": pdf["file"], "bytes": sizes})
 
     def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        to, _ = _open(root)
+        to, _ = located(root)
         for pdf in batches:
             for file in pdf["file"]:
                 source, target = posixpath.join(hidden, "files", file), posixpath.join(base, file)
