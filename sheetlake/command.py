@@ -32,8 +32,8 @@ def parser() -> argparse.ArgumentParser:
     process.add_argument("--extractor", default=given.extractor, choices=config.EXTRACTORS, help="model endpoint to ask where no response is recorded")
     process.add_argument("--model", default=given.model)
     process.add_argument("--ollama-think", choices=["true", "false", "low", "medium", "high", "max"], help="thinking setting of a local model")
-    process.add_argument("--generate-crops", action="store_true", help="also write the boxes of overlapping tiles")
-    process.add_argument("--extract-crops", action="store_true", help="also take the tiles' recorded responses; pictures of tiles need a cropper (see the README)")
+    process.add_argument("--generate-crops", action="store_true", help="also make overlapping tiles: their boxes and, of PNG pages, their pictures")
+    process.add_argument("--extract-crops", action="store_true", help="also read the tiles: recorded responses, and calls for the others")
     process.add_argument("--ocr", action="store_true", help="use the text blocks of --texts (see the README)")
     process.add_argument("--ocr-engine", default="rapidocr")
     for p in (process, commands.add_parser("status", help="count the entries of the registry")):

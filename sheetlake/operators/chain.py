@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, prompts
 from ..sources import outputs, providers
-from . import documents, evidence, extract, ledger, ocr, parse, review, tiles
+from . import crops, documents, evidence, extract, ledger, ocr, parse, review, tiles
 
 # What a product is warned of.
 MANY_PAGES = "PDF has multiple pages; product JSON uses page 1 until merge behavior is implemented."
@@ -51,9 +51,20 @@ class Inputs:
         return df.sparkSession.read.schema(df.schema).parquet(f"{self.place}/{name}")
 
 
-def answers(x: Inputs, requests: DataFrame, step: str) -> DataFrame:
+def _pictures(x: Inputs, boxes: DataFrame, pages: DataFrame, name: str) -> DataFrame:
+    """path, id, image_path, image, error: the crops of ``boxes`` (path, page, id, x, y, width, height), named after their file and id."""
+    named = boxes.join(pages.select("path", "page", "image_path"), ["path", "page"])
+    made = crops.cut(named.select("image_path", F.to_json(F.struct("path", "id")).alias("id"), "x", "y", "width", "height"))
+    of = F.from_json("id", "path string, id string")
+    made = made.select(of["path"].alias("path"), of["id"].alias("id"), F.concat_ws("#", of["path"], of["id"]).alias("image_path"), F.col("crop").alias("image"), "error")
+    return x.write(made, name)
+
+
+def answers(x: Inputs, requests: DataFrame, step: str, images: DataFrame | None = None) -> DataFrame:
     """Answers to ``requests`` (request_id, path, page, part_id, prompt, image_path): recorded ones, and calls for the others.
 
+    Calls send the pictures of ``images`` (image_path, image), those of the
+    pages if there are none; a request without a picture is not made.
     Of several recordings of a request the last in the order of their texts
     counts; one with an error or without a text has failed.
     """
@@ -68,11 +79,12 @@ def answers(x: Inputs, requests: DataFrame, step: str) -> DataFrame:
         given = named.join(last, same).select("request_id", status.alias("status"), "r.*")
     else:
         given = none
-    if x.ask is None or x.images is None:
+    images = x.images if images is None else images.filter("image IS NOT NULL").select("image_path", "image")
+    if x.ask is None or images is None:
         return given
     open_ = requests.join(given.select("request_id"), "request_id", "left_anti").join(x.files.select("path", "fingerprint"), "path")
     open_ = open_.withColumn("model", F.lit(x.model)).withColumn("key", ledger.key("request_id", "fingerprint", "model", "prompt"))
-    made = ledger.answered(open_, x.images, x.ask, f"{x.place}/calls", f"{x.place}/asked/{step}-{uuid.uuid4().hex}", **x.calls)
+    made = ledger.answered(open_, images, x.ask, f"{x.place}/calls", f"{x.place}/asked/{step}-{uuid.uuid4().hex}", **x.calls)
     return given.unionByName(made)
 
 
@@ -81,7 +93,7 @@ def _listed(df: DataFrame, order: Column) -> DataFrame:
 
 
 def run(x: Inputs) -> dict[str, DataFrame]:
-    """products, reviews, audits, pages, tile_runs and refinements (the last two None where there are none) of a batch.
+    """products, reviews, audits, pages, tiles, tile_crops, target_crops, tile_runs and refinements (None where there are none) of a batch.
 
     A product has path, file_name, fingerprint, error, answered, failed, the
     parsed fields, status and warnings. It is failed if page 1 was asked and
@@ -104,13 +116,14 @@ def run(x: Inputs) -> dict[str, DataFrame]:
     listed: dict[str, DataFrame] = {k: parts[k] for k in ("rendered_pages",) if k in parts}
     parts["page_extractions"] = _listed(runs.select("path", "page", "image_path", "status", "error", "validation_warnings"), F.col("page"))
 
-    tile_runs = refinements = None
+    tile_runs = refinements = tile_crops = target_crops = None
     if x.crops or x.extract_crops:
         boxes = x.write(tiles.tiles(sized, SCOPE), "tiles")
+        tile_crops = _pictures(x, boxes.withColumnRenamed("tile_id", "id"), images, "tile-crops")
         parts["tiles"] = _listed(boxes, F.struct("page", "ordinal"))
         if x.extract_crops and x.asks and x.extractor in ("ollama", "none"):
             wanted = extract.tile_requests(boxes.withColumn("image_path", F.concat_ws("#", "path", "tile_id")))
-            read = extract.product_runs(wanted, answers(x, wanted, "tiles")).withColumnRenamed("part_id", "tile_id")
+            read = extract.product_runs(wanted, answers(x, wanted, "tiles", tile_crops)).withColumnRenamed("part_id", "tile_id")
             tile_runs = x.write(read.join(boxes.select("path", "tile_id", "ordinal", "x", "y", "width", "height"), ["path", "tile_id"]), "tile-runs")
             order = F.struct("page", "ordinal")
             parts["tile_extractions"] = listed["tile_extractions"] = _listed(tile_runs.select("path", "tile_id", "page", "x", "y", "width", "height", "status", "error", "validation_warnings", "ordinal"), order).drop("ordinal")
@@ -125,13 +138,14 @@ def run(x: Inputs) -> dict[str, DataFrame]:
         found = x.write(ocr.candidates(blocks, usable, SCOPE), "text-candidates")
         pictures = sized.filter("width > 0 AND height > 0").select("path", "page", F.col("width").alias("image_width"), F.col("height").alias("image_height"), "source_ref")
         targets = x.write(ocr.targets(found, pictures, SCOPE), "targets")
+        target_crops = _pictures(x, targets.select("path", "page", "id", "bbox.*"), images, "target-crops")
         block = F.struct("page", F.length("id"), "id")
         parts["raw_ocr_blocks"] = listed["raw_ocr_blocks"] = _listed(blocks, block)
         parts["ocr_candidates"] = listed["ocr_candidates"] = _listed(found, F.struct("page", F.length("ocr_block_id"), "ocr_block_id"))
         parts["ocr_target_crops"] = listed["ocr_target_crops"] = _listed(targets, block)
         if x.asks:
             wanted = extract.target_requests(targets.withColumn("image_path", F.concat_ws("#", "path", "id")))
-            read = extract.refinement_runs(wanted, answers(x, wanted, "targets"))
+            read = extract.refinement_runs(wanted, answers(x, wanted, "targets", target_crops))
             refinements = x.write(read.join(targets.select("path", F.col("id").alias("target_id"), F.col("text").alias("ocr_text")), ["path", "target_id"]), "refinements")
             order = F.struct("page", F.length("target_id"), "target_id")
             parts["ocr_target_refinements"] = listed["ocr_target_refinements"] = _listed(refinements, order)
@@ -142,7 +156,7 @@ def run(x: Inputs) -> dict[str, DataFrame]:
                 listed[name] = items.filter(F.col("list") == name).drop("list")
     reviews = documents.reviews(usable, listed, tuple(SCOPE))
     audits = documents.audits(usable, parts, tuple(SCOPE))
-    return {"products": products, "reviews": x.write(reviews, "reviews"), "audits": x.write(audits, "audits"), "tiles": parts.get("tiles"), "pages": runs, "tile_runs": tile_runs, "refinements": refinements}
+    return {"products": products, "reviews": x.write(reviews, "reviews"), "audits": x.write(audits, "audits"), "tiles": parts.get("tiles"), "pages": runs, "tile_crops": tile_crops, "target_crops": target_crops, "tile_runs": tile_runs, "refinements": refinements}
 
 
 def product_text(products: DataFrame) -> Column:
@@ -152,7 +166,7 @@ def product_text(products: DataFrame) -> Column:
 
 
 def texts(made: dict[str, DataFrame]) -> DataFrame:
-    """file, text, path: every document of a batch under the name of its drawing; products, prompts, audits, reviews, summaries and raw responses."""
+    """file, text (bytes), path: every document of a batch under the name of its drawing; products, prompts, audits, reviews, summaries, raw responses and crops."""
     slug = paths.output_name(F.col("path"))
     named = lambda text: F.format_string(text, slug)
     whole = lambda df, *but: outputs.indented_json(F.to_json(F.struct(*[c for c in df.columns if c not in but]), {"ignoreNullFields": "false"}))
@@ -168,6 +182,10 @@ def texts(made: dict[str, DataFrame]) -> DataFrame:
     for name, part, folder in (("tile_runs", "tile_id", "tile_responses"), ("refinements", "target_id", "ocr_target_responses")):
         if made[name] is not None:
             rows.append(made[name].select(paths.part_raw_response(f"internal/{folder}", slug, F.col(part)).alias("file"), F.col("raw_response").alias("text"), "path"))
+    rows = [r.withColumn("text", F.col("text").cast("binary")) for r in rows]
+    for name, folder in (("tile_crops", "crops"), ("target_crops", "ocr_target_crops")):
+        if made[name] is not None:
+            rows.append(made[name].select(F.format_string(f"internal/{folder}/%s_%s.png", slug, "id").alias("file"), F.col("image").alias("text"), "path"))
     out = rows[0]
     for more in rows[1:]:
         out = out.unionByName(more)

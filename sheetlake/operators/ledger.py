@@ -14,10 +14,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import providers
+from ..sources import batches, providers
 
 CALLS = f"key string, {providers.SCHEMA}"
 WAVE = 2000
+#: Requests, with their pictures, that a worker holds at a time.
+REQUESTS_A_BATCH = 64
 
 
 def key(*parts: str) -> Column:
@@ -56,5 +58,6 @@ def answered(requests: DataFrame, images: DataFrame, ask: providers.Ask, place:
         mine = staged.filter(F.col("wave") == i)
         keys = mine.select("key", "request_id")
         got = providers.respond(mine.select(F.col("key").alias("request_id"), "prompt", "image", "image_path"), ask, **how)
-        got.withColumnRenamed("request_id", "key").join(keys, "key").select("key", "request_id", "status", "raw_response", "error", "truncated").write.mode("append").parquet(place)
+        with batches.of_rows(spark, REQUESTS_A_BATCH):
+            got.withColumnRenamed("request_id", "key").join(keys, "key").select("key", "request_id", "status", "raw_response", "error", "truncated").write.mode("append").parquet(place)
     return calls(spark, place).drop("request_id").join(requests.select("key", "request_id"), "key").select("request_id", "status", "raw_response", "error", "truncated")

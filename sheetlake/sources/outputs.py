@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from . import batches
 from .json_text import compact
 
 MANIFEST = "file string, bytes long"
+FILES_A_BATCH = 64
 
 
 def located(root: str) -> tuple[fs.FileSystem, str]:
@@ -45,9 +47,9 @@ def write(texts: DataFrame, root: str) -> int:
     place, base = located(root)
     hidden = posixpath.join(base, f"_staged-{uuid.uuid4().hex}")
 
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         to, _ = located(root)
-        for pdf in batches:
+        for pdf in parts:
             sizes = []
             for file, text in zip(pdf["file"], pdf["text"]):
                 data = text.encode() if isinstance(text, str) else text
@@ -58,9 +60,9 @@ def write(texts: DataFrame, root: str) -> int:
                 sizes.append(len(data))
             yield pd.DataFrame({"file": pdf["file"], "bytes": sizes})
 
-    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def move(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         to, _ = located(root)
-        for pdf in batches:
+        for pdf in parts:
             for file in pdf["file"]:
                 source, target = posixpath.join(hidden, "files", file), posixpath.join(base, file)
                 if to.get_file_info(source).type == fs.FileType.File:  # else an earlier try has moved it
@@ -70,7 +72,8 @@ def write(texts: DataFrame, root: str) -> int:
 
     manifest = posixpath.join(root, posixpath.basename(hidden), "manifest")
     try:
-        texts.filter("file IS NOT NULL AND text IS NOT NULL").select("file", "text").mapInPandas(put, MANIFEST).write.parquet(manifest)
+        with batches.of_rows(spark, FILES_A_BATCH):
+            texts.filter("file IS NOT NULL AND text IS NOT NULL").select("file", "text").mapInPandas(put, MANIFEST).write.parquet(manifest)
         return spark.read.schema(MANIFEST).parquet(manifest).mapInPandas(move, MANIFEST).agg(F.count("*")).first()[0]
     finally:
         if place.get_file_info(hidden).type == fs.FileType.Directory:

@@ -140,3 +140,49 @@ def test_cut_over_rows(spark, tmp_path):
                 i = int(r.id[1:])
                 assert samples(bytes(r.crop))[5] == [p[i % 30:i % 30 + 10] for p in pixels[i % 20:i % 20 + 10]]
     assert crops.cut(boxes.limit(0)).count() == 0
+
+
+def test_an_endpoint_is_sent_the_crops(spark, tmp_path):
+    """Tiles and targets are asked with their own pictures, and the pictures are among the documents."""
+    import json
+
+    from sheetlake import command
+    from sheetlake.sources import providers
+
+    source, marks = tmp_path / "in", tmp_path / "marks"
+    source.mkdir()
+    marks.mkdir()
+    content = page(random.Random(4), 1400, 300, 8, 0, [2] * 300, pieces=5000)
+    (source / "DEMO_AB12.png").write_bytes(content)
+    (source / "DEMO_CD34.png").write_bytes(content[:-2000])  # the last rows are missing
+    pixels = samples(content)[5]
+
+    def ask(prompt, image, name):
+        part = name.rsplit("/", 1)[1]
+        (marks / part).write_bytes(image)
+        if "target" in part:
+            return providers.Answer("completed", json.dumps({"classification": "note", "confidence": 0.9}))
+        found = [{"raw_text": "9", "value": "9", "type": "linear", "label": "B"}] if "tile" in part else []
+        return providers.Answer("completed", json.dumps({"product_name": part, "dimensions": found}))
+
+    box = [[10.0, 10.0], [40.0, 30.0]]
+    texts = [{"file_name": "DEMO_AB12.png", "ordinal": 1, "polygon": box, "text": "77", "confidence": 0.9, "engine": "e"}]
+    (tmp_path / "t.jsonl").write_text("\n".join(map(json.dumps, texts)))
+    out = str(tmp_path / "out")
+    got = command.process(spark, str(source), out, ask=ask, extractor="ollama", extract_crops=True, texts=str(tmp_path / "t.jsonl"), write_documents=True, calls={"lanes": 2})
+    assert got == {"found": 2, "processed": 2, "skipped": 0, "failed": 0}
+    ids = ["page_001_tile_001", "page_001_tile_002", "page_001_ocr_target_001"]
+    assert {m.name for m in marks.iterdir()} == {"DEMO_AB12.png", "DEMO_CD34.png", *[f"DEMO_AB12.png#{i}" for i in ids]}
+    internal = tmp_path / "out/documents/internal"
+    assert sorted(p.name for d in ("crops", "ocr_target_crops") for p in (internal / d).iterdir()) == sorted(f"demo_ab12_{i}.png" for i in ids)
+    for i, (folder, x) in zip(ids, (("crops", 0), ("crops", 768), ("ocr_target_crops", 0))):
+        crop = (marks / f"DEMO_AB12.png#{i}").read_bytes()
+        assert crop == (internal / folder / f"demo_ab12_{i}.png").read_bytes()
+        width, height, _, _, _, held = samples(crop)
+        assert held == [r[x:x + width] for r in pixels[:height]]
+    errors = spark.read.parquet(f"{out}/work/batch=0/part=0/tile-crops").filter("image IS NULL")
+    assert {(r.path.rsplit("/", 1)[1], r.error) for r in errors.collect()} == {("DEMO_CD34.png", "image ends early")}
+    audits = {a.tiles and len(a.tiles): len(a.tile_extractions) for a in spark.read.parquet(f"{out}/audits").collect()}
+    assert audits == {2: 2}
+    statuses = {json.loads(e)["status"] if isinstance(e, str) else e.status for a in spark.read.parquet(f"{out}/audits").collect() for e in a.tile_extractions}
+    assert statuses == {"validation_failed", "not_run"}  # the answers leave fields out
