@@ -5,9 +5,11 @@ from __future__ import annotations
 import io
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..sources import outputs, png
 
@@ -75,3 +77,9 @@ def _one(path: str | None, boxes: list[dict], by_path: bool, image: bytes | None
             return
         with stream:
             yield from png.cut(stream, whole)
+
+
+@F.pandas_udf(BinaryType())
+def samples(content: pd.Series) -> pd.Series:
+    """The bytes of a PNG's rows, one after the other; null where it cannot be read."""
+    return content.map(lambda c: None if c is None else png.samples(io.BytesIO(c)))

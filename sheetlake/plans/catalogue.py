@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import prompts
-from ..operators import documents, evidence, extract, ocr, parse, registry, review, tiles
+from ..operators import crops, documents, evidence, extract, ocr, parse, registry, review, tiles
 from ..sources import files, json_text
 from ..streaming import incremental
 
@@ -589,3 +589,28 @@ def q58_parsed_candidates(t):
     made = parse.products(t("part").select("p_partkey", F.lit("x.pdf").alias("file_name"), body.alias("raw_response")), ("p_partkey",))
     tiles_ = made.withColumns({"tile_id": F.lit("t"), "page": F.lit(1), **{c: F.lit(1) for c in ("x", "y", "width", "height")}})
     return evidence.tile_candidates(tiles_, ["p_partkey"]).select("p_partkey", "candidate_id", "k_value", "k_type", "k_label", "k_quantity")
+
+
+# A row of a derived picture is the hash of its key and number; odd rows come coded as differences from the left.
+S_LINE = "list_transform(range(32), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER))"
+
+
+@query(f"""WITH lines AS (SELECT p_partkey, r, sha256(p_partkey || ':' || r) AS h FROM part, (SELECT unnest(range(4)) AS r)),
+    plain AS (SELECT p_partkey, r, CASE WHEN r % 2 = 0 THEN b ELSE list_transform(range(32), lambda i: CAST(list_sum(b[1:i + 1]) AS INTEGER) % 256) END AS b FROM (SELECT p_partkey, r, {S_LINE} AS b FROM lines)),
+    boxes AS (SELECT p_partkey, n, (p_partkey * (n + 1)) % 20 AS x, (p_partkey + n) % 5 AS y, 1 + p_size % 12 AS w, 1 + p_size % 2 AS h FROM part, (SELECT unnest(range(3)) AS n))
+    SELECT p_partkey, CAST(n AS VARCHAR) AS id, CASE WHEN y + boxes.h > 4 THEN NULL ELSE w END AS width, CASE WHEN y + boxes.h > 4 THEN NULL ELSE boxes.h END AS height, CASE WHEN y + boxes.h > 4 THEN 'box outside the image' END AS error,
+        CASE WHEN y + boxes.h <= 4 THEN string_agg(array_to_string(list_transform(b[x + 1:x + w], lambda v: printf('%02X', v)), ''), '' ORDER BY r) END AS pixels
+    FROM boxes LEFT JOIN plain USING (p_partkey) WHERE r >= y AND r < y + boxes.h OR y >= 4 AND r = 0 GROUP BY p_partkey, n, x, y, w, boxes.h""")
+def q59_png_crops(t):
+    """Pictures made of parts' keys, three boxes cut out of each one, and the samples of the crops; some boxes reach below the picture."""
+    key = F.col("p_partkey")
+    lines = [F.concat(F.lit(f"0{r % 2}"), F.sha2(F.concat(key.cast("string"), F.lit(f":{r}")), 256)) for r in range(4)]
+    header = "89504E470D0A1A0A0000000D494844520000002000000004080000000000000000"
+    picture = F.unhex(F.concat(F.lit(header + "0000008B49444154" + "780101" + "84007BFF"), *lines, F.lit("00000000" + "0000000049454E4400000000")))
+    p, n = t("part"), F.col("n")
+    images = p.select(key.cast("string").alias("image_path"), picture.alias("image"))
+    size = F.col("p_size")
+    boxes = p.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(key.cast("string").alias("image_path"), n.cast("string").alias("id"), (key * (n + 1) % 20).alias("x"), ((key + n) % 5).alias("y"), (1 + size % 12).alias("width"), (1 + size % 2).alias("height"))
+    made = crops.cut(boxes, images)
+    told = X.png_size(F.col("crop"))
+    return made.select(F.col("image_path").cast("long").alias("p_partkey"), "id", told["width"].alias("width"), told["height"].alias("height"), "error", F.hex(crops.samples("crop")).alias("pixels"))

@@ -222,3 +222,11 @@ def cut(stream: BinaryIO, boxes: list[Box]) -> Iterator[tuple[str, bytes | None,
                 return
     except Unreadable as e:
         yield from [(b.id, None, str(e)) for b in [*waiting, *[c.box for c in open_]]]
+
+
+def samples(stream: BinaryIO) -> bytes | None:
+    """All rows of a small picture; None if it cannot be read."""
+    try:
+        return b"".join(band.tobytes() for _, band in Page(stream).bands())
+    except Unreadable:
+        return None
