@@ -169,7 +169,7 @@ def terms_of(min_length: int) -> Column:
     return F.array_distinct(F.filter(F.transform(words, F.lower), lambda w: F.length(w) >= min_length))
 
 
-def revealing_terms(found: DataFrame, chance: float, remove_at: float, generalise_at: float, min_length: int, broadcast_rows: int) -> DataFrame | None:
+def revealing_terms(found: DataFrame, chance: float, remove_at: float, generalise_at: float, min_length: int, broadcast_rows: int, broadcast_bytes: int) -> DataFrame | None:
     """(term, action) for terms over a disclosure threshold; None if no entity occurs often enough for the test."""
     firsts = stage(found.groupBy("h").agg(F.min("row").alias("first"), F.count("*").alias("n")), "pii-texts")
     total = firsts.count()
@@ -190,8 +190,8 @@ def revealing_terms(found: DataFrame, chance: float, remove_at: float, generalis
     # nor can a term be over a threshold that is in too few texts for the test, or in too many for any entity
     most = able.agg(F.max(F.col("n_e") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - min(remove_at, generalise_at))))).first()[0]
     fit = (F.col("n_t") * F.log(F.lit(float(total)) / F.least(F.col("n_t"), F.lit(total / math.e))) >= needed) & (F.col("n_t") <= F.lit(most * (1 + 1e-9)))
-    fit = small_side(stage(often.filter(fit), "pii-fit"), broadcast_rows)
-    grouped = held.join(small_side(able.select("entity", "group"), broadcast_rows), "entity").select("row", "group").distinct()
+    fit = small_side(stage(often.filter(fit), "pii-fit"), broadcast_rows, broadcast_bytes)
+    grouped = held.join(small_side(able.select("entity", "group"), broadcast_rows, broadcast_bytes), "entity").select("row", "group").distinct()
     words = texts.filter(F.size("entities") > 0).select("row", F.explode(terms_of(min_length)).alias("term")).join(fit.select("term"), "term", "left_semi")
     pairs = words.join(grouped, "row").groupBy("group", "term").agg(F.count("*").alias("n_te"))
     scored = pairs.join(fit, "term").join(small_side(able.select("group", "n_e").distinct(), broadcast_rows), "group")
@@ -204,14 +204,15 @@ def revealing_terms(found: DataFrame, chance: float, remove_at: float, generalis
     return stage(scored.select("term", action.alias("action")).filter("action is not null"), "pii-terms")
 
 
-def term_spans(found: DataFrame, terms: DataFrame, broadcast_rows: int) -> DataFrame:
+def term_spans(found: DataFrame, terms: DataFrame, broadcast_rows: int, broadcast_bytes: int) -> DataFrame:
     """``found`` with ``terms``, the places of revealing terms, in all documents."""
     flagged = terms.groupBy("term").agg(F.max("action").alias("action"))  # "remove" sorts after "generalise"
     words = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
-    held = found.select("row", F.explode(F.array_distinct(F.transform(words, F.lower))).alias("term")).join(small_side(stage(flagged, "pii-flagged"), broadcast_rows), "term")
+    held = found.select("row", F.explode(F.array_distinct(F.transform(words, F.lower))).alias("term")).join(small_side(stage(flagged, "pii-flagged"), broadcast_rows, broadcast_bytes), "term")
     # each document's own flagged words, and then their places in it
     held = stage(held.groupBy("row").agg(F.collect_list(F.struct("term", "action")).alias("held")), "pii-held")
-    out = found.join(small_side(held, broadcast_rows), "row", "left")
+    # beyond the bound a hash table for each partition, so that no text is sorted
+    out = found.join(small_side(held.hint("shuffle_hash"), broadcast_rows, broadcast_bytes), "row", "left")
 
     def part(gap: Column, word: Column) -> Column:
         action = F.get(F.filter(F.col("held"), lambda t: t["term"] == F.lower(word)), F.lit(0))["action"]
@@ -250,7 +251,7 @@ def _cleaned(text: Column, marks: Column) -> Column:
     return F.when(F.size(marks) > 0, cleaned).otherwise(text)
 
 
-def sanitise(docs: DataFrame, *, chance: float = 0.05, remove_at: float = 0.95, generalise_at: float = 0.85, min_length: int = 3, broadcast_rows: int = 1_000_000, with_text: bool = True) -> DataFrame:
+def sanitise(docs: DataFrame, *, chance: float = 0.05, remove_at: float = 0.95, generalise_at: float = 0.85, min_length: int = 3, broadcast_rows: int = 1_000_000, broadcast_bytes: int = 64 << 20, with_text: bool = True) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, n_removed[, clean_text].
 
     Needs ``doc_id`` and ``text``; other columns are ignored, whatever their
@@ -260,14 +261,16 @@ def sanitise(docs: DataFrame, *, chance: float = 0.05, remove_at: float = 0.95,
     places that overlap a pattern's are left to it. In ``clean_text`` patterns
     become ``[EMAIL]`` and the like, generalised terms ``[WORD]``,
     ``[NAME]`` (capitalised) or ``[NUMBER]``, and removed terms vanish. An
-    empty table gives an empty result.
+    empty table gives an empty result. Tables of terms, entities and the
+    documents' flagged words go to all tasks up to ``broadcast_rows`` rows
+    and ``broadcast_bytes`` bytes each, and are joined by shuffling beyond.
     """
     found = find_entities(docs)
-    terms = revealing_terms(found, chance, remove_at, generalise_at, min_length, broadcast_rows)
+    terms = revealing_terms(found, chance, remove_at, generalise_at, min_length, broadcast_rows, broadcast_bytes)
     if terms is None or terms.isEmpty():
         out = found.withColumn("terms", F.array().cast(TERMS))
     else:
-        out = term_spans(found, terms, broadcast_rows)
+        out = term_spans(found, terms, broadcast_rows, broadcast_bytes)
     apart = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     out = out.withColumn("terms", apart)
     extra = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["kind"].alias("kind"), t["end"].alias("end"))).cast(SPAN)

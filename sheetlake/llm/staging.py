@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
+#: What a row takes in a broadcast table besides its values.
+ROW_BYTES = 64
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
@@ -52,6 +55,15 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has ``rows`` rows at most; else as it is, for a join by shuffling."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small_side(df: DataFrame, rows: int, most_bytes: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it has ``rows`` rows at most; else as it is, for a join by shuffling.
+
+    With ``most_bytes``, which is for rows of no fixed length, they must also
+    come to that size at most: the length of a row's JSON and ROW_BYTES more.
+    """
+    few = df.limit(rows + 1)
+    if most_bytes is None:
+        return F.broadcast(df) if few.count() <= rows else df
+    size = F.octet_length(F.to_json(F.struct(*df.columns))) + ROW_BYTES
+    n, total = few.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= most_bytes else df

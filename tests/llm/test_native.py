@@ -143,12 +143,12 @@ def test_terms_of_entity_classes(spark):
     assert got[9100].n_term == 0 and got[9200].n_term == 0 and got[100].n_term == 0
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 0])
-def test_revealing_terms_without_the_entity(spark, bound):
+@pytest.mark.parametrize("bound,size", [(1_000_000, 64 << 20), (0, 64 << 20), (1_000_000, 0)])
+def test_revealing_terms_without_the_entity(spark, bound, size):
     rows = [(i, f"Zorblax w{i} mail boss@corp.example now", 0, "") for i in range(20)]
     rows += [(50, "now ask zorblax, then Zorblax", 0, ""), (51, "now ask a@b.zorblax.c", 0, ""), (52, None, 0, "")]
     rows += [(100 + i, f"mail at home now v{i}", 0, "") for i in range(2000)]
-    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, DOCS), broadcast_rows=bound).collect()}
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, DOCS), broadcast_rows=bound, broadcast_bytes=size).collect()}
     assert len(got) == len(rows) and got[0].n_term == 1 and got[100].n_term == 0
     assert got[50].n_term == 2 and got[50].spans == "term:8:15,term:22:29" and got[50].clean_text == "now ask , then "
     assert got[51].n_term == 0 and got[51].clean_text == "now ask [EMAIL]"
@@ -183,3 +183,14 @@ def test_cleaned_text_with_many_and_overlapping_marks(spark):
                 out += [text[at:s], label]
             at = max(at, e)
         assert got[i] == "".join(out) + text[at:], i
+
+
+def test_small_sides_are_small_in_rows_and_bytes(spark):
+    from sheetlake.llm.staging import ROW_BYTES, small_side
+
+    df = spark.range(10).select("id", F.repeat(F.lit("x"), 100).alias("s"))
+    json_bytes = len('{"id":0,"s":""}') + 100
+    sent = lambda *bounds: "ResolvedHint" in small_side(df, *bounds)._jdf.queryExecution().analyzed().toString()
+    whole = 10 * (json_bytes + ROW_BYTES)
+    assert sent(10) and not sent(9) and sent(10, whole) and not sent(10, whole - 1) and not sent(9, whole)
+    assert small_side(df.limit(0), 0, 0).count() == 0
