@@ -30,6 +30,26 @@ def next_equal(files: DataFrame, results: DataFrame) -> DataFrame:
     return _first(files.join(failed, "fingerprint", "left_semi").join(results.select("path"), "path", "left_anti"))
 
 
+def due(files: DataFrame, registry: DataFrame, held: DataFrame, tries: int | None = None) -> DataFrame:
+    """path, fingerprint, failures: all files that may be tried, new ones, failed ones and those held back for an equal one.
+
+    ``held`` has path, fingerprint. Files with a completed entry of their
+    fingerprint are not due, nor are those that have failed ``tries`` times.
+    One aggregation by fingerprint: a row of a file's failures for each path.
+    """
+    fresh = files.select("path", "fingerprint").unionByName(held.select("path", "fingerprint")).select("path", "fingerprint", F.lit(0).alias("failures"))
+    failed = registry.filter("status = 'failed'").select("path", "fingerprint", F.lit(1).alias("failures"))
+    each = fresh.unionByName(failed).groupBy("fingerprint", "path").agg(F.sum("failures").alias("failures"))
+    done = registry.filter("status = 'completed'").select("fingerprint").distinct()
+    each = each.join(done, "fingerprint", "left_anti").select("path", "fingerprint", "failures")
+    return each if tries is None else each.filter(F.col("failures") < tries)
+
+
+def next_tries(due_: DataFrame) -> DataFrame:
+    """path, fingerprint: of equal files the one with the fewest failures, the first by path of those, case aside."""
+    return due_.groupBy("fingerprint").agg(F.min_by("path", F.struct("failures", F.lower("path"), F.col("path"))).alias("path")).select("path", "fingerprint")
+
+
 def skip_messages(files: DataFrame, registry: DataFrame) -> DataFrame:
     """path, message for files that have a completed entry, with the result of the latest one where it is known."""
     last = latest_completed(registry)
