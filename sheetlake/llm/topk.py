@@ -9,7 +9,9 @@ each region is one shard or, where it is large, several, and each shard is a
 tree of paged nodes with covering radii and distances to the parent. A query
 goes to the shards of the regions that can hold one of its k best, given k
 scores that are known beforehand from the routing rows. Each row is moved
-once; a shard's tree is built once, and queries stream through it.
+once; a shard's tree is built once, and queries go through it many at a time:
+each takes its leaf pages in the order of their least distances until none can
+matter, and a page is multiplied at once with all queries that have come to it.
 Floating-point distances only steer the search, with a margin; scores are
 integers.
 """
@@ -29,9 +31,12 @@ from .staging import stage
 
 PAGE = 128
 
+#: Queries that go through a shard together, and candidates that they gather before these are cut to the best.
+TOGETHER, GATHERED = 512, 1 << 20
+
 
 class Node:
-    """A page: centres of entries, their radii, their distances to this page's own centre, and what they lead to."""
+    """A page: centres of entries, their radii, their distances to this page's own centre (ascending in a leaf), and what they lead to."""
 
     __slots__ = ("points", "radii", "to_parent", "children", "items", "least")
 
@@ -42,23 +47,24 @@ class Node:
 def build(points: np.ndarray, least_ids: np.ndarray, page: int = PAGE) -> tuple[Node, np.ndarray]:
     """Bulk-load a tree over rows of ``points``; returns the root page and the point its distances refer to."""
 
+    def halved(items: np.ndarray, parts: int) -> list[np.ndarray]:
+        """Parts of equal size: cut across the line between two far points, again and again."""
+        if parts == 1:
+            return [items]
+        x = points[items]
+        far = x[((x - x.mean(0)) ** 2).sum(1).argmax()]
+        order = np.argsort(x @ (x[((x - far) ** 2).sum(1).argmax()] - far), kind="stable")
+        cut = len(items) * (parts // 2) // parts
+        return halved(items[order[:cut]], parts // 2) + halved(items[order[cut:]], parts - parts // 2)
+
     def load(items: np.ndarray, centre: np.ndarray) -> Node:
         to = np.sqrt(np.maximum(((points[items] - centre) ** 2).sum(1), 0))
         if len(items) <= page:
+            near_first = np.argsort(to, kind="stable")
+            items, to = items[near_first], to[near_first]
             return Node(points[items], np.zeros(len(items)), to, None, items, least_ids[items])
-        # pivots: spread over the range of distances to the parent, so that a page's entries differ in it
-        fan = min(page, max(2, math.ceil(len(items) / page)))
-        order = np.argsort(to, kind="stable")
-        pivots = items[order[np.linspace(0, len(items) - 1, fan).astype(int)]]
-        pivots = np.unique(pivots)
-        own = np.empty(len(items), int)
-        for at in range(0, len(items), 4096):
-            block = points[items[at:at + 4096]]
-            own[at:at + 4096] = ((block**2).sum(1)[:, None] - 2 * block @ points[pivots].T + (points[pivots] ** 2).sum(1)[None]).argmin(1)
-        parts = [(p, items[own == k]) for k, p in enumerate(pivots)]
-        parts = [(p, x) for p, x in parts if len(x)]
-        if len(parts) == 1:  # points too close to tell apart: equal pages in order
-            parts = [(x[0], x) for x in np.array_split(items, fan)]
+        # equal parts, so that no page is left with a few rows; each is led to by the row nearest its middle
+        parts = [(x[((points[x] - points[x].mean(0)) ** 2).sum(1).argmin()], x) for x in halved(items, min(page, math.ceil(len(items) / page)))]
         centres = points[[p for p, _ in parts]]
         children = [load(x, points[p]) for p, x in parts]
         radii = np.array([np.sqrt(((points[x] - points[p]) ** 2).sum(1)).max() for p, x in parts])
@@ -136,6 +142,108 @@ def search(root: Node, centre: np.ndarray, point: np.ndarray, score_of, ids: lis
     return sorted(((s, -v) for s, v in best), key=lambda r: (-r[0], r[1]))
 
 
+def leaf_pages(root: Node, centre: np.ndarray, points: np.ndarray, limits: np.ndarray, stats: dict) -> tuple[list[Node], np.ndarray, np.ndarray]:
+    """The leaf pages that any query can need; for each query its distance from their centres, and the least one from their rows (infinite: ruled out)."""
+    found: list[tuple[Node, np.ndarray, np.ndarray, np.ndarray]] = []
+    squares = (points**2).sum(1)
+    open_ = [(root, np.arange(len(points)), np.sqrt(((points - centre) ** 2).sum(1)), np.zeros(len(points)))]
+    while open_:
+        node, who, to_centre, low = open_.pop()
+        if node.items is not None:
+            found.append((node, who, to_centre, low))
+            continue
+        # the triangle inequality on stored distances rules entries out before any distance is computed
+        near = np.abs(to_centre[:, None] - node.to_parent[None]) - node.radii[None] <= limits[who][:, None]
+        at = np.flatnonzero(near.any(0))
+        stats["computed"] += len(at) * len(who)
+        stats["skipped"] += (near.shape[1] - len(at)) * len(who)
+        if not len(at):
+            continue
+        centres = node.points[at]
+        d = np.sqrt(np.maximum(squares[who][:, None] - 2 * points[who] @ centres.T + (centres**2).sum(1)[None], 0))
+        lows = np.maximum(d - node.radii[at][None], 0)
+        ok = near[:, at] & (lows <= limits[who][:, None])
+        for j, child in enumerate(at):
+            mine = np.flatnonzero(ok[:, j])
+            if len(mine):
+                open_.append((node.children[child], who[mine], d[mine, j], lows[mine, j]))
+    to, low = np.zeros((len(points), len(found))), np.full((len(points), len(found)), np.inf)
+    for j, (_, who, far, least) in enumerate(found):
+        to[who, j], low[who, j] = far, least
+    return [f[0] for f in found], to, low
+
+
+def search_many(root: Node, centre: np.ndarray, queries: np.ndarray, exact: np.ndarray, least_ids: np.ndarray, own: np.ndarray, k: int, bases: np.ndarray, floors: np.ndarray, stats: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For many queries the vectors that can hold their k best ids: query, vector, score, in the order of these, scores falling, least ids rising.
+
+    ``exact`` has the vectors, in a kind of number that holds any sum of
+    products exactly, as ``queries`` has. A vector whose least id is the
+    query's own does not count towards the k. The other arguments are those of
+    ``search``, an entry for each query.
+    """
+    kind = exact.dtype
+    most = 2.0**24 if kind == np.float32 else 2.0**53
+    asked = queries.astype(kind)
+    points = np.hstack([queries, np.zeros((len(queries), 1))])
+    slack = 1e-9 * (bases + 1) + 1e-6
+    reach = floors.astype(float).copy()
+
+    def limits() -> np.ndarray:
+        known = np.where(np.isinf(reach), 0, reach)
+        return np.where(np.isinf(reach), np.inf, np.sqrt(np.maximum(bases - 2 * known, 0) + slack) + 1e-9 * np.sqrt(bases + 1))
+
+    limit = limits()
+    pages, to, low = leaf_pages(root, centre, points, limit, stats)
+    order = np.argsort(low, axis=1, kind="stable")
+    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind))
+
+    def cut(best, new):
+        """The k best of each query, and how far it now reaches."""
+        q, v, s = (np.concatenate(x) for x in zip(best, *new))
+        by = np.lexsort((least_ids[v], -s, q))
+        q, v, s = q[by], v[by], s[by]
+        counts = least_ids[v] != own[q]
+        before = np.cumsum(counts) - counts
+        before -= before[np.searchsorted(q, q)]
+        last = counts & (before == k - 1)
+        reach[q[last]] = np.maximum(reach[q[last]], s[last])
+        keep = before < k
+        return q[keep], v[keep], s[keep]
+
+    at, step = 0, 1
+    while at < len(pages):
+        some = order[:, at:at + step]
+        q, c = np.nonzero(np.take_along_axis(low, some, 1) <= limit[:, None])
+        if not len(q):
+            break  # the pages after these are farther still
+        p = some[q, c]
+        by = np.argsort(p, kind="stable")
+        q, p = q[by], p[by]
+        first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+        new, gathered = [], 0
+        for a, b in zip(first, np.r_[first[1:], len(p)]):
+            node, who = pages[p[a]], q[a:b]
+            far, span = to[who, p[a]], limit[who]
+            i, j = np.searchsorted(node.to_parent, (far - span).min()), np.searchsorted(node.to_parent, (far + span).max(), "right")
+            stats["computed"] += int(j - i) * len(who)
+            stats["skipped"] += (len(node.items) - int(j - i)) * len(who)
+            if i == j:
+                continue
+            stats["products"] = stats.get("products", 0) + 1
+            items = node.items[i:j]
+            scores = asked[who] @ exact[items].T
+            r, x = np.nonzero(scores >= np.clip(np.ceil(reach[who]), -most, most).astype(kind)[:, None])
+            new.append((who[r], items[x], scores[r, x]))
+            gathered += len(r)
+            if gathered > GATHERED:
+                best, new, gathered = cut(best, new), [], 0
+        if new:
+            best = cut(best, new)
+        limit = limits()
+        at, step = at + step, 2 * step
+    return best
+
+
 def _matrix(lists: list, width: int, kind=np.int64) -> np.ndarray:
     """Rows of ``width`` numbers, shorter ones padded with zeros and longer ones cut."""
     if lists and all(len(x) == width for x in lists):
@@ -146,23 +254,35 @@ def _matrix(lists: list, width: int, kind=np.int64) -> np.ndarray:
     return out
 
 
+def _unpacked(packed: list[bytes], kind: str, width: int) -> np.ndarray:
+    """The matrix of vectors that are their numbers' bytes."""
+    if packed and all(len(b) == width * np.dtype(kind).itemsize for b in packed):
+        return np.frombuffer(b"".join(packed), kind).reshape(len(packed), width).astype(np.int64)
+    return _matrix([np.frombuffer(b, kind) for b in packed], width)
+
+
 class Shard:
     """The tree of some rows (vec_id, v)."""
 
-    def __init__(self, row_ids: np.ndarray, vectors: list) -> None:
-        self.width = max(map(len, vectors))
-        every = _matrix(vectors, self.width)
+    def __init__(self, row_ids: np.ndarray, vectors: list | np.ndarray) -> None:
+        every = vectors if isinstance(vectors, np.ndarray) else _matrix(vectors, max(map(len, vectors)))
+        self.width = every.shape[1]
         order = np.argsort(row_ids, kind="stable")
-        unique, inverse = np.unique(every[order], axis=0, return_inverse=True)
-        inverse = inverse.reshape(-1)
+        texts = np.fromiter((r.tobytes() for r in every[order]), object, len(every))
+        place: dict[bytes, int] = {}
+        inverse = np.fromiter((place.setdefault(t, len(place)) for t in texts), np.int64, len(texts))
         by = np.argsort(inverse, kind="stable")
-        self.ids = np.split(row_ids[order][by], np.cumsum(np.bincount(inverse))[:-1])
-        self.ints = unique
+        self.flat, self.counts = row_ids[order][by].astype(np.int64), np.bincount(inverse)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.least = self.flat[self.starts]
+        self.ids = np.split(self.flat, self.starts[1:])
+        unique = self.ints = every[order][by][self.starts]
         self.top = float(np.abs(unique.astype(float)).max(initial=0))
         norms = (unique.astype(float) ** 2).sum(1)
         self.largest = float(norms.max())
         points = np.hstack([unique.astype(float), np.sqrt(np.maximum(self.largest - norms, 0))[:, None]])
-        self.root, self.centre = build(points, np.array([x[0] for x in self.ids]))
+        self.root, self.centre = build(points, self.least)
+        self.exact: dict[type, np.ndarray] = {}
 
     def find(self, query, own: int, k: int, stats: dict, floor: float = -math.inf) -> list[tuple[int, int]]:
         """The k best (score, id). What the query has beyond the rows' width meets zeros."""
@@ -173,15 +293,46 @@ class Shard:
         base = float((qf**2).sum()) + self.largest
         return search(self.root, self.centre, np.append(qf, 0.0), lambda at: ints[at] @ qi, self.ids, own, k, base, stats, floor)
 
+    def find_many(self, queries: np.ndarray, own: np.ndarray, k: int, stats: dict, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best as arrays: number of the query, id, score. Queries are as wide as the rows."""
+        norms = (queries.astype(float) ** 2).sum(1)
+        # by Cauchy and Schwarz no sum of products, whole or partial, is beyond the norms' product
+        most = math.sqrt(self.largest * float(norms.max(initial=0)))
+        if most >= 2**52:  # too large for sums of floating-point numbers to be exact
+            found = [(i, v, max(min(s, 2**63 - 1), -(2**63))) for i, q in enumerate(queries) for s, v in self.find(q, int(own[i]), k, stats, float(floors[i]))]
+            return tuple(np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        kind = np.float32 if most < 2**23 and max(self.largest, float(norms.max(initial=0))) < 2**46 else np.float64
+        if kind not in self.exact:
+            self.exact[kind] = self.ints.astype(kind)
+        q, v, s = search_many(self.root, self.centre, queries.astype(float), self.exact[kind], self.least, own, k, norms + self.largest, floors, stats)
+        s = s.astype(np.int64)
+        one = self.counts[v] == 1
+        parts = [(q[one], self.least[v[one]], s[one])]
+        for i in np.flatnonzero(~one):  # equal vectors: k smaller and k larger ids than the query's own at most
+            held = self.ids[v[i]]
+            a, b = np.searchsorted(held, own[q[i]]), np.searchsorted(held, own[q[i]], "right")
+            held = np.concatenate([held[:min(a, k)], held[b:b + k]])
+            parts.append((np.full(len(held), q[i]), held, np.full(len(held), s[i])))
+        q, ids, s = (np.concatenate(x) for x in zip(*parts))
+        other = ids != own[q]
+        q, ids, s = q[other], ids[other], s[other]
+        by = np.lexsort((ids, -s, q))
+        q, ids, s = q[by], ids[by], s[by]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[first], ids[first], s[first]
+
     def answers(self, asked: pd.DataFrame, k: int, stats: dict) -> pd.DataFrame:
-        """The k best of this shard for each query (vec_id, v, and n and floor if there are any)."""
-        out = []
-        times = asked["n"] if "n" in asked else [1] * len(asked)
-        floors = asked["floor"] if "floor" in asked else [-math.inf] * len(asked)
-        for q, own, n, floor in zip(asked["v"], asked["vec_id"], times, floors):
-            for s, v in self.find(q, int(own), k, stats, float(floor)):
-                out += [(own, v, max(min(s, 2**63 - 1), -(2**63)))] * min(int(n), k)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+        """The k best of this shard for each query (vec_id, v as a list or a row of ``width`` numbers, and n and floor if there are any)."""
+        own = asked["vec_id"].to_numpy(np.int64)
+        times = np.minimum(asked["n"].to_numpy(np.int64), k) if "n" in asked else np.ones(len(asked), np.int64)
+        floors = asked["floor"].to_numpy(float) if "floor" in asked else np.full(len(asked), -math.inf)
+        vectors, out = asked["v"].tolist(), []
+        for at in range(0, len(asked), TOGETHER):
+            some = slice(at, at + TOGETHER)
+            q, ids, s = self.find_many(_matrix(vectors[some], self.width), own[some], k, stats, floors[some])
+            often = times[some][q]
+            out.append(pd.DataFrame({"query_id": np.repeat(own[some][q], often), "vec_id": np.repeat(ids, often), "score": np.repeat(s, often)}))
+        return pd.concat(out)
 
 
 def search_shard(rows: pd.DataFrame, queries: pd.DataFrame, k: int, stats: dict | None = None) -> pd.DataFrame:
@@ -216,12 +367,11 @@ class Routing:
 
     def floors(self, q: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
         """What k sampled rows of other ids reach at least; minus infinity with fewer of them."""
-        out = np.full(len(q), -np.inf)
+        if len(self.sample) < k:
+            return np.full(len(q), -np.inf)
         scores = q @ self.sample.T
-        for i in range(len(q)):
-            others = scores[i, self.sample_ids != own[i]]
-            if len(others) >= k:
-                out[i] = np.partition(others, len(others) - k)[len(others) - k]
+        scores[np.asarray(own)[:, None] == self.sample_ids[None]] = -np.inf
+        out = np.partition(scores, len(self.sample) - k, axis=1)[:, len(self.sample) - k]
         return out - 1e-12 * ((q**2).sum(1) + self.largest) - 1e-9
 
     def reachable(self, q: np.ndarray, floors: np.ndarray) -> np.ndarray:
@@ -262,13 +412,18 @@ def top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, shard_rows
     regions = min(most_regions, max(min_shards, math.ceil(n / shard_rows)))
     routing = Routing([(r["vec_id"], r["v"]) for r in picked], regions, width, largest * (1 + 1e-9))
 
+    # vectors travel as the bytes of the shortest whole numbers that hold them
+    size = math.sqrt(largest) + 1
+    packed = "<i2" if size < 2**15 else "<i4" if size < 2**31 else "<i8"
+
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                region, far = routing.nearest(_matrix(pdf["v"].tolist(), width, float))
-                yield pdf.assign(region=region.astype("int32"), far=far)
+                vectors = pdf["v"].tolist()
+                region, far = routing.nearest(_matrix(vectors, width, float))
+                yield pdf.assign(v=[np.asarray(x, packed).tobytes() for x in vectors], region=region.astype("int32"), far=far)
 
-    placed = stage(read.mapInPandas(place, "vec_id long, v array<long>, region int, far double"), "topk-rows")
+    placed = stage(read.mapInPandas(place, "vec_id long, v binary, region int, far double"), "topk-rows")
     # one number of rows and one radius for each region: a bounded table
     held = {r["region"]: (r["n"], r["far"]) for r in placed.groupBy("region").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
     shards, first = {}, 0
@@ -282,7 +437,7 @@ def top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, shard_rows
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 some = pdf.iloc[at:at + 256]
-                q = _matrix(some["v"].tolist(), width, float)
+                q = _unpacked(some["v"].tolist(), packed, width).astype(float)
                 floors = routing.floors(q, some["vec_id"].to_numpy(), k)
                 open_ = routing.reachable(q, floors)
                 rows, tasks = [], []
@@ -301,16 +456,17 @@ def top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, shard_rows
             ids.append(rows["vec_id"].to_numpy())
             held_ += rows["v"].tolist()
             queries = pdf[pdf["kind"] == 1]
-            if len(queries) and held_:
+            if len(queries) and (held_ or shard):
                 if shard is None:  # rows come before queries
-                    shard = Shard(np.concatenate(ids), held_)
-                yield shard.answers(queries, k, {"skipped": 0, "computed": 0})
+                    shard = Shard(np.concatenate(ids), _unpacked(held_, packed, width))
+                    ids, held_ = [], []
+                yield shard.answers(queries.assign(v=list(_unpacked(queries["v"].tolist(), packed, width))), k, {"skipped": 0, "computed": 0})
 
     where = spark.createDataFrame([(r, a, c) for r, (a, c) in shards.items()], "region int, first int, count int")
     task = (F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("count"))).cast("int")
     rows = placed.join(F.broadcast(where), "region").select(task.alias("task"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("floor"))
     # a stated query set against all rows
-    questions = asked.mapInPandas(ask, "task int, kind int, vec_id long, v array<long>, n long, floor double")
+    questions = asked.mapInPandas(ask, "task int, kind int, vec_id long, v binary, n long, floor double")
     dealt = rows.unionByName(questions).repartitionById(first, "task").sortWithinPartitions("kind")
     found = dealt.select("kind", "vec_id", "v", "n", "floor").mapInPandas(answer, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -171,3 +171,22 @@ def test_top_k_of_mixed_widths_and_large_numbers(spark):
         found = sorted((-max(min(sum(a * b for a, b in zip(whole[q], v)), 2**63 - 1), -(2**63)), i) for i, v in whole.items() if i != q)
         want += [(q, r, v, -d) for r, (d, v) in enumerate(found, 1)]
     assert got == sorted(want)
+
+
+def test_queries_go_through_a_shard_together():
+    # vectors without structure: nearly every page is needed, and is multiplied with many queries at once
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    v = np.floor(1024 * rng.normal(size=(6000, 16)) / 4).astype(int)
+    v[4000:4300] = v[7]
+    v[5000:5600] = v[8] + rng.integers(0, 2, (600, 16))
+    rows = pd.DataFrame({"vec_id": range(6000), "v": v.tolist()})
+    stats = {"skipped": 0, "computed": 0}
+    got = topk.search_shard(rows, rows[::10], 10, stats)
+    scores = v @ v.T
+    for q in range(0, 6000, 10):
+        want = [i for i in np.lexsort((np.arange(6000), -scores[q])) if i != q][:10]
+        mine = got[got["query_id"] == q]
+        assert mine["vec_id"].tolist() == want and mine["score"].tolist() == scores[q][want].tolist()
+    assert stats["products"] < 6000 / topk.PAGE * 2 * 2 * 8  # pages (half full at least), batches, rounds; not queries
