@@ -170,13 +170,13 @@ def table(t: Column, typed: bool = True) -> Column:
     def shown(rows: Column, columns: Column) -> Column:
         one = columns.isNotNull()
         pair = lambda c: F.struct(variant(c["column"]).alias("column"), variant(c["value"]).alias("value"))
-        return F.transform(rows, lambda r: F.struct(once(r["label"], variant).alias("label"), F.when(~one, F.transform(r["cells"], pair)).alias("cells"), F.when(one, F.transform(r["cells"], lambda c: variant(c["value"]))).alias("values")))
+        return F.transform(rows, lambda r: F.struct(variant(r["label"]).alias("label"), F.when(~one, F.transform(r["cells"], pair)).alias("cells"), F.when(one, F.transform(r["cells"], lambda c: variant(c["value"]))).alias("values")))
 
     made = F.transform(F.filter(t["rows"]["items"], lambda r: r["object"]), lambda r: row(r, t["columns"]["items"]))
-    both = once(made, lambda rows: once(F.struct(head(rows).alias("h")), lambda z: F.struct(z["h"].alias("columns"), shown(rows, z["h"]).alias("rows"))))
     fields = [variant(t["title"]).alias("title"), variant(t["context"]).alias("context")]
     fields = [X.table_type(text(t["type"])).alias("type"), *fields] if typed else fields
-    return once(both, lambda z: F.struct(*fields, z["columns"].alias("columns"), z["rows"].alias("rows")))
+    whole = lambda rows, columns: F.struct(*fields, columns.alias("columns"), shown(rows, columns).alias("rows"))
+    return once(made, lambda rows: once(F.struct(head(rows).alias("h")), lambda z: whole(rows, z["h"])))
 
 
 def tables(df: DataFrame, json_column: str, name: str = "t") -> DataFrame:

@@ -21,11 +21,13 @@ from ..functions.exprs import MISREAD, NULL_WORDS
 #: Fixed value: the error for a text without an object.
 NOTHING = "No JSON object found."
 ABSENT = ...  # the same object in every process
+SKIPPED = NotImplemented  # a value in a place that is null as a whole; one object too
 
-#: A decoder and the type of what it gives.
-Spec = tuple[Callable, pa.DataType]
+#: A decoder of a column of values, and the type of what it gives.
+Spec = tuple[Callable[[list], pa.Array], pa.DataType]
 TEXT = pa.string()
 LEAF = pa.struct([("k", TEXT), ("t", TEXT)])
+NO_LEAF = (None, None)
 
 
 def _utf8(text: str) -> str:
@@ -60,40 +62,64 @@ def _leaf(x):
     return _value(x)
 
 
-raw: Spec = (_value, LEAF)
-leaf: Spec = (_leaf, LEAF)
-given: Spec = (lambda x: x is not None and x is not ABSENT, pa.bool_())
+def _struct(kind: pa.StructType, columns: list[pa.Array], nulls: list[bool]) -> pa.Array:
+    return pa.StructArray.from_arrays(columns, fields=list(kind), mask=pa.array(nulls, pa.bool_()))
+
+
+def _leaves(one: Callable) -> Spec:
+    """Columns of kinds and texts, by a function of a single value."""
+    def take(values: list) -> pa.Array:
+        if all(x is ABSENT or x is SKIPPED for x in values):
+            return pa.nulls(len(values), LEAF)
+        read = [NO_LEAF if x is ABSENT or x is SKIPPED else one(x) or NO_LEAF for x in values]
+        kinds, texts = zip(*read)
+        return _struct(LEAF, [pa.array(kinds, TEXT), pa.array(texts, TEXT)], [k is None for k in kinds])
+
+    return take, LEAF
+
+
+raw: Spec = _leaves(_value)
+leaf: Spec = _leaves(_leaf)
+given: Spec = (lambda values: pa.array([None if x is SKIPPED else x is not None and x is not ABSENT for x in values], pa.bool_()), pa.bool_())
 
 
 def entry(**fields: tuple[str, Spec] | Spec) -> Spec:
     """An object with some of its members; ``object`` is false for anything else. A member may have another name than its column."""
     parts = [(name, *(f if isinstance(f[0], str) else (name, f))) for name, f in fields.items()]
-    members = [(name, f[0]) for _, name, f in parts]
-    nothing = (False, *[None] * len(parts))
+    kind = pa.struct([("object", pa.bool_()), *[(column, f[1]) for column, _, f in parts]])
 
-    def take(x):
-        return (True, *[f(x.get(name, ABSENT)) for name, f in members]) if isinstance(x, dict) else nothing
+    def take(values: list) -> pa.Array:
+        objects = [isinstance(x, dict) for x in values]
+        members = [f[0]([x.get(name, ABSENT) if o else SKIPPED for x, o in zip(values, objects)]) for _, name, f in parts]
+        return _struct(kind, [pa.array(objects, pa.bool_()), *members], [x is SKIPPED for x in values])
 
-    return take, pa.struct([("object", pa.bool_()), *[(column, f[1]) for column, _, f in parts]])
+    return take, kind
 
 
 def listed(item: Spec, keep: Callable | None = None) -> Spec:
     """A list of items with its kind (list, null, other; none if absent); items that ``keep`` refuses are left out."""
-    one = item[0]
+    kind = pa.struct([("k", TEXT), ("items", pa.list_(item[1]))])
 
-    def take(x):
-        if isinstance(x, list):
-            return "list", [one(i) for i in x if keep is None or keep(i)]
-        return (None if x is ABSENT else "null" if x is None else "other"), []
+    def take(values: list) -> pa.Array:
+        kinds, ends, flat = [], [0], []
+        for x in values:
+            if isinstance(x, list):
+                kinds.append("list")
+                flat += x if keep is None else [i for i in x if keep(i)]
+            else:
+                kinds.append(None if x is ABSENT or x is SKIPPED else "null" if x is None else "other")
+            ends.append(len(flat))
+        items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), item[0](flat))
+        return _struct(kind, [pa.array(kinds, TEXT), items], [x is SKIPPED for x in values])
 
-    return take, pa.struct([("k", TEXT), ("items", pa.list_(item[1]))])
+    return take, kind
 
 
 def _list_text(x):
-    return None if x is ABSENT else ("list", _dumps(x)) if isinstance(x, list) else ("null" if x is None else "other", "[]")
+    return ("list", _dumps(x)) if isinstance(x, list) else ("null" if x is None else "other", "[]")
 
 
-list_text: Spec = (_list_text, LEAF)
+list_text: Spec = _leaves(_list_text)
 
 
 def body(text: str) -> str:
@@ -121,17 +147,28 @@ def decoder(spec: Spec):
     take, kind = spec
     out = pa.struct([("error", TEXT), ("v", kind)])
 
-    def one(text: str | None):
+    def tried(f: Callable, x):
+        """An error's text, and what ``f`` makes of ``x``."""
         try:
-            return None, take(json.loads(body(text or "")))
+            return None, f(x)
         except ValueError as e:
-            return _utf8(str(e)), None
+            return _utf8(str(e)), SKIPPED
         except RecursionError:
-            return "nested too deeply", None
+            return "nested too deeply", SKIPPED
+
+    def columns(texts: list[str | None]) -> pa.Array:
+        read = [tried(lambda t: json.loads(body(t or "")), t) for t in texts]
+        why, values = tried(take, [v for _, v in read])
+        if why is not None:  # some value cannot be told in text: each has its own error
+            read = [(e, v) if e is not None else (why, v if (why := tried(take, [v])[0]) is None else SKIPPED) for e, v in read]
+            values = take([v for _, v in read])
+        return pa.StructArray.from_arrays([pa.array([e for e, _ in read], TEXT), values], fields=list(out))
 
     @F.arrow_udf(_spark(out))
     def decode(texts: pa.Array) -> pa.Array:
-        return pa.array([one(t) for t in texts.to_pylist()], out)
+        # equal texts are read once
+        read = texts.dictionary_encode()
+        return columns(read.dictionary.to_pylist()).take(read.indices) if read.null_count == 0 else columns(texts.to_pylist())
 
     return decode
 

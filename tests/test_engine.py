@@ -608,3 +608,28 @@ def test_reviews_list_evidence(spark):
     made = {r.path: r for r in documents.reviews(parse.products(answers, ("path", "file_name")), {"metadata_merges": rows, "needs_review": rows}).collect()}
     assert [json.loads(x)["field"] for x in made["p"].review.applied_merges] == ["sheet", "scale"] and made["p"].counts.metadata_merges == 2
     assert made["q"].review.needs_review == [] and made["q"].counts.metadata_merges == 0 and made["q"].extraction.model is None
+
+
+def test_answers_are_decoded_by_columns(spark):
+    """Values of every kind in every place; equal texts are read once, and each broken one has its own error."""
+    import pyarrow as pa
+    from sheetlake.sources import answers as A
+
+    calls = []
+
+    def counted(values):
+        calls.append(len(values))
+        return A.leaf[0](values)
+
+    spec = A.entry(title=(counted, A.LEAF), rows=A.listed(A.entry(labelled=("label", A.given), values=A.listed(A.leaf))), notes=A.list_text, kind=("rows", A.raw))
+    texts = ['{"title": " a ", "rows": [{"values": ["1", 2, null, "n/a"]}, 5, {"label": null}], "notes": [1]}', "[1]", '{"rows": null, "notes": 3}', "{", None, '{"title": 1.50, "rows": {}}', '{"title": ' + "9" * 5000 + "}"]
+    decode = A.decoder(spec).func
+    got = decode(pa.array(texts)).to_pylist()
+    none = {"k": None, "items": []}
+    rows = [{"object": True, "labelled": False, "values": {"k": "list", "items": [{"k": "text", "t": "1"}, {"k": "whole", "t": "2"}, None, None]}}, {"object": False, "labelled": None, "values": None}, {"object": True, "labelled": False, "values": none}]
+    assert got[0] == {"error": None, "v": {"object": True, "title": {"k": "text", "t": "a"}, "rows": {"k": "list", "items": rows}, "notes": {"k": "list", "t": "[1]"}, "kind": {"k": "json", "t": '[{"values":["1",2,null,"n/a"]},5,{"label":null}]'}}}
+    assert got[2]["v"]["notes"] == {"k": "other", "t": "[]"} and got[2]["v"]["rows"] == {"k": "null", "items": []} and got[2]["v"]["kind"] == {"k": "null", "t": "null"}
+    assert [g["error"] for g in got[3:6]] == [A.NOTHING, A.NOTHING, None] and got[1]["error"] == A.NOTHING and "4300 digits" in got[6]["error"] and [got[i]["v"] for i in (1, 3, 4, 6)] == [None] * 4
+    assert got[5]["v"]["title"] == {"k": "float", "t": "1.5"} and got[5]["v"]["rows"] == {"k": "other", "items": []}
+    calls.clear()
+    assert decode(pa.array([texts[0], texts[5]] * 500)).to_pylist() == [got[0], got[5]] * 500 and calls == [2]
